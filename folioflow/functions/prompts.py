@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions.binding import let
 from folioflow.functions.services import source_language
 
 
@@ -31,19 +32,24 @@ def context_block(pairs: Column, limit: int = K.CONTEXT_CHARS) -> Column:
     ``limit``; the newest one is always kept. The array is short by contract
     (the rolling context holds a dozen pairs), so the suffix sums are cheap.
     """
-    chunks = F.transform(
+    rendered = F.transform(
         pairs,
         lambda p: F.concat(F.lit("SOURCE: "), p["source"], F.lit("\nTRANSLATION: "), p["target"]),
     )
-    n = F.size(chunks)
 
-    def size_from(i: Column) -> Column:
-        return F.aggregate(
-            F.slice(chunks, i + 1, n), F.lit(0), lambda acc, c: acc + F.length(c)
-        )
+    def newest(chunks: Column) -> Column:
+        n = F.size(chunks)
+
+        def size_from(i: Column) -> Column:
+            return F.aggregate(
+                F.slice(chunks, i + 1, n), F.lit(0), lambda acc, c: acc + F.length(c)
+            )
 
-    kept = F.filter(chunks, lambda c, i: (i == n - 1) | (size_from(i) <= limit))
-    return F.when(n == 0, F.lit(K.NO_CONTEXT)).otherwise(F.array_join(kept, K.CONTEXT_DIVIDER))
+        return F.filter(chunks, lambda c, i: (i == n - 1) | (size_from(i) <= limit))
+
+    return F.when(F.size(pairs) == 0, F.lit(K.NO_CONTEXT)).otherwise(
+        F.array_join(let(rendered, newest), K.CONTEXT_DIVIDER)
+    )
 
 
 def fill_markers(template: Column, values: dict[str, Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions.binding import let
 from folioflow.functions.text import is_label, strip
 
 
@@ -28,34 +30,42 @@ def _wants(lang: Column) -> dict[str, Column]:
 
 def plausibility(text: Column, lang: Column) -> Column:
     """STRUCT<ok, ratio, reason>: does the text use the scripts its language expects?"""
-    compact = F.regexp_replace(F.coalesce(text, F.lit("")), K.SPACE, "")
     wants = _wants(lang)
     names = list(wants)
 
-    def verdict(scripts: list[str]) -> Column:
-        rules = [K.SCRIPT_RULES[s] for s in scripts]
-        charset = "".join(r[0] for r in rules)
-        hits = F.length(F.regexp_replace(compact, f"[^{charset}]", ""))
-        ratio = hits / F.length(compact)
+    def per_language(value: Callable[[list], Column]) -> Column:
+        out = F
+        for choice in product([True, False], repeat=len(names)):
+            picked = [n for n, used in zip(names, choice) if used] or ["other"]
+            applies = reduce(
+                lambda a, b: a & b,
+                [wants[n] if used else ~wants[n] for n, used in zip(names, choice)],
+            )
+            out = out.when(applies, value([K.SCRIPT_RULES[n] for n in picked]))
+        return out
+
+    share = per_language(lambda rules: F.lit(min(r[1] for r in rules)))
+    least = per_language(lambda rules: F.lit(min(r[2] for r in rules)))
+
+    def hits(compact: Column) -> Column:
+        return per_language(
+            lambda rules: F.length(
+                F.regexp_replace(compact, f"[^{''.join(r[0] for r in rules)}]", "")
+            )
+        )
+
+    def verdict(n: Column, size: Column) -> Column:
+        ratio = F.when(size == 0, F.lit(0.0)).otherwise(n / size)
         return F.struct(
-            ((hits >= min(r[2] for r in rules)) & (ratio >= min(r[1] for r in rules))).alias("ok"),
+            ((size > 0) & (n >= least) & (ratio >= share)).alias("ok"),
             ratio.alias("ratio"),
-            F.concat(F.lit("script="), hits, F.lit("/"), F.length(compact)).alias("reason"),
+            F.when(size == 0, "empty")
+            .otherwise(F.concat(F.lit("script="), n, F.lit("/"), size)).alias("reason"),
         )
 
-    out = F.when(
-        compact == "",
-        F.struct(
-            F.lit(False).alias("ok"), F.lit(0.0).alias("ratio"), F.lit("empty").alias("reason")
-        ),
-    )
-    for choice in product([True, False], repeat=len(names)):
-        picked = [n for n, used in zip(names, choice) if used]
-        applies = reduce(
-            lambda a, b: a & b, [wants[n] if used else ~wants[n] for n, used in zip(names, choice)]
-        )
-        out = out.when(applies, verdict(picked or ["other"]))
-    return out
+    compact = F.regexp_replace(F.coalesce(text, F.lit("")), K.JAVA_SPACE, "")
+    counts = let(compact, lambda c: F.struct(hits(c).alias("hits"), F.length(c).alias("size")))
+    return let(counts, lambda c: verdict(c["hits"], c["size"]))
 
 
 def sanitize_recognised(text: Column, lang: Column) -> Column:
@@ -64,7 +74,7 @@ def sanitize_recognised(text: Column, lang: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
     japanese = F.regexp_replace(t, "[A-Za-z]{2,}", "")
     japanese = F.regexp_replace(japanese, K.JAPANESE_KEPT, "")
-    japanese = F.regexp_replace(japanese, K.SPACE, "")
+    japanese = F.regexp_replace(japanese, K.JAVA_SPACE, "")
     return F.when(wants["japanese"] & ~wants["latin"], japanese).otherwise(t)
 
 

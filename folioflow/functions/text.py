@@ -15,33 +15,30 @@ from folioflow.functions.arrow import arrow_batched
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(c, K.EDGE_SPACE, "")
+    return F.btrim(c, F.lit(K.SPACE_CHARS))
 
 
-def clean_characters(c: Column) -> Column:
-    """Stray glyphs to dashes, dash runs to ' - ', blanks collapsed, trimmed."""
+def _clean(c: Column, dash_run: str) -> Column:
     c = F.regexp_replace(c, K.DASH_LIKE, "-")
     c = F.regexp_replace(c, K.DROPPED_CONTROLS, "")
-    c = F.regexp_replace(c, f"[-+{K.SPACE_SET}]*-[-+{K.SPACE_SET}]*", " - ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return strip(c)
+    c = F.regexp_replace(c, f"(?U){dash_run}*-{dash_run}*", " - ")
+    return F.regexp_replace(c, r"[ \t]+", " ")
+
+
+def clean_characters(c: Column) -> Column:
+    """Stray glyphs to dashes, dash runs to ' - ', blanks collapsed, trimmed."""
+    return strip(_clean(c, f"[-+{K.JAVA_SPACE_SET}]"))
 
 
 def segment_lines(c: Column) -> Column:
     """The cleaned, non-blank lines of a text, in order.
 
-    Cleaning works on the whole text with classes that exclude the line feed.
-    That equals cleaning line by line and keeps the chain in generated code;
-    trimming around line feeds also removes the blank lines.
+    The patterns run over the whole text, with a class that excludes the line
+    feed, which equals cleaning line by line but stays in generated code. Only
+    the trimming happens per line.
     """
-    inline = K.INLINE_SPACE_SET
-    c = F.regexp_replace(c, K.DASH_LIKE, "-")
-    c = F.regexp_replace(c, K.DROPPED_CONTROLS, "")
-    c = F.regexp_replace(c, f"[-+{inline}]*-[-+{inline}]*", " - ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, f"[{inline}]*\\n{K.SPACE}*", "\n")
-    c = strip(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n"))
+    cleaned = _clean(c, f"[-+{K.JAVA_SPACE_SET}&&[^\\n]]")
+    return F.filter(F.transform(F.split(cleaned, "\n"), strip), lambda t: t != "")
 
 
 def has_letter(c: Column) -> Column:
@@ -60,15 +57,14 @@ def is_label(c: Column) -> Column:
 
 
 def ends_sentence(c: Column) -> Column:
-    return c.rlike(rf"{K.SENTENCE_END}{K.SPACE}*\z")
+    return F.right(strip(c), F.lit(1)).isin(*K.SENTENCE_END_CHARS)
 
 
 def tidy_lines(c: Column) -> Column:
     """Unify line ends, collapse blanks and trim every line and the whole."""
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, f"{K.INLINE_SPACE}*\\n{K.INLINE_SPACE}*", "\n")
-    return strip(c)
+    return strip(F.array_join(F.transform(F.split(c, "\n"), strip), "\n"))
 
 
 def token_estimate(c: Column) -> Column:
@@ -83,7 +79,7 @@ def words(c: Column) -> Column:
     """Whitespace-separated words; none for a blank text."""
     t = strip(c)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(
-        F.split(t, f"{K.SPACE}+")
+        F.split(t, f"{K.JAVA_SPACE}+")
     )
 
 

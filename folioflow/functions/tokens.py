@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
+from folioflow.functions.binding import let
 
 PROTECTED_TYPE = (
     "struct<text:string, held:array<struct<token:string,raw:string>>,"
@@ -115,38 +116,43 @@ def _count_in(tokens: Column, token: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t == token))
 
 
+def _with_tokens(original: Column, mapped: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """Extract the tokens of both sides once, then compare."""
+    both = F.struct(tokens_in(original).alias("before"), tokens_in(mapped).alias("after"))
+    return let(both, lambda b: body(b["before"], b["after"]))
+
+
 def token_faults(original: Column, mapped: Column) -> Column:
     """STRUCT<missing, duplicated, hallucinated>: token multiset differences, in text order."""
-    before, after = tokens_in(original), tokens_in(mapped)
-    distinct = F.array_distinct(before)
-    return F.struct(
-        F.filter(distinct, lambda t: _count_in(after, t) < _count_in(before, t)).alias("missing"),
-        F.filter(distinct, lambda t: _count_in(after, t) > _count_in(before, t)).alias("duplicated"),
-        F.filter(F.array_distinct(after), lambda t: ~F.array_contains(before, t))
-        .alias("hallucinated"),
-    )
+
+    def faults(before: Column, after: Column) -> Column:
+        sent = F.array_distinct(before)
+        return F.struct(
+            F.filter(sent, lambda t: _count_in(after, t) < _count_in(before, t)).alias("missing"),
+            F.filter(sent, lambda t: _count_in(after, t) > _count_in(before, t)).alias("duplicated"),
+            F.array_except(after, before).alias("hallucinated"),
+        )
+
+    return _with_tokens(original, mapped, faults)
 
 
 def token_error(original: Column, mapped: Column) -> Column:
     """First token fault in original order, then hallucinations; NULL when sound."""
-    before, after = tokens_in(original), tokens_in(mapped)
-    off = F.filter(
-        F.array_distinct(before), lambda t: _count_in(after, t) != _count_in(before, t)
-    )
-    first = F.try_element_at(off, F.lit(1))
-    new = F.try_element_at(
-        F.filter(F.array_distinct(after), lambda t: ~F.array_contains(before, t)), F.lit(1)
-    )
-    return (
-        F.when(
-            first.isNotNull(),
-            F.concat(
-                F.when(_count_in(after, first) < _count_in(before, first), "missing ")
-                .otherwise("duplicated "),
-                first,
-            ),
-        ).when(new.isNotNull(), F.concat(F.lit("hallucinated "), new))
-    )
+
+    def fault(before: Column, after: Column) -> Column:
+        off = F.filter(
+            F.array_distinct(before), lambda t: _count_in(after, t) != _count_in(before, t)
+        )
+        first = F.try_element_at(off, F.lit(1))
+        new = F.try_element_at(F.array_except(after, before), F.lit(1))
+        kind = F.when(_count_in(after, first) < _count_in(before, first), "missing ").otherwise(
+            "duplicated "
+        )
+        return F.when(first.isNotNull(), F.concat(kind, first)).when(
+            new.isNotNull(), F.concat(F.lit("hallucinated "), new)
+        )
+
+    return _with_tokens(original, mapped, fault)
 
 
 def line_protector(terms: dict[str, str] | None = None) -> Callable[[Column], Column]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions.text import strip
 from folioflow.operators import blocked
 
 BAND_SPAN = 4096
@@ -153,7 +154,7 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
         key, *flat, "id", F.lit("").alias("text"), "size", F.lit(False).alias("vertical"),
         F.lit(False).alias("needs"), F.lit(False).alias("candidate"), F.lit(True).alias("obstacle"),
     )
-    short = F.length(F.regexp_replace("text", K.EDGE_SPACE, "")) <= K.LOOSE_FRAGMENT_CHARS
+    short = F.length(strip(F.col("text"))) <= K.LOOSE_FRAGMENT_CHARS
     free = marked.where(F.col("_n") <= 2).select(
         key, *flat, *own, (F.col("vertical") | short).alias("candidate"),
         F.lit(False).alias("obstacle"),

@@ -1 +1,235 @@
-"""Queries."""
+"""Queries over page sets, progress records and file names."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioflow.functions import naming
+from folioflow.operators import ranges
+from folioflow.plans.inputs import STATUS_SQL, page_status, table
+from folioflow.plans.registry import query
+from folioflow.sources.files import resume_info, sidecar_json
+
+_DONE = "event_type <> 'view'"
+
+
+@query("W4 U5", f"""
+WITH {STATUS_SQL}, d AS (SELECT DISTINCT user_id, page FROM status WHERE {_DONE}),
+i AS (SELECT user_id, page, page - row_number() OVER (PARTITION BY user_id ORDER BY page) AS g FROM d)
+SELECT user_id, min(page) AS first, max(page) AS last FROM i GROUP BY user_id, g""")
+def page_ranges(spark, sf):
+    done = page_status(spark, sf).where(F.col("event_type") != "view")
+    return ranges.collapse(done, ["user_id"])
+
+
+_SETS = f"""{STATUS_SQL},
+scope AS (SELECT user_id, page FROM status),
+prior AS (SELECT user_id, page FROM status WHERE page % 3 <> 0
+  EXCEPT SELECT user_id, page FROM status WHERE event_type = 'view'),
+success AS (SELECT user_id, page FROM status WHERE event_type IN ('view', 'click', 'error')
+  EXCEPT SELECT user_id, page FROM status WHERE event_type = 'error'),
+done AS (SELECT * FROM prior UNION SELECT * FROM success),
+lft AS (SELECT * FROM scope EXCEPT SELECT * FROM done)"""
+
+
+def _sets(spark, sf):
+    s = page_status(spark, sf)
+    scope = s.select("user_id", "page")
+    unfinished = s.where(F.col("event_type") == "view").select("user_id", "page")
+    prior = scope.where(F.col("page") % 3 != 0).join(unfinished, ["user_id", "page"], "left_anti")
+    run = s.where(F.col("event_type").isin("view", "click", "error")).select(
+        "user_id", "page", (F.col("event_type") == "error").alias("failed")
+    )
+    return ranges.page_sets(run, scope, prior, "user_id")
+
+
+@query("U1 U2 U3 U4", f"""
+WITH {_SETS}
+SELECT user_id, page, 'translated' AS state FROM done
+UNION ALL SELECT user_id, page, 'untranslated' FROM lft""")
+def page_sets(spark, sf):
+    return _sets(spark, sf)
+
+
+@query("A8 A9 A10 A16", f"""
+WITH {STATUS_SQL}
+SELECT user_id, count(DISTINCT page) AS target_pages,
+  count(DISTINCT page) FILTER (event_type = 'error') AS failed_pages,
+  count(*) FILTER (event_type NOT IN ('view', 'error')) AS translated
+FROM status GROUP BY user_id""")
+def page_counts(spark, sf):
+    failed = F.col("event_type") == "error"
+    return page_status(spark, sf).groupBy("user_id").agg(
+        F.count_distinct("page").alias("target_pages"),
+        F.count_distinct(F.when(failed, F.col("page"))).alias("failed_pages"),
+        F.count_if(~F.col("event_type").isin("view", "error")).alias("translated"),
+    )
+
+
+@query("W9", f"""
+WITH {STATUS_SQL}, b AS (SELECT user_id, (page - 1) // 4 AS batch_id, page // 3 AS page FROM status),
+seen AS (SELECT user_id, page, min(batch_id) AS batch_id FROM b GROUP BY user_id, page),
+ids AS (SELECT DISTINCT user_id, batch_id FROM b),
+tot AS (SELECT user_id, count(*) AS batches FROM ids GROUP BY user_id),
+allp AS (SELECT user_id, count(*) AS all_pages FROM seen GROUP BY user_id)
+SELECT i.user_id, CAST(i.batch_id AS BIGINT) AS batch_id, batches,
+  (SELECT count(*) FROM seen s WHERE s.user_id = i.user_id AND s.batch_id <= i.batch_id) AS pages,
+  all_pages, round(100.0::DOUBLE * (i.batch_id + 1) / batches, 9) AS percent
+FROM ids i JOIN tot USING (user_id) JOIN allp USING (user_id)""")
+def run_progress(spark, sf):
+    b = page_status(spark, sf).select(
+        "user_id", F.floor((F.col("page") - 1) / 4).alias("batch_id"),
+        F.floor(F.col("page") / 3).alias("page"),
+    )
+    return ranges.run_progress(b, "user_id").withColumn("percent", F.round("percent", 9))
+
+
+def _outlines(spark, sf):
+    sets = _sets(spark, sf)
+    out = []
+    for state in ("translated", "untranslated"):
+        r = ranges.collapse(sets.where(F.col("state") == state), ["user_id"])
+        out.append((r, ranges.range_outline(r, ["user_id"])))
+    return out
+
+
+_RANGES = f"""{_SETS},
+rd AS (SELECT user_id, min(page) AS a, max(page) AS b FROM (
+  SELECT user_id, page, page - row_number() OVER (PARTITION BY user_id ORDER BY page) AS g FROM done)
+  GROUP BY user_id, g),
+ru AS (SELECT user_id, min(page) AS a, max(page) AS b FROM (
+  SELECT user_id, page, page - row_number() OVER (PARTITION BY user_id ORDER BY page) AS g FROM lft)
+  GROUP BY user_id, g)"""
+
+_BASE_SQL = "repeat('book', CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 25 WHEN 2 THEN 28 ELSE 60 END) || user_id"
+
+
+def _parts_sql(tag: str, source: str) -> str:
+    return f"""
+{tag} AS (
+  SELECT u.user_id, count(a) AS n,
+    coalesce(string_agg(printf('%03d-%03d', a, b), '_' ORDER BY a), '000-000') AS listed,
+    CASE WHEN count(a) = 0 THEN '000-000' ELSE printf('%03d-%03d', min(a), max(b)) || '-MULTI' || count(a) END AS compact
+  FROM users u LEFT JOIN {source} r ON r.user_id = u.user_id GROUP BY u.user_id)"""
+
+
+@query("F20 O5", f"""
+WITH {_RANGES}, trimmed_d AS (SELECT * FROM rd WHERE user_id % 2 = 1 OR b - a > 2),
+trimmed_u AS (SELECT * FROM ru WHERE user_id % 2 = 1 OR b - a > 1),
+users AS (SELECT DISTINCT user_id FROM status), {_parts_sql('d', 'trimmed_d')}, {_parts_sql('u', 'trimmed_u')},
+s AS (
+  SELECT user_id, {_BASE_SQL} AS base, d.n <= 5 AND u.n <= 5 AS few,
+    {_BASE_SQL} || '_translated_' || d.listed || '_untranslated_' || u.listed AS fl,
+    {_BASE_SQL} || '_T_' || d.listed || '_unT_' || u.listed AS sh,
+    '_translated_' || d.compact || '_untranslated_' || u.compact AS tail
+  FROM d JOIN u USING (user_id))
+SELECT user_id, CASE WHEN few AND length(fl) <= 140 THEN fl WHEN few AND length(sh) <= 160 THEN sh
+    WHEN length(base || tail) > 200 THEN left(base, 60) || '_' || left(sha1(base), 8) || tail
+    ELSE base || tail END AS stem,
+  NOT (few AND (length(fl) <= 140 OR length(sh) <= 160)) AS needs_sidecar
+FROM s""")
+def output_stems(spark, sf):
+    """Stems over the long ranges of even users and all ranges of odd ones, so that every form occurs."""
+    (done, _), (left, _) = _outlines(spark, sf)
+    length = F.col("last") - F.col("first")
+    odd = F.col("user_id") % 2 == 1
+    done = ranges.range_outline(done.where(odd | (length > 2)), ["user_id"])
+    left = ranges.range_outline(left.where(odd | (length > 1)), ["user_id"])
+    users = table(spark, sf, "events").select("user_id").distinct()
+    n = F.col("user_id") % 4
+    base = F.concat(
+        F.expr("repeat('book', case user_id % 4 when 0 then 1 when 1 then 25 when 2 then 28 else 60 end)"),
+        F.col("user_id"),
+    )
+    joined = (
+        users.join(done.withColumnRenamed("outline", "d"), "user_id", "left")
+        .join(left.withColumnRenamed("outline", "u"), "user_id", "left")
+    )
+    stem = naming.output_stem(
+        base, F.coalesce("d", ranges.empty_outline()), F.coalesce("u", ranges.empty_outline())
+    )
+    return joined.select("user_id", stem.alias("s")).select("user_id", "s.*")
+
+
+_LISTS = f"""
+lists AS (
+  SELECT user_id, coalesce(d, '[]') AS d, coalesce(u, '[]') AS u FROM (SELECT DISTINCT user_id FROM status)
+  LEFT JOIN (SELECT user_id, '[' || string_agg('[' || a || ',' || b || ']', ',' ORDER BY a) || ']' AS d
+    FROM rd GROUP BY user_id) USING (user_id)
+  LEFT JOIN (SELECT user_id, '[' || string_agg('[' || a || ',' || b || ']', ',' ORDER BY a) || ']' AS u
+    FROM ru GROUP BY user_id) USING (user_id))"""
+
+
+@query("S11", f"""
+WITH {_RANGES}, {_LISTS}
+SELECT user_id, 0 AS part, '{{"base":"doc' || user_id || '","t_ranges":' || d || ',"u_ranges":' || u
+  || ',"doc_page_count":86}}' AS json FROM lists""")
+def sidecars(spark, sf):
+    (done, _), (left, _) = _outlines(spark, sf)
+    parts = ranges.sidecar_parts(done, left, "user_id")
+    base = F.concat(F.lit("doc"), F.col("user_id"))
+    return parts.select(
+        "user_id", "part",
+        sidecar_json(base, F.col("t_ranges"), F.col("u_ranges"), F.lit(86)).alias("json"),
+    )
+
+
+def _span_text(c):
+    return F.array_join(F.transform(c, lambda r: F.concat(r["first"], F.lit("-"), r["last"])), ",")
+
+
+@query("S11 F21 R4", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 90 + 1 AS a, o_orderkey % 90 + 1 + o_custkey % 7 AS b FROM orders)
+SELECT k, CASE WHEN k % 5 IN (2, 4) THEN NULL WHEN k % 5 = 0 THEN 'side' || k ELSE 'my_doc' || k END AS base,
+  CASE WHEN k % 5 IN (2, 4) THEN NULL WHEN k % 5 = 3 THEN '' ELSE a || '-' || b END AS done,
+  CASE WHEN k % 5 IN (2, 4) THEN NULL WHEN k % 5 = 0 THEN '7-8' WHEN k % 5 = 1 THEN '' ELSE a || '-' || b || ',200-201' END AS rest,
+  k % 5 = 0 AS from_sidecar
+FROM o""")
+def resume_states(spark, sf):
+    """Resume state from the progress file where one exists, else from the file name."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    a = (k % 90 + 1).cast("int")
+    b = (k % 90 + 1 + F.col("o_custkey") % 7).cast("int")
+    span = F.concat(F.format_string("%03d", a), F.lit("-"), F.format_string("%03d", b))
+    stem = (
+        F.when(k % 5 == 0, F.concat(F.lit("my_doc"), k, F.lit("_translated_"), span, F.lit("-MULTI9_untranslated_000-000")))
+        .when(k % 5 == 1, F.concat(F.lit("my_doc"), k, F.lit("_T_"), span, F.lit("_unT_000-000")))
+        .when(k % 5 == 2, F.concat(F.lit("my_doc"), k, F.lit("_translated_"), span, F.lit("-MULTI3_untranslated_001-002")))
+        .when(k % 5 == 3, F.concat(F.lit("my_doc"), k, F.lit("_translated_000-000_untranslated_"), span, F.lit("_200-201")))
+        .otherwise(F.concat(F.lit("my_doc"), k))
+    )
+    path = F.concat(F.lit("/out/v1.0/"), stem, F.lit(".pdf"))
+    outputs = o.select(k.alias("k"), path.alias("path"), a.alias("_a"), b.alias("_b"))
+    side = outputs.where(F.col("k") % 5 == 0).select(
+        naming.sidecar_path(F.col("path")).alias("path"),
+        sidecar_json(
+            F.concat(F.lit("side"), F.col("k")), F.array(F.array("_a", "_b")),
+            F.array(F.array(F.lit(7), F.lit(8))), F.lit(200),
+        ).alias("json"),
+    )
+    return resume_info(outputs, side).select(
+        "k", "base", _span_text(F.col("done")).alias("done"), _span_text(F.col("left")).alias("rest"),
+        "from_sidecar",
+    )
+
+
+@query("F18 F19", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'b' || o_custkey END AS base,
+  CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderkey % 100 END AS first_page,
+  CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderkey % 100 + 5 END AS last_page,
+  CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderkey % 3 = 1 END AS unresolved
+FROM orders""")
+def resume_names(spark, sf):
+    k = F.col("o_orderkey")
+    n = (k % 100).cast("int")
+    span = F.concat(F.format_string("%03d", n), F.lit("-"), F.format_string("%03d", n + 5))
+    stem = F.concat(
+        F.lit("b"), F.col("o_custkey"), F.lit("_translated_"), span,
+        F.when(k % 3 == 0, "_unT_000-000").when(k % 3 == 1, "_untranslated_001-090-MULTI12")
+        .otherwise("_rest_001-002"),
+    )
+    return table(spark, sf, "orders").select(k, naming.parse_resume_name(stem).alias("r")).select(
+        "o_orderkey", "r.base", F.col("r.first_page").cast("bigint").alias("first_page"),
+        F.col("r.last_page").cast("bigint").alias("last_page"), "r.unresolved",
+    )
