@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.text import strip
 from folioflow.operators import blocked
 
@@ -45,6 +46,23 @@ def _page_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataF
     return df.join(df.groupBy(*keys).agg(F.max(value).alias(out)), list(keys))
 
 
+def per_band(rows: DataFrame, keys: Sequence[str], work: Callable[[list[dict]], list[dict]],
+             result: str) -> DataFrame:
+    """Run ``work`` on the rows of every band and explode what it returns.
+
+    A band travels as one array, so an Arrow batch carries many bands and small
+    bands cost no call of their own. The keys are not part of the rows.
+    """
+
+    @arrow_batched(f"array<struct<{result}>>")
+    def run(bands_: pd.Series) -> pd.Series:
+        return bands_.map(lambda band: work(list(band)))
+
+    fields = [c for c in rows.columns if c not in keys]
+    gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_rows"))
+    return gathered.select(*keys, F.explode(run("_rows")).alias("_r")).select(*keys, "_r.*")
+
+
 # --- vertical columns --------------------------------------------------------
 
 _SENTENCE_END = re.compile(r'[.!?:;"”…。！？」』]\s*\Z')
@@ -130,8 +148,8 @@ def merge_pieces(pieces: list[dict]) -> list[dict]:
 
 
 MERGED_TYPE = (
-    "id bigint, x0 double, y0 double, x1 double, y1 double, text string, size double,"
-    " vertical boolean, needs boolean, members array<bigint>"
+    "id:bigint, x0:double, y0:double, x1:double, y1:double, text:string, size:double,"
+    " vertical:boolean, needs:boolean, members:array<bigint>"
 )
 
 
@@ -164,24 +182,21 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     banded = bands(every, [key], "x0", "x1", font * K.COLUMN_SIDE_GAP, "_xband")
     banded = bands(banded, [key, "_xband"], "y0", "y1", font * K.COLUMN_STACK_GAP, "_yband")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id").to_dict("records")
-        for r in rows:
-            r["box"] = (r["x0"], r["y0"], r["x1"], r["y1"])
-            r["members"] = [r["id"]]
-        out = [
-            {key: m[key], "id": m["id"], "x0": m["box"][0], "y0": m["box"][1], "x1": m["box"][2],
+    def merge(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: r["id"])
+        boxed = [
+            {**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"]), "members": [r["id"]]} for r in rows
+        ]
+        return [
+            {"id": m["id"], "x0": m["box"][0], "y0": m["box"][1], "x1": m["box"][2],
              "y1": m["box"][3], "text": m["text"], "size": m["size"], "vertical": m["vertical"],
              "needs": m["needs"], "members": sorted(m["members"])}
-            for m in merge_pieces(rows) if not m["obstacle"]
+            for m in merge_pieces(boxed) if not m["obstacle"]
         ]
-        columns = [key, "id", "x0", "y0", "x1", "y1", "text", "size", "vertical", "needs", "members"]
-        return pd.DataFrame(out, columns=columns)
 
-    key_type = pieces.schema[key].dataType.simpleString()
-    merged = banded.groupBy(key, "_xband", "_yband").applyInPandas(
-        merge, f"{key} {key_type}, {MERGED_TYPE}"
-    )
+    merged = per_band(
+        banded.drop("_font"), [key, "_xband", "_yband"], merge, MERGED_TYPE
+    ).drop("_xband", "_yband")
     untouched = crowd.select(
         key, "id", *flat, "text", "size", "vertical", "needs", F.array("id").alias("members")
     )
@@ -197,7 +212,7 @@ LINE_JOIN_CHARS = 2000
 LINE_TOUCH = 2.0
 _LINE_END = re.compile(r'[.!?:;"”…]\s*\Z')
 JOINED_TYPE = (
-    "pos bigint, x0 double, y0 double, x1 double, y1 double, text string, members array<bigint>"
+    "pos:bigint, x0:double, y0:double, x1:double, y1:double, text:string, members:array<bigint>"
 )
 
 
@@ -257,18 +272,16 @@ def join_broken_lines(rows: DataFrame, key: str = "page") -> DataFrame:
     plain = _page_max(plain, [key], "size", "_font")
     banded = bands(plain, [key], "y0", "y1", F.col("_font") * LINE_JOIN_GAP, "_band")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = pdf.sort_values("pos").to_dict("records")
-        for r in records:
-            r["box"] = (r["x0"], r["y0"], r["x1"], r["y1"])
-        columns = [key, "pos", "x0", "y0", "x1", "y1", "text", "members"]
-        return pd.DataFrame(
-            [(r[key], r["pos"], *r["box"], r["text"], r["members"]) for r in join_rows(records)],
-            columns=columns,
-        )
+    def join(records: list[dict]) -> list[dict]:
+        records = sorted(records, key=lambda r: r["pos"])
+        boxed = [{**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"])} for r in records]
+        return [
+            {"pos": r["pos"], "x0": r["box"][0], "y0": r["box"][1], "x1": r["box"][2],
+             "y1": r["box"][3], "text": r["text"], "members": r["members"]}
+            for r in join_rows(boxed)
+        ]
 
-    key_type = rows.schema[key].dataType.simpleString()
-    return banded.groupBy(key, "_band").applyInPandas(join, f"{key} {key_type}, {JOINED_TYPE}")
+    return per_band(banded.drop("_font"), [key, "_band"], join, JOINED_TYPE).drop("_band")
 
 
 # --- reading order -----------------------------------------------------------
@@ -303,16 +316,13 @@ def reading_order(boxes: DataFrame, key: str = "page") -> DataFrame:
     banded = bands(spans, [key], "y", "_bottom", F.lit(0.0), "band").drop("_bottom")
     extents = banded.groupBy(key, "band", "y", "h").agg(F.min("id").alias("first_id"))
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_centre=pdf.y + pdf.h / 2).sort_values(["_centre", "first_id"])
-        pdf["row"] = row_seeds(list(zip(pdf.y, pdf.h)))
-        return pdf[[key, "band", "y", "h", "row"]]
+    def rows(found: list[dict]) -> list[dict]:
+        found = sorted(found, key=lambda e: (e["y"] + e["h"] / 2, e["first_id"]))
+        numbers = row_seeds([(e["y"], e["h"]) for e in found])
+        return [{"y": e["y"], "h": e["h"], "row": n} for e, n in zip(found, numbers)]
 
-    key_type = boxes.schema[key].dataType.simpleString()
     kinds = {f: boxes.schema[f].dataType.simpleString() for f in ("y", "h")}
-    seeded = extents.groupBy(key, "band").applyInPandas(
-        rows, f"{key} {key_type}, band bigint, y {kinds['y']}, h {kinds['h']}, row int"
-    )
+    seeded = per_band(extents, [key, "band"], rows, f"y:{kinds['y']}, h:{kinds['h']}, row:int")
     placed = banded.join(seeded, [key, "band", "y", "h"])
     placed = placed.withColumn("_right", -(F.col("x") + F.col("w") / 2)).withColumn(
         "_centre", F.col("y") + F.col("h") / 2

@@ -71,6 +71,14 @@ def range_outline(ranges: DataFrame, keys: Sequence[str], listed: int = K.LISTED
     )
 
 
+def outlines_by_state(outlines: DataFrame, key: str) -> DataFrame:
+    """One row per key with the outlines of its finished and unfinished pages."""
+    def of(state: str) -> Column:
+        return F.any_value(F.when(F.col("state") == state, F.col("outline")), True)
+
+    return outlines.groupBy(key).agg(of("translated").alias("done"), of("untranslated").alias("rest"))
+
+
 def empty_outline() -> Column:
     return F.struct(
         F.lit(0).cast("bigint").alias("count"), F.lit(0).alias("low"), F.lit(0).alias("high"),
@@ -95,25 +103,22 @@ def page_sets(status: DataFrame, scope: DataFrame, prior: DataFrame | None, key:
     )
 
 
-def sidecar_parts(done: DataFrame, left: DataFrame, key: str, part: int = PART_RANGES) -> DataFrame:
-    """Ranges of both states in numbered parts of bounded length: key, part, t_ranges, u_ranges."""
-    def parts(ranges: DataFrame, name: str) -> DataFrame:
-        cut = blocked.with_block(ranges, F.col("first"))
-        cut = blocked.row_number(cut, [key], ["first"], "_n")
-        return (
-            cut.withColumn("part", F.floor((F.col("_n") - 1) / part).cast("int"))
-            .groupBy(key, "part")
-            .agg(F.transform(
-                F.array_sort(F.collect_list(F.struct("first", "last"))),
-                lambda r: F.array(r["first"], r["last"]),
-            ).alias(name))
-        )
-
-    empty = F.array().cast("array<array<int>>")
+def sidecar_parts(ranges: DataFrame, key: str, part: int = PART_RANGES) -> DataFrame:
+    """Ranges of both states in numbered parts of bounded length: key, part, t_ranges, u_ranges.
+
+    ``ranges`` has key, state, first and last.
+    """
+    cut = blocked.with_block(ranges, F.col("first"))
+    cut = blocked.row_number(cut, [key, "state"], ["first"], "_n")
+
+    def of(state: str) -> Column:
+        spans = F.collect_list(F.when(F.col("state") == state, F.array("first", "last")))
+        return F.array_sort(spans)
+
     return (
-        parts(done, "t_ranges").join(parts(left, "u_ranges"), [key, "part"], "full")
-        .select(key, "part", F.coalesce("t_ranges", empty).alias("t_ranges"),
-                F.coalesce("u_ranges", empty).alias("u_ranges"))
+        cut.withColumn("part", F.floor((F.col("_n") - 1) / part).cast("int"))
+        .groupBy(key, "part")
+        .agg(of("translated").alias("t_ranges"), of("untranslated").alias("u_ranges"))
     )
 
 

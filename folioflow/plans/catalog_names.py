@@ -84,13 +84,9 @@ def run_progress(spark, sf):
     return ranges.run_progress(b, "user_id").withColumn("percent", F.round("percent", 9))
 
 
-def _outlines(spark, sf):
-    sets = _sets(spark, sf)
-    out = []
-    for state in ("translated", "untranslated"):
-        r = ranges.collapse(sets.where(F.col("state") == state), ["user_id"])
-        out.append((r, ranges.range_outline(r, ["user_id"])))
-    return out
+def _state_ranges(spark, sf):
+    """Ranges of both states in one pass: user_id, state, first, last."""
+    return ranges.collapse(_sets(spark, sf), ["user_id", "state"])
 
 
 _RANGES = f"""{_SETS},
@@ -130,25 +126,19 @@ SELECT user_id, CASE WHEN few AND length(fl) <= 140 THEN fl WHEN few AND length(
 FROM s""")
 def output_stems(spark, sf):
     """Stems over the long ranges of even users and all ranges of odd ones, so that every form occurs."""
-    (done, _), (left, _) = _outlines(spark, sf)
     length = F.col("last") - F.col("first")
-    odd = F.col("user_id") % 2 == 1
-    done = ranges.range_outline(done.where(odd | (length > 2)), ["user_id"])
-    left = ranges.range_outline(left.where(odd | (length > 1)), ["user_id"])
+    long = length > F.when(F.col("state") == "translated", 2).otherwise(1)
+    kept = _state_ranges(spark, sf).where((F.col("user_id") % 2 == 1) | long)
+    outlines = ranges.outlines_by_state(ranges.range_outline(kept, ["user_id", "state"]), "user_id")
     users = table(spark, sf, "events").select("user_id").distinct()
-    n = F.col("user_id") % 4
     base = F.concat(
         F.expr("repeat('book', case user_id % 4 when 0 then 1 when 1 then 25 when 2 then 28 else 60 end)"),
         F.col("user_id"),
     )
-    joined = (
-        users.join(done.withColumnRenamed("outline", "d"), "user_id", "left")
-        .join(left.withColumnRenamed("outline", "u"), "user_id", "left")
-    )
     stem = naming.output_stem(
-        base, F.coalesce("d", ranges.empty_outline()), F.coalesce("u", ranges.empty_outline())
+        base, F.coalesce("done", ranges.empty_outline()), F.coalesce("rest", ranges.empty_outline())
     )
-    return joined.select("user_id", stem.alias("s")).select("user_id", "s.*")
+    return users.join(outlines, "user_id", "left").select("user_id", stem.alias("s")).select("user_id", "s.*")
 
 
 _LISTS = f"""
@@ -165,8 +155,7 @@ WITH {_RANGES}, {_LISTS}
 SELECT user_id, 0 AS part, '{{"base":"doc' || user_id || '","t_ranges":' || d || ',"u_ranges":' || u
   || ',"doc_page_count":86}}' AS json FROM lists""")
 def sidecars(spark, sf):
-    (done, _), (left, _) = _outlines(spark, sf)
-    parts = ranges.sidecar_parts(done, left, "user_id")
+    parts = ranges.sidecar_parts(_state_ranges(spark, sf), "user_id")
     base = F.concat(F.lit("doc"), F.col("user_id"))
     return parts.select(
         "user_id", "part",

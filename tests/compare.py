@@ -47,7 +47,8 @@ def difference(spark, con, entry, sf: str) -> str | None:
     a, b = rows_of(df.columns, got), rows_of(names, res.fetchall())
     if a == b:
         return None if a else "no rows"
-    only_a, only_b = [r for r in a if r not in set(b)], [r for r in b if r not in set(a)]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
     return f"{len(a)} vs {len(b)} rows; spark only {only_a[:2]}; sql only {only_b[:2]}"[:1500]
 
 
