@@ -116,7 +116,7 @@ def spread_results(segments: DataFrame, results: DataFrame, counts: DataFrame, t
 def unexpired(rows: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:
     """Rows within their time to live; a NULL ttl never expires."""
     age = F.unix_micros(now) - F.unix_micros("created_at")
-    return rows.where(ttl_seconds.isNull() | (age <= ttl_seconds * 1_000_000))
+    return rows.where(ttl_seconds.isNull() | (age <= ttl_seconds.cast("bigint") * 1_000_000))
 
 
 def evict_oldest_half(rows: DataFrame, full: int = K.LRU_FULL) -> DataFrame:

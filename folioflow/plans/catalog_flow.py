@@ -1 +1,205 @@
-"""Queries."""
+"""End-to-end queries: mapping, reconciling, memo runs and streaming runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioflow import constants as K
+from folioflow.functions.prompts import mock_mapping
+from folioflow.operators import memo
+from folioflow.operators.reconcile import (
+    PAIRS, OversizeError, map_batches, mock_answer, parse_strict, reconcile, with_fallback,
+)
+from folioflow.plans import sqlparts as S
+from folioflow.plans import translate as plan
+from folioflow.plans.inputs import MARKED_SQL, marked_documents, table
+from folioflow.plans.registry import query
+from folioflow.session import work_path
+from folioflow.streaming import jobs
+
+_MOCK_SEGMENTS = f"WITH {S.SEGMENTS} SELECT doc_id, pos, '[모의 번역] ' || text AS translated FROM segs WHERE needs"
+
+
+@query("S1 P1 P2 W1 A7", f"""
+WITH RECURSIVE {S.SEGMENTS}, {S.targets()}, {S.greedy('tgt', 'doc_id', 1500, 10)},
+b AS (SELECT doc_id, batch_id, count(*) AS n, sum(size) AS chars FROM packed JOIN tgt USING (doc_id, idx) GROUP BY ALL)
+SELECT doc_id, count(*) AS batches, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(chars) AS BIGINT) AS chars,
+  CAST(max(chars) AS INTEGER) AS fullest, round(avg(chars) / 1500, 6) AS mean_fill
+FROM b GROUP BY doc_id""")
+def corpus_calls(spark, sf):
+    """How many model calls does every document need, and how full are they?"""
+    from folioflow.functions.text import has_letter, is_label, segment_lines
+    from folioflow.operators import batching
+
+    lines = F.filter(segment_lines(F.col("text")), has_letter)
+    sized = table(spark, sf, "documents").select("doc_id", lines.alias("_t")).select(
+        "doc_id", F.transform("_t", F.length).alias("_sizes"), F.transform("_t", is_label).alias("_kinds")
+    )
+    cut = sized.withColumn("_starts", batching.starts_in_row()("_sizes", "_kinds"))
+    fills = F.transform(
+        batching.slices(F.col("_sizes"), F.col("_starts")),
+        lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n),
+    )
+    total = F.aggregate("_fills", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return cut.where(F.size("_starts") > 0).withColumn("_fills", fills).select(
+        "doc_id", F.size("_fills").cast("bigint").alias("batches"),
+        F.size("_sizes").cast("bigint").alias("segments"), total.alias("chars"),
+        F.array_max("_fills").alias("fullest"),
+        F.round(total / F.size("_fills") / K.BATCH_CHARS, 6).alias("mean_fill"),
+    )
+
+
+@query("J3 M3 X3", f"""
+WITH RECURSIVE {S.SEGMENTS}, {S.targets()}, {S.greedy('tgt', 'doc_id', 1500, 10)},
+r AS (SELECT doc_id, pos, batch_id, text, (doc_id + batch_id) % 4 AS n,
+    pos = min(pos) OVER w AS is_first, pos = max(pos) OVER w AS is_last
+  FROM packed JOIN tgt USING (doc_id, idx) WINDOW w AS (PARTITION BY doc_id, batch_id))
+SELECT doc_id, pos, CASE WHEN n = 2 AND is_first THEN text WHEN n = 3 AND is_last THEN 'dup ' || text
+  ELSE '[모의 번역] ' || text END AS translated, n = 2 AND is_first AS failed
+FROM r""")
+def reconciled_batches(spark, sf):
+    """Answers in order, with swapped ids, with a gap and with a repeated id."""
+    targets = plan.protected_documents(table(spark, sf, "documents")).withColumn(
+        "targets", F.transform("targets", lambda s: s.withField("text", s["source"]))
+    )
+    batches = plan.document_batches(targets)
+    pair = F.transform("segments", lambda s: F.struct(
+        s["seg_id"].alias("segment_id"), mock_mapping(s["text"]).alias("translated_text")))
+    swapped = F.zip_with(
+        F.reverse(F.transform("segments", lambda s: s["seg_id"])), F.col("_pairs"),
+        lambda i, p: F.struct(i.alias("segment_id"), p["translated_text"].alias("translated_text")),
+    )
+    last = F.element_at("segments", -1)
+    repeated = F.concat(F.col("_pairs"), F.array(F.struct(
+        last["seg_id"].alias("segment_id"), F.concat(F.lit("dup "), last["text"]).alias("translated_text"))))
+    n = (F.col("doc_id") + F.col("batch_id")) % 4
+    answers = (
+        F.when(n == 0, F.col("_pairs")).when(n == 1, swapped)
+        .when(n == 2, F.slice("_pairs", 2, F.size("_pairs"))).otherwise(repeated)
+    )
+    answered = batches.withColumn("_pairs", pair).withColumn("pairs", answers)
+    matched = answered.withColumn("_m", reconcile(F.col("segments"), F.col("pairs"), F.lit("French")))
+    rows = matched.select("doc_id", F.explode(F.arrays_zip("segments", "_m")).alias("z")).select(
+        "doc_id", "z.segments.pos", "z.segments.text", F.col("z._m.translated").alias("translated")
+    )
+    return rows.transform(with_fallback).select("doc_id", "pos", "translated", "failed")
+
+
+def _limited_mapper(limit: int):
+    """A mapper that refuses requests over a number of characters."""
+    import json
+
+    def ask(segments):
+        if sum(len(s["text"]) for s in segments) > limit:
+            raise OversizeError
+        return json.dumps({"translations": [
+            {"segment_id": s["seg_id"], "translated_text": K.MOCK_PREFIX + s["text"]} for s in segments
+        ]})
+
+    return ask
+
+
+@query("X1 W14 W2", f"""
+WITH {S.SEGMENTS}
+SELECT doc_id, pos, CASE WHEN length(text) > 900 THEN text ELSE '[모의 번역] ' || text END AS translated,
+  length(text) > 900 AS failed
+FROM segs WHERE needs""")
+def halved_batches(spark, sf):
+    """A Python mapper with a size limit: oversize batches are halved, hopeless rows kept as they are."""
+    targets = plan.protected_documents(table(spark, sf, "documents")).withColumn(
+        "targets", F.transform("targets", lambda s: s.withField("text", s["source"]))
+    )
+    batches = plan.document_batches(targets)
+    answered = map_batches(batches, lambda: _limited_mapper(900), ["doc_id", "batch_id"])
+    matched = answered.withColumn("_m", reconcile(F.col("segments"), F.col("pairs"), F.lit("Korean")))
+    rows = matched.select("doc_id", F.explode(F.arrays_zip("segments", "_m")).alias("z")).select(
+        "doc_id", "z.segments.pos", "z.segments.text", F.col("z._m.translated").alias("translated")
+    )
+    return with_fallback(rows).select("doc_id", "pos", "translated", "failed")
+
+
+_DONE = S.strip(S.capitals(S.sub(S.sub("'[모의 번역] ' || text", r"[ \t]+", " "), r" ([.,!?])", r"\1")))
+
+
+@query("F4 F5 F6 F7 F2 J3 W1 X3", f"""
+WITH {S.SEGMENTS}
+SELECT doc_id, pos, seg_id, {_DONE} AS translated, false AS failed FROM segs WHERE needs""")
+def translated_documents(spark, sf):
+    """The whole document plan with the default mapper, in one pass without a shuffle."""
+    return plan.translate(table(spark, sf, "documents")).select(
+        "doc_id", F.col("pos").cast("int").alias("pos"), "seg_id", "translated", "failed"
+    )
+
+
+@query("F4 F5 F6 F7 F2 J3 W1 X1")
+def translated_marked_documents(spark, sf):
+    """The same with documents full of literals and a Python mapper."""
+    return plan.translate(
+        marked_documents(spark, sf), make_mapper=lambda: _limited_mapper(100_000)
+    ).select("doc_id", "pos", "seg_id", "translated", "error", "failed")
+
+
+@query("J2 M2 D3", _MOCK_SEGMENTS)
+def memo_run(spark, sf):
+    """Map each distinct text once, store it, and give every copy its result."""
+    docs = table(spark, sf, "documents")
+    path = work_path(spark, "memo")
+    memo.create_empty(spark, path)
+    work = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    memo.append(plan.mock_results(work, "English", "Korean"), path, 0)
+    done = plan.finish(docs, memo.load(spark, path), "English", "Korean")
+    return done.select("doc_id", "pos", "translated")
+
+
+@query("D3 J2", f"""
+WITH {S.SEGMENTS}
+SELECT count(DISTINCT text) AS first_calls, 0 AS second_calls FROM segs WHERE needs""")
+def memo_calls(spark, sf):
+    """Mapper calls of a first run and of its repetition."""
+    docs = table(spark, sf, "documents")
+    path = work_path(spark, "memo")
+    memo.create_empty(spark, path)
+    first = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    memo.append(plan.mock_results(first, "English", "Korean"), path, 0)
+    second = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    return memo.load(spark, path).agg(F.count("*").alias("first_calls")).join(
+        F.broadcast(second.agg(F.count("*").alias("second_calls")))
+    )
+
+
+# --- streaming ---------------------------------------------------------------
+
+
+def _stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    return jobs.document_stream(spark, sf, "documents.parquet", schema)
+
+
+@query("S1 R3 R4 R6", f"WITH {S.SEGMENTS} SELECT doc_id, pos, seg_id, text, needs FROM segs")
+def stream_segments(spark, sf):
+    """Segments of arriving documents; the second start resumes and finds nothing new."""
+    out, checkpoint = work_path(spark, "segments"), work_path(spark, "checkpoint")
+    for _ in range(2):
+        jobs.run_available(jobs.segment_stream(_stream(spark, sf)), out, checkpoint)
+    return spark.read.parquet(out).select("doc_id", "pos", "seg_id", "text", "needs")
+
+
+@query("R1 R2", f"""
+SELECT doc_id AS request_id, {S.strip(S.sub('text', S.K.SPACE + '+', ' '))} AS text FROM documents""")
+def stream_tokens(spark, sf):
+    """Token streams of many requests, stored as they arrive and joined per request."""
+    out, checkpoint = work_path(spark, "tokens"), work_path(spark, "checkpoint")
+    jobs.run_available(jobs.token_stream(_stream(spark, sf)), out, checkpoint)
+    return jobs.concat_tokens(spark.read.parquet(out), " ")
+
+
+@query("R4 M2 J2", f"""
+WITH {S.SEGMENTS}
+SELECT DISTINCT text AS source_text, '[모의 번역] ' || text AS translated_text FROM segs WHERE needs""")
+def stream_memo(spark, sf):
+    """A memo filled by micro-batches that skip finished texts; restarted once."""
+    path, checkpoint = work_path(spark, "memo"), work_path(spark, "checkpoint")
+    memo.create_empty(spark, path)
+    for _ in range(2):
+        jobs.run_memo(_stream(spark, sf), path, checkpoint, "English", "Korean")
+    return memo.load(spark, path).select("source_text", "translated_text")
