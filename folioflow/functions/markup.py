@@ -109,16 +109,20 @@ def odd_asterisks(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit("*"), F.lit("")))) % 2 == 1
 
 
-def finished_fault(c: Column) -> Column:
-    """First fault of a finished text; NULL when it is sound."""
+def markup_fault(c: Column, fence: Column) -> Column:
+    """First fault of a finished text, given the fault of its fenced blocks; NULL when sound."""
     stray = stray_token(c)
     return F.coalesce(
         F.when(stray.isNotNull(), F.concat(F.lit("unresolved placeholder "), stray)),
-        fence_fault(c),
+        fence,
         F.when(has_open_link(c), F.lit("unclosed link")),
     )
 
 
+def finished_fault(c: Column) -> Column:
+    return markup_fault(c, fence_fault(c))
+
+
 def structure_faults(original: Column, mapped: Column) -> Column:
     """ARRAY of structure faults: code fences and '#' signs must keep their number."""
     from folioflow.functions.text import occurrences

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
 from folioflow.operators import blocked
+from folioflow.session import materialize
 
 LEAF_ROWS = 8192
 FAN = 8192
@@ -179,14 +180,18 @@ def assign_batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], s
     """Batch number of every row: keys, order columns, ``idx`` and ``batch_id``.
 
     ``rows`` carries block numbers (``blocked.with_block``) that rise with
-    ``order``. Only keys, order, sizes and kinds are shuffled; join the result
-    back to the wide rows on keys and order.
+    ``order``. Keys, order, sizes and kinds are written out once, as several
+    steps read them; only they are shuffled. Join the result back to the wide
+    rows on keys and order.
     """
     if max_rows > leaf_rows:
         raise ValueError("a batch must fit into one block of rows")
     keys, order = list(keys), list(order)
-    narrow = rows.select(*keys, *order, blocked.BLOCK, size.cast("bigint").alias("_size"),
-                         kind.alias("_kind"))
+    narrow = materialize(
+        rows.select(*keys, *order, blocked.BLOCK, size.cast("bigint").alias("_size"),
+                    kind.alias("_kind")),
+        "sizes",
+    )
     indexed = blocked.row_number(narrow, keys, order, "idx").withColumn("idx", F.col("idx") - 1)
     leaf = F.floor(F.col("idx") / leaf_rows)
     offset = F.col("idx") % leaf_rows

@@ -9,7 +9,7 @@ sees one row per block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,27 +76,37 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence, valu
     )
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-             out: str) -> DataFrame:
-    """``value`` of the row before, across block borders; NULL on the first row.
+def break_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+               is_break: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """Number the runs of rows between breaks, from 0.
 
-    ``order`` names plain columns. The value travels inside a one-field struct,
-    so a NULL value of the row before stays apart from having no row before.
+    ``is_break(before, here)`` compares the values of neighbouring rows. Breaks
+    are counted inside the blocks; the break at a block's border is found from
+    the last value of the block before, so one step over blocks is enough.
     """
-    df = df.withColumn("_term", F.struct(value.alias("v")))
-    last = F.max_by("_term", F.struct(*[F.col(o) for o in order]))
-    before = _carry(df, keys, last, F.last("_value"), None)
-    return (
-        df.join(before, [*keys, BLOCK])
-        .withColumn(
-            out, F.coalesce(F.lag("_term").over(_inside(keys, order)), F.col("_carry"))["v"]
-        )
-        .drop("_carry", "_term")
-    )
+    inside = _inside(keys, order)
 
+    def flag(before: Column, here: Column) -> Column:
+        return F.coalesce(is_break(before, here), F.lit(False)).cast("bigint")
 
-def groups_from_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_break: Column,
-                       out: str) -> DataFrame:
-    """Number the runs of rows between breaks, from 0; the first row opens run 0."""
-    df = running_sum(df, keys, order, F.coalesce(is_break, F.lit(False)).cast("bigint"), out)
-    return df
+    local = df.withColumn("_v", value).withColumn("_before", F.lag("_v").over(inside))
+    local = local.withColumn("_flag", flag(F.col("_before"), F.col("_v")))
+    place = F.struct(*order)
+    blocks = local.groupBy(*keys, BLOCK).agg(
+        F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"),
+        F.sum("_flag").alias("_breaks"),
+    )
+    over_keys = Window.partitionBy(*keys).orderBy(BLOCK)
+    earlier = over_keys.rowsBetween(Window.unboundedPreceding, -1)
+    border = blocks.withColumn("_border", flag(F.lag("_last").over(over_keys), F.col("_first")))
+    carried = border.select(
+        *keys, BLOCK,
+        (F.coalesce(F.sum(F.col("_breaks") + F.col("_border")).over(earlier), F.lit(0))
+         + F.col("_border")).alias("_carry"),
+    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        local.join(carried, [*keys, BLOCK])
+        .withColumn(out, F.sum("_flag").over(upto) + F.col("_carry"))
+        .drop("_v", "_before", "_flag", "_carry")
+    )

@@ -105,23 +105,25 @@ def block_shape(lines: DataFrame, keys: Sequence[str], recognised: bool = False)
 def split_by_size(lines: DataFrame, keys: Sequence[str], order: Sequence[str], size: str,
                   out: str = "line_group") -> DataFrame:
     """A new group where the size changes by more than the ratio; needs block numbers."""
-    before = blocked.previous(lines, keys, order, F.col(size), "_before")
-    ratio = F.greatest(F.col(size), F.col("_before")) / F.least(F.col(size), F.col("_before"))
-    jump = (F.col(size) > 0) & (F.col("_before") > 0) & (ratio > K.FONT_SPLIT_RATIO)
-    return blocked.groups_from_breaks(before, keys, order, jump, out).drop("_before")
+
+    def jump(before: Column, here: Column) -> Column:
+        ratio = F.greatest(here, before) / F.least(here, before)
+        return (here > 0) & (before > 0) & (ratio > K.FONT_SPLIT_RATIO)
+
+    return blocked.break_runs(lines, keys, order, F.col(size), jump, out)
 
 
 def group_table_lines(lines: DataFrame, keys: Sequence[str], order: Sequence[str], box: Column,
                       size: Column, out: str = "line_group") -> DataFrame:
     """Neighbouring lines with a similar left edge and a small gap stay together."""
-    before = blocked.previous(
-        lines, keys, order, F.struct(box.alias("box"), size.alias("size")), "_before"
-    )
-    last = F.col("_before")
-    shifted = F.abs(box["x0"] - last["box"]["x0"]) > K.TABLE_ROW_X_TOLERANCE
-    drop = F.greatest(box["y0"] - last["box"]["y1"], F.lit(0.0))
-    far = drop > last["size"] * K.TABLE_ROW_GAP_FACTOR
-    return blocked.groups_from_breaks(before, keys, order, shifted | far, out).drop("_before")
+
+    def apart(before: Column, here: Column) -> Column:
+        shift = F.abs(here["box"]["x0"] - before["box"]["x0"])
+        drop = F.greatest(here["box"]["y0"] - before["box"]["y1"], F.lit(0.0))
+        return (shift > K.TABLE_ROW_X_TOLERANCE) | (drop > before["size"] * K.TABLE_ROW_GAP_FACTOR)
+
+    line = F.struct(box.alias("box"), size.alias("size"))
+    return blocked.break_runs(lines, keys, order, line, apart, out)
 
 
 def join_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str,

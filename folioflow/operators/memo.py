@@ -107,10 +107,10 @@ def distinct_work(segments: DataFrame, order: list[str]) -> DataFrame:
     ).select("cache_key", "n", "_row.*")
 
 
-def spread_results(segments: DataFrame, results: DataFrame, counts: DataFrame, total: int,
-                   order: list[str]) -> DataFrame:
+def spread_results(segments: DataFrame, results: DataFrame, order: list[str]) -> DataFrame:
     """Give every copy its result; keys with very many copies are salted."""
-    return join_unique(segments, results, "cache_key", heavy_keys(counts, "cache_key", total), order)
+    counts = segments.groupBy("cache_key").agg(F.count("*").alias("n"))
+    return join_unique(segments, results, "cache_key", heavy_keys(counts, "cache_key"), order)
 
 
 def unexpired(rows: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:

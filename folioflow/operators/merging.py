@@ -20,6 +20,7 @@ from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.text import strip
 from folioflow.operators import blocked
+from folioflow.session import materialize
 
 BAND_SPAN = 4096
 
@@ -28,17 +29,21 @@ def bands(boxes: DataFrame, keys: Sequence[str], low: str, high: str, reach: Col
           out: str) -> DataFrame:
     """Number the bands along one axis: a gap wider than ``reach`` opens a new one.
 
-    Only distinct extents are ordered, so copies of a box cost nothing.
+    Only distinct extents are ordered, so copies of a box cost nothing. They
+    are written out once, because both running steps read them.
     """
     keys = list(keys)
     named = boxes.withColumn("_low", F.col(low)).withColumn("_high", F.col(high))
-    extents = named.groupBy(*keys, "_low", "_high").agg(F.max(reach).alias("_reach"))
+    extents = materialize(
+        named.groupBy(*keys, "_low", "_high").agg(F.max(reach).alias("_reach")), "extents"
+    )
     cut = blocked.with_block(extents, F.col("_low"), BAND_SPAN)
     order = ["_low", "_high"]
     cut = blocked.running_max_before(cut, keys, order, F.col("_high"), "_far")
-    numbered = blocked.groups_from_breaks(
-        cut, keys, order, F.col("_low") > F.col("_far") + F.col("_reach"), out
-    ).select(*keys, "_low", "_high", out)
+    opens = F.coalesce(F.col("_low") > F.col("_far") + F.col("_reach"), F.lit(False))
+    numbered = blocked.running_sum(cut, keys, order, opens.cast("bigint"), out).select(
+        *keys, "_low", "_high", out
+    )
     return named.join(numbered, [*keys, "_low", "_high"]).drop("_low", "_high")
 
 
@@ -162,7 +167,7 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     along y inside those, by the largest reach of the page's fonts.
     """
     copies = pieces.groupBy(key, "box").agg(F.count("*").alias("_n"))
-    marked = pieces.join(copies, [key, "box"])
+    marked = materialize(pieces.join(copies, [key, "box"]), "marked")
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
     own = ["id", "text", "size", "vertical", "needs"]
     crowd = marked.where(F.col("_n") > 2)
@@ -177,9 +182,11 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
         key, *flat, *own, (F.col("vertical") | short).alias("candidate"),
         F.lit(False).alias("obstacle"),
     )
-    every = _page_max(free.unionByName(obstacles), [key], "size", "_font")
+    every = materialize(free.unionByName(obstacles), "pieces")
+    every = _page_max(every, [key], "size", "_font")
     font = F.greatest(F.col("_font"), F.lit(1.0))
     banded = bands(every, [key], "x0", "x1", font * K.COLUMN_SIDE_GAP, "_xband")
+    banded = materialize(banded, "x-bands")
     banded = bands(banded, [key, "_xband"], "y0", "y1", font * K.COLUMN_STACK_GAP, "_yband")
 
     def merge(rows: list[dict]) -> list[dict]:
@@ -269,7 +276,7 @@ def join_broken_lines(rows: DataFrame, key: str = "page") -> DataFrame:
     """
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
     plain = rows.select(key, "pos", *flat, "text", "size", "bold", "color", "needs")
-    plain = _page_max(plain, [key], "size", "_font")
+    plain = _page_max(materialize(plain, "rows"), [key], "size", "_font")
     banded = bands(plain, [key], "y0", "y1", F.col("_font") * LINE_JOIN_GAP, "_band")
 
     def join(records: list[dict]) -> list[dict]:
@@ -314,6 +321,7 @@ def reading_order(boxes: DataFrame, key: str = "page") -> DataFrame:
     """
     spans = boxes.withColumn("_bottom", F.col("y") + F.col("h"))
     banded = bands(spans, [key], "y", "_bottom", F.lit(0.0), "band").drop("_bottom")
+    banded = materialize(banded, "bands")
     extents = banded.groupBy(key, "band", "y", "h").agg(F.min("id").alias("first_id"))
 
     def rows(found: list[dict]) -> list[dict]:

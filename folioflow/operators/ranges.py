@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions.naming import RANGES
 from folioflow.operators import blocked
+from folioflow.session import materialize
 
 PAGE_SPAN = 1 << 16
 PART_RANGES = 4096
@@ -54,8 +55,10 @@ def range_outline(ranges: DataFrame, keys: Sequence[str], listed: int = K.LISTED
     """Per key a STRUCT<count, low, high, ranges> holding the first few ranges.
 
     The row-number filter becomes a limit before the shuffle, so a key with
-    very many ranges never meets in one list.
+    very many ranges never meets in one list. The ranges are read twice and
+    written out once for it.
     """
+    ranges = materialize(ranges, "ranges")
     order = Window.partitionBy(*keys).orderBy("first")
     first_few = (
         ranges.withColumn("_n", F.row_number().over(order))
@@ -86,20 +89,33 @@ def empty_outline() -> Column:
     )
 
 
-def page_sets(status: DataFrame, scope: DataFrame, prior: DataFrame | None, key: str) -> DataFrame:
+def page_sets(status: DataFrame, scope: DataFrame, key: str, prior_scope: DataFrame | None = None,
+              prior_left: DataFrame | None = None) -> DataFrame:
     """Translated and untranslated pages after a run: key, page, state.
 
-    ``status`` has one row per target segment (page, failed); ``scope`` the
-    pages the job covers; ``prior`` the pages finished by earlier runs. All
-    inputs are reduced to one row per page before they meet.
+    ``status`` has one row per target segment (page, failed) and ``scope`` the
+    pages the job covers; earlier runs give the pages they covered and those
+    they left. A page is translated when an earlier run finished it, or when
+    this run had targets on it and none failed. All inputs are tagged and meet
+    in one aggregation, so the set algebra costs a single shuffle.
     """
-    run = status.groupBy(key, "page").agg((~F.bool_or("failed")).alias("_done"))
-    done = run.where("_done").select(key, "page")
-    if prior is not None:
-        done = done.unionByName(prior.select(key, "page")).distinct()
-    left = scope.select(key, "page").distinct().join(done, [key, "page"], "left_anti")
-    return done.withColumn("state", F.lit("translated")).unionByName(
-        left.withColumn("state", F.lit("untranslated"))
+    tags = ("scope", "target", "failed", "prior", "left")
+
+    def tagged(df: DataFrame, **flags: Column) -> DataFrame:
+        return df.select(
+            key, "page", *[flags.get(t, F.lit(False)).alias(t) for t in tags]
+        )
+
+    yes = F.lit(True)
+    rows = tagged(scope, scope=yes).unionByName(tagged(status, target=yes, failed=F.col("failed")))
+    if prior_scope is not None:
+        rows = rows.unionByName(tagged(prior_scope, prior=yes))
+    if prior_left is not None:
+        rows = rows.unionByName(tagged(prior_left, left=yes))
+    pages = rows.groupBy(key, "page").agg(*[F.bool_or(t).alias(t) for t in tags])
+    done = (F.col("prior") & ~F.col("left")) | (F.col("target") & ~F.col("failed"))
+    return pages.where(done | F.col("scope")).select(
+        key, "page", F.when(done, "translated").otherwise("untranslated").alias("state")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
+from folioflow.functions.binding import let
 from folioflow.functions.prompts import mock_mapping
 from folioflow.functions.scripts import is_echo, is_plausible_pair
 from folioflow.functions.text import strip
@@ -104,15 +105,16 @@ def reconcile(todo: Column, pairs: Column, target_lang: Column) -> Column:
             F.try_element_at(by_id, F.lit(-1))
         )["translated_text"]
 
-    def matched(segment: Column, i: Column) -> Column:
-        out = answer(segment, i)
+    def accepted(segment: Column, out: Column) -> Column:
         fits = is_plausible_pair(segment["text"], out) & ~is_echo(segment["text"], out, target_lang)
         return F.struct(
             segment["seg_id"].alias("seg_id"), segment["text"].alias("text"),
             F.when(fits, out).alias("translated"),
         )
 
-    return F.transform(todo, matched)
+    return F.transform(
+        todo, lambda s, i: let(answer(s, i), lambda out: accepted(s, out))
+    )
 
 
 def mock_answer(segments: Column) -> Column:

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_SHARE = 1 / 1000
+HEAVY_ROWS = 10_000
 SALTS = 64
 
 
-def heavy_keys(counts: DataFrame, key: str, total: int, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of ``total`` rows.
+def heavy_keys(counts: DataFrame, key: str, share: float = HEAVY_SHARE,
+               floor: int = HEAVY_ROWS) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows, and more than ``floor`` rows.
 
     At most ``1 / share`` keys can, so the result is safe to broadcast whatever
     the size of the data. ``counts`` has one row per key with its count ``n``.
     """
-    return counts.where(F.col("n") > max(total * share, 10_000)).select(key)
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    limit = F.greatest(F.col("_all") * share, F.lit(floor))
+    return counts.join(F.broadcast(total)).where(F.col("n") > limit).select(key)
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, heavy: DataFrame, spread_by: Sequence[str],

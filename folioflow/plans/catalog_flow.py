@@ -23,9 +23,10 @@ _MOCK_SEGMENTS = f"WITH {S.SEGMENTS} SELECT doc_id, pos, '[모의 번역] ' || t
 @query("S1 P1 P2 W1 A7", f"""
 WITH RECURSIVE {S.SEGMENTS}, {S.targets()}, {S.greedy('tgt', 'doc_id', 1500, 10)},
 b AS (SELECT doc_id, batch_id, count(*) AS n, sum(size) AS chars FROM packed JOIN tgt USING (doc_id, idx) GROUP BY ALL)
-SELECT doc_id, count(*) AS batches, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(chars) AS BIGINT) AS chars,
-  CAST(max(chars) AS INTEGER) AS fullest, round(avg(chars) / 1500, 6) AS mean_fill
-FROM b GROUP BY doc_id""")
+SELECT d.doc_id, count(n) AS batches, CAST(coalesce(sum(n), 0) AS BIGINT) AS segments,
+  CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars, CAST(coalesce(max(chars), 0) AS INTEGER) AS fullest,
+  coalesce(round(avg(chars) / 1500, 6), 0.0) AS mean_fill
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY d.doc_id""")
 def corpus_calls(spark, sf):
     """How many model calls does every document need, and how full are they?"""
     from folioflow.functions.text import has_letter, is_label, segment_lines
@@ -41,11 +42,12 @@ def corpus_calls(spark, sf):
         lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n),
     )
     total = F.aggregate("_fills", F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return cut.where(F.size("_starts") > 0).withColumn("_fills", fills).select(
+    mean = F.when(F.size("_fills") > 0, total / F.size("_fills") / K.BATCH_CHARS)
+    return cut.withColumn("_fills", fills).select(
         "doc_id", F.size("_fills").cast("bigint").alias("batches"),
         F.size("_sizes").cast("bigint").alias("segments"), total.alias("chars"),
-        F.array_max("_fills").alias("fullest"),
-        F.round(total / F.size("_fills") / K.BATCH_CHARS, 6).alias("mean_fill"),
+        F.coalesce(F.array_max("_fills"), F.lit(0)).alias("fullest"),
+        F.coalesce(F.round(mean, 6), F.lit(0.0)).alias("mean_fill"),
     )
 
 

@@ -35,12 +35,13 @@ lft AS (SELECT * FROM scope EXCEPT SELECT * FROM done)"""
 def _sets(spark, sf):
     s = page_status(spark, sf)
     scope = s.select("user_id", "page")
-    unfinished = s.where(F.col("event_type") == "view").select("user_id", "page")
-    prior = scope.where(F.col("page") % 3 != 0).join(unfinished, ["user_id", "page"], "left_anti")
     run = s.where(F.col("event_type").isin("view", "click", "error")).select(
         "user_id", "page", (F.col("event_type") == "error").alias("failed")
     )
-    return ranges.page_sets(run, scope, prior, "user_id")
+    return ranges.page_sets(
+        run, scope, "user_id", prior_scope=scope.where(F.col("page") % 3 != 0),
+        prior_left=s.where(F.col("event_type") == "view").select("user_id", "page"),
+    )
 
 
 @query("U1 U2 U3 U4", f"""

@@ -285,7 +285,7 @@ def memory_lookup(spark, sf):
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
     found = join_unique(
         keyed.select("doc_id", "key"), spark.read.parquet(path), "key",
-        heavy_keys(counts, "key", keyed.count()), ["doc_id"],
+        heavy_keys(counts, "key"), ["doc_id"],
     )
     return found.select("doc_id", F.coalesce("translated", F.lit("")).alias("translated"))
 

@@ -803,12 +803,11 @@ WITH {S.SEGMENTS},
 r AS (SELECT doc_id, pos, text, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) - 1 AS before
   FROM segs WHERE needs)
 SELECT doc_id, {S.strip(f"left(string_agg(text || {NL}, '' ORDER BY pos), 1000)")} AS sample
-FROM r WHERE before <= 1000 GROUP BY doc_id""")
+FROM r WHERE before <= 1000 GROUP BY doc_id
+UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)""")
 def document_sample(spark, sf):
     ls = F.filter(text.segment_lines(F.col("text")), text.has_letter)
-    return table(spark, sf, "documents").select("doc_id", ls.alias("ls")).where(F.size("ls") > 0).select(
-        "doc_id", context.sample(F.col("ls")).alias("sample")
-    )
+    return table(spark, sf, "documents").select("doc_id", context.sample(ls).alias("sample"))
 
 
 @query("X1 W10", """

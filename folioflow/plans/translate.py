@@ -7,15 +7,17 @@ add the memo: equal texts are mapped once in the corpus and never again.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions import tokens
+from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.keys import memo_key
-from folioflow.functions.markup import finished_fault
+from folioflow.functions.markup import fence_fault_one, markup_fault
 from folioflow.functions.prompts import mock_mapping
-from folioflow.functions.text import has_letter, is_label, normalize, segment_lines
+from folioflow.functions.text import has_letter, is_label, normalize_one, segment_lines
 from folioflow.operators import batching, blocked, memo
 from folioflow.operators.reconcile import map_batches, mock_answer, parse_strict, reconcile
 from folioflow.operators.segments import scan, segment_id
@@ -60,6 +62,16 @@ def document_batches(targets: DataFrame, key: str = "doc_id", max_chars: int = K
     )
 
 
+@arrow_batched("struct<text:string, error:string, fence:string>")
+def finish_text(texts: pd.Series, held: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    """Normalise, restore and check fenced blocks in one trip to Python."""
+    rows = [tokens.restore_one(normalize_one(t), h, g) for t, h, g in zip(texts, held, terms)]
+    return pd.DataFrame(
+        [(r["text"], r["error"], fence_fault_one(r["text"])) for r in rows],
+        columns=["text", "error", "fence"],
+    )
+
+
 def finish_segments(mapped: DataFrame) -> DataFrame:
     """Check, normalise and restore mapped segments; faults become a column, not a failure.
 
@@ -67,20 +79,18 @@ def finish_segments(mapped: DataFrame) -> DataFrame:
     segment without a sound result keeps its source and is flagged.
     """
     checked = mapped.withColumn("_token_error", tokens.token_error(F.col("text"), F.col("translated")))
-    restored = checked.withColumn(
-        "_restored", tokens.restore(normalize("translated"), "held", "terms")
-    )
-    finished = restored.withColumn("_fault", finished_fault(F.col("_restored.text")))
+    finished = checked.withColumn("_restored", finish_text("translated", "held", "terms"))
     error = F.coalesce(
         F.when(F.col("translated").isNull(), "not mapped"),
-        F.col("_token_error"), F.col("_restored.error"), F.col("_fault"),
+        F.col("_token_error"), F.col("_restored.error"),
+        markup_fault(F.col("_restored.text"), F.col("_restored.fence")),
     )
     return (
         finished.withColumn("error", error)
         .withColumn("failed", F.col("error").isNotNull())
         .withColumn("translated", F.when(F.col("failed"), F.col("source"))
                     .otherwise(F.col("_restored.text")))
-        .drop("_token_error", "_restored", "_fault", "text", "held", "terms")
+        .drop("_token_error", "_restored", "text", "held", "terms")
     )
 
 
@@ -137,10 +147,7 @@ def mock_results(work: DataFrame, source_lang: str, target_lang: str) -> DataFra
 def finish(documents: DataFrame, stored: DataFrame, source_lang: str, target_lang: str,
            key: str = "doc_id") -> DataFrame:
     """All target segments with their finished text from the memo."""
-    segments = keyed_segments(documents, source_lang, target_lang, key=key)
-    counts = segments.groupBy("cache_key").agg(F.count("*").alias("n"))
-    total = segments.count()
     return memo.spread_results(
-        segments, stored.select("cache_key", F.col("translated_text").alias("translated")),
-        counts, total, [key, "pos"],
+        keyed_segments(documents, source_lang, target_lang, key=key),
+        stored.select("cache_key", F.col("translated_text").alias("translated")), [key, "pos"],
     )
