@@ -17,10 +17,8 @@ from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.binding import let
 
-PROTECTED_TYPE = (
-    "struct<text:string, held:array<struct<token:string,raw:string>>,"
-    " terms:array<struct<token:string,raw:string>>>"
-)
+# ``held`` and ``terms`` list what the tokens numbered 0, 1, 2, ... stand for
+PROTECTED_TYPE = "struct<text:string, held:array<string>, terms:array<string>>"
 RESTORED_TYPE = "struct<text:string, error:string>"
 
 _RULES = [(sign, re.compile(pattern)) for sign, pattern in K.PROTECTED_PATTERNS]
@@ -34,13 +32,13 @@ def protect_one(text: str, terms: Sequence[tuple[str, str]] = ()) -> dict:
     ``terms`` come longest first. Each literal pattern is searched again from
     the start after a swap, because a swap can complete an earlier match.
     """
-    held: list[dict] = []
-    swapped: list[dict] = []
+    held: list[str] = []
+    targets: list[str] = []
     for source, target in terms:
         at = text.find(source)
         while at >= 0:
-            token = K.TOKEN_FORMAT % ("GL", len(swapped))
-            swapped.append({"token": token, "raw": target})
+            token = K.TOKEN_FORMAT % ("GL", len(targets))
+            targets.append(target)
             text = text[:at] + token + text[at + len(source):]
             at = text.find(source, at + len(token))
     for sign, rule in _RULES:
@@ -49,31 +47,48 @@ def protect_one(text: str, terms: Sequence[tuple[str, str]] = ()) -> dict:
         found = rule.search(text)
         while found:
             token = K.TOKEN_FORMAT % ("PH", len(held))
-            held.append({"token": token, "raw": found[0]})
+            held.append(found[0])
             text = text[: found.start()] + token + text[found.end():]
             found = rule.search(text)
-    return {"text": text, "held": held, "terms": swapped}
+    return {"text": text, "held": held, "terms": targets}
 
 
 def restore_one(text: str | None, held, terms) -> dict:
     """Put literals back, latest token first, then glossary targets."""
     if text is None:
         return {"text": None, "error": None}
+    literals = [(K.TOKEN_FORMAT % ("PH", n), raw) for n, raw in enumerate(held)]
+    targets = [(K.TOKEN_FORMAT % ("GL", n), raw) for n, raw in enumerate(terms)]
     checks = (
-        (list(reversed(list(held))), _LITERAL, "placeholder"),
-        (list(terms), _TERM, "glossary placeholder"),
+        (reversed(literals), _LITERAL, "placeholder"), (targets, _TERM, "glossary placeholder"),
     )
     for pairs, leftover, kind in checks:
-        for pair in pairs:
-            if pair["token"] not in text:
-                return {"text": None, "error": f"missing {kind} {pair['token']}"}
-            text = text.replace(pair["token"], pair["raw"])
+        for token, raw in pairs:
+            if token not in text:
+                return {"text": None, "error": f"missing {kind} {token}"}
+            text = text.replace(token, raw)
         stray = leftover.search(text)
         if stray:
             return {"text": None, "error": f"unresolved {kind} {stray[0]}"}
     return {"text": text, "error": None}
 
 
+def token_map(kind: str, raws: Column) -> Column:
+    """MAP<token, raw> of listed raws, for storing beside a text."""
+    return F.map_from_entries(F.transform(
+        raws, lambda raw, n: F.struct(F.format_string(K.TOKEN_FORMAT, F.lit(kind), n), raw)
+    ))
+
+
+def from_token_map(mapping: Column) -> Column:
+    """The raws of a stored map, in token order."""
+    number = F.transform(
+        F.map_entries(mapping),
+        lambda e: F.struct(F.regexp_extract(e["key"], r"([0-9]+)", 1).cast("int"), e["value"].alias("raw")),
+    )
+    return F.transform(F.array_sort(number), lambda e: e["raw"])
+
+
 def longest_first(terms: dict[str, str]) -> list[tuple[str, str]]:
     """Non-empty terms by falling length; equal lengths keep their order."""
     return sorted(((s, t) for s, t in terms.items() if s), key=lambda p: -len(p[0]))

@@ -557,7 +557,8 @@ def protect_literals(spark, sf):
 def protect_restore(spark, sf):
     protect = tokens.protector()
     p = marked_documents(spark, sf).select("doc_id", protect("text").alias("p"))
-    back = p.withColumn("r", tokens.restore("p.text", "p.held", "p.terms"))
+    stored = p.select("doc_id", "p.text", tokens.token_map("PH", F.col("p.held")).alias("m"), "p")
+    back = stored.withColumn("r", tokens.restore("text", tokens.from_token_map(F.col("m")), "p.terms"))
     return back.select(
         "doc_id", F.col("r.text").alias("restored"), "r.error",
         tokens.token_error(F.col("p.text"), F.col("p.text")).isNull().alias("sound"),
