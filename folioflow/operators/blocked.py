@@ -50,11 +50,24 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) ->
     )
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column,
-                out: str) -> DataFrame:
-    """Sum of ``value`` up to and including each row."""
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
+                totals: dict[str, Column] | None = None) -> DataFrame:
+    """Sum of ``value`` up to and including each row.
+
+    ``totals`` names additive aggregates of the whole group that every row gets
+    along with its carry, so no join on the (possibly hot) group key is needed.
+    """
+    totals = totals or {}
     df = df.withColumn("_term", value)
-    before = _carry(df, keys, F.sum("_term"), F.sum("_value"), F.lit(0).cast("bigint"))
+    blocks = df.groupBy(*keys, BLOCK).agg(
+        F.sum("_term").alias("_value"), *[t.alias(name) for name, t in totals.items()]
+    )
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(
+        *keys, BLOCK, F.coalesce(F.sum("_value").over(earlier), F.lit(0)).alias("_carry"),
+        *[F.sum(name).over(group).alias(name) for name in totals],
+    )
     window = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         df.join(before, [*keys, BLOCK])

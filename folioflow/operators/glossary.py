@@ -35,19 +35,20 @@ def is_small(terms: DataFrame, limit: int = SMALL_TERMS) -> bool:
 
 def contained_terms(texts: DataFrame, terms: DataFrame, key: str, text: str = "text",
                     small: bool | None = None) -> DataFrame:
-    """(key, source, target) for every glossary term that occurs in a text.
+    """The key with all term columns, for every glossary term that occurs in a text.
 
     A small glossary is broadcast and tested by substring. A large one is
     looked up by the first characters of its terms: every text offers its
     distinct substrings of the lengths that occur, an equi-join finds the
     candidates, and the substring test confirms them.
     """
-    terms = terms.select("source", "target").where(F.col("source") != "")
+    kept = terms.columns
+    terms = terms.where(F.col("source") != "")
     texts = texts.select(key, text)
     if is_small(terms) if small is None else small:
         return texts.join(
             F.broadcast(terms), F.contains(F.col(text), F.col("source")), "inner"
-        ).select(key, "source", "target")
+        ).select(key, *kept)
     gram_length = F.least(F.length("source"), F.lit(GRAM))
     graded = terms.withColumn("_gram", F.substr("source", F.lit(1), gram_length))
     lengths = F.sequence(F.lit(1), F.lit(GRAM))
@@ -66,23 +67,21 @@ def contained_terms(texts: DataFrame, terms: DataFrame, key: str, text: str = "t
     )
     return (
         grams.join(graded, "_gram").where(F.contains(F.col(text), F.col("source")))
-        .select(key, "source", "target")
+        .select(key, *kept)
     )
 
 
-def own_terms(contained: DataFrame, order: DataFrame, key: str) -> DataFrame:
-    """Per text the ARRAY of its terms, longest first, ties in glossary order.
+def own_terms(contained: DataFrame, key: str) -> DataFrame:
+    """Per text the ARRAY of its (source, target, ord) terms, longest first, ties by ``ord``.
 
-    ``order`` gives every source its position. The array is as large as the
-    number of terms one text contains.
+    The array is as large as the number of terms one text contains.
     """
     entry = F.struct(
         (-F.length("source")).alias("rank"), F.col("ord").alias("ord"),
         F.col("source").alias("source"), F.col("target").alias("target"),
     )
     return (
-        contained.join(order.select("source", "ord"), "source")
-        .groupBy(key)
+        contained.groupBy(key)
         .agg(F.array_sort(F.collect_list(entry)).alias("_terms"))
         .select(key, F.transform("_terms", lambda t: F.struct(t["source"], t["target"])).alias("terms"))
     )

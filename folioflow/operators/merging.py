@@ -20,6 +20,7 @@ from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.text import strip
 from folioflow.operators import blocked
+from folioflow.operators.skew import heavy_keys, join_unique
 from folioflow.session import materialize
 
 BAND_SPAN = 4096
@@ -167,7 +168,8 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     along y inside those, by the largest reach of the page's fonts.
     """
     copies = pieces.groupBy(key, "box").agg(F.count("*").alias("_n"))
-    marked = materialize(pieces.join(copies, [key, "box"]), "marked")
+    heavy = heavy_keys(copies.withColumnRenamed("_n", "n"), [key, "box"])
+    marked = materialize(join_unique(pieces, copies, [key, "box"], heavy, ["id"]), "marked")
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
     own = ["id", "text", "size", "vertical", "needs"]
     crowd = marked.where(F.col("_n") > 2)

@@ -150,11 +150,11 @@ def run_progress(batches: DataFrame, key: str) -> DataFrame:
     per_batch = blocked.with_block(
         ids.join(fresh, [key, "batch_id"], "left").na.fill(0, ["_fresh"]), F.col("batch_id")
     )
-    running = blocked.running_sum(per_batch, [key], ["batch_id"], F.col("_fresh"), "pages")
-    totals = ids.groupBy(key).agg(F.count("*").alias("batches")).join(
-        seen.groupBy(key).agg(F.count("*").alias("all_pages")), key
+    running = blocked.running_sum(
+        per_batch, [key], ["batch_id"], F.col("_fresh"), "pages",
+        totals={"batches": F.count("*"), "all_pages": F.sum("_fresh")},
     )
-    return running.join(totals, key).select(
+    return running.select(
         key, "batch_id", "batches", "pages", "all_pages",
         (F.lit(100.0) * (F.col("batch_id") + 1) / F.col("batches")).alias("percent"),
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions.text import has_letter, segment_lines
+from folioflow.operators import blocked
 
 
 def segment_id(page: Column, block: Column) -> Column:
@@ -37,13 +38,9 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def number_blocks(rows: DataFrame, page_keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number the kept segments of each page from 0.
-
-    A page is a bounded unit of layout, so a plain window is right here; use
-    ``blocked.row_number`` for groups without such a bound.
-    """
-    window = Window.partitionBy(*page_keys).orderBy(*order)
-    return rows.withColumn("block", F.row_number().over(window) - 1)
+    """Number the kept segments of each page from 0; ``rows`` carries block numbers."""
+    numbered = blocked.row_number(rows, page_keys, order, "block")
+    return numbered.withColumn("block", (F.col("block") - 1).cast("int"))
 
 
 def page_clip(spans: DataFrame, pages: DataFrame) -> DataFrame:

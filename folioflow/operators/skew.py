@@ -12,33 +12,36 @@ HEAVY_ROWS = 10_000
 SALTS = 64
 
 
-def heavy_keys(counts: DataFrame, key: str, share: float = HEAVY_SHARE,
+def heavy_keys(counts: DataFrame, keys: str | Sequence[str], share: float = HEAVY_SHARE,
                floor: int = HEAVY_ROWS) -> DataFrame:
     """Keys that hold more than ``share`` of all rows, and more than ``floor`` rows.
 
     At most ``1 / share`` keys can, so the result is safe to broadcast whatever
     the size of the data. ``counts`` has one row per key with its count ``n``.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     total = counts.agg(F.sum("n").alias("_all"))  # one row
     limit = F.greatest(F.col("_all") * share, F.lit(floor))
-    return counts.join(F.broadcast(total)).where(F.col("n") > limit).select(key)
+    return counts.join(F.broadcast(total)).where(F.col("n") > limit).select(*keys)
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, heavy: DataFrame, spread_by: Sequence[str],
-                how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join many rows per key with one row per key; heavy keys are salted.
+def join_unique(rows: DataFrame, unique: DataFrame, keys: str | Sequence[str], heavy: DataFrame,
+                spread_by: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join many rows per key with at most one row per key; heavy keys are salted.
 
     The unique side of a heavy key is repeated once per salt: at most
-    ``salts / share`` extra rows.
+    ``salts / share`` extra rows. Every row meets exactly one copy, so semi and
+    anti joins keep their meaning.
     """
-    marked = F.broadcast(heavy.select(key).withColumn("_heavy", F.lit(True)))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    marked = F.broadcast(heavy.select(*keys).withColumn("_heavy", F.lit(True)))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    left = rows.join(marked, key, "left").withColumn(
+    left = rows.join(marked, keys, "left").withColumn(
         "_salt", F.when(F.col("_heavy"), salt).otherwise(0)
     )
-    right = unique.join(marked, key, "left").withColumn(
+    right = unique.join(marked, keys, "left").withColumn(
         "_salt",
         F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1)))
                   .otherwise(F.array(F.lit(0)))),
     )
-    return left.drop("_heavy").join(right.drop("_heavy"), [key, "_salt"], how).drop("_salt")
+    return left.drop("_heavy").join(right.drop("_heavy"), [*keys, "_salt"], how).drop("_salt")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions import geometry as G
+from folioflow.operators.skew import heavy_keys, join_unique
 
 CELL = 64.0
 
@@ -25,6 +26,14 @@ def fold_copies(boxes: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()
     return boxes.groupBy(*keys, "box", *extra).agg(F.count("*").alias("n"))
 
 
+def _with_copies(boxes: DataFrame, folded: DataFrame, facts: DataFrame, keys: Sequence[str],
+                 how: str) -> DataFrame:
+    """Bring facts about distinct boxes back to all copies; heaps of copies are salted."""
+    on = [*keys, "box"]
+    rest = [c for c in boxes.columns if c not in on] or on
+    return join_unique(boxes, facts, on, heavy_keys(folded, on), rest, how)
+
+
 def _cells(df: DataFrame, box: Column, reach: tuple, cell: float, name: str) -> DataFrame:
     left, up, right, down = reach
     x0, x1 = F.floor((box["x0"] - left) / cell), F.floor((box["x1"] + right) / cell)
@@ -91,7 +100,7 @@ def free_boxes(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, F.col("a_box").alias("box"))
     own_copies = folded.where((F.col("n") > 1) & (G.area(F.col("box")) > 0)).select(*keys, "box")
     blocked = hit.unionByName(own_copies).distinct()
-    return boxes.join(blocked, [*keys, "box"], "left_anti")
+    return _with_copies(boxes, folded, blocked, keys, "left_anti")
 
 
 def free_room(boxes: DataFrame, keys: Sequence[str], page_box: Column,
@@ -123,14 +132,15 @@ def free_room(boxes: DataFrame, keys: Sequence[str], page_box: Column,
         F.greatest(F.least(F.least("_b", page_box["y1"]) - pad, box["y1"] + down), box["y1"]),
     )
     return (
-        boxes.join(limits, [*keys, "box"], "left").withColumn("room", room)
+        _with_copies(boxes, folded, limits, keys, "left").withColumn("room", room)
         .drop("_l", "_r", "_t", "_b")
     )
 
 
 def covered_images(images: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Small images that a segment covers for the larger part."""
-    a = prefixed(fold_copies(images, keys), keys, "a")
+    folded = fold_copies(images, keys)
+    a = prefixed(folded, keys, "a")
     b = prefixed(fold_copies(segments, keys), keys, "b")
     image, segment = F.col("a_box"), F.col("b_box")
     floor = F.lit(1e-6)
@@ -140,4 +150,4 @@ def covered_images(images: DataFrame, segments: DataFrame, keys: Sequence[str])
         & (image_area <= F.greatest(G.area(segment), floor) * K.IMAGE_MAX_SHARE)
     )
     found = near_pairs(a, b, keys, covered).select(*keys, image.alias("box")).distinct()
-    return images.join(found, [*keys, "box"], "left_semi")
+    return _with_copies(images, folded, found, keys, "left_semi")

@@ -202,7 +202,7 @@ def script_reliability(spark, sf):
 WITH {BOXES_SQL}
 SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) - 1 AS INTEGER) AS block FROM boxes""")
 def block_order(spark, sf):
-    flat = boxes(spark, sf).select("page", "id", *_flat())
+    flat = blocked.with_block(boxes(spark, sf).select("page", "id", *_flat()), F.col("y0"), 4096)
     return segments.number_blocks(flat, ["page"], ["y0", "x0", "id"]).select("page", "id", "block")
 
 
@@ -281,20 +281,20 @@ def mergeable_pairs(spark, sf):
 @query("J6", f"""
 WITH {BOXES_SQL}
 SELECT page, id FROM boxes a WHERE NOT EXISTS (
-  SELECT 1 FROM boxes b WHERE b.page = a.page AND b.id <> a.id AND {S.overlap_area('a.', 'b.')} > 0)""")
+  SELECT 1 FROM boxes b WHERE b.page = a.page AND b.rid <> a.rid AND {S.overlap_area('a.', 'b.')} > 0)""")
 def free_boxes(spark, sf):
     return spatial.free_boxes(boxes(spark, sf).select("page", "id", "box"), ["page"]).select("page", "id")
 
 
 @query("J7", f"""
 WITH {BOXES_SQL},
-l AS (SELECT a.page, a.id, any_value(a.x0) AS x0, any_value(a.y0) AS y0, any_value(a.x1) AS x1, any_value(a.y1) AS y1,
+l AS (SELECT a.page, any_value(a.id) AS id, any_value(a.x0) AS x0, any_value(a.y0) AS y0, any_value(a.x1) AS x1, any_value(a.y1) AS y1,
     max(CASE WHEN b.y1 > a.y0 AND b.y0 < a.y1 AND b.x1 <= a.x0 THEN b.x1 ELSE 0 END) AS l,
     min(CASE WHEN b.y1 > a.y0 AND b.y0 < a.y1 AND b.x0 >= a.x1 THEN b.x0 ELSE 600 END) AS r,
     max(CASE WHEN b.x1 > a.x0 AND b.x0 < a.x1 AND b.y1 <= a.y0 THEN b.y1 ELSE 0 END) AS t,
     min(CASE WHEN b.x1 > a.x0 AND b.x0 < a.x1 AND b.y0 >= a.y1 THEN b.y0 ELSE 800 END) AS d
   FROM boxes a LEFT JOIN boxes b ON a.page = b.page
-    AND (a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1) GROUP BY a.page, a.id)
+    AND (a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1) GROUP BY a.page, a.rid)
 SELECT page, id, least(greatest(greatest(l, 0) + 1.5, x0 - 60), x0)::DOUBLE AS x0,
   least(greatest(greatest(t, 0) + 1.5, y0 - 30), y0)::DOUBLE AS y0,
   greatest(least(least(r, 600) - 1.5, x1 + 60), x1)::DOUBLE AS x1,

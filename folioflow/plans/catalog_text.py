@@ -588,9 +588,9 @@ def protect_glossary(spark, sf):
     if small is not None:
         p = part.withColumn("p", tokens.protector(small)("text"))
     else:
-        terms = glossary_terms(spark, sf)
+        terms = glossary_terms(spark, sf).withColumn("ord", F.col("source"))
         found = glossary.contained_terms(part, terms, "p_partkey", small=False)
-        own = glossary.own_terms(found, terms.withColumn("ord", F.col("source")), "p_partkey")
+        own = glossary.own_terms(found, "p_partkey")
         p = part.join(own, "p_partkey", "left").withColumn(
             "p", tokens.protect_with_terms("text", "terms")
         )

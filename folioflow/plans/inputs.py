@@ -105,7 +105,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 BOXES_SQL = """
 boxes AS (
-  SELECT l_orderkey AS page,
+  SELECT row_number() OVER () AS rid, l_orderkey AS page,
     CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS id,
     l_linenumber AS line,
     (l_partkey % 50) * 10.0::DOUBLE AS x0, l_linenumber * 20.0::DOUBLE AS y0,

@@ -70,7 +70,7 @@ def test_own_terms_path_equals_small_path(spark):
     texts = spark.createDataFrame([(1, "network work net"), (2, "none"), (3, "networknet")],
                                   "id int, text string")
     found = glossary.contained_terms(texts, t, "id", small=False)
-    own = texts.join(glossary.own_terms(found, t, "id"), "id", "left")
+    own = texts.join(glossary.own_terms(found, "id"), "id", "left")
     large = own.select("id", tokens.protect_with_terms("text", "terms").alias("p"))
     small = texts.select("id", tokens.protector(terms)("text").alias("p"))
     assert sorted(large.collect()) == sorted(small.collect())
