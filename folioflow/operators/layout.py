@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions import geometry as G
 from folioflow.operators import blocked
+from folioflow.operators.skew import heavy_keys, join_unique
 
 
 def mode_first_seen(rows: DataFrame, keys: Sequence[str], value: str, order: Column,
@@ -204,3 +205,28 @@ def words_to_lines(words: DataFrame, keys: Sequence[str], dpi: float) -> DataFra
         G.union_all(F.col("box")).alias("box"),
         F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"),
     ).withColumn("size", F.greatest(F.col("box.y1") - F.col("box.y0"), F.lit(1.0)))
+
+
+def background_safety(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Is a region bright and even enough to write over? Adds mean, bright share and verdict.
+
+    ``pixels`` has pos (0-based in the region), r, g, b. Every n-th pixel is
+    looked at, so that a region gives about the sample size; this sampling is
+    the rule itself.
+    """
+    sizes = pixels.groupBy(*keys).agg(
+        F.greatest(F.lit(1), F.floor(F.count("*") / K.PIXEL_SAMPLES)).alias("_stride"),
+        F.count("*").alias("n"),
+    )
+    heavy = heavy_keys(sizes.select(*keys, "n"), keys)
+    strided = join_unique(pixels, sizes.drop("n"), keys, heavy, ["pos"], "inner")
+    value = (F.col("r") + F.col("g") + F.col("b")) / 3
+    seen = strided.where(F.col("pos") % F.col("_stride") == 0).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.avg(value).alias("mean"),
+        F.avg((value >= K.BRIGHT_PIXEL).cast("int")).alias("bright"),
+    )
+    enough = F.col("_n") >= K.PIXEL_MINIMUM
+    safe = enough & (F.col("mean") >= K.SAFE_MEAN) & (F.col("bright") >= K.SAFE_BRIGHT_SHARE)
+    return seen.select(
+        *keys, "mean", F.when(enough, F.col("bright")).otherwise(0.0).alias("bright"), safe.alias("safe")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions.services import is_auth, is_lasting, retry_delay
 from folioflow.session import work_path
 
 
@@ -77,3 +78,27 @@ def session_status(marks: DataFrame, keys: list[str]) -> DataFrame:
     return marks.groupBy(*keys, "chunk_id").agg(
         F.bool_or(F.col("mark") == "completed").alias("completed")
     ).withColumn("state", F.when(F.col("completed"), "completed").otherwise("failed")).drop("completed")
+
+
+def key_states(failures: DataFrame, now: Column) -> DataFrame:
+    """Is a service key usable, given its last lasting failure?
+
+    ``failures`` has key, at, code, message. Refused keys never come back; keys
+    out of quota revive after the delay their message names, else after the
+    default.
+    """
+    lasting = failures.where(is_lasting(F.col("code"), F.col("message")))
+    last = lasting.groupBy("key").agg(
+        F.max_by(F.struct("at", "code", "message"), F.struct("at", "message")).alias("_f"),
+        F.bool_or(is_auth(F.col("code"), F.col("message"))).alias("refused"),
+    )
+    delay = retry_delay(F.col("_f.message"), default=K.REVIVE_SECONDS)
+    revive = F.when(
+        ~F.col("refused"), F.unix_micros("_f.at") + (delay * 1_000_000).cast("bigint")
+    )
+    wait = F.greatest((revive - F.unix_micros(now)) / 1_000_000, F.lit(0.0))
+    return last.select(
+        "key", "refused", revive.alias("revive_at"),
+        F.coalesce(wait == 0, F.lit(False)).alias("alive"),
+        F.coalesce(wait <= K.LONGEST_WAIT_SECONDS, F.lit(False)).alias("worth_waiting"),
+    )

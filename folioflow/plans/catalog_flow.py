@@ -133,6 +133,33 @@ def translated_documents(spark, sf):
     )
 
 
+@query("X7", f"""
+WITH {S.SEGMENTS}
+SELECT doc_id, pos, '[모의 번역] ' || text AS translated FROM segs WHERE needs""")
+def translated_without_steps(spark, sf):
+    """The plan with placeholders, validation and style switched off."""
+    bare = plan.Options(glossary=False, placeholders=False, validation=False, style=False)
+    return plan.translate(table(spark, sf, "documents"), terms={"a": "b"}, options=bare).select(
+        "doc_id", F.col("pos").cast("int").alias("pos"), "translated"
+    )
+
+
+def _length_classifier():
+    def ask(text: str) -> str:
+        return '{"context": "Report"}' if len(text) > 500 else '{"context": "tweet"}'
+
+    return ask
+
+
+@query("X1 W10", f"""
+WITH {S.SEGMENTS},
+n AS (SELECT doc_id, sum(length(text) + 1) - 1 AS n FROM segs WHERE needs GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n.n IS NULL THEN 'default' WHEN n.n > 500 THEN 'report' ELSE 'tweet' END AS context
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""")
+def document_contexts(spark, sf):
+    return plan.document_contexts(table(spark, sf, "documents"), _length_classifier)
+
+
 @query("F4 F5 F6 F7 F2 J3 W1 X1")
 def translated_marked_documents(spark, sf):
     """The same with documents full of literals and a Python mapper."""

@@ -195,6 +195,25 @@ def script_reliability(spark, sf):
     return layout.text_reliability(c, ["conv_id"], ok).withColumn("reliability", F.round("reliability", 9))
 
 
+@query("P17", """
+WITH px AS (SELECT l_suppkey AS region, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
+    (l_partkey % 86 + 170 + 120 + l_suppkey % 136 + 130 + l_quantity * 2) / 3 AS v FROM lineitem),
+s AS (SELECT *, greatest(1, count(*) OVER (PARTITION BY region) // 3000) AS stride FROM px)
+SELECT region, round(avg(v), 6) AS mean, CASE WHEN count(*) >= 12 THEN round(avg(CASE WHEN v >= 210 THEN 1.0 ELSE 0.0 END), 9) ELSE 0.0 END AS bright,
+  count(*) >= 12 AND avg(v) >= 185 AND avg(CASE WHEN v >= 210 THEN 1.0 ELSE 0.0 END) >= 0.58 AS safe
+FROM s WHERE pos % stride = 0 GROUP BY region""")
+def background_safety(spark, sf):
+    li = table(spark, sf, "lineitem")
+    cut = blocked.with_block(li, F.col("l_orderkey"))
+    px = blocked.row_number(cut, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "pos").select(
+        F.col("l_suppkey").alias("region"), (F.col("pos") - 1).alias("pos"),
+        (F.col("l_partkey") % 86 + 170).alias("r"), (F.col("l_suppkey") % 136 + 120).alias("g"),
+        (130 + F.col("l_quantity") * 2).alias("b"),
+    )
+    out = layout.background_safety(px, ["region"])
+    return out.select("region", F.round("mean", 6).alias("mean"), F.round("bright", 9).alias("bright"), "safe")
+
+
 # --- line groups and order ---------------------------------------------------
 
 

@@ -416,3 +416,36 @@ def failed_tasks(spark, sf):
         (F.col("event_id") % 5).alias("retries"), (F.col("event_type") == "error").alias("_f"),
     )
     return tasks.after_failure(t, F.col("_f")).drop("_f")
+
+
+@query("R5", f"""
+WITH f AS (SELECT user_id AS key, ts AS tm, event_id % 50 AS n, event_id FROM events WHERE event_type = 'error'),
+m AS (SELECT key, tm, n, CASE WHEN n = 0 THEN 'unauthorized' WHEN n < 25 THEN 'quota exceeded, retry in ' || n || '0s'
+    WHEN n < 40 THEN 'insufficient_quota' ELSE 'timeout' END AS message FROM f),
+l AS (SELECT key, max(tm) AS tm, arg_max(n, tm) AS n, bool_or(n = 0) AS refused FROM m WHERE n < 40 GROUP BY key),
+r AS (SELECT key, refused, CASE WHEN NOT refused THEN epoch_us(tm) + CASE WHEN n < 25 THEN n * 10 + 2 ELSE 1800 END * 1000000 END AS revive_at FROM l)
+SELECT key, refused, CAST(revive_at AS BIGINT) AS revive_at,
+  coalesce(revive_at <= epoch_us(TIMESTAMP '{_FIXED_TIME}'), false) AS alive,
+  coalesce(revive_at - epoch_us(TIMESTAMP '{_FIXED_TIME}') <= 600000000, false) AS worth_waiting FROM r""")
+def key_revival(spark, sf):
+    n = F.col("event_id") % 50
+    message = (
+        F.when(n == 0, "unauthorized")
+        .when(n < 25, F.concat(F.lit("quota exceeded, retry in "), n, F.lit("0s")))
+        .when(n < 40, "insufficient_quota").otherwise("timeout")
+    )
+    failures = table(spark, sf, "events").where(F.col("event_type") == "error").select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"),
+        F.lit(None).cast("int").alias("code"), message.alias("message"),
+    )
+    return tasks.key_states(failures, F.lit(_FIXED_TIME).cast("timestamp"))
+
+
+@query("S14 S19", "SELECT doc_id, text FROM documents")
+def snapshots(spark, sf):
+    """Two labelled, compressed copies of the documents; the newest is read."""
+    path = work_path(spark, "snapshots")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    files.write_snapshot(docs.withColumn("text", F.lit("old")), path, "20240101_000000")
+    files.write_snapshot(docs, path, "20240102_000000")
+    return files.read_snapshot(spark, path)

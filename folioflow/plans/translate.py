@@ -7,9 +7,12 @@ add the memo: equal texts are mapped once in the corpus and never again.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow import constants as K
 from folioflow.functions import tokens
@@ -19,18 +22,35 @@ from folioflow.functions.markup import fence_fault_one, markup_fault
 from folioflow.functions.prompts import mock_mapping
 from folioflow.functions.text import has_letter, is_label, normalize_one, segment_lines
 from folioflow.operators import batching, blocked, memo
+from folioflow.operators.context import context_reply, sample
 from folioflow.operators.reconcile import map_batches, mock_answer, parse_strict, reconcile
 from folioflow.operators.segments import scan, segment_id
 
 
+@dataclass(frozen=True)
+class Options:
+    """Which steps of the plan run."""
+
+    glossary: bool = True
+    placeholders: bool = True
+    validation: bool = True
+    style: bool = True
+
+
 def protected_documents(documents: DataFrame, terms: dict[str, str] | None = None,
-                        key: str = "doc_id", text: str = "text") -> DataFrame:
+                        key: str = "doc_id", text: str = "text", placeholders: bool = True) -> DataFrame:
     """key, targets: ARRAY<STRUCT<pos, page, seg_id, source, text, held, terms>>.
 
     ``text`` is the protected text, ``source`` the original one.
     """
     lines = documents.select(key, segment_lines(F.col(text)).alias("_lines"))
-    protect = tokens.line_protector(terms)
+    none = F.array().cast("array<string>")
+    if placeholders:
+        protected = tokens.line_protector(terms)("_lines")
+    else:
+        protected = F.transform(
+            "_lines", lambda t: F.struct(t.alias("text"), none.alias("held"), none.alias("terms"))
+        )
 
     def segment(line: Column, pos: Column) -> Column:
         page = F.floor(pos / K.LINES_PER_PAGE).cast("int")
@@ -41,7 +61,7 @@ def protected_documents(documents: DataFrame, terms: dict[str, str] | None = Non
             kept["text"].alias("text"), kept["held"].alias("held"), kept["terms"].alias("terms"),
         )
 
-    return lines.withColumn("_protected", protect("_lines")).select(
+    return lines.withColumn("_protected", protected).select(
         key,
         F.filter(F.transform("_lines", segment), lambda s: has_letter(s["source"])).alias("targets"),
     )
@@ -62,42 +82,54 @@ def document_batches(targets: DataFrame, key: str = "doc_id", max_chars: int = K
     )
 
 
-@arrow_batched("struct<text:string, error:string, fence:string>")
-def finish_text(texts: pd.Series, held: pd.Series, terms: pd.Series) -> pd.DataFrame:
-    """Normalise, restore and check fenced blocks in one trip to Python."""
-    rows = [tokens.restore_one(normalize_one(t), h, g) for t, h, g in zip(texts, held, terms)]
-    return pd.DataFrame(
-        [(r["text"], r["error"], fence_fault_one(r["text"])) for r in rows],
-        columns=["text", "error", "fence"],
-    )
+def _finisher(normalise: bool, check_fences: bool):
+    @arrow_batched("struct<text:string, error:string, fence:string>")
+    def finish_text(texts: pd.Series, held: pd.Series, terms: pd.Series) -> pd.DataFrame:
+        """Normalise, restore and check fenced blocks in one trip to Python."""
+        rows = [
+            tokens.restore_one(normalize_one(t) if normalise else t, h, g)
+            for t, h, g in zip(texts, held, terms)
+        ]
+        return pd.DataFrame(
+            [(r["text"], r["error"], fence_fault_one(r["text"]) if check_fences else None) for r in rows],
+            columns=["text", "error", "fence"],
+        )
 
+    return finish_text
 
-def finish_segments(mapped: DataFrame) -> DataFrame:
+
+def finish_segments(mapped: DataFrame, options: Options = Options()) -> DataFrame:
     """Check, normalise and restore mapped segments; faults become a column, not a failure.
 
     ``mapped`` has source, text (protected), held, terms and translated. A
-    segment without a sound result keeps its source and is flagged.
+    segment without a sound result keeps its source and is flagged. Without
+    placeholders nothing is normalised or restored.
     """
-    checked = mapped.withColumn("_token_error", tokens.token_error(F.col("text"), F.col("translated")))
-    finished = checked.withColumn("_restored", finish_text("translated", "held", "terms"))
-    error = F.coalesce(
-        F.when(F.col("translated").isNull(), "not mapped"),
-        F.col("_token_error"), F.col("_restored.error"),
-        markup_fault(F.col("_restored.text"), F.col("_restored.fence")),
-    )
+    finish = _finisher(options.placeholders and options.style, options.validation)
+    finished = mapped.withColumn("_restored", finish("translated", "held", "terms"))
+    faults = [F.when(F.col("translated").isNull(), "not mapped")]
+    if options.validation and options.placeholders:
+        faults.append(tokens.token_error(F.col("text"), F.col("translated")))
+    if options.placeholders:
+        faults.append(F.col("_restored.error"))
+    if options.validation:
+        faults.append(markup_fault(F.col("_restored.text"), F.col("_restored.fence")))
     return (
-        finished.withColumn("error", error)
+        finished.withColumn("error", F.coalesce(*faults) if len(faults) > 1 else faults[0])
         .withColumn("failed", F.col("error").isNotNull())
         .withColumn("translated", F.when(F.col("failed"), F.col("source"))
                     .otherwise(F.col("_restored.text")))
-        .drop("_token_error", "_restored", "text", "held", "terms")
+        .drop("_restored", "text", "held", "terms")
     )
 
 
 def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str, str] | None = None,
-              make_mapper=None, key: str = "doc_id") -> DataFrame:
+              make_mapper=None, key: str = "doc_id", options: Options = Options()) -> DataFrame:
     """key, batch_id, pos, page, seg_id, source, translated, error, failed for all targets."""
-    batches = document_batches(protected_documents(documents, terms, key), key)
+    used = terms if options.glossary else None
+    batches = document_batches(
+        protected_documents(documents, used, key, placeholders=options.placeholders), key
+    )
     if make_mapper is None:
         answered = batches.withColumn("pairs", parse_strict(mock_answer(F.col("segments"))))
     else:
@@ -108,7 +140,28 @@ def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str
     rows = matched.select(
         key, "batch_id", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
     ).select(key, "batch_id", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
-    return finish_segments(rows)
+    return finish_segments(rows, options)
+
+
+def document_contexts(documents: DataFrame, make_classifier, key: str = "doc_id") -> DataFrame:
+    """Category of every document, from a classifier that sees a sample of its targets.
+
+    ``make_classifier`` runs once per task and returns a function from sample
+    to JSON reply. Documents without targets and odd replies are ``default``.
+    """
+    lines = F.filter(segment_lines(F.col("text")), has_letter)
+    samples = documents.select(key, sample(lines).alias("sample"))
+    schema = T.StructType([samples.schema[key], T.StructField("reply", T.StringType())])
+
+    def classify(parts):
+        ask = make_classifier()
+        for part in parts:
+            replies = [ask(text) if text else None for text in part["sample"]]
+            yield part[[key]].assign(reply=replies)
+
+    return samples.mapInPandas(classify, schema).select(
+        key, context_reply(F.col("reply")).alias("context")
+    )
 
 
 def keyed_segments(documents: DataFrame, source_lang: str, target_lang: str, glossary: str = "",

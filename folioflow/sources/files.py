@@ -133,3 +133,16 @@ def resume_info(outputs: DataFrame, sidecars: DataFrame, path: str = "path") ->
         F.coalesce("_held.base", "_named.base").alias("base"),
         done.alias("done"), left.alias("left"), has.alias("from_sidecar"),
     )
+
+
+def write_snapshot(df: DataFrame, path: str, label: str, compression: str = "zstd") -> None:
+    """Keep a labelled copy of a table beside earlier ones; labels sort by time."""
+    df.write.mode("overwrite").option("compression", compression).parquet(f"{path}/snapshot={label}")
+
+
+def read_snapshot(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
+    """A labelled copy, else the newest one; the choice prunes all other folders."""
+    every = spark.read.option("basePath", path).parquet(path)
+    if label is None:
+        label = every.agg(F.max("snapshot")).first()[0]  # answered from the folder names
+    return every.where(F.col("snapshot") == F.lit(label)).drop("snapshot")
