@@ -96,7 +96,8 @@ def key_states(failures: DataFrame, now: Column) -> DataFrame:
     revive = F.when(
         ~F.col("refused"), F.unix_micros("_f.at") + (delay * 1_000_000).cast("bigint")
     )
-    wait = F.greatest((revive - F.unix_micros(now)) / 1_000_000, F.lit(0.0))
+    ahead = (revive - F.unix_micros(now)) / 1_000_000
+    wait = F.when(ahead > 0, ahead).when(ahead <= 0, 0.0)
     return last.select(
         "key", "refused", revive.alias("revive_at"),
         F.coalesce(wait == 0, F.lit(False)).alias("alive"),
