@@ -120,12 +120,22 @@ def halved_batches(spark, sf):
     return with_fallback(rows).select("doc_id", "pos", "translated", "failed")
 
 
-_DONE = S.strip(S.capitals(S.sub(S.sub("'[모의 번역] ' || text", r"[ \t]+", " "), r" ([.,!?])", r"\1")))
-
-
-@query("F4 F5 F6 F7 F2 J3 W1 X3", f"""
-WITH {S.SEGMENTS}
-SELECT doc_id, pos, seg_id, {_DONE} AS translated, false AS failed FROM segs WHERE needs""")
+def _translated_sql(head: str, lines: str) -> str:
+    """Protect, prefix, normalise, restore and check every target line on its own."""
+    keys = "doc_id, pos, seg_id"
+    mapped = S.normalized("'[모의 번역] ' || t")
+    return f"""
+WITH RECURSIVE {head}{lines},
+tsegs AS (
+  SELECT doc_id, pos, printf('page_%03d_block_%03d', pos // 10 + 1, pos % 10) AS seg_id, text
+  FROM ls WHERE {S.hit('text', K.LETTER)}),
+{S.protected('tsegs', keys)},
+{S.restored('prot', keys, mapped)}
+SELECT {keys}, CASE WHEN {S.hit('z', K.OPEN_LINK)} THEN src ELSE z END AS translated,
+  {S.hit('z', K.OPEN_LINK)} AS failed FROM back"""
+
+
+@query("F4 F5 F6 F7 F2 J3 W1 X3", _translated_sql("", S.lines("documents", "doc_id")))
 def translated_documents(spark, sf):
     """The whole document plan with the default mapper, in one pass without a shuffle."""
     return plan.translate(table(spark, sf, "documents")).select(
@@ -160,12 +170,13 @@ def document_contexts(spark, sf):
     return plan.document_contexts(table(spark, sf, "documents"), _length_classifier)
 
 
-@query("F4 F5 F6 F7 F2 J3 W1 X1")
+@query("F4 F5 F6 F7 F2 J3 W1 X1", _translated_sql(MARKED_SQL + ",", S.lines("marked", "doc_id")))
 def translated_marked_documents(spark, sf):
     """The same with documents full of literals and a Python mapper."""
-    return plan.translate(
+    done = plan.translate(
         marked_documents(spark, sf), make_mapper=lambda: _limited_mapper(100_000)
-    ).select("doc_id", "pos", "seg_id", "translated", "error", "failed")
+    )
+    return done.select("doc_id", F.col("pos").cast("int").alias("pos"), "seg_id", "translated", "failed")
 
 
 @query("J2 M2 D3", _MOCK_SEGMENTS)

@@ -553,6 +553,18 @@ def protect_literals(spark, sf):
     )
 
 
+@query("F4", f"""
+WITH RECURSIVE {MARKED_SQL}, {S.protected('marked', 'doc_id')}
+SELECT doc_id, t AS protected, CAST(n AS INTEGER) AS tokens, array_to_string(raws, chr(1)) AS held FROM prot""")
+def protected_texts(spark, sf):
+    """Numbered tokens and what they stand for."""
+    p = marked_documents(spark, sf).select("doc_id", tokens.protector()("text").alias("p"))
+    return p.select(
+        "doc_id", F.col("p.text").alias("protected"), F.size("p.held").alias("tokens"),
+        F.array_join("p.held", "\x01").alias("held"),
+    )
+
+
 @query("F4 F5 O3", f"WITH {MARKED_SQL} SELECT doc_id, text AS restored, NULL::VARCHAR AS error, true AS sound FROM marked")
 def protect_restore(spark, sf):
     protect = tokens.protector()

@@ -105,3 +105,37 @@ def overlap_area(a: str, b: str) -> str:
     w = f"(least({a}x1, {b}x1) - greatest({a}x0, {b}x0))"
     h = f"(least({a}y1, {b}y1) - greatest({a}y0, {b}y0))"
     return f"CASE WHEN {w} <= 0 OR {h} <= 0 THEN 0.0::DOUBLE ELSE {w} * {h} END"
+
+
+def protected(source: str, keys: str, name: str = "prot") -> str:
+    """CTEs that swap literals one at a time: text ``t`` with numbered tokens and list ``raws``."""
+    patterns = ", ".join(
+        quoted(pattern.replace(r"\s<", K.SPACE_SET + "<")) for _, pattern in K.PROTECTED_PATTERNS
+    )
+    return f"""
+pats AS (SELECT [{patterns}] AS ps),
+swaps AS (
+  SELECT {keys}, text AS src, text AS t, 1 AS k, 0 AS n, []::VARCHAR[] AS raws FROM {source}
+  UNION ALL
+  SELECT {keys}, src, CASE WHEN m THEN regexp_replace(t, p, '⟦PH' || n || '⟧') ELSE t END,
+    CASE WHEN m THEN k ELSE k + 1 END, CASE WHEN m THEN n + 1 ELSE n END,
+    CASE WHEN m THEN list_append(raws, regexp_extract(t, p)) ELSE raws END
+  FROM (SELECT swaps.*, ps[k] AS p, regexp_matches(t, ps[k]) AS m FROM swaps, pats
+    WHERE k <= {len(K.PROTECTED_PATTERNS)})),
+{name} AS (SELECT {keys}, src, t, n, raws FROM swaps WHERE k = {len(K.PROTECTED_PATTERNS) + 1})"""
+
+
+def restored(source: str, keys: str, text: str, name: str = "back") -> str:
+    """CTEs that put the literals back, the latest token first: text ``z``."""
+    return f"""
+puts AS (
+  SELECT {keys}, src, {text} AS z, raws, len(raws) AS i FROM {source}
+  UNION ALL
+  SELECT {keys}, src, replace(z, '⟦PH' || (i - 1) || '⟧', raws[i]), raws, i - 1 FROM puts WHERE i > 0),
+{name} AS (SELECT {keys}, src, z FROM puts WHERE i = 0)"""
+
+
+def normalized(expr: str) -> str:
+    """Spacing, blank lines and capitals; the given texts hold no compatibility forms."""
+    out = sub(sub(expr, r"[ \t]+", " "), r" ([.,!?])", r"\1")
+    return strip(capitals(sub(out, r"\n{3,}", "\n\n")))
