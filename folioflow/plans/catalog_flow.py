@@ -185,7 +185,7 @@ def memo_run(spark, sf):
     docs = table(spark, sf, "documents")
     path = work_path(spark, "memo")
     memo.create_empty(spark, path)
-    work = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    work = plan.pending(docs, memo.stored_rows(spark, path), "English", "Korean")
     memo.append(plan.mock_results(work, "English", "Korean"), path, 0)
     done = plan.finish(docs, memo.load(spark, path), "English", "Korean")
     return done.select("doc_id", "pos", "translated")
@@ -199,9 +199,9 @@ def memo_calls(spark, sf):
     docs = table(spark, sf, "documents")
     path = work_path(spark, "memo")
     memo.create_empty(spark, path)
-    first = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    first = plan.pending(docs, memo.stored_rows(spark, path), "English", "Korean")
     memo.append(plan.mock_results(first, "English", "Korean"), path, 0)
-    second = plan.pending(docs, memo.load(spark, path), "English", "Korean")
+    second = plan.pending(docs, memo.stored_rows(spark, path), "English", "Korean")
     return memo.load(spark, path).agg(F.count("*").alias("first_calls")).join(
         F.broadcast(second.agg(F.count("*").alias("second_calls")))
     )

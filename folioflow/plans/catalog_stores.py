@@ -16,6 +16,7 @@ from folioflow.sources import files
 from folioflow.sources import glossary as glossary_source
 
 _FIXED_TIME = "2024-01-15 00:00:00"
+_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # wall-clock text, whatever the session's zone
 
 
 # --- glossaries --------------------------------------------------------------
@@ -335,11 +336,11 @@ def session_status(spark, sf):
 
 
 @query("O4", """
-SELECT 'f' || user_id AS file, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM events GROUP BY user_id
+SELECT 'f' || user_id AS file, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS at FROM events GROUP BY user_id
 ORDER BY 2 DESC, 1 LIMIT 10""")
 def recent_files(spark, sf):
     opened = table(spark, sf, "events").select(
-        F.concat(F.lit("f"), "user_id").alias("file"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+        F.concat(F.lit("f"), "user_id").alias("file"), F.date_format("ts", _MICROS).alias("at")
     )
     return memo.recent_files(opened)
 
@@ -424,7 +425,7 @@ m AS (SELECT key, tm, n, CASE WHEN n = 0 THEN 'unauthorized' WHEN n < 25 THEN 'q
     WHEN n < 40 THEN 'insufficient_quota' ELSE 'timeout' END AS message FROM f),
 l AS (SELECT key, max(tm) AS tm, arg_max(n, tm) AS n, bool_or(n = 0) AS refused FROM m WHERE n < 40 GROUP BY key),
 r AS (SELECT key, refused, CASE WHEN NOT refused THEN epoch_us(tm) + CASE WHEN n < 25 THEN n * 10 + 2 ELSE 1800 END * 1000000 END AS revive_at FROM l)
-SELECT key, refused, CAST(revive_at AS BIGINT) AS revive_at,
+SELECT key, refused, strftime(make_timestamp(revive_at::BIGINT), '%Y-%m-%d %H:%M:%S.%f') AS revive_at,
   coalesce(revive_at <= epoch_us(TIMESTAMP '{_FIXED_TIME}'), false) AS alive,
   coalesce(revive_at - epoch_us(TIMESTAMP '{_FIXED_TIME}') <= 600000000, false) AS worth_waiting FROM r""")
 def key_revival(spark, sf):
@@ -438,7 +439,8 @@ def key_revival(spark, sf):
         F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"),
         F.lit(None).cast("int").alias("code"), message.alias("message"),
     )
-    return tasks.key_states(failures, F.lit(_FIXED_TIME).cast("timestamp"))
+    states = tasks.key_states(failures, F.lit(_FIXED_TIME).cast("timestamp"))
+    return states.withColumn("revive_at", F.date_format(F.timestamp_micros("revive_at"), _MICROS))
 
 
 @query("S14 S19", "SELECT doc_id, text FROM documents")

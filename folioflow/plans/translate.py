@@ -176,7 +176,10 @@ def keyed_segments(documents: DataFrame, source_lang: str, target_lang: str, glo
 
 def pending(documents: DataFrame, stored: DataFrame, source_lang: str, target_lang: str,
             key: str = "doc_id") -> DataFrame:
-    """Distinct unfinished work: one owner segment per key the memo does not hold."""
+    """Distinct unfinished work: one owner segment per key the memo does not hold.
+
+    ``stored`` may hold several rows per key; an anti-join does not mind.
+    """
     work = memo.distinct_work(keyed_segments(documents, source_lang, target_lang, key=key), [key, "pos"])
     return memo.misses(work, stored)
 

@@ -60,7 +60,7 @@ def memo_writer(memo_path: str, source_lang: str, target_lang: str):
 
     def write(documents: DataFrame, batch: int) -> None:
         stored = memo.stored_rows(documents.sparkSession, memo_path).where(F.col("seq") < batch)
-        work = plan.pending(documents, memo.latest(stored), source_lang, target_lang)
+        work = plan.pending(documents, stored, source_lang, target_lang)
         rows = plan.mock_results(work, source_lang, target_lang).withColumn(
             "seq", F.lit(batch).cast("bigint")
         )
