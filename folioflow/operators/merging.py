@@ -9,7 +9,6 @@ same result as the whole page in one go.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -71,10 +70,13 @@ def per_band(rows: DataFrame, keys: Sequence[str], work: Callable[[list[dict]],
 
 # --- vertical columns --------------------------------------------------------
 
-_SENTENCE_END = re.compile(r'[.!?:;"”…。！？」』]\s*\Z')
 Box = tuple[float, float, float, float]
 
 
+def _ends_with(text: str, signs: str) -> bool:
+    return text.rstrip().endswith(tuple(signs))
+
+
 def _gaps(a: Box, b: Box) -> tuple[float, float]:
     return max(b[0] - a[2], a[0] - b[2], 0.0), max(b[1] - a[3], a[1] - b[3], 0.0)
 
@@ -107,7 +109,7 @@ def reading_pair(a: dict, b: dict) -> tuple[dict, dict] | None:
             and shared / max(lower, 1e-6) > K.COLUMN_OVERLAP
         )
     first, second = (a, b) if in_order else (b, a)
-    if not near or _SENTENCE_END.search(first["text"].strip()):
+    if not near or _ends_with(first["text"], K.SENTENCE_END_CHARS):
         return None
     return first, second
 
@@ -214,12 +216,6 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
 
 # --- broken horizontal lines -------------------------------------------------
 
-LINE_JOIN_FONT = 0.6
-LINE_JOIN_GAP = 1.8
-LINE_JOIN_OVERLAP = 0.5
-LINE_JOIN_CHARS = 2000
-LINE_TOUCH = 2.0
-_LINE_END = re.compile(r'[.!?:;"”…]\s*\Z')
 JOINED_TYPE = (
     "pos:bigint, x0:double, y0:double, x1:double, y1:double, text:string, members:array<bigint>"
 )
@@ -235,19 +231,19 @@ def _continues(last: dict, row: dict) -> bool:
     shared = min(a[2], b[2]) - max(a[0], b[0])
     narrow = max(min(a[2] - a[0], b[2] - b[0]), 1e-6)
     return (
-        abs(font - row["size"]) <= LINE_JOIN_FONT
-        and -font < drop < font * LINE_JOIN_GAP
+        abs(font - row["size"]) <= K.LINE_JOIN_FONT
+        and -font < drop < font * K.LINE_JOIN_GAP
         and shared > 0
-        and shared / narrow > LINE_JOIN_OVERLAP
-        and len(last["text"]) + len(row["text"]) <= LINE_JOIN_CHARS
-        and not _LINE_END.search(last["text"])
+        and shared / narrow > K.LINE_JOIN_OVERLAP
+        and len(last["text"]) + len(row["text"]) <= K.LINE_JOIN_CHARS
+        and not _ends_with(last["text"], K.LINE_END_CHARS)
     )
 
 
 def _touch(a: Box, b: Box) -> bool:
     return (
-        min(a[2], b[2]) - max(a[0], b[0]) > LINE_TOUCH
-        and min(a[3], b[3]) - max(a[1], b[1]) > LINE_TOUCH
+        min(a[2], b[2]) - max(a[0], b[0]) > K.LINE_TOUCH
+        and min(a[3], b[3]) - max(a[1], b[1]) > K.LINE_TOUCH
     )
 
 
@@ -279,7 +275,7 @@ def join_broken_lines(rows: DataFrame, key: str = "page") -> DataFrame:
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
     plain = rows.select(key, "pos", *flat, "text", "size", "bold", "color", "needs")
     plain = _page_max(materialize(plain, "rows"), [key], "size", "_font")
-    banded = bands(plain, [key], "y0", "y1", F.col("_font") * LINE_JOIN_GAP, "_band")
+    banded = bands(plain, [key], "y0", "y1", F.col("_font") * K.LINE_JOIN_GAP, "_band")
 
     def join(records: list[dict]) -> list[dict]:
         records = sorted(records, key=lambda r: r["pos"])

@@ -19,14 +19,10 @@ from folioflow.functions.text import strip
 
 PAIRS = "array<struct<segment_id:string,translated_text:string>>"
 PARSED_TYPE = f"struct<pairs:{PAIRS},error:string>"
-_COMPLETE_PAIR = re.compile(
-    r'\{\s*"segment_id"\s*:\s*("(?:\\.|[^"\\])*")\s*,'
-    r'\s*"translated_text"\s*:\s*("(?:\\.|[^"\\])*")\s*\}',
-    re.DOTALL,
-)
-_OPENING = re.compile(r"\A```[a-zA-Z]*\s*")
-_CLOSING = re.compile(r"\s*```\Z")
-_THINKING = re.compile(r"<think>.*?</think>", re.DOTALL)
+_COMPLETE_PAIR = re.compile(K.ANSWER_PAIR, re.DOTALL)
+_OPENING = re.compile(K.ANSWER_OPENING)
+_CLOSING = re.compile(K.ANSWER_CLOSING)
+_THINKING = re.compile(K.ANSWER_THINKING, re.DOTALL)
 
 
 def _object_text(raw: str) -> str:

@@ -18,14 +18,17 @@ def segment_id(page: Column, block: Column) -> Column:
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
-         translate_all: bool = False, page_filter: Column | None = None) -> DataFrame:
-    """One row per non-blank line: key, pos, page, block, seg_id, text, needs.
+         translate_all: bool = False, page_filter: Column | None = None,
+         keep: Sequence[str] = ()) -> DataFrame:
+    """One row per non-blank line: key, pos, page, block, seg_id, text, needs and ``keep``.
 
     All positions come out of the row that is exploded, so the scan never
     shuffles. ``page_filter`` is a predicate on ``page`` and is applied before
     the remaining columns are built.
     """
-    lines = documents.select(key, F.posexplode(segment_lines(F.col(text))).alias("pos", "text"))
+    lines = documents.select(
+        key, *keep, F.posexplode(segment_lines(F.col(text))).alias("pos", "text")
+    )
     lines = lines.withColumn("page", F.floor(F.col("pos") / K.LINES_PER_PAGE).cast("int"))
     if page_filter is not None:
         lines = lines.where(page_filter)
@@ -33,7 +36,7 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return lines.withColumn("block", F.col("pos") % K.LINES_PER_PAGE).select(
         key, "pos", "page", "block",
         segment_id(F.col("page"), F.col("block")).alias("seg_id"),
-        "text", needs.alias("needs"),
+        "text", needs.alias("needs"), *keep,
     )
 
 

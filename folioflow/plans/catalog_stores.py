@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions.keys import memo_key, memory_key
 from folioflow.operators import glossary, memo, reconcile, tasks
+from folioflow.operators.segments import scan
 from folioflow.plans import sqlparts as S
 from folioflow.plans.inputs import STATUS_SQL, TERMS_SQL, glossary_terms, page_status, table
 from folioflow.plans.inputs import segments as doc_segments
@@ -196,8 +197,10 @@ def plain_exports(spark, sf):
 # --- memo --------------------------------------------------------------------
 
 
-def _entries(spark, sf, every: int, prefix: str, seq: int):
-    s = doc_segments(spark, sf).where("needs").where(F.col("doc_id") % every == 0)
+def _entries(spark, sf, langs: tuple, prefix: str, seq: int):
+    """Memo rows of a run that worked on the documents of some languages."""
+    docs = table(spark, sf, "documents").where(F.col("lang").isin(*langs))
+    s = scan(docs).where("needs")
     return memo.entries(
         s.withColumn("translated", F.concat(F.lit(prefix), F.col("text"))), F.lit("English"),
         F.lit("Korean"), F.lit(""), F.lit(seq), F.lit(_FIXED_TIME).cast("timestamp"),
@@ -210,15 +213,17 @@ def _key(c):
 
 _UPSERTED = f"""{S.SEGMENTS},
 up AS (SELECT text, arg_max(t, seq) AS t FROM (
-  SELECT text, 'old ' || text AS t, 0 AS seq FROM segs WHERE needs AND doc_id % 2 = 0
-  UNION ALL SELECT text, 'new ' || text, 1 FROM segs WHERE needs AND doc_id % 3 = 0) GROUP BY text)"""
+  SELECT s.text, 'old ' || s.text AS t, 0 AS seq FROM segs s JOIN documents d USING (doc_id)
+    WHERE needs AND lang IN ('en', 'fr')
+  UNION ALL SELECT s.text, 'new ' || s.text, 1 FROM segs s JOIN documents d USING (doc_id)
+    WHERE needs AND lang IN ('fr', 'de')) GROUP BY text)"""
 
 
 @query("M1 M2 S8", f"""
 WITH {_UPSERTED}
 SELECT sha256('v3||' || text || '||English||Korean||') AS cache_key, text AS source_text, t AS translated_text FROM up""")
 def memo_upsert(spark, sf):
-    merged = memo.upsert(_entries(spark, sf, 2, "old ", 0), _entries(spark, sf, 3, "new ", 1))
+    merged = memo.upsert(_entries(spark, sf, ("en", "fr"), "old ", 0), _entries(spark, sf, ("fr", "de"), "new ", 1))
     return merged.select("cache_key", "source_text", "translated_text")
 
 
@@ -230,8 +235,8 @@ def memo_stats(spark, sf):
     """Statistics of a stored memo before and after truncation."""
     path, into = work_path(spark, "memo"), work_path(spark, "memo-compact")
     memo.create_empty(spark, path)
-    memo.append(_entries(spark, sf, 2, "old ", 0), path, 0)
-    memo.append(_entries(spark, sf, 3, "new ", 1), path, 1)
+    memo.append(_entries(spark, sf, ("en", "fr"), "old ", 0), path, 0)
+    memo.append(_entries(spark, sf, ("fr", "de"), "new ", 1), path, 1)
     memo.compact(spark, path, into)
     memo.clear(spark, path)
     full = memo.stats(memo.load(spark, into)).withColumn("state", F.lit("full"))
@@ -254,7 +259,7 @@ def _asked(spark, sf):
 
 
 def _stored(spark, sf):
-    return memo.upsert(_entries(spark, sf, 2, "old ", 0), _entries(spark, sf, 3, "new ", 1))
+    return memo.upsert(_entries(spark, sf, ("en", "fr"), "old ", 0), _entries(spark, sf, ("fr", "de"), "new ", 1))
 
 
 @query("J2 J2a", f"""
@@ -272,15 +277,15 @@ def memo_misses(spark, sf):
 
 @query("J9 S16", """
 SELECT d.doc_id, coalesce('tm ' || m.text, '') AS translated FROM documents d
-LEFT JOIN (SELECT DISTINCT lang, text FROM documents WHERE doc_id % 2 = 0) m ON m.text = d.text AND m.lang = d.lang""")
+LEFT JOIN (SELECT DISTINCT lang, text FROM documents WHERE lang IN ('en', 'fr')) m ON m.text = d.text AND m.lang = d.lang""")
 def memory_lookup(spark, sf):
-    """Translation memory of every other document, saved, loaded and looked up exactly."""
+    """Translation memory of two languages, saved, loaded and looked up exactly."""
     from folioflow.operators.skew import heavy_keys, join_unique
 
     d = table(spark, sf, "documents")
     keyed = d.withColumn("key", F.sha2(memory_key(F.col("text"), F.col("lang"), F.lit("ko")), 256))
     path = work_path(spark, "memory")
-    keyed.where(F.col("doc_id") % 2 == 0).groupBy("key").agg(
+    keyed.where(F.col("lang").isin("en", "fr")).groupBy("key").agg(
         F.concat(F.lit("tm "), F.any_value("text")).alias("translated")
     ).write.parquet(path)
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
@@ -316,11 +321,13 @@ def evicted_cache(spark, sf):
 
 
 @query("S17 O5", """
-SELECT event_id AS id, event_type AS action, props AS details FROM events WHERE event_id % 7 <> 0
+SELECT event_id AS id, event_type AS action, props AS details FROM events WHERE event_type <> 'view'
 ORDER BY ts DESC, event_id LIMIT 100""")
 def history(spark, sf):
-    """The newest records of a history, after removing some by id."""
-    e = table(spark, sf, "events").where(F.col("event_id") % 7 != 0)
+    """The newest records of a history, after removing the views by id."""
+    every = table(spark, sf, "events")
+    removed = every.where(F.col("event_type") == "view").select("event_id")
+    e = every.join(removed, "event_id", "left_anti")
     top = memo.newest(e, K.HISTORY_LIMIT, F.desc("ts"), F.asc("event_id"))
     return top.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("props").alias("details"))
 

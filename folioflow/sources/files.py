@@ -137,12 +137,12 @@ def resume_info(outputs: DataFrame, sidecars: DataFrame, path: str = "path") ->
 
 def write_snapshot(df: DataFrame, path: str, label: str, compression: str = "zstd") -> None:
     """Keep a labelled copy of a table beside earlier ones; labels sort by time."""
-    df.write.mode("overwrite").option("compression", compression).parquet(f"{path}/snapshot={label}")
+    df.write.mode("overwrite").option("compression", compression).parquet(f"{path}/{label}")
+    df.sparkSession.createDataFrame([(label,)], "label string").write.mode("append").json(f"{path}-labels")
 
 
 def read_snapshot(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """A labelled copy, else the newest one; the choice prunes all other folders."""
-    every = spark.read.option("basePath", path).parquet(path)
+    """A labelled copy, else the newest one; no other copy is opened."""
     if label is None:
-        label = every.agg(F.max("snapshot")).first()[0]  # answered from the folder names
-    return every.where(F.col("snapshot") == F.lit(label)).drop("snapshot")
+        label = spark.read.schema("label string").json(f"{path}-labels").agg(F.max("label")).first()[0]
+    return spark.read.parquet(f"{path}/{label}")
