@@ -23,12 +23,13 @@ HEADLINE = [
 
 def main() -> None:
     from folioflow.plans.registry import load_all
-    from folioflow.session import local_session
+    from folioflow.session import local_session, ship_package
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     entries = load_all()
     chosen = sys.argv[1:] or HEADLINE
     entries["corpus_calls"].run(spark, sf).write.format("noop").mode("overwrite").save()  # warm-up

@@ -54,13 +54,14 @@ def difference(spark, con, entry, sf: str) -> str | None:
 
 def main() -> int:
     from folioflow.plans.registry import load_all
-    from folioflow.session import local_session
+    from folioflow.session import local_session, ship_package
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     entries = load_all()
     wanted = sys.argv[1:] or list(entries)
     spark, con, bad = local_session(8), connect(sf), 0
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     for name in wanted:
         start = time.time()
         try:

@@ -11,10 +11,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from folioflow.session import local_session
+    from folioflow.session import local_session, ship_package
 
     session = local_session(8, 4)
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
 
