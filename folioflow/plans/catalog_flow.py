@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions.prompts import mock_mapping
 from folioflow.operators import memo
-from folioflow.operators.reconcile import (
-    PAIRS, OversizeError, map_batches, mock_answer, parse_strict, reconcile, with_fallback,
-)
+from folioflow.operators.reconcile import OversizeError, map_batches, reconcile, with_fallback
 from folioflow.plans import sqlparts as S
 from folioflow.plans import translate as plan
 from folioflow.plans.inputs import MARKED_SQL, marked_documents, table

@@ -8,7 +8,7 @@ from folioflow import constants as K
 from folioflow.functions import geometry as G
 from folioflow.functions import markup, naming, prompts, scripts, services, text, tokens
 from folioflow.functions.keys import memo_key, memory_key, prompt_key
-from folioflow.operators import batching, blocked, context, layout, segments
+from folioflow.operators import batching, blocked, context, segments
 from folioflow.operators.reconcile import mock_answer, parse_answer, parse_strict
 from folioflow.plans import sqlparts as S
 from folioflow.plans import translate as plan
