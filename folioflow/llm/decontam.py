@@ -19,6 +19,8 @@ columns never matter; an empty benchmark finds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,9 @@ def _folded_hashes(text: Column) -> Column:
     return F.transform(_split(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))), lambda w: F.xxhash64(w))
 
 
-def _window_hashes(hashes: Column, size: int) -> Column:
-    return F.when(
+def _window_hasher(size: int) -> Callable[[Column], Column]:
+    """From word hashes to the hashes of all windows of one size."""
+    return lambda hashes: F.when(
         F.size(hashes) >= size,
         F.transform(F.sequence(F.lit(1), F.size(hashes) - (size - 1)),
                     lambda i: F.xxhash64(F.slice(hashes, i, size))),
@@ -89,7 +92,7 @@ def verified_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", tex
     found = None
     for n in lengths:
         wanted = windows.where(F.col("len") == n).select("hash").distinct()
-        hashes = let(_folded_hashes(F.col("text")), lambda h, n=n: _window_hashes(h, n))
+        hashes = let(_folded_hashes(F.col("text")), _window_hasher(n))
         probe = source.select("key", "print", F.posexplode(hashes).alias("pos", "hash"))
         hit = probe.join(_checked(wanted, known), "hash", "left_semi").select(
             "key", "print", "pos", F.lit(n).alias("len"))
