@@ -47,3 +47,11 @@ def op4_decontamination(spark, sf):
     from folioflow.llm.decontam import contamination
 
     return contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query()
+def op6_simhash(spark, sf):
+    """Fingerprint and near-duplicate group of every document."""
+    from folioflow.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf))
