@@ -55,3 +55,11 @@ def op6_simhash(spark, sf):
     from folioflow.llm.simhash import near_duplicates
 
     return near_duplicates(documents(spark, sf))
+
+
+@query()
+def op10_language(spark, sf):
+    """Predicted language of every document."""
+    from folioflow.llm.language import language_of
+
+    return language_of(documents(spark, sf))
