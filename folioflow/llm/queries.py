@@ -63,3 +63,34 @@ def op10_language(spark, sf):
     from folioflow.llm.language import language_of
 
     return language_of(documents(spark, sf))
+
+
+def _license_sql() -> str:
+    from folioflow.llm.licenses import TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+    grams = ("CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), "
+             "lambda i: w[i] || ' ' || w[i + 1])) ELSE w END")
+    return rf"""
+WITH t AS (SELECT license, {grams} AS g FROM (
+    SELECT license, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {rows}) v(license, body))),
+u AS (SELECT doc_id, 'line' AS unit, i - 1 AS unit_no, l[i] AS body FROM (
+    SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+  UNION ALL SELECT doc_id, 'block', i - 1, l[i] FROM (
+    SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '\n[\t\r\x20]*\n\s*') AS l FROM documents))
+  WHERE contains(trim(l[i]), chr(10))),
+ug AS (SELECT doc_id, unit, unit_no, {grams} AS g FROM (
+    SELECT doc_id, unit, unit_no, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM u)),
+s AS (SELECT doc_id, unit, unit_no, license, len(ug.g) AS n_grams, len(list_intersect(ug.g, t.g)) AS n_shared,
+    2.0 * len(list_intersect(ug.g, t.g)) / (len(ug.g) + len(t.g)) AS dice FROM ug, t)
+SELECT doc_id, unit, unit_no, license, n_grams, n_shared, round(dice, 9) AS dice FROM s WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) = 1"""
+
+
+@query(_license_sql())
+def op2_licenses(spark, sf):
+    """The licence that each line or block of every document is nearest to."""
+    from folioflow.llm.licenses import license_matches
+
+    return license_matches(documents(spark, sf))
