@@ -94,3 +94,20 @@ def op2_licenses(spark, sf):
     from folioflow.llm.licenses import license_matches
 
     return license_matches(documents(spark, sf))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, i, x, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (
+    SELECT doc_id, s[i] AS x, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)))),
+hot AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.*, keeper IS NOT NULL AND keeper <> doc_id AS dropped FROM l LEFT JOIN hot USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id""")
+def op5_lines(spark, sf):
+    """Lines that many documents hold stay in the last of them only."""
+    from folioflow.llm.lines import dedup_report
+
+    return dedup_report(documents(spark, sf))
