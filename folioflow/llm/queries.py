@@ -111,3 +111,15 @@ def op5_lines(spark, sf):
     from folioflow.llm.lines import dedup_report
 
     return dedup_report(documents(spark, sf))
+
+
+@query()
+def op9_scores(spark, sf):
+    """Log probability of every text, by words and by the weighted context trees."""
+    from pyspark.sql import functions as F
+
+    from folioflow.llm.ctw import scores
+
+    return scores(documents(spark, sf)).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "bits_per_byte")
