@@ -123,3 +123,11 @@ def op9_scores(spark, sf):
     return scores(documents(spark, sf)).select(
         "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
         "bits_per_byte")
+
+
+@query()
+def op8_suffixes(spark, sf):
+    """Bytes of every text that a smaller document holds in strings of fifty."""
+    from folioflow.llm.suffixes import dedup_report
+
+    return dedup_report(documents(spark, sf))
