@@ -53,6 +53,7 @@ class Block:
         self.ends = np.frombuffer(row["ends"], dtype=np.int64)
         self.starts = np.concatenate([np.zeros(1, np.int64), self.ends[:-1]]) if len(self.ends) else self.ends
         self.data = expand(row["body"])
+        self.rest = row.get("rest")
 
     def texts(self) -> Iterator[bytes]:
         at = 0
@@ -61,8 +62,23 @@ class Block:
             at = end
 
 
-def pack(docs: DataFrame, key: str, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block long, keys array<long>, ends, body): written to the shared folder. Null texts become empty."""
+def pack(docs: DataFrame, key: str, text: str, name: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """(block long, keys array<long>, ends, body): written to the shared folder. Null texts become empty.
+
+    ``carry`` adds ``rest``: per document all columns but the text, and whether that was null.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns = [docs[key].cast("long").alias("key"), docs[text].alias("text")]
+    schema = "block long, keys array<long>, ends binary, body binary"
+    if carry:
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+        columns.append(F.struct(F.struct(*others).alias("row"), docs[text].isNull().alias("no_text")).alias("rest"))
+    source = docs.select(*columns)
+    rest_type = None
+    if carry:
+        rest_type = to_arrow_type(source.schema["rest"].dataType)
+        schema += f", rest array<{source.schema['rest'].dataType.simpleString()}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -74,14 +90,14 @@ def pack(docs: DataFrame, key: str, text: str, name: str, block_bytes: int = BLO
                 column = pa.compute.fill_null(part.column("text"), "").cast(pa.large_binary())
                 ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
                 data = memoryview(column.buffers()[2] or b"")[ends[0]:ends[-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())),
-                     pa.array([(ends[1:] - ends[0]).tobytes()], pa.binary()), pa.array([squeeze(bytes(data))], pa.binary())],
-                    ["block", "keys", "ends", "body"])
+                out = [pa.array([number]), pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())),
+                       pa.array([(ends[1:] - ends[0]).tobytes()], pa.binary()), pa.array([squeeze(bytes(data))], pa.binary())]
+                if carry:
+                    out.append(pa.array([part.column("rest").to_pylist()], pa.list_(rest_type)))
+                yield pa.RecordBatch.from_arrays(out, ["block", "keys", "ends", "body", "rest"][:len(out)])
                 number += 1
 
-    source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return materialize(source.mapInArrow(run, "block long, keys array<long>, ends binary, body binary"), name)
+    return materialize(source.mapInArrow(run, schema), name)
 
 
 def per_row(df: DataFrame, rows_of: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
@@ -125,10 +141,10 @@ def together(left: DataFrame, right: DataFrame, by: str,
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(run, schema)
 
 
-def _struct(schema: str):
+def _struct(schema):
     from pyspark.sql.types import StructType
 
-    return StructType.fromDDL(schema)
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def shards_for(total: int, each: int) -> int:

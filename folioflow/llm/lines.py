@@ -22,7 +22,6 @@ import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folioflow.llm.blocks import Block, pack, per_row, per_shard, shards_for, sum_of, together
 from folioflow.session import materialize
@@ -222,12 +221,13 @@ def probe_index(questions: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS
                     "block long, hashes binary, largest binary")
 
 
-def _applied(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int, rows_of, schema: str) -> DataFrame:
+def _applied(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int, row_of, schema, carry=False) -> DataFrame:
+    """``row_of(block, place, lines, kept lines)`` for every document."""
     import numpy as np
 
     if not 1 <= min_docs <= 65535:
         raise ValueError("min_docs is 1 to 65535")
-    blocks = pack(docs, key, text, "line-blocks")
+    blocks = pack(docs, key, text, "line-blocks", carry=carry)
     summaries = materialize(_summaries(blocks, min_chars), "line-hashes")
     shards = shards_for(sum_of(summaries, "n"), SHARD_ENTRIES)
     index = materialize(build_index(_questions(summaries, shards), min_docs), "line-index")
@@ -240,10 +240,9 @@ def _applied(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int
             keeper.update((row["hashes"][16 * i:16 * i + 16], n) for i, n in enumerate(last))
         for row in own:
             block = Block(row)
-            for name, number, body in zip(block.keys, block.ids.tolist(), block.texts()):
+            for i, (number, body) in enumerate(zip(block.ids.tolist(), block.texts())):
                 lines, hashes = line_keys(body, min_chars)
-                kept = [x for x, h in zip(lines, hashes) if keeper.get(h, number) == number]
-                yield rows_of(name, lines, kept)
+                yield row_of(block, i, lines, [x for x, h in zip(lines, hashes) if keeper.get(h, number) == number])
 
     return together(blocks, answers, "block", one, schema)
 
@@ -252,29 +251,28 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
                  min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, n_lines, n_dropped, kept_sha256), a row per row."""
 
-    def row(name, lines, kept):
-        return {"_key": name, "n_lines": len(lines), "n_dropped": len(lines) - len(kept),
+    def row(block, i, lines, kept):
+        return {"_key": block.keys[i], "n_lines": len(lines), "n_dropped": len(lines) - len(kept),
                 "kept_sha256": hashlib.sha256(b"\n".join(kept)).hexdigest()}
 
     return _applied(docs, key, text, min_chars, min_docs, row,
                     "_key long, n_lines long, n_dropped long, kept_sha256 string").withColumnRenamed("_key", key)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-                min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, kept string): the texts without the dropped lines."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars",
+                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents with shortened texts, all other columns as they were; null texts stay null.
 
-    def row(name, lines, kept):
-        return {"_key": name, "kept": b"\n".join(kept).decode("utf-8")}
-
-    return _applied(docs, key, text, min_chars, min_docs, row, "_key long, kept string").withColumnRenamed("_key", key)
+    A column named ``size``, if there, is the text's length and is counted anew where lines went.
+    """
+    fields = docs.schema.names
 
+    def row(block, i, lines, kept):
+        rest = block.rest[i]
+        out = dict(rest["row"])
+        out[text] = None if rest["no_text"] else b"\n".join(kept).decode("utf-8")
+        if len(kept) < len(lines) and size in out:
+            out[size] = len(out[text])
+        return {name: out[name] for name in fields}
 
-def with_lines_dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
-    """The documents with shortened texts; ``size``, if there, is counted anew. Keys have to be unique."""
-    kept = dedup_lines(docs.where(docs[text].isNotNull()), key, text).withColumnsRenamed({key: "_k", "kept": "_kept"})
-    joined = docs.join(kept, docs[key].eqNullSafe(F.col("_k")), "left")
-    out = {text: F.when(docs[text].isNotNull(), F.col("_kept"))}
-    if size in docs.columns:
-        out[size] = F.when(docs[text].isNotNull(), F.char_length("_kept")).otherwise(docs[size]).cast(docs.schema[size].dataType)
-    return joined.withColumns(out).select(*docs.columns)
+    return _applied(docs, key, text, min_chars, min_docs, row, docs.schema, carry=True)

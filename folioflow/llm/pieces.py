@@ -185,16 +185,16 @@ def read_model(spark, path: str | None) -> bytes:
         return file.read()
 
 
-def _digests(model) -> Callable[[str], tuple]:
-    """For a text: number of ids, digest of the ids, digest of the decoded text."""
+def _digests(model, with_ids: bool = False) -> Callable[[str], tuple]:
+    """For a text: number of ids, digest of the ids, digest of the decoded text, and on demand the ids."""
     pieces = table_for(model.value)
-    known: dict[str, tuple[str, int, str]] = {}
+    known: dict[str, tuple] = {}
 
-    def chunk_of(chunk: str) -> tuple[str, int, str]:
+    def chunk_of(chunk: str) -> tuple:
         ids = pieces.encode_chunk(chunk)
         if len(known) >= REMEMBERED:
             known.clear()
-        got = (",".join(map(str, ids)), len(ids), pieces.decode(ids, first=False))
+        got = (",".join(map(str, ids)), len(ids), pieces.decode(ids, first=False), ids)
         if len(chunk) <= 64:
             known[chunk] = got
         return got
@@ -208,8 +208,9 @@ def _digests(model) -> Callable[[str], tuple]:
             parts = [look(c) or chunk_of(c) for c in chunks]
         ids = ",".join([p[0] for p in parts])
         decoded = "".join([p[2] for p in parts]).removeprefix(" ")
-        return (sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(decoded.encode()).hexdigest())
+        out = (sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
+               hashlib.sha256(decoded.encode()).hexdigest())
+        return (*out, [i for p in parts for i in p[3]]) if with_ids else out
 
     return one
 
@@ -222,17 +223,24 @@ def piece_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model:
 
 
 def encode_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """(key, ids array<int>, decoded string) of every row."""
+    """The same with the ids themselves: (key, n_tokens, ids_sha256, decoded_sha256, ids array<int>)."""
     shipped = df.sparkSession.sparkContext.broadcast(read_model(df.sparkSession, model))
+    return per_text(
+        df, key, text, lambda: _digests(shipped, with_ids=True), ["n_tokens", "ids_sha256", "decoded_sha256", "ids"],
+        [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())],
+        "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
-    def one():
-        pieces = table_for(shipped.value)
 
-        def both(t: str) -> tuple:
-            ids = pieces.encode(t)
-            return ids, pieces.decode(ids)
+def decode_pieces(df: DataFrame, key: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
+    """(key, decoded string) from arrays of ids; a null array decodes to an empty text."""
+    shipped = df.sparkSession.sparkContext.broadcast(read_model(df.sparkSession, model))
+    source = df.select(df[key].alias("_key"), df[ids].alias("_ids"))
 
-        return both
+    def run(batches):
+        pieces = table_for(shipped.value)
+        for batch in batches:
+            texts = [pieces.decode(i or []) for i in batch.column("_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(texts, pa.string())], ["_key", "decoded"])
 
-    return per_text(df, key, text, one, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()],
-                    "ids array<int>, decoded string")
+    kind = dict(source.dtypes)["_key"]
+    return source.mapInArrow(run, f"_key {kind}, decoded string").withColumnRenamed("_key", key)

@@ -131,3 +131,21 @@ def op8_suffixes(spark, sf):
     from folioflow.llm.suffixes import dedup_report
 
     return dedup_report(documents(spark, sf))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""")
+def op1_neighbours(spark, sf):
+    """The five largest inner products for every fiftieth vector."""
+    from pyspark.sql import functions as F
+
+    from folioflow.llm.neighbours import top_k
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return top_k(rows, F.col("vec_id") % 50 == 0)
