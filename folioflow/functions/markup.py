@@ -38,7 +38,11 @@ class _Balance(HTMLParser):
 
 def html_fault_one(html: str) -> str | None:
     walker = _Balance()
-    walker.feed(html)
+    try:
+        walker.feed(html)
+        walker.close()
+    except (AssertionError, ValueError):  # what the parser raises on a broken declaration
+        return "unreadable markup"
     if walker.fault:
         return walker.fault
     return f"unclosed {','.join(walker.open)}" if walker.open else None
@@ -53,7 +57,7 @@ def html_fault(pages: pd.Series) -> pd.Series:
 def _json_fault(block: str) -> str | None:
     try:
         json.loads(block)
-    except json.JSONDecodeError:
+    except (json.JSONDecodeError, RecursionError):
         return "invalid json block"
     return None
 
@@ -61,7 +65,7 @@ def _json_fault(block: str) -> str | None:
 def _xml_fault(block: str) -> str | None:
     try:
         ElementTree.fromstring(f"<root>{block}</root>")
-    except ElementTree.ParseError:
+    except (ElementTree.ParseError, ValueError, RecursionError):
         return "invalid xml block"
     return None
 

@@ -29,18 +29,28 @@ _TERM = re.compile(r"⟦GL[0-9]+⟧")
 def protect_one(text: str, terms: Sequence[tuple[str, str]] = ()) -> dict:
     """Swap glossary terms, then literals, for numbered tokens.
 
-    ``terms`` come longest first. Each literal pattern is searched again from
+    ``terms`` come longest first; they are searched in what is left of the
+    text, never inside a token. Each literal pattern is searched again from
     the start after a swap, because a swap can complete an earlier match.
     """
     held: list[str] = []
     targets: list[str] = []
+    parts = [text]  # text and tokens in turn
     for source, target in terms:
-        at = text.find(source)
-        while at >= 0:
-            token = K.TOKEN_FORMAT % ("GL", len(targets))
-            targets.append(target)
-            text = text[:at] + token + text[at + len(source):]
-            at = text.find(source, at + len(token))
+        if source not in text:
+            continue
+        cut: list[str] = []
+        for n, part in enumerate(parts):
+            if n % 2:
+                cut.append(part)
+                continue
+            first, *rest = part.split(source)
+            cut.append(first)
+            for piece in rest:
+                cut += [K.TOKEN_FORMAT % ("GL", len(targets)), piece]
+                targets.append(target)
+        parts = cut
+    text = "".join(parts)
     for sign, rule in _RULES:
         if sign not in text:
             continue

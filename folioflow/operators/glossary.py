@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_TERMS = 5_000
 GRAM = 8
 
 
@@ -28,47 +27,33 @@ def as_lines(terms: DataFrame) -> DataFrame:
     )
 
 
-def is_small(terms: DataFrame, limit: int = SMALL_TERMS) -> bool:
-    """Whether the glossary has at most ``limit`` terms; reads no further than that."""
-    return terms.limit(limit + 1).count() <= limit
-
-
-def contained_terms(texts: DataFrame, terms: DataFrame, key: str, text: str = "text",
-                    small: bool | None = None) -> DataFrame:
+def contained_terms(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The key with all term columns, for every glossary term that occurs in a text.
 
-    A small glossary is broadcast and tested by substring. A large one is
-    looked up by the first characters of its terms: every text offers its
-    distinct substrings of the lengths that occur, an equi-join finds the
-    candidates, and the substring test confirms them.
+    One plan for glossaries of any size: every text offers its distinct
+    substrings of the lengths at which terms begin, an equi-join on the first
+    characters finds candidates by key alone, and these meet the text once for
+    the substring test. ``key`` tells the texts apart.
     """
     kept = terms.columns
     terms = terms.where(F.col("source") != "")
     texts = texts.select(key, text)
-    if is_small(terms) if small is None else small:
-        return texts.join(
-            F.broadcast(terms), F.contains(F.col(text), F.col("source")), "inner"
-        ).select(key, *kept)
-    gram_length = F.least(F.length("source"), F.lit(GRAM))
-    graded = terms.withColumn("_gram", F.substr("source", F.lit(1), gram_length))
-    lengths = F.sequence(F.lit(1), F.lit(GRAM))
+    graded = terms.withColumn("_gram", F.substr("source", F.lit(1), F.least(F.length("source"), F.lit(GRAM))))
+    sizes = [r[0] for r in graded.select(F.length("_gram")).distinct().collect()]  # at most GRAM numbers
 
-    def grams_of(size):
+    def grams_of(size: int):
         return F.when(
             F.length(text) >= size,
             F.transform(
                 F.sequence(F.lit(1), F.length(text) - size + 1),
-                lambda at: F.substr(F.col(text), at, size),
+                lambda at: F.substr(F.col(text), at, F.lit(size)),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    grams = texts.withColumn(
-        "_gram", F.explode(F.array_distinct(F.flatten(F.transform(lengths, grams_of))))
-    )
-    return (
-        grams.join(graded, "_gram").where(F.contains(F.col(text), F.col("source")))
-        .select(key, *kept)
-    )
+    offered = [grams_of(n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
+    grams = texts.select(key, F.explode(F.array_distinct(F.concat(*offered))).alias("_gram"))
+    candidates = grams.join(graded, "_gram").drop("_gram")
+    return candidates.join(texts, key).where(F.contains(F.col(text), F.col("source"))).select(key, *kept)
 
 
 def own_terms(contained: DataFrame, key: str) -> DataFrame:

@@ -48,11 +48,21 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return latest(stored.unionByName(new))
 
 
-def append(rows: DataFrame, path: str, run: int) -> None:
-    """Write the rows of one run; repeating a run replaces its folder."""
+def append(rows: DataFrame, path: str, run: int | str) -> None:
+    """Write the rows of one run; repeating a run replaces its folder.
+
+    Writers that don't know of each other need names of their own for ``run``,
+    such as a query's id and its batch number.
+    """
     rows.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
+def next_seq(spark: SparkSession, path: str) -> int:
+    """A number above all that the table holds, so that a new run is newer."""
+    newest_seq = stored_rows(spark, path).agg(F.max("seq")).first()[0]
+    return 0 if newest_seq is None else newest_seq + 1
+
+
 def create_empty(spark: SparkSession, path: str) -> None:
     append(spark.createDataFrame([], SCHEMA), path, -1)
 
@@ -61,6 +71,12 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).drop("run")
 
 
+def other_rows(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """All rows but those of one run, which a repeated attempt is about to replace."""
+    rows = spark.read.schema(f"{SCHEMA}, run string").option("basePath", path).parquet(path)
+    return rows.where(F.col("run") != run).drop("run")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return latest(stored_rows(spark, path))
 

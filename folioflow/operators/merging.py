@@ -165,8 +165,9 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     """Merge pieces of vertical text per page.
 
     ``pieces`` has key, id, box, text, size, vertical, needs. Three or more
-    equal boxes block each other and every hull over them, so they leave as
-    they are and act as one obstacle. The rest is cut into bands along x, then
+    equal boxes with an area block each other and every hull over them, so they
+    leave as they are and act as one obstacle; boxes without an area block
+    nothing and merge like others. The rest is cut into bands along x, then
     along y inside those, by the largest reach of the page's fonts.
     """
     copies = pieces.groupBy(key, "box").agg(F.count("*").alias("_n"))
@@ -174,7 +175,9 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     marked = materialize(join_unique(pieces, copies, [key, "box"], heavy, ["id"]), "marked")
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
     own = ["id", "text", "size", "vertical", "needs"]
-    crowd = marked.where(F.col("_n") > 2)
+    solid = (F.col("box.x1") > F.col("box.x0")) & (F.col("box.y1") > F.col("box.y0"))
+    blocking = (F.col("_n") > 2) & F.coalesce(solid, F.lit(False))
+    crowd = marked.where(blocking)
     obstacles = crowd.groupBy(key, "box").agg(
         F.min("id").alias("id"), F.max("size").alias("size")
     ).select(
@@ -182,7 +185,7 @@ def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
         F.lit(False).alias("needs"), F.lit(False).alias("candidate"), F.lit(True).alias("obstacle"),
     )
     short = F.length(strip(F.col("text"))) <= K.LOOSE_FRAGMENT_CHARS
-    free = marked.where(F.col("_n") <= 2).select(
+    free = marked.where(~blocking).select(
         key, *flat, *own, (F.col("vertical") | short).alias("candidate"),
         F.lit(False).alias("obstacle"),
     )

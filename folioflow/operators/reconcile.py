@@ -51,14 +51,16 @@ def parse_answer_one(raw: str | None) -> dict:
         return {"pairs": None, "error": "no json object"}
     try:
         items = json.loads(payload).get("translations", [])
-    except json.JSONDecodeError:
+    except (json.JSONDecodeError, RecursionError):
         items = _recovered(payload)
         if not items:
             try:
                 items = json.loads(payload, strict=False).get("translations", [])
-            except json.JSONDecodeError:
+            except (json.JSONDecodeError, RecursionError):
                 return {"pairs": None, "error": "invalid json"}
-    pairs = [(i.get("segment_id"), i.get("translated_text")) for i in items]
+    if not isinstance(items, list):
+        return {"pairs": None, "error": "translations is no list"}
+    pairs = [(i.get("segment_id"), i.get("translated_text")) for i in items if isinstance(i, dict)]
     return {
         "pairs": [
             {"segment_id": s, "translated_text": t}
@@ -132,21 +134,22 @@ class OversizeError(Exception):
 Mapper = Callable[[Sequence[dict]], str]
 
 
-def _answer_pairs(mapper: Mapper, segments: list[dict], depth: int = 0) -> list[dict]:
-    """Call the mapper, halving the batch while it is too large; a lost row has no pair."""
+def _answer_pairs(mapper: Mapper, segments: list[dict]) -> tuple[list[dict], list[str]]:
+    """Pairs and errors of a batch. A batch that is too large is halved until it fits.
+
+    What one half has answered stays, whatever becomes of the other.
+    """
     try:
-        return parse_answer_one(mapper(segments))["pairs"] or []
-    except OversizeError:
+        answer = parse_answer_one(mapper(segments))
+        return answer["pairs"] or [], [answer["error"]] if answer["error"] else []
+    except OversizeError as failure:
         if len(segments) == 1:
-            return []
-        if depth >= K.MAX_HALVINGS:
-            raise
+            return [], [str(failure) or "segment too large"]
         half = len(segments) // 2
-        return [
-            pair
-            for part in (segments[:half], segments[half:])
-            for pair in _answer_pairs(mapper, part, depth + 1)
-        ]
+        left, right = _answer_pairs(mapper, segments[:half]), _answer_pairs(mapper, segments[half:])
+        return left[0] + right[0], left[1] + right[1]
+    except Exception as failure:  # one bad batch must not end the job
+        return [], [str(failure) or type(failure).__name__]
 
 
 def map_batches(batches: DataFrame, make_mapper: Callable[[], Mapper], keys: Sequence[str]) -> DataFrame:
@@ -167,12 +170,9 @@ def map_batches(batches: DataFrame, make_mapper: Callable[[], Mapper], keys: Seq
         for part in parts:
             pairs, errors = [], []
             for segments in part["segments"]:
-                try:
-                    pairs.append(_answer_pairs(mapper, list(segments)))
-                    errors.append(None)
-                except Exception as failure:  # one bad batch must not end the job
-                    pairs.append([])
-                    errors.append(str(failure)[:200])
+                found, failures = _answer_pairs(mapper, list(segments))
+                pairs.append(found)
+                errors.append("; ".join(failures) or None)
             yield part.assign(pairs=pairs, error=errors)
 
     return source.mapInPandas(run, schema)

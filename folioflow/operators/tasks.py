@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def after_failure(tasks: DataFrame, failed: Column) -> DataFrame:
     ).withColumn("retries", F.col("retries") + retry.cast("int"))
 
 
-def levels(needs: DataFrame, tasks: DataFrame, max_rounds: int = 64) -> DataFrame:
+def levels(needs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Topological level of every task: 0 without dependencies, else 1 + the deepest.
 
     Each round releases the tasks whose dependencies are all placed. The state
@@ -44,7 +46,7 @@ def levels(needs: DataFrame, tasks: DataFrame, max_rounds: int = 64) -> DataFram
     waiting = tasks.select("task_id").join(needs.select("task_id").distinct(), "task_id", "left_anti")
     waiting.withColumn("level", F.lit(0)).write.parquet(f"{path}/0")
     schema = spark.read.parquet(f"{path}/0").schema
-    for level in range(1, max_rounds):
+    for level in itertools.count(1):
         placed = spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in range(level)])
         open_needs = needs.join(
             placed.select(F.col("task_id").alias("needed_id")), "needed_id", "left_anti"
@@ -57,8 +59,6 @@ def levels(needs: DataFrame, tasks: DataFrame, max_rounds: int = 64) -> DataFram
         ready.withColumn("level", F.lit(level)).write.parquet(f"{path}/{level}")
         if spark.read.schema(schema).parquet(f"{path}/{level}").isEmpty():
             break
-    else:
-        raise ValueError("task graph deeper than max_rounds")
     return spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in range(level + 1)])
 
 

@@ -120,10 +120,8 @@ def contained_terms(spark, sf):
 
 @query("J4", _CONTAINED)
 def contained_terms_large(spark, sf):
-    """The same through the gram join that serves glossaries too large to broadcast."""
-    return glossary.contained_terms(
-        _part_texts(spark, sf), glossary_terms(spark, sf), "p_partkey", small=False
-    )
+    """The same plan under its older name; one plan serves glossaries of any size."""
+    return glossary.contained_terms(_part_texts(spark, sf), glossary_terms(spark, sf), "p_partkey")
 
 
 # --- interchange -------------------------------------------------------------

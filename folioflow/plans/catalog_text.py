@@ -577,16 +577,6 @@ def protect_restore(spark, sf):
     )
 
 
-def _terms(spark, sf) -> dict[str, str] | None:
-    """A checked-small glossary for the driver; None when it is too large."""
-    from folioflow.operators.glossary import is_small
-
-    g = glossary_terms(spark, sf)
-    if not is_small(g):
-        return None
-    return {r.source: r.target for r in g.orderBy("source").collect()}
-
-
 @query("F4 F5 O2", f"""
 WITH {TERMS_SQL},
 part_words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
@@ -596,16 +586,9 @@ def protect_glossary(spark, sf):
     from folioflow.operators import glossary
 
     part = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"))
-    small = _terms(spark, sf)
-    if small is not None:
-        p = part.withColumn("p", tokens.protector(small)("text"))
-    else:
-        terms = glossary_terms(spark, sf).withColumn("ord", F.col("source"))
-        found = glossary.contained_terms(part, terms, "p_partkey", small=False)
-        own = glossary.own_terms(found, "p_partkey")
-        p = part.join(own, "p_partkey", "left").withColumn(
-            "p", tokens.protect_with_terms("text", "terms")
-        )
+    terms = glossary_terms(spark, sf).withColumn("ord", F.col("source"))
+    own = glossary.own_terms(glossary.contained_terms(part, terms, "p_partkey"), "p_partkey")
+    p = part.join(own, "p_partkey", "left").withColumn("p", tokens.protect_with_terms("text", "terms"))
     back = p.withColumn("r", tokens.restore("p.text", "p.held", "p.terms"))
     return back.select(
         "p_partkey", F.col("r.text").alias("restored"),

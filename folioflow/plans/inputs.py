@@ -11,22 +11,9 @@ from folioflow.operators import blocked
 from folioflow.operators.segments import scan
 
 
-# tables whose rows cost much work, with the columns that identify a row
-TEXT_TABLES = {
-    "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
-}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; text tables of fewer splits than cores are spread out first.
-
-    A large table has more splits than cores and is read as it is.
-    """
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *TEXT_TABLES[name])
-    return df
+    """A given table, as it is."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:

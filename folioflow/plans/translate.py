@@ -107,7 +107,9 @@ def finish_segments(mapped: DataFrame, options: Options = Options()) -> DataFram
     """
     finish = _finisher(options.placeholders and options.style, options.validation)
     finished = mapped.withColumn("_restored", finish("translated", "held", "terms"))
-    faults = [F.when(F.col("translated").isNull(), "not mapped")]
+    # what the mapper said, where it said something
+    unmapped = F.coalesce(F.col("error"), F.lit("not mapped")) if "error" in mapped.columns else F.lit("not mapped")
+    faults = [F.when(F.col("translated").isNull(), unmapped)]
     if options.validation and options.placeholders:
         faults.append(tokens.token_error(F.col("text"), F.col("translated")))
     if options.placeholders:
@@ -131,15 +133,16 @@ def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str
         protected_documents(documents, used, key, placeholders=options.placeholders), key
     )
     if make_mapper is None:
-        answered = batches.withColumn("pairs", parse_strict(mock_answer(F.col("segments"))))
+        answered = batches.withColumn("pairs", parse_strict(mock_answer(F.col("segments")))).withColumn(
+            "error", F.lit(None).cast("string"))
     else:
         answered = map_batches(batches, make_mapper, [key, "batch_id"])
     matched = answered.withColumn(
         "_matched", reconcile(F.col("segments"), F.col("pairs"), F.lit(target_lang))
     )
     rows = matched.select(
-        key, "batch_id", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
-    ).select(key, "batch_id", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
+        key, "batch_id", "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
+    ).select(key, "batch_id", "error", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
     return finish_segments(rows, options)
 
 
@@ -192,11 +195,11 @@ def batched_work(work: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def mock_results(work: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
-    """Memo rows of the default mapper for pending work."""
+def mock_results(work: DataFrame, source_lang: str, target_lang: str, seq: int = 0) -> DataFrame:
+    """Memo rows of the default mapper for pending work, as run number ``seq``."""
     return memo.entries(
         work.withColumn("translated", mock_mapping(F.col("text"))), F.lit(source_lang),
-        F.lit(target_lang), F.lit(""), F.lit(0),
+        F.lit(target_lang), F.lit(""), F.lit(seq),
     )
 
 

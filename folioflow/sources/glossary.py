@@ -62,13 +62,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _entries(data) -> list[dict]:
+    """Entries of a parsed glossary; what has not the shape of one is passed over."""
     out = []
-    items = data.items() if isinstance(data, dict) else (
-        (d.get("source", ""), d.get("target", "")) for d in data
-    )
+    if isinstance(data, dict):
+        items = list(data.items())
+    else:
+        rows = data if isinstance(data, list) else []
+        items = [(d.get("source", ""), d.get("target", "")) for d in rows if isinstance(d, dict)]
     for name, value in items:
         if isinstance(value, dict):
-            out += [{"profile": name, "source": s, "target": t} for s, t in value.items()]
+            out += [{"profile": name, "source": s, "target": t} for s, t in value.items()
+                    if isinstance(s, str) and isinstance(t, str)]
         elif isinstance(value, str) and name:
             out.append({"profile": None, "source": name, "target": value})
     return out
@@ -83,9 +87,19 @@ def _load_yaml(text: str):
 
 
 def _document_parser(load):
+    def entries(text: str | None) -> list[dict]:
+        try:
+            return _entries(load(text or ""))
+        except RuntimeError as missing:
+            if isinstance(missing, RecursionError):
+                return []
+            raise
+        except Exception:  # a file that is no JSON or YAML has no entries; the other files count
+            return []
+
     @arrow_batched(ENTRIES)
     def parse(files: pd.Series) -> pd.Series:
-        return files.map(lambda text: _entries(load(text)))
+        return files.map(entries)
 
     return parse
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,27 +53,29 @@ def concat_tokens(tokens: DataFrame, sep: str) -> DataFrame:
     )
 
 
-def memo_writer(memo_path: str, source_lang: str, target_lang: str):
+def memo_writer(memo_path: str, source_lang: str, target_lang: str, writer: str):
     """A foreachBatch function that maps unfinished texts and appends them to the memo.
 
-    The rows of a micro-batch go to a folder named after it and replace what an
-    interrupted attempt left there, so a replayed batch is written once.
+    The rows of a micro-batch go to a folder named after ``writer`` and the batch
+    and replace what an interrupted attempt left there, so a replayed batch is
+    written once and no other stream's rows are touched.
     """
 
     def write(documents: DataFrame, batch: int) -> None:
-        stored = memo.stored_rows(documents.sparkSession, memo_path).where(F.col("seq") < batch)
-        work = plan.pending(documents, stored, source_lang, target_lang)
-        rows = plan.mock_results(work, source_lang, target_lang).withColumn(
-            "seq", F.lit(batch).cast("bigint")
-        )
-        memo.append(rows, memo_path, batch)
+        spark = documents.sparkSession
+        run = f"{writer}-{batch}"
+        others = memo.other_rows(spark, memo_path, run)
+        work = plan.pending(documents, others, source_lang, target_lang)
+        rows = plan.mock_results(work, source_lang, target_lang, memo.next_seq(spark, memo_path))
+        memo.append(rows, memo_path, run)
 
     return write
 
 
 def run_memo(stream: DataFrame, memo_path: str, checkpoint: str, source_lang: str, target_lang: str) -> None:
     (
-        stream.writeStream.foreachBatch(memo_writer(memo_path, source_lang, target_lang))
+        stream.writeStream.foreachBatch(
+            memo_writer(memo_path, source_lang, target_lang, hashlib.sha256(checkpoint.encode()).hexdigest()[:16]))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -64,16 +64,20 @@ def test_token_checks_and_maps(spark):
 def test_own_terms_path_equals_small_path(spark):
     from folioflow.operators import glossary
 
-    terms = {"net": "망", "network": "네트워크", "work": "일"}
+    terms = {"net": "망", "network": "네트워크", "work": "일", "abc": "가", "GL": "나", "0": "영", "PH": "다", "⟦": "괄"}
     t = spark.createDataFrame([(s, g, i) for i, (s, g) in enumerate(terms.items())],
                               "source string, target string, ord int")
-    texts = spark.createDataFrame([(1, "network work net"), (2, "none"), (3, "networknet")],
+    texts = spark.createDataFrame([(1, "network work net"), (2, "none"), (3, "networknet"),
+                                   (4, "abc xyz"), (5, "GL0 PH1 abc0"), (6, "a ⟦GL0⟧ b")],
                                   "id int, text string")
-    found = glossary.contained_terms(texts, t, "id", small=False)
+    found = glossary.contained_terms(texts, t, "id")
     own = texts.join(glossary.own_terms(found, "id"), "id", "left")
     large = own.select("id", tokens.protect_with_terms("text", "terms").alias("p"))
     small = texts.select("id", tokens.protector(terms)("text").alias("p"))
     assert sorted(large.collect()) == sorted(small.collect())
+    back = large.where("id <> 6").withColumn("r", tokens.restore("p.text", "p.held", "p.terms"))
+    assert back.where("r.error IS NOT NULL").count() == 0
+    assert {r.id: r.r.text for r in back.collect()}[4] == "가 xyz"
 
 
 @pytest.mark.parametrize("raw,want", [
