@@ -23,7 +23,7 @@ HEADLINE = [
 
 def main() -> None:
     from folioflow.plans.registry import load_all
-    from folioflow.session import local_session, ship_package
+    from folioflow.session import local_session, release, ship_package
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         entries[name].run(spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
         print(f"{times[name]:8.3f}s {name}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -30,24 +30,39 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would lose its files together with the executor.
+    Only where that is unset and all tasks run in this process, as in tests, a
+    temporary folder takes its place: elsewhere a machine-local path would lose
+    its files together with the executor.
     """
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
         _CHECKPOINT_KEY, None
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="folioflow-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    return _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="folioflow-"))
+
+
+#: Folders made for sessions that name none, and the paths handed out below any, by application.
+_OWN_FOLDERS: dict[str, str] = {}
+_PATHS: dict[str, list[str]] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the working files of this session. Call it when the results that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _PATHS.pop(spark.sparkContext.applicationId, []):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -98,3 +98,21 @@ def test_a_second_run_is_newer(spark, tmp_path):
                             F.lit(memo.next_seq(spark, path)))
         memo.append(rows, path, n)
     assert memo.load(spark, path).first().translated_text == "new"
+
+
+def test_working_files_can_be_released(spark, tmp_path):
+    from folioflow import session
+
+    own = spark.range(10)
+    kept, session._PATHS[spark.sparkContext.applicationId] = session._PATHS.get(spark.sparkContext.applicationId, []), []
+    copy = session.materialize(own, "numbers")
+    path = session._PATHS[spark.sparkContext.applicationId][0]
+    assert copy.count() == 10 and spark.read.parquet(path).count() == 10
+    session.release(spark)
+    session._PATHS[spark.sparkContext.applicationId] = kept
+    try:
+        spark.read.parquet(path).count()
+    except Exception as gone:
+        assert "PATH_NOT_FOUND" in str(gone)
+    else:
+        raise AssertionError("still there")
