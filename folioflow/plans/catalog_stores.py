@@ -195,10 +195,9 @@ def plain_exports(spark, sf):
 # --- memo --------------------------------------------------------------------
 
 
-def _entries(spark, sf, langs: tuple, prefix: str, seq: int):
-    """Memo rows of a run that worked on the documents of some languages."""
-    docs = table(spark, sf, "documents").where(F.col("lang").isin(*langs))
-    s = scan(docs).where("needs")
+def _entries(spark, sf, rule: str, prefix: str, seq: int):
+    """Memo rows of a run that worked on the documents that a rule gives it."""
+    s = scan(table(spark, sf, "documents").where(rule)).where("needs")
     return memo.entries(
         s.withColumn("translated", F.concat(F.lit(prefix), F.col("text"))), F.lit("English"),
         F.lit("Korean"), F.lit(""), F.lit(seq), F.lit(_FIXED_TIME).cast("timestamp"),
@@ -209,19 +208,27 @@ def _key(c):
     return memo_key(c, F.lit("English"), F.lit("Korean"), F.lit(""))
 
 
-_UPSERTED = f"""{S.SEGMENTS},
+# two runs share a third of the documents, and between them see all
+_FIRST, _SECOND = "doc_id % 3 <> 2", "doc_id % 3 <> 0"
+# for lookups, a quarter of the documents is new
+_DONE_FIRST, _DONE_SECOND = "doc_id % 4 <= 1", "doc_id % 4 IN (1, 2)"
+
+
+def _upserted(first: str, second: str) -> str:
+    return f"""{S.SEGMENTS},
 up AS (SELECT text, arg_max(t, seq) AS t FROM (
-  SELECT s.text, 'old ' || s.text AS t, 0 AS seq FROM segs s JOIN documents d USING (doc_id)
-    WHERE needs AND lang IN ('en', 'fr')
-  UNION ALL SELECT s.text, 'new ' || s.text, 1 FROM segs s JOIN documents d USING (doc_id)
-    WHERE needs AND lang IN ('fr', 'de')) GROUP BY text)"""
+  SELECT text, 'old ' || text AS t, 0 AS seq FROM segs WHERE needs AND {first}
+  UNION ALL SELECT text, 'new ' || text, 1 FROM segs WHERE needs AND {second}) GROUP BY text)"""
+
+
+_UPSERTED = _upserted(_FIRST, _SECOND)
 
 
 @query("M1 M2 S8", f"""
 WITH {_UPSERTED}
 SELECT sha256('v3||' || text || '||English||Korean||') AS cache_key, text AS source_text, t AS translated_text FROM up""")
 def memo_upsert(spark, sf):
-    merged = memo.upsert(_entries(spark, sf, ("en", "fr"), "old ", 0), _entries(spark, sf, ("fr", "de"), "new ", 1))
+    merged = memo.upsert(_entries(spark, sf, _FIRST, "old ", 0), _entries(spark, sf, _SECOND, "new ", 1))
     return merged.select("cache_key", "source_text", "translated_text")
 
 
@@ -233,8 +240,8 @@ def memo_stats(spark, sf):
     """Statistics of a stored memo before and after truncation."""
     path, into = work_path(spark, "memo"), work_path(spark, "memo-compact")
     memo.create_empty(spark, path)
-    memo.append(_entries(spark, sf, ("en", "fr"), "old ", 0), path, 0)
-    memo.append(_entries(spark, sf, ("fr", "de"), "new ", 1), path, 1)
+    memo.append(_entries(spark, sf, _FIRST, "old ", 0), path, 0)
+    memo.append(_entries(spark, sf, _SECOND, "new ", 1), path, 1)
     memo.compact(spark, path, into)
     memo.clear(spark, path)
     full = memo.stats(memo.load(spark, into)).withColumn("state", F.lit("full"))
@@ -242,7 +249,7 @@ def memo_stats(spark, sf):
     return full.unionByName(cleared)
 
 
-_ASKED = f"""{_UPSERTED},
+_ASKED = f"""{_upserted(_DONE_FIRST, _DONE_SECOND)},
 asked AS (SELECT text AS k, CASE WHEN pos % 2 = 1 THEN text || '  ' ELSE text END AS src,
   doc_id * 100000 + pos AS ord FROM segs WHERE needs)"""
 
@@ -257,7 +264,8 @@ def _asked(spark, sf):
 
 
 def _stored(spark, sf):
-    return memo.upsert(_entries(spark, sf, ("en", "fr"), "old ", 0), _entries(spark, sf, ("fr", "de"), "new ", 1))
+    return memo.upsert(
+        _entries(spark, sf, _DONE_FIRST, "old ", 0), _entries(spark, sf, _DONE_SECOND, "new ", 1))
 
 
 @query("J2 J2a", f"""
@@ -275,15 +283,15 @@ def memo_misses(spark, sf):
 
 @query("J9 S16", """
 SELECT d.doc_id, coalesce('tm ' || m.text, '') AS translated FROM documents d
-LEFT JOIN (SELECT DISTINCT lang, text FROM documents WHERE lang IN ('en', 'fr')) m ON m.text = d.text AND m.lang = d.lang""")
+LEFT JOIN (SELECT DISTINCT lang, text FROM documents WHERE doc_id % 4 <> 3) m ON m.text = d.text AND m.lang = d.lang""")
 def memory_lookup(spark, sf):
-    """Translation memory of two languages, saved, loaded and looked up exactly."""
+    """A translation memory that lacks a quarter of the documents, saved, loaded and looked up exactly."""
     from folioflow.operators.skew import heavy_keys, join_unique
 
     d = table(spark, sf, "documents")
     keyed = d.withColumn("key", F.sha2(memory_key(F.col("text"), F.col("lang"), F.lit("ko")), 256))
     path = work_path(spark, "memory")
-    keyed.where(F.col("lang").isin("en", "fr")).groupBy("key").agg(
+    keyed.where("doc_id % 4 <> 3").groupBy("key").agg(
         F.concat(F.lit("tm "), F.any_value("text")).alias("translated")
     ).write.parquet(path)
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"))

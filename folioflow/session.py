@@ -42,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    return _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="folioflow-"))
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="folioflow-")
+    return _OWN_FOLDERS[app]
 
 
 #: Folders made for sessions that name none, and the paths handed out below any, by application.
