@@ -3,8 +3,9 @@
 A window partitioned by a group key puts the whole group into one task, and one
 document may hold a third of all rows. Every helper here cuts a group into
 blocks by a monotone block number, runs the window inside the blocks, and adds
-what earlier blocks contribute. Blocks are bounded, and the second step only
-sees one row per block.
+what earlier blocks contribute. The second step only sees one row per block.
+Blocks by value (``with_block``) are bounded where order values are spread, such
+as positions that occur once; others need blocks by count.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.session import materialize
+
 BLOCK = "_block"
 BLOCK_SPAN = 1 << 16
 
@@ -23,6 +26,18 @@ def with_block(df: DataFrame, order: Column, span: int = BLOCK_SPAN) -> DataFram
     return df.withColumn(BLOCK, F.floor(order / span))
 
 
+def with_counted_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_SPAN) -> DataFrame:
+    """Add block numbers so that a block holds about ``rows`` rows, however dense the order values are.
+
+    The rows are range-partitioned by group and order, so a large group spreads
+    over neighbouring partitions and these are its blocks. They are written
+    out, which fixes the partition of each row.
+    """
+    parts = max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
+    return materialize(dealt, "blocks")
+
+
 def _carry(df: DataFrame, keys: Sequence[str], block_value: Column, over_blocks: Column,
            default: Column | None) -> DataFrame:
     """Per (keys, block): an aggregate of all earlier blocks."""

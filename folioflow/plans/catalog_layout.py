@@ -221,7 +221,8 @@ def background_safety(spark, sf):
 WITH {BOXES_SQL}
 SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) - 1 AS INTEGER) AS block FROM boxes""")
 def block_order(spark, sf):
-    flat = blocked.with_block(boxes(spark, sf).select("page", "id", *_flat()), F.col("y0"), 4096)
+    flat = blocked.with_counted_block(
+        boxes(spark, sf).select("page", "id", *_flat()), ["page"], ["y0", "x0", "id"])
     return segments.number_blocks(flat, ["page"], ["y0", "x0", "id"]).select("page", "id", "block")
 
 
@@ -230,7 +231,7 @@ WITH {BOXES_SQL}, p AS (SELECT *, lag(size) OVER (PARTITION BY page ORDER BY id)
 SELECT page, id, CAST(sum(CASE WHEN greatest(size, prev) / least(size, prev) > 1.4 THEN 1 ELSE 0 END)
   OVER (PARTITION BY page ORDER BY id) AS BIGINT) AS line_group FROM p""")
 def size_groups(spark, sf):
-    b = blocked.with_block(boxes(spark, sf), F.col("line"), 4096)
+    b = blocked.with_counted_block(boxes(spark, sf), ["page"], ["id"])
     return layout.split_by_size(b, ["page"], ["id"], "size").select("page", "id", "line_group")
 
 
@@ -243,7 +244,7 @@ SELECT page, id, CAST(sum(CASE WHEN abs(x0 - px) > 25 OR greatest(y0 - py, 0) >
 def table_groups(spark, sf):
     b = boxes(spark, sf)
     box = G.box(F.col("box.x0") / 10, F.col("box.y0") * 2, F.col("box.x1") / 10, F.col("box.y1") * 2)
-    cut = blocked.with_block(b.withColumn("box", box), F.col("line"), 4096)
+    cut = blocked.with_counted_block(b.withColumn("box", box), ["page"], ["id"])
     return layout.group_table_lines(cut, ["page"], ["id"], F.col("box"), F.col("size")).select(
         "page", "id", "line_group"
     )
@@ -355,7 +356,7 @@ def joined_lines(spark, sf):
     box = F.col("box")
     narrow = G.box(box["x0"] / 25, box["y0"], box["x0"] / 25 + box["x1"] - box["x0"], box["y1"])
     numbered = blocked.row_number(
-        blocked.with_block(b, F.col("line"), 4096), ["page"], ["id"], "pos"
+        blocked.with_counted_block(b, ["page"], ["id"]), ["page"], ["id"], "pos"
     )
     rows = numbered.select(
         "page", "pos", narrow.alias("box"), "text", "size", "bold", "color", F.lit(True).alias("needs")

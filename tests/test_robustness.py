@@ -116,3 +116,15 @@ def test_working_files_can_be_released(spark, tmp_path):
         assert "PATH_NOT_FOUND" in str(gone)
     else:
         raise AssertionError("still there")
+
+
+def test_blocks_by_count_stay_small_in_a_hot_group(spark):
+    from folioflow.operators import blocked
+
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("page"), (F.col("id") % 7).alias("y"), "id")
+    cut = blocked.with_counted_block(rows, ["page"], ["y", "id"], 1000)
+    largest = cut.groupBy("page", blocked.BLOCK).count().agg(F.max("count")).first()[0]
+    assert largest < 3000
+    got = blocked.row_number(cut, ["page"], ["y", "id"], "n").where("page = 0").orderBy("y", "id").select("n").collect()
+    assert [r.n for r in got] == list(range(1, len(got) + 1))
