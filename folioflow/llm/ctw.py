@@ -64,6 +64,35 @@ def _last(gram):
     return gram >> 8 & 0xFF
 
 
+#: Cells of the table that numbers groups; more are sorted.
+_TABLE = 1 << 26
+
+
+def _numbered(flat):
+    """Distinct groups, ascending, and for each place the number of its group.
+
+    A table over the occurring halves of the groups does it without sorting.
+    """
+    import numpy as np
+
+    high, low = (flat >> np.uint32(16)).astype(np.uint16), (flat & np.uint32(0xFFFF)).astype(np.uint16)
+    tops, bottoms = np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool)
+    tops[high], bottoms[low] = True, True
+    rows, columns = np.flatnonzero(tops), np.flatnonzero(bottoms)
+    if len(rows) * len(columns) > _TABLE:
+        found = np.unique(flat)
+        return found, np.searchsorted(found, flat).astype(np.int32)
+    row_of = ((np.cumsum(tops) - 1) * len(columns)).astype(np.int32)
+    cell = row_of[high]
+    cell += (np.cumsum(bottoms, dtype=np.int32) - 1)[low]
+    seen = np.zeros(max(1, len(rows) * len(columns)), dtype=bool)
+    seen[cell] = True
+    cells = np.flatnonzero(seen)
+    rank = np.cumsum(seen, dtype=np.int32) - 1
+    found = (rows[cells // max(1, len(columns))] << 16 | columns[cells % max(1, len(columns))]) if len(flat) else cells[:0]
+    return found.astype(np.uint32), rank[cell]
+
+
 class _Seen:
     """Distinct groups and words of a block, and where its documents use them."""
 
@@ -76,41 +105,38 @@ class _Seen:
         self.learned = np.array([learned(k) for k in block.keys], dtype=bool)
         number: dict[bytes, int] = {}
         give = number.setdefault
-        spots, self.word_ends, parts, self.gram_ends = [], [], [], []
-        words = texts = 0
+        spots, self.word_ends, self.gram_ends = [], [0], [0]
+        flat = np.empty(len(block.data) + len(block.keys), dtype=np.uint32)
         for text in block.texts():
             tokens = text.lower().split()
             spots.append(np.array([give(w, len(number)) for w in tokens], dtype=np.int32))
-            words += len(tokens)
-            self.word_ends.append(words)
-            parts.append(grams(text))
-            texts += len(text) + 1
-            self.gram_ends.append(texts)
+            self.word_ends.append(self.word_ends[-1] + len(tokens))
+            end = self.gram_ends[-1] + len(text) + 1
+            flat[self.gram_ends[-1]:end] = grams(text)
+            self.gram_ends.append(end)
         self.word_at = np.concatenate(spots) if spots else np.zeros(0, np.int32)
         digests = [xxhash.xxh3_128_digest(w) for w in number]
         order = sorted(range(len(digests)), key=digests.__getitem__)
         self.hashes = [digests[i] for i in order]
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
         self.word_at = place[self.word_at]
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        self.grams, at = np.unique(flat, return_inverse=True)
-        self.gram_at = at.astype(np.int32)
+        self.grams, self.gram_at = _numbered(flat)
 
-    def per_document(self, values, ends):
-        """Sums of consecutive values up to each end."""
-        import numpy as np
-
-        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        ends = np.array(ends, dtype=np.int64)
-        return total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else total[:0]
+    @staticmethod
+    def per_document(values, at, ends) -> list:
+        """Each document's sum of the values it uses."""
+        return [values[at[a:b]].sum() for a, b in zip(ends, ends[1:])]
 
     def trained(self, at, ends, size: int):
         """How often training documents use each distinct thing."""
         import numpy as np
 
-        uses = np.repeat(self.learned, np.diff(np.concatenate([[0], np.array(ends, dtype=np.int64)])).astype(np.int64))
-        return np.bincount(at[uses], minlength=size).astype(np.int64)
+        total = np.zeros(size, dtype=np.int64)
+        for learned, a, b in zip(self.learned, ends, ends[1:]):
+            if learned:
+                np.add.at(total, at[a:b], 1)
+        return total
 
 
 _MESSAGE = "kind string, shard int, block long, what binary, counts binary"
@@ -174,28 +200,38 @@ def _messages(summaries: DataFrame, gram_shards: int, word_shards: int) -> DataF
     return per_row(summaries, one, _MESSAGE)
 
 
-def _counted(rows: list[dict]) -> Iterator[dict]:
-    """One shard's distinct things with their training counts over all blocks."""
+def _counted_grams(rows: list[dict]) -> Iterator[dict]:
+    """One shard's distinct groups with their training counts over all blocks."""
     import numpy as np
 
-    dtype = np.dtype("<u4") if rows[0]["kind"] == "gram" else np.dtype("S16")
-    what = np.frombuffer(b"".join(r["what"] for r in rows), np.uint32 if dtype.kind == "u" else "V16")
+    what = np.frombuffer(b"".join(r["what"] for r in rows), np.uint32)
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
-    if dtype.kind == "u":
-        found, at = np.unique(what, return_inverse=True)
-    else:
-        halves = what.view(">u8").reshape(-1, 2)
-        order = np.lexsort((halves[:, 1], halves[:, 0]))
-        ordered = halves[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-        at = np.empty(len(order), dtype=np.int64)
-        at[order] = np.cumsum(new) - 1
-        found = what[order[new]]
-    total = np.zeros(len(found), dtype=np.int64)
-    np.add.at(total, at, counts)
-    yield {"kind": rows[0]["kind"], "shard": rows[0]["shard"], "what": found.tobytes(), "counts": total.tobytes(),
-           "used": int(total.sum()), "distinct": int((total > 0).sum())}
+    order = np.argsort(what, kind="stable")
+    what, counts = what[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, what[1:] != what[:-1]])
+    yield {"shard": rows[0]["shard"], "what": what[starts].tobytes(), "counts": np.add.reduceat(counts, starts).tobytes()}
+
+
+def _answered_words(rows: list[dict]) -> Iterator[dict]:
+    """Each block's words of one shard with their training counts over all blocks, and the shard's totals."""
+    import numpy as np
+
+    halves = np.frombuffer(b"".join(r["what"] for r in rows), ">u8").astype(np.uint64).reshape(-1, 2)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    ordered = halves[order]
+    starts = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)])
+    total = np.add.reduceat(counts[order], starts)
+    shared = np.empty(len(order), dtype=np.int64)
+    shared[order] = np.repeat(total, np.diff(np.r_[starts, len(order)]))
+    at = 0
+    for row in rows:
+        n = len(row["what"]) // 16
+        yield {"kind": "word", "shard": row["shard"], "block": row["block"], "values": shared[at:at + n].tobytes(),
+               "used": 0, "distinct": 0}
+        at += n
+    yield {"kind": "total", "shard": rows[0]["shard"], "block": None, "values": None, "used": int(total.sum()),
+           "distinct": int((total > 0).sum())}
 
 
 def _log_kt(zeros, ones):
@@ -353,19 +389,6 @@ def _answer_grams(asked: list[dict], known: list[dict]) -> Iterator[dict]:
         yield {"kind": "gram", "shard": row["shard"], "block": row["block"], "values": logs[at].tobytes()}
 
 
-def _answer_words(asked: list[dict], known: list[dict]) -> Iterator[dict]:
-    import numpy as np
-
-    halves = np.frombuffer(known[0]["what"], ">u8").reshape(-1, 2).astype(np.uint64)
-    counts = np.frombuffer(known[0]["counts"], np.int64)
-    for row in asked:
-        own = np.frombuffer(row["what"], ">u8").reshape(-1, 2).astype(np.uint64)
-        at = np.searchsorted(halves[:, 0], own[:, 0])
-        while (wrong := halves[at, 1] != own[:, 1]).any():  # equal first halves: on to the next
-            at[wrong] += 1
-        yield {"kind": "word", "shard": row["shard"], "block": row["block"], "values": counts[at].tobytes()}
-
-
 _ANSWER = "kind string, shard int, block long, values binary"
 
 
@@ -380,16 +403,15 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     word_shards = shards_for(sum_of(summaries, "n_words"), SHARD_ENTRIES)
     training = sum_of(summaries, "training")
     messages = _messages(summaries, gram_shards, word_shards)
-    both = "kind string, shard int, what binary, counts binary, used long, distinct long"
     asked = {k: messages.where(F.col("kind") == k) for k in ("gram", "word")}
-    counted = {k: materialize(per_shard(asked[k], _counted, both), f"score-{k}s") for k in asked}
-    subtrees = materialize(_by_subtree(counted["gram"]), "score-subtrees")
+    words = materialize(per_shard(asked["word"], _answered_words, f"{_ANSWER}, used long, distinct long"), "score-words")
+    counted = per_shard(asked["gram"], _counted_grams, "shard int, what binary, counts binary")
+    subtrees = materialize(_by_subtree(counted), "score-subtrees")
     logs = _probabilities(subtrees, _roots(subtrees), gram_shards)
     answers = together(asked["gram"].select("shard", "block", "what"), logs, "shard", _answer_grams, _ANSWER).union(
-        together(asked["word"].select("shard", "block", "what"), counted["word"].select("shard", "what", "counts"),
-                 "shard", _answer_words, _ANSWER))
-    n = sum_of(counted["word"], "used") + training  # an end per training document
-    v = sum_of(counted["word"], "distinct") + (training > 0)
+        words.where("kind = 'word'").select("kind", "shard", "block", "values"))
+    n = sum_of(words, "used") + training  # an end per training document
+    v = sum_of(words, "distinct") + (training > 0)
     unit = math.log10(n + v + 1)
 
     def one(own: list[dict], got: list[dict]) -> Iterator[dict]:
@@ -401,15 +423,14 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 if len(at):
                     logs[at] = np.frombuffer(said["gram", shard], np.float64)
             counts = np.frombuffer(b"".join(said.get(("word", s), b"") for s in range(word_shards)), np.int64)
-            score = seen.per_document(logs[seen.gram_at], seen.gram_ends)
-            base = seen.per_document((np.log10(counts + 1.0) - unit)[seen.word_at], seen.word_ends)
-            known = seen.per_document((counts > 0)[seen.word_at], seen.word_ends)
-            tokens = np.diff(np.concatenate([[0], np.array(seen.word_ends, dtype=np.int64)]))
-            sizes = np.diff(np.concatenate([[0], np.array(seen.gram_ends, dtype=np.int64)]))
+            score = seen.per_document(logs, seen.gram_at, seen.gram_ends)
+            base = seen.per_document(np.log10(counts + 1.0) - unit, seen.word_at, seen.word_ends)
+            known = seen.per_document(counts > 0, seen.word_at, seen.word_ends)
+            tokens, sizes = np.diff(seen.word_ends), np.diff(seen.gram_ends)
             end = math.log10(training + 1) - unit
             for i, name in enumerate(seen.keys):
                 yield {"_key": name, "learned": bool(seen.learned[i]), "n_tokens": int(tokens[i]) + 1,
-                       "n_known": int(round(known[i])) + (training > 0), "train_tokens": n,
+                       "n_known": int(known[i]) + (training > 0), "train_tokens": n,
                        "base_score": float(base[i] + end), "score": float(score[i]),
                        "bits_per_byte": float(-score[i] / math.log10(2) / sizes[i])}
 
