@@ -189,6 +189,37 @@ def memo_run(spark, sf):
     return done.select("doc_id", "pos", "translated")
 
 
+def _moody_mapper():
+    """Refuses large requests, fails on some first attempts, and leaves rows out of others."""
+    import json
+    import zlib
+
+    def answer(segments):
+        if len(segments) > 6:
+            raise OversizeError("more than six")
+        first = segments[0]["attempt"] == 0
+        if first and zlib.crc32(segments[0]["text"].encode()) % 7 == 0:
+            raise ValueError("no answer")
+        kept = [s for s in segments if not (first and zlib.crc32(s["text"].encode()) % 5 == 0)]
+        return json.dumps({"translations": [
+            {"segment_id": s["seg_id"], "translated_text": "[모의 번역] " + s["text"]} for s in kept]})
+
+    return answer
+
+
+@query("X1 J2 J3 M2 D3", f"""
+WITH {S.SEGMENTS}
+SELECT doc_id, pos, '[모의 번역] ' || text AS translated, NULL::VARCHAR AS error, false AS failed FROM segs WHERE needs""")
+def memo_mapped_run(spark, sf):
+    """A mapper that omits, fails and refuses; missing work is asked again, and a second run has none."""
+    docs = table(spark, sf, "documents")
+    path = work_path(spark, "memo")
+    memo.create_empty(spark, path)
+    plain = plan.Options(placeholders=False, validation=False)
+    done = plan.translate_through_memo(docs, path, _moody_mapper, "English", "Korean", options=plain)
+    return done.select("doc_id", "pos", "translated", "error", "failed")
+
+
 @query("D3 J2", f"""
 WITH {S.SEGMENTS}
 SELECT count(DISTINCT text) AS first_calls, 0 AS second_calls FROM segs WHERE needs""")

@@ -3,10 +3,12 @@
 ``translate`` keeps each document in its row from the scan to the mapped
 batches, so the whole plan runs without a shuffle. ``pending`` and ``finish``
 add the memo: equal texts are mapped once in the corpus and never again.
+``translate_through_memo`` composes both around a mapper of your own.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +27,7 @@ from folioflow.operators import batching, blocked, memo
 from folioflow.operators.context import context_reply, sample
 from folioflow.operators.reconcile import map_batches, mock_answer, parse_strict, reconcile
 from folioflow.operators.segments import scan, segment_id
+from folioflow.session import materialize
 
 
 @dataclass(frozen=True)
@@ -210,3 +213,58 @@ def finish(documents: DataFrame, stored: DataFrame, source_lang: str, target_lan
         keyed_segments(documents, source_lang, target_lang, key=key),
         stored.select("cache_key", F.col("translated_text").alias("translated")), [key, "pos"],
     )
+
+
+def _asked_batches(work: DataFrame, key: str, terms: dict[str, str] | None, options: Options, attempt: int) -> DataFrame:
+    """Open work in batches: key, batch_id, segments. A batch holds at most BATCH_SEGMENTS rows."""
+    none = F.array().cast("array<string>")
+    if options.placeholders:
+        protected = tokens.protector(terms if options.glossary else None)("text")
+    else:
+        protected = F.struct(F.col("text"), none.alias("held"), none.alias("terms"))
+    numbers = batched_work(work, key).select(key, "pos", "batch_id")
+    rows = work.withColumn("_p", protected).join(numbers, [key, "pos"])
+    segment = F.struct(
+        "pos", "page", "seg_id", "cache_key", F.col("text").alias("source"), F.col("_p.text").alias("text"),
+        F.col("_p.held").alias("held"), F.col("_p.terms").alias("terms"), F.lit(attempt).alias("attempt"))
+    return rows.groupBy(key, "batch_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+
+
+def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, source_lang: str, target_lang: str,
+                           terms: dict[str, str] | None = None, key: str = "doc_id", glossary: str = "",
+                           options: Options = Options(), attempts: int = 3) -> DataFrame:
+    """key, pos, text, translated, error, failed for all targets; every distinct text is mapped once.
+
+    Work that the memo lacks is batched, mapped, reconciled, checked and restored;
+    sound results are appended to the memo after each attempt, and what is still
+    open is asked again, up to ``attempts`` times. The segments a mapper gets
+    carry the number of the attempt. A text without a sound result keeps its
+    source and says why. The memo has to exist (``memo.create_empty``).
+    """
+    spark = documents.sparkSession
+    segments = keyed_segments(documents, source_lang, target_lang, glossary, key)
+    work = memo.misses(memo.distinct_work(segments, [key, "pos"]), memo.stored_rows(spark, memo_path))
+    work = materialize(work.select(key, "pos", "page", "seg_id", "text", "cache_key"), "pending")
+    seq, run, faults = memo.next_seq(spark, memo_path), uuid.uuid4().hex, None
+    for attempt in range(attempts):
+        if work.isEmpty():
+            break
+        answered = map_batches(_asked_batches(work, key, terms, options, attempt), make_mapper, [key, "batch_id"])
+        matched = answered.withColumn(
+            "_matched", reconcile(F.col("segments"), F.col("pairs"), F.lit(target_lang)))
+        rows = matched.select(key, "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")).select(
+            key, "error", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
+        finished = materialize(finish_segments(rows, options), "answers")
+        sound = finished.where(~F.col("failed")).withColumnRenamed("source", "text")
+        memo.append(memo.entries(sound, F.lit(source_lang), F.lit(target_lang), F.lit(glossary), F.lit(seq + attempt)),
+                    memo_path, f"{run}-{attempt}")
+        faults = finished.where("failed")
+        work = faults.select(key, "pos", "page", "seg_id", F.col("source").alias("text"), "cache_key")
+    stored = memo.load(spark, memo_path).select("cache_key", F.col("translated_text").alias("translated"))
+    results = stored.withColumn("error", F.lit(None).cast("string"))
+    if faults is not None:
+        results = results.unionByName(faults.select("cache_key", F.lit(None).cast("string").alias("translated"), "error"))
+    return memo.spread_results(segments, results, [key, "pos"]).select(
+        key, "pos", "text", F.coalesce("translated", "text").alias("translated"),
+        F.when(F.col("translated").isNull(), F.coalesce("error", F.lit("not mapped"))).alias("error"),
+        F.col("translated").isNull().alias("failed"))

@@ -128,3 +128,32 @@ def test_blocks_by_count_stay_small_in_a_hot_group(spark):
     assert largest < 3000
     got = blocked.row_number(cut, ["page"], ["y", "id"], "n").where("page = 0").orderBy("y", "id").select("n").collect()
     assert [r.n for r in got] == list(range(1, len(got) + 1))
+
+
+def test_missing_answers_are_asked_again_and_then_remembered(spark, tmp_path):
+    path, calls = str(tmp_path / "memo"), spark.sparkContext.accumulator(0)
+    memo.create_empty(spark, path)
+    docs = spark.createDataFrame(
+        [(1, "see http://a.test now\nplain words\nnever done"), (2, "plain words\nother words")],
+        "doc_id bigint, text string")
+
+    def make():
+        def answer(segments):
+            calls.add(1)
+            if any("other" in s["text"] for s in segments) and segments[0]["attempt"] == 0:
+                raise ValueError("down")
+            kept = [s for s in segments if "never" not in s["text"]
+                    and not (segments[0]["attempt"] == 0 and "plain" in s["text"])]
+            return json.dumps({"translations": [
+                {"segment_id": s["seg_id"], "translated_text": "fr " + s["text"]} for s in kept]})
+        return answer
+
+    rows = {(r.doc_id, r.pos): r for r in plan.translate_through_memo(docs, path, make, "English", "French").collect()}
+    assert rows[1, 0].translated == "fr see http://a.test now" and not rows[1, 0].failed
+    assert rows[1, 1].translated == rows[2, 0].translated == "fr plain words"
+    assert rows[2, 1].translated == "fr other words"
+    assert rows[1, 2].failed and rows[1, 2].translated == "never done" and rows[1, 2].error == "not mapped"
+    before = calls.value
+    done = docs.where("doc_id = 2")
+    again = plan.translate_through_memo(done, path, make, "English", "French").collect()
+    assert calls.value == before and not any(r.failed for r in again)
