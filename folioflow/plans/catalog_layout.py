@@ -102,7 +102,7 @@ def block_text(spark, sf):
 
 
 _SHAPES = f"""{BOXES_SQL},
-l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, left(text, 3 + page % 3) AS text FROM boxes),
+l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, repeat('가', CAST(3 + page % 3 AS INTEGER)) AS text FROM boxes),
 g AS (SELECT page, count(*) AS lines, max(x0) - min(x0) AS xs, max(y0) - min(y0) AS ys, avg(length(text)) AS mc,
     sum(CASE WHEN vertical THEN 1 ELSE 0 END) > count(*) / 2.0 AS dir,
     first(y0 ORDER BY id) AS fy0, first(y1 ORDER BY id) AS fy1 FROM l GROUP BY page),
@@ -123,7 +123,7 @@ def block_shapes(spark, sf):
                 F.col("box.y1") + F.col("id") % 7 * 10)
     cut = b.select(
         "page", F.col("id").alias("pos"), box.alias("box"), "vertical",
-        F.substring("text", 1, F.lit(3) + F.col("page").cast("int") % 3).alias("text"),
+        F.repeat(F.lit("가"), F.lit(3) + F.col("page").cast("int") % 3).alias("text"),
     )
     return layout.block_shape(cut, ["page"]).select(
         "page", "lines", F.round("x_spread", 6).alias("x_spread"), "y_spread", "block_vertical", "table_like"

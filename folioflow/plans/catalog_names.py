@@ -111,9 +111,7 @@ def _parts_sql(tag: str, source: str) -> str:
 
 
 @query("F20 O5", f"""
-WITH {_RANGES}, trimmed_d AS (SELECT * FROM rd WHERE user_id % 2 = 1 OR b - a > 2),
-trimmed_u AS (SELECT * FROM ru WHERE user_id % 2 = 1 OR b - a > 1),
-users AS (SELECT DISTINCT user_id FROM status), {_parts_sql('d', 'trimmed_d')}, {_parts_sql('u', 'trimmed_u')},
+WITH {_RANGES}, users AS (SELECT DISTINCT user_id FROM status), {_parts_sql('d', 'rd')}, {_parts_sql('u', 'ru')},
 s AS (
   SELECT user_id, {_BASE_SQL} AS base, d.n <= 5 AND u.n <= 5 AS few,
     {_BASE_SQL} || '_translated_' || d.listed || '_untranslated_' || u.listed AS fl,
@@ -126,10 +124,8 @@ SELECT user_id, CASE WHEN few AND length(fl) <= 140 THEN fl WHEN few AND length(
   NOT (few AND (length(fl) <= 140 OR length(sh) <= 160)) AS needs_sidecar
 FROM s""")
 def output_stems(spark, sf):
-    """Stems over the long ranges of even users and all ranges of odd ones, so that every form occurs."""
-    length = F.col("last") - F.col("first")
-    long = length > F.when(F.col("state") == "translated", 2).otherwise(1)
-    kept = _state_ranges(spark, sf).where((F.col("user_id") % 2 == 1) | long)
+    """Stems over all ranges of every user."""
+    kept = _state_ranges(spark, sf)
     outlines = ranges.outlines_by_state(ranges.range_outline(kept, ["user_id", "state"]), "user_id")
     users = table(spark, sf, "events").select("user_id").distinct()
     base = F.concat(
