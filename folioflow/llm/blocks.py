@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ NO_KEY = -(2**63)
 def squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, key: str, text: str, name: str, block_bytes: int = BLO
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
-                column = pa.compute.fill_null(part.column("text"), "").cast(pa.large_binary())
+                column = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
                 ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
                 data = memoryview(column.buffers()[2] or b"")[ends[0]:ends[-1]]
                 out = [pa.array([number]), pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())),

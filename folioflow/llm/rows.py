@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows of an Arrow batch are handed on in slices of about this many bytes of text.
@@ -14,7 +15,7 @@ SLICE_BYTES = 4 << 20
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds at most ``limit`` bytes, or one row."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and size + n > limit:
             yield batch.slice(start, i - start)
@@ -36,8 +37,6 @@ def per_text(df: DataFrame, key: str, text: str, one: Callable[[], Callable[[str
     key_type = dict(source.dtypes)["_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         fn = one()
         for batch in batches:
             for part in slices(batch, "_text"):

@@ -33,8 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.blocks import Block, expand, pack, per_row, per_shard, shards_for, squeeze, sum_of, together
-from folioflow.session import materialize
+from folioflow.llm.blocks import Block, expand, pack, per_row, per_shard, shards_for, squeeze, together
 
 MIN_BYTES = 50
 GRAM = 24
@@ -45,7 +44,7 @@ PIECE = 1 << 20
 #: Anchors, per block distinct, of one bucket.
 BUCKET_ENTRIES = 1 << 19
 #: Anchors sampled for the splitters: of each of about SAMPLE_BLOCKS blocks.
-SAMPLE_ANCHORS, SAMPLE_BLOCKS = 64, 2048
+SAMPLE_ANCHORS, SAMPLE_BLOCKS = 4096, 48
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -129,42 +128,44 @@ class _Runs:
         self.doc = np.searchsorted(self.own.ends, self.first, side="right")
 
 
-def _anchor_rows(blocks: DataFrame) -> DataFrame:
-    """(block, n, anchors, sample): the distinct anchors of a block, ascending."""
+def _splitters(blocks: DataFrame):
+    """Values that cut the anchors into buckets of about BUCKET_ENTRIES, from a bounded sample of blocks."""
     import numpy as np
 
     def one(row: dict) -> Iterator[dict]:
         keys = np.unique(_Runs(row).keys)
-        step = max(1, len(keys) // SAMPLE_ANCHORS)
-        yield {"block": row["block"], "n": len(keys), "anchors": keys.tobytes(), "sample": keys[step // 2::step].tobytes()}
+        some = keys[:: max(1, len(keys) // SAMPLE_ANCHORS)]
+        yield {"n": len(keys), "sample": some.tobytes()}
 
-    return per_row(blocks, one, "block long, n long, anchors binary, sample binary")
-
-
-def _splitters(anchors: DataFrame, buckets: int):
-    """Values that cut the anchors into buckets of about one size, from a bounded sample."""
-    import numpy as np
-
-    n = max(1, anchors.count())
+    n = max(1, blocks.count())
     share = F.pmod(F.xxhash64("block"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_BLOCKS / n))
-    rows = anchors.where(share).select("sample").collect()
-    sample = np.sort(np.frombuffer(b"".join(r.sample for r in rows), np.uint64))
-    if buckets == 1 or not len(sample):
+    rows = per_row(blocks.where(share), one, "n long, sample binary").collect()
+    # a block counts by its own number of anchors, whatever is taken of it
+    sample = [np.frombuffer(r.sample, np.uint64) for r in rows]
+    values = np.concatenate([np.zeros(0, np.uint64), *sample])
+    weights = np.concatenate([np.zeros(0), *(np.full(len(v), r.n / max(1, len(v))) for v, r in zip(sample, rows))])
+    total = weights.sum() * n / max(1, len(rows))
+    buckets = shards_for(int(total), BUCKET_ENTRIES)
+    if buckets == 1 or not len(values):
         return np.zeros(0, np.uint64)
-    return np.unique(sample[(np.arange(1, buckets) * len(sample)) // buckets])
+    order = np.argsort(values)
+    reached = np.cumsum(weights[order])
+    at = np.searchsorted(reached, reached[-1] * np.arange(1, buckets) / buckets)
+    return np.unique(values[order][at])
 
 
-def _dealt(anchors: DataFrame, cuts) -> DataFrame:
+def _dealt(blocks: DataFrame, cuts) -> DataFrame:
+    """The distinct anchors of each block, ascending, cut at the splitters."""
     import numpy as np
 
     def one(row: dict) -> Iterator[dict]:
-        keys = np.frombuffer(row["anchors"], np.uint64)
+        keys = np.unique(_Runs(row).keys)
         edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
         for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
                 yield {"shard": bucket, "block": row["block"], "anchors": keys[a:b].tobytes()}
 
-    return per_row(anchors.select("block", "anchors"), one, "shard int, block long, anchors binary")
+    return per_row(blocks, one, "shard int, block long, anchors binary")
 
 
 def _shared(rows: list[dict]) -> Iterator[dict]:
@@ -221,11 +222,12 @@ def _around(cuts):
             other = (ids[chosen] != least[seen]).astype(np.uint8)
             for bucket, (a, b, c, d) in enumerate(zip(edges, edges[1:], spot_edges, spot_edges[1:])):
                 if a < b:
+                    steps = np.diff(seen[c:d] - a, prepend=0).astype(np.int32)  # mostly 0 and 1
                     yield {"shard": bucket, "block": row["block"], "keys": key[a:b].tobytes(),
                            "offsets": offset[a:b].tobytes(), "counts": size[a:b].tobytes(),
-                           "least": least[a:b].tobytes(), "texts": squeeze(b"".join(texts[a:b])),
-                           "owner": (seen[c:d] - a).astype(np.int32).tobytes(),
-                           "places": firsts[c:d].astype(np.int64).tobytes(), "others": other[c:d].tobytes()}
+                           "least": squeeze(least[a:b].tobytes()), "texts": squeeze(b"".join(texts[a:b])),
+                           "owner": squeeze(steps.tobytes()), "places": firsts[c:d].astype(np.uint32).tobytes(),
+                           "others": squeeze(other[c:d].tobytes())}
 
     return one
 
@@ -273,7 +275,7 @@ def _columns(flat, starts, lengths, width: int):
 
 
 #: Strings of a bucket sorted in one go; anchors are never parted.
-_SORT_ROWS = 400_000
+_SORT_ROWS = 150_000
 
 
 def _judged(rows: list[dict]) -> Iterator[dict]:
@@ -284,7 +286,8 @@ def _judged(rows: list[dict]) -> Iterator[dict]:
         return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
     keys, offsets = join("keys", np.uint64), join("offsets", np.uint8).astype(np.int64)
-    counts, least = join("counts", np.uint8).astype(np.int64), join("least", np.int64)
+    counts = join("counts", np.uint8).astype(np.int64)
+    least = np.frombuffer(b"".join(expand(r["least"]) for r in rows), np.int64)
     flat = np.frombuffer(b"".join(expand(r["texts"]) for r in rows), np.uint8)
     sizes = counts + MIN_BYTES - 1
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -337,13 +340,13 @@ def _judged(rows: list[dict]) -> Iterator[dict]:
         own = len(r["keys"]) // 8
         mask, count = masks[begin:begin + own], counts[begin:begin + own]
         begin += own
-        owner = np.frombuffer(r["owner"], np.int32)
-        others = np.frombuffer(r["others"], np.uint8).astype(bool)
+        owner = np.cumsum(np.frombuffer(expand(r["owner"]), np.int32))
+        others = np.frombuffer(expand(r["others"]), np.uint8).astype(bool)
         whole = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
         said = np.where(others, whole[owner], mask[owner])
         hit = np.flatnonzero(said)
         if len(hit):
-            yield {"block": r["block"], "places": np.frombuffer(r["places"], np.int64)[hit].tobytes(),
+            yield {"block": r["block"], "places": np.frombuffer(r["places"], np.uint32)[hit].tobytes(),
                    "masks": said[hit].tobytes()}
 
 
@@ -353,7 +356,8 @@ def _removed(size: int, rows: list[dict]):
 
     starts = np.zeros(size + 1, dtype=np.int32)
     for r in rows:
-        places, masks = np.frombuffer(r["places"], np.int64), np.frombuffer(r["masks"], np.uint32)
+        places = np.frombuffer(r["places"], np.uint32).astype(np.int64)
+        masks = np.frombuffer(r["masks"], np.uint32)
         for bit in range(SPAN):
             starts[places[(masks >> np.uint32(bit) & np.uint32(1)).astype(bool)] + bit] = 1
     run = np.cumsum(starts[:size], dtype=np.int32)
@@ -366,9 +370,8 @@ def _applied(docs: DataFrame, key: str, text: str, row_of, schema: str) -> DataF
     import numpy as np
 
     blocks = pack(docs, key, text, "suffix-blocks", 4 << 20)
-    anchors = materialize(_anchor_rows(blocks), "suffix-anchors")
-    cuts = _splitters(anchors, shards_for(sum_of(anchors, "n"), BUCKET_ENTRIES))
-    shared = per_shard(_dealt(anchors, cuts), _shared, "block long, anchors binary")
+    cuts = _splitters(blocks)
+    shared = per_shard(_dealt(blocks, cuts), _shared, "block long, anchors binary")
     around = together(blocks, shared, "block", _around(cuts), _AROUND)
     answers = per_shard(around, _judged, "block long, places binary, masks binary")
 
