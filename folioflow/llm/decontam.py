@@ -28,7 +28,7 @@ from folioflow.functions.binding import let
 from folioflow.session import materialize
 
 WINDOW = 10
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Anything but letters, digits and all beyond ASCII; in either case, so that counting need not fold it.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

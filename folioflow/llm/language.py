@@ -7,8 +7,8 @@ texts. One linear support vector machine per family picks the family; inside,
 one machine per pair of languages votes.
 
 Training takes at most ``SAMPLE`` texts of each of the ``LANGUAGES`` most
-frequent languages, those with the smallest hash of their key. That is the only
-bound; every text is predicted, whole.
+frequent languages, those with the smallest hash of their key, and at most
+``TOTAL``. That is the only bound; every text is predicted, whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing can be learned. Rows without a language are never
@@ -32,6 +32,8 @@ from folioflow.llm.rows import per_text
 SAMPLE = 300
 #: Most languages told apart.
 LANGUAGES = 200
+#: Most labelled texts over all languages: with many of them each gets fewer.
+TOTAL = 12_000
 BITS = 12
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -161,6 +163,7 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model([])
+    sample = max(1, min(sample, TOTAL // len(counts)))
     # the hash is even, so a share of its range is a share of the rows: a third more than wanted, then the least
     share = F.lit(False)
     for r in counts:
