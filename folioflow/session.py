@@ -60,10 +60,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the working files of this session. Call it when the results that read them are written."""
+def release(spark: SparkSession, *more: str) -> None:
+    """Delete the working files of this session, and ``more``. Call it when the results that read them are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _PATHS.pop(spark.sparkContext.applicationId, []):
+    for path in [*_PATHS.pop(spark.sparkContext.applicationId, []), *more]:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
 
