@@ -374,7 +374,21 @@ def reading_order(spark, sf):
     return merging.reading_order(rows)
 
 
-@query("F30")
+def _fit_sql(start: str, width: str) -> str:
+    """Words from ``start`` on that fit into one line's share of the text; at least one."""
+    room = f"greatest(1, round_even(length(text) * {width} / total, 0))"
+    return (f"greatest(1, len(list_filter(range(1, len(w) - {start} + 2), "
+            f"lambda t: length(array_to_string(w[{start}:{start} + t - 1], ' ')) <= {room})))")
+
+
+@query("F30", f"""
+WITH b AS (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type || '  ' || p_brand, ' '), lambda x: x <> '') AS w,
+    list_filter([CAST(p_size % 7 + 1 AS DOUBLE), p_size % 5, p_partkey % 9 + 1], lambda x: x > 0) AS ws FROM part),
+t AS (SELECT *, array_to_string(w, ' ') AS text, list_sum(ws) AS total FROM b),
+one AS (SELECT *, CASE WHEN len(ws) >= 2 THEN {_fit_sql('1', 'ws[1]')} ELSE 0 END AS a FROM t),
+two AS (SELECT *, CASE WHEN len(ws) >= 3 AND a < len(w) THEN a + {_fit_sql('(a + 1)', 'ws[2]')} ELSE a END AS c FROM one)
+SELECT p_partkey, array_to_string(list_filter([array_to_string(w[1:a], ' '), array_to_string(w[a + 1:c], ' '),
+  array_to_string(w[c + 1:len(w)], ' ')], lambda x: x <> ''), chr(10)) AS text FROM two""")
 def fitted_lines(spark, sf):
     """Part names laid over three lines whose widths follow the part."""
     p = table(spark, sf, "part")

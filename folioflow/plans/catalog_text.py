@@ -669,6 +669,27 @@ def html_balance(spark, sf):
     return table(spark, sf, "pages").select("page_id", markup.html_fault("html").alias("fault"))
 
 
+@query("F7a", """
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'expected </p>, got </div>' WHEN 2 THEN '</p> without start'
+  WHEN 3 THEN 'unclosed div,b' WHEN 4 THEN 'expected </i>, got </b>' END AS fault FROM pages""")
+def html_faults(spark, sf):
+    """One known fault, or none, around the address and size of every page."""
+    words = F.concat(F.regexp_replace("url", "[<>&]", " "), F.lit(" "), F.length("html"))
+
+    def around(before: str, after: str):
+        return F.concat(F.lit(before), words, F.lit(after))
+
+    kind = F.col("page_id") % 5
+    built = (
+        F.when(kind == 0, around("<div><p>", "</p><br><img src='x'></div>"))
+        .when(kind == 1, around("<div><p>", "</div></p></div>"))
+        .when(kind == 2, around("", "</p>"))
+        .when(kind == 3, around("<div><b>", ""))
+        .otherwise(around("<b><i>", "</b></i></b>"))
+    )
+    return table(spark, sf, "pages").select("page_id", markup.html_fault(built).alias("fault"))
+
+
 @query("F4", "SELECT page_id, len(regexp_extract_all(html, '<[^>]+>')) AS tags FROM pages")
 def html_tag_counts(spark, sf):
     """Literals of the tag kind per page."""
