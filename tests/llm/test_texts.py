@@ -167,12 +167,10 @@ def test_scores_by_definition(spark, docs_of):
 
 
 def test_groups_are_numbered_alike_with_and_without_the_table(monkeypatch):
-    values = np.random.default_rng(1).integers(0, 2**32, 50_000).astype(np.uint32)
-    for some in (values, values % 700, values[:0]):
+    values = np.random.default_rng(1).integers(0, 2**32, 3000).astype(np.uint32)
+    for some in (values, values % 70_000, values[:0]):
         found, at = np.unique(some, return_inverse=True)
-        for cells in (1 << 40, 1):
-            if cells > 1 and len(some) > 10_000 and some is values:
-                continue
+        for cells in (1 << 26, 1):
             monkeypatch.setattr(ctw, "_TABLE", cells)
             a, b = ctw._numbered(some)
             assert (a == found).all() and (b == at).all()
