@@ -153,6 +153,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     """
     kept = near_duplicates(df, key, text, radius).where(F.col(key) == F.col("component_id")).select(
         F.col(key).alias("_kept")).distinct()
-    kept = materialize(kept, "kept")
+    # the kept keys grow with the rows, so they are never broadcast, at no size
+    kept = materialize(kept, "kept").hint("shuffle_hash")
     stay = df.join(kept, df[key] == F.col("_kept"), "left_semi")
     return stay.unionByName(df.where(df[key].isNull()))
