@@ -28,8 +28,8 @@ from folioflow.llm.rows import per_text
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Chunks whose ids, and pairs whose test, a worker remembers; beyond it the memory starts afresh.
+REMEMBERED = 150_000
 
 
 def default_model() -> str:
@@ -100,6 +100,8 @@ class PieceTable:
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
             left, right = self.texts[a], self.texts[b]
             known = self.pairs[a, b] = self.merge(left + right) == [left, right]
         return known
@@ -187,6 +189,8 @@ def read_model(spark, path: str | None) -> bytes:
 
 def _digests(model, with_ids: bool = False) -> Callable[[str], tuple]:
     """For a text: number of ids, digest of the ids, digest of the decoded text, and on demand the ids."""
+    import numpy as np
+
     pieces = table_for(model.value)
     known: dict[str, tuple] = {}
 
@@ -194,7 +198,8 @@ def _digests(model, with_ids: bool = False) -> Callable[[str], tuple]:
         ids = pieces.encode_chunk(chunk)
         if len(known) >= REMEMBERED:
             known.clear()
-        got = (",".join(map(str, ids)), len(ids), pieces.decode(ids, first=False), ids)
+        raw = np.array(ids, dtype=np.int32).tobytes() if with_ids else b""
+        got = (",".join(map(str, ids)), len(ids), pieces.decode(ids, first=False), raw)
         if len(chunk) <= 64:
             known[chunk] = got
         return got
@@ -210,7 +215,7 @@ def _digests(model, with_ids: bool = False) -> Callable[[str], tuple]:
         decoded = "".join([p[2] for p in parts]).removeprefix(" ")
         out = (sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
                hashlib.sha256(decoded.encode()).hexdigest())
-        return (*out, [i for p in parts for i in p[3]]) if with_ids else out
+        return (*out, np.frombuffer(b"".join([p[3] for p in parts]), dtype=np.int32)) if with_ids else out
 
     return one
 
