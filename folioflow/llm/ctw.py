@@ -397,7 +397,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, learned, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row per row."""
     import numpy as np
 
-    blocks = pack(docs, key, text, "score-blocks")
+    blocks = pack(docs, key, text, "score-blocks", 5 << 20)
     summaries = materialize(_summaries(blocks, learned), "score-counts")
     gram_shards = shards_for(sum_of(summaries, "n_grams"), SHARD_ENTRIES)
     word_shards = shards_for(sum_of(summaries, "n_words"), SHARD_ENTRIES)
