@@ -2,10 +2,12 @@
 
 Base findings are matches of fixed patterns. On top, identifiers, secret-looking
 strings and endpoints are weak candidates: alone they mean nothing. An interval
-join inside a scope (text between empty lines) looks for complementary parts
-within ``REACH`` characters; a weak candidate is reported as ``linked`` only if
-one is there. Partners are found by bisection on sorted starts: the question is
-whether one exists, so no pairs are formed however many parts a scope holds.
+join inside a scope (text between empty lines) looks for a part of another kind:
+on another line of the scope at any distance, on the same line (which may be a
+long paragraph) within ``REACH`` characters. A weak candidate is reported as
+``linked`` only if one is there. Partners are found by bisection on sorted starts
+and ends: the question is whether one exists, so no pairs are formed however many
+parts a scope holds. Parts are of any length.
 
 Defined results: a null or empty text has no findings; equal spans found by
 several rules appear once per kind; offsets are code points, end exclusive; rows
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from folioflow.llm.rows import per_text
 
 KINDS = ("assign", "access", "hex", "linked")
-#: Most characters between complementary parts.
+#: Most characters between complementary parts of one line.
 REACH = 200
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -36,13 +38,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # weak parts: what names an account, what could be its secret, where it is used
 _IDENTIFIER = re.compile(
-    r"""(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""",
+    r"""(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
     re.IGNORECASE | re.ASCII)
 _IDENTIFIER_WORDS = ("access", "client", "account", "user", "login")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(
-    r"(?:https?|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?|s3)://[^\s\"'<>]{3,512}", re.ASCII)
+    r"(?:https?|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?|s3)://[^\s\"'<>]{3,}", re.ASCII)
 _SCOPE = re.compile(r"\n[\t\r\x20]*\n")
+_BREAK = re.compile(r"\n")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,29 +80,37 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return []  # nothing could complement a secret-looking string
     weak["secret"] = [m.span() for m in _OPAQUE.finditer(text) if _varied(m[0])]
     borders = [m.start() for m in _SCOPE.finditer(text)]
-    sides = {
-        "id": sorted(strong_ids + weak["id"]), "secret": sorted(strong_secrets + weak["secret"]),
-        "place": sorted(weak["place"]),
-    }
-    starts = {k: [s for s, _ in v] for k, v in sides.items()}
-    widest = {k: max((e - s for s, e in v), default=0) for k, v in sides.items()}
+    breaks = [m.start() for m in _BREAK.finditer(text)]
+    sides = {"id": strong_ids + weak["id"], "secret": strong_secrets + weak["secret"], "place": weak["place"]}
+    starts = {k: sorted(s for s, _ in v) for k, v in sides.items()}
+    ends = {k: sorted(e for _, e in v) for k, v in sides.items()}
     taken = {(s, e) for s, _, e in base}
 
+    def around(cuts: list[int], at: int) -> tuple[int, int]:
+        n = bisect.bisect_left(cuts, at)
+        return cuts[n - 1] if n else -1, cuts[n] if n < len(cuts) else len(text)
+
     def meets(kind: str, start: int, end: int) -> bool:
-        scope = bisect.bisect_left(borders, start)
-        at = bisect.bisect_left(starts[kind], start - REACH - widest[kind])
-        while at < len(starts[kind]) and starts[kind][at] <= end + REACH:
-            s, e = sides[kind][at]
-            if e >= start - REACH and (e <= start or s >= end) and bisect.bisect_left(borders, s) == scope:
-                return True
-            at += 1
-        return False
-
-    partners = {"id": ("secret",), "secret": ("id",), "place": ("id", "secret")}
+        """No part holds a line break, so one that ends or starts in a line or scope lies in it."""
+        own, other = starts[kind], ends[kind]
+        scope, line = around(borders, start), around(breaks, start)
+        n = bisect.bisect_right(other, start)
+        if n and other[n - 1] > line[0] and other[n - 1] >= start - REACH:
+            return True
+        n = bisect.bisect_left(own, end)
+        if n < len(own) and own[n] < line[1] and own[n] <= end + REACH:
+            return True
+        n = bisect.bisect_right(own, scope[0])  # the first and the last of the scope, if on another line
+        if n < len(own) and own[n] < line[0]:
+            return True
+        n = bisect.bisect_left(own, scope[1])
+        return n > 0 and own[n - 1] > line[1]
+
+    kinds = set(weak)
     out = set()
     for kind, spans in weak.items():
         for s, e in spans:
-            if (s, e) not in taken and any(meets(p, s, e) for p in partners[kind]):
+            if (s, e) not in taken and any(meets(p, s, e) for p in kinds - {kind}):
                 out.add((s, 3, e))
     return sorted(out)
 
