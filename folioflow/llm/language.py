@@ -220,8 +220,9 @@ def language_of(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that hold language at all, every column as it was.
 
-    A text goes if no language can be named, because nothing in it is a letter;
-    how sure the machines are never drops a text.
+    A text goes if nothing in it is a letter; so texts stay if no language could be
+    learned, because none is labelled or all labelled rows are held out. How sure
+    the machines are never drops a text: a language nobody labelled is one too.
     """
     model = train(df.where(~held_out(df[key])), key, text, lang)
     shipped = df.sparkSession.sparkContext.broadcast(model)
@@ -232,8 +233,9 @@ def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang
             texts = batch.column(text).to_pylist()
             keep = []
             for t in texts:
-                x = features(t) if shipped.value.languages else None
-                keep.append(x is not None and shipped.value.predict(x)[0] != UNKNOWN)
+                x = features(t)
+                keep.append(x is not None and (
+                    not shipped.value.languages or shipped.value.predict(x)[0] != UNKNOWN))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,6 +1,8 @@
 """Jobs done whole: parts, languages and documents that earlier rules left out."""
 
-from folioflow.llm import secrets
+from pyspark.sql import functions as F
+
+from folioflow.llm import language, secrets
 
 WEAK = "Q7f+kP0zX9vB2mN4cR8tY6wL1sD3"
 
@@ -30,3 +32,11 @@ def test_lines_of_a_scope_belong_together():
     assert linked(f"{WEAK}\n{between}\nclient_id: acme-7") == [WEAK, "client_id: acme-7"]
     assert linked(f"client_id: acme-7\n{between}\n \t\n{WEAK}") == []
     assert linked("client_id: acme-7" + " x" * 150 + WEAK) == []
+
+
+def test_texts_stay_where_no_language_could_be_learned(spark, docs_of):
+    docs = docs_of([(i, "the quick brown fox") for i in range(20)] + [(20, None), (21, ""), (22, "12 $$"), (23, "x")])
+    want = [*range(20), 23]
+    for frame in (docs.withColumn("lang", F.lit(None).cast("string")),
+                  docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("en")))):
+        assert sorted(r.doc_id for r in language.keep_identified(frame).collect()) == want
