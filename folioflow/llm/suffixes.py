@@ -12,11 +12,14 @@ Only suffixes at anchors are dealt out, about one in fourteen bytes:
    refining only what is still tied: a multikey quicksort with wide digits.
    Equal strings get the smallest document that holds them. An anchor's bucket is
    decided by its value, so no equal strings lie across a boundary; a splitter
-   itself belongs to the bucket above.
+   itself belongs to the bucket above. Of an anchor with more than ``HOT_STRINGS``
+   strings (a frequent phrase in ever different text), counted per block without
+   repeats, the strings go out one by one, each to a part of the anchor named by a
+   hash of it: equal strings still meet, and no anchor has to fit into a task.
 3. Blocks get back which of their strings start in a smaller document, and cut.
 
 Hashes only choose candidates; bytes decide. A passage in a third of all documents
-reaches its bucket once per block.
+reaches its bucket once per block and text around it.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``MIN_BYTES`` stay; documents of one id (repeated rows) don't remove from each
@@ -43,6 +46,8 @@ SPAN = MIN_BYTES - GRAM + 1
 PIECE = 1 << 20
 #: Anchors, per block distinct, of one bucket.
 BUCKET_ENTRIES = 1 << 19
+#: Strings of one anchor, per block distinct, above which it is parted.
+HOT_STRINGS = 1 << 20
 #: Anchors sampled for the splitters: of each of about SAMPLE_BLOCKS blocks.
 SAMPLE_ANCHORS, SAMPLE_BLOCKS = 4096, 48
 _ODD = 0x9E3779B97F4A7C15
@@ -154,31 +159,69 @@ def _splitters(blocks: DataFrame):
     return np.unique(values[order][at])
 
 
+def _strings(runs: _Runs):
+    """The distinct anchors of a block, ascending, and how many strings each has, equal surroundings counted once."""
+    import numpy as np
+
+    order = np.argsort(runs.keys, kind="stable")
+    keys, counts = runs.keys[order], runs.count[order]
+    if not len(keys):
+        return keys, counts
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[start, len(keys)])
+    again = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    some, data, seen = order[again], runs.own.data, set()
+    fresh = np.ones(len(some), dtype=bool)
+    firsts, offsets = runs.first[some], runs.at[some] - runs.first[some]
+    for i, one in enumerate(zip(keys[again].tolist(), offsets.tolist(), firsts.tolist(), counts[again].tolist())):
+        k, o, f, c = one
+        around = (k, o, data[f:f + c + MIN_BYTES - 1])
+        fresh[i] = around not in seen
+        seen.add(around)
+    counts[again[~fresh]] = 0
+    return keys[start], np.add.reduceat(counts, start)
+
+
 def _dealt(blocks: DataFrame, cuts) -> DataFrame:
     """The distinct anchors of each block, ascending, cut at the splitters."""
     import numpy as np
 
     def one(row: dict) -> Iterator[dict]:
-        keys = np.unique(_Runs(row).keys)
+        keys, strings = _strings(_Runs(row))
         edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
         for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                yield {"shard": bucket, "block": row["block"], "anchors": keys[a:b].tobytes()}
+                yield {"shard": bucket, "block": row["block"], "anchors": keys[a:b].tobytes(),
+                       "strings": squeeze(strings[a:b].astype(np.uint32).tobytes())}
 
-    return per_row(blocks, one, "shard int, block long, anchors binary")
+    return per_row(blocks, one, "shard int, block long, anchors binary, strings binary")
 
 
-def _shared(rows: list[dict]) -> Iterator[dict]:
-    """Of the anchors each block sent, those that another block sent too."""
+_SHARED = "block long, anchors binary, hot binary, parts binary"
+
+
+def _shared(hot: int, part_strings: int):
+    """Of the anchors each block sent, those that another block sent too; which are hot, and into how many parts."""
     import numpy as np
 
-    each = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
-    everything = np.sort(np.concatenate(each))
-    several = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    for row, keys in zip(rows, each):
-        own = keys[np.isin(keys, several, assume_unique=True)]
-        if len(own):
-            yield {"block": row["block"], "anchors": own.tobytes()}
+    def run(rows: list[dict]) -> Iterator[dict]:
+        each = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
+        everything = np.sort(np.concatenate(each))
+        several = np.unique(everything[1:][everything[1:] == everything[:-1]])
+        total = np.zeros(len(several), dtype=np.int64)
+        owned = []
+        for row, keys in zip(rows, each):
+            own = np.isin(keys, several, assume_unique=True)
+            owned.append(np.searchsorted(several, keys[own]))
+            total[owned[-1]] += np.frombuffer(expand(row["strings"]), np.uint32)[own]
+        parts = np.where(total > hot, -(-total // part_strings), 0)
+        for row, own in zip(rows, owned):
+            if len(own):
+                parted = own[parts[own] > 0]
+                yield {"block": row["block"], "anchors": several[own].tobytes(), "hot": several[parted].tobytes(),
+                       "parts": parts[parted].tobytes()}
+
+    return run
 
 
 _AROUND = ("shard int, block long, keys binary, offsets binary, counts binary, least binary, texts binary, "
@@ -188,9 +231,33 @@ _AROUND = ("shard int, block long, keys binary, offsets binary, counts binary, l
 def _around(cuts):
     """Around each anchor that several documents hold: its bytes, once per block, and where they stand."""
     import numpy as np
+    import xxhash
+
+    def sent(block, shard, key, offset, size, least, texts, seen, firsts, other) -> dict:
+        steps = np.diff(seen, prepend=0).astype(np.int32)  # mostly 0 and 1
+        return {"shard": shard, "block": block, "keys": key.tobytes(), "offsets": offset.tobytes(),
+                "counts": size.tobytes(), "least": squeeze(least.tobytes()), "texts": squeeze(b"".join(texts)),
+                "owner": squeeze(steps.tobytes()), "places": firsts.astype(np.uint32).tobytes(),
+                "others": squeeze(other.tobytes())}
+
+    def numbered(data, keys, offsets, firsts, counts, ids):
+        """Distinct surroundings as columns; the number, and whether it is another document's, of each occurrence."""
+        number: dict[tuple, int] = {}
+        seen = np.array([number.setdefault((k, o, data[f:f + c + MIN_BYTES - 1]), len(number)) for k, o, f, c in zip(
+            keys.tolist(), offsets.tolist(), firsts.tolist(), counts.tolist())], dtype=np.int64)
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, seen, ids)
+        key = np.array([k for k, _, _ in number], dtype=np.uint64)
+        offset = np.array([o for _, o, _ in number], dtype=np.uint8)
+        texts = [t for _, _, t in number]
+        size = np.array([len(t) - MIN_BYTES + 1 for t in texts], dtype=np.uint8)
+        return key, offset, size, least, texts, seen, (ids != least[seen]).astype(np.uint8)
 
     def one(own: list[dict], got: list[dict]) -> Iterator[dict]:
         wanted = np.sort(np.frombuffer(b"".join(r["anchors"] for r in got), np.uint64))
+        hot = np.frombuffer(b"".join(r["hot"] for r in got), np.uint64)
+        parts = np.frombuffer(b"".join(r["parts"] for r in got), np.int64)
+        parts, hot = parts[np.argsort(hot)], np.sort(hot)
         for row in own:
             runs = _Runs(row)
             ids = runs.own.ids[runs.doc] if len(runs.doc) else runs.doc
@@ -200,34 +267,42 @@ def _around(cuts):
             mixed = np.zeros(0, np.uint64)
             if len(start):
                 mixed = keys[start[np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)]]
-            chosen = order[np.isin(keys, wanted) | np.isin(keys, mixed)]  # by key, then by place
-            if not len(chosen):
-                continue
-            number: dict[tuple, int] = {}
+            parted = np.isin(keys, hot)
+            chosen = order[(np.isin(keys, wanted) | np.isin(keys, mixed)) & ~parted]  # by key, then by place
             data = runs.own.data
-            firsts, counts = runs.first[chosen], runs.count[chosen]
-            offsets = runs.at[chosen] - firsts
-            seen = [number.setdefault((k, o, data[f:f + c + MIN_BYTES - 1]), len(number))
-                    for k, o, f, c in zip(runs.keys[chosen].tolist(), offsets.tolist(), firsts.tolist(), counts.tolist())]
-            seen = np.array(seen)
-            least = np.full(len(number), np.iinfo(np.int64).max)
-            np.minimum.at(least, seen, ids[chosen])
-            key = np.array([k for k, _, _ in number], dtype=np.uint64)
-            offset = np.array([o for _, o, _ in number], dtype=np.uint8)
-            texts = [t for _, _, t in number]
-            size = np.array([len(t) - MIN_BYTES + 1 for t in texts], dtype=np.uint8)
-            edges = [0, *np.searchsorted(key, cuts).tolist(), len(key)]
-            spot_edges = np.searchsorted(runs.keys[chosen], cuts).tolist()
-            spot_edges = [0, *spot_edges, len(chosen)]
-            other = (ids[chosen] != least[seen]).astype(np.uint8)
-            for bucket, (a, b, c, d) in enumerate(zip(edges, edges[1:], spot_edges, spot_edges[1:])):
-                if a < b:
-                    steps = np.diff(seen[c:d] - a, prepend=0).astype(np.int32)  # mostly 0 and 1
-                    yield {"shard": bucket, "block": row["block"], "keys": key[a:b].tobytes(),
-                           "offsets": offset[a:b].tobytes(), "counts": size[a:b].tobytes(),
-                           "least": squeeze(least[a:b].tobytes()), "texts": squeeze(b"".join(texts[a:b])),
-                           "owner": squeeze(steps.tobytes()), "places": firsts[c:d].astype(np.uint32).tobytes(),
-                           "others": squeeze(other[c:d].tobytes())}
+            if len(chosen):
+                firsts = runs.first[chosen]
+                key, offset, size, least, texts, seen, other = numbered(
+                    data, runs.keys[chosen], runs.at[chosen] - firsts, firsts, runs.count[chosen], ids[chosen])
+                edges = [0, *np.searchsorted(key, cuts).tolist(), len(key)]
+                spot_edges = np.searchsorted(runs.keys[chosen], cuts).tolist()
+                spot_edges = [0, *spot_edges, len(chosen)]
+                for bucket, (a, b, c, d) in enumerate(zip(edges, edges[1:], spot_edges, spot_edges[1:])):
+                    if a < b:
+                        yield sent(row["block"], bucket, key[a:b], offset[a:b], size[a:b], least[a:b], texts[a:b],
+                                   seen[c:d] - a, firsts[c:d], other[c:d])
+            chosen = order[parted]
+            if len(chosen):  # string by string
+                n = runs.count[chosen]
+                chosen = np.repeat(chosen, n)
+                firsts = runs.first[chosen] + np.arange(len(chosen)) - np.repeat(np.cumsum(n) - n, n)
+                key, offset, size, least, texts, seen, other = numbered(
+                    data, runs.keys[chosen], runs.at[chosen] - firsts, firsts, np.ones(len(chosen), np.int64), ids[chosen])
+                part = np.array([xxhash.xxh64_intdigest(t, o) for t, o in zip(texts, offset.tolist())], dtype=np.uint64)
+                part %= parts[np.searchsorted(hot, key)].astype(np.uint64)
+                # below zero: no bucket; parts of different anchors may meet, which changes nothing
+                shard = -1 - ((key * np.uint64(_ODD) >> np.uint64(34)) + part & np.uint64((1 << 30) - 1)).astype(np.int64)
+                by_shard = np.argsort(shard, kind="stable")
+                place = np.empty(len(key), dtype=np.int64)
+                place[by_shard] = np.arange(len(key))
+                spots = np.argsort(place[seen], kind="stable")
+                found, edges = np.unique(shard[by_shard], return_index=True)
+                edges = np.r_[edges, len(key)]
+                spot_edges = np.searchsorted(place[seen][spots], edges)
+                for at, number in enumerate(found.tolist()):
+                    mine, here = by_shard[edges[at]:edges[at + 1]], spots[spot_edges[at]:spot_edges[at + 1]]
+                    yield sent(row["block"], number, key[mine], offset[mine], size[mine], least[mine],
+                               [texts[i] for i in mine.tolist()], place[seen[here]] - edges[at], firsts[here], other[here])
 
     return one
 
@@ -265,16 +340,18 @@ def _columns(flat, starts, lengths, width: int):
     """Byte strings as rows of big-endian 8-byte numbers, zero-filled."""
     import numpy as np
 
-    places = starts[:, None] + np.arange(width)[None, :]
-    inside = np.arange(width)[None, :] < lengths[:, None]
-    rows = np.where(inside, flat[np.minimum(places, len(flat) - 1)], 0).astype(np.uint8)
-    pad = -width % 8
-    if pad:
-        rows = np.hstack([rows, np.zeros((len(rows), pad), np.uint8)])
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+    out = np.empty((len(starts), -(-width // 8)), dtype=np.uint64)
+    for at in range(0, len(starts), 1 << 16):  # the places take eight times the bytes
+        some = slice(at, at + (1 << 16))
+        places = starts[some, None] + np.arange(width)[None, :]
+        inside = np.arange(width)[None, :] < lengths[some, None]
+        rows = np.where(inside, flat[np.minimum(places, len(flat) - 1)], 0).astype(np.uint8)
+        rows = np.hstack([rows, np.zeros((len(rows), -width % 8), np.uint8)])
+        out[some] = np.ascontiguousarray(rows).view(">u8")
+    return out
 
 
-#: Strings of a bucket sorted in one go; anchors are never parted.
+#: Strings of a bucket sorted in one go, or one anchor; strings of a part of a hot anchor.
 _SORT_ROWS = 150_000
 
 
@@ -366,14 +443,18 @@ def _removed(size: int, rows: list[dict]):
     return run > before
 
 
+def _sent(blocks: DataFrame, cuts) -> DataFrame:
+    """What goes to the buckets, and to the parts of hot anchors."""
+    shared = per_shard(_dealt(blocks, cuts), _shared(HOT_STRINGS, _SORT_ROWS), _SHARED)
+    return together(blocks, shared, "block", _around(cuts), _AROUND)
+
+
 def _applied(docs: DataFrame, key: str, text: str, row_of, schema: str) -> DataFrame:
     import numpy as np
 
     blocks = pack(docs, key, text, "suffix-blocks", 4 << 20)
     cuts = _splitters(blocks)
-    shared = per_shard(_dealt(blocks, cuts), _shared, "block long, anchors binary")
-    around = together(blocks, shared, "block", _around(cuts), _AROUND)
-    answers = per_shard(around, _judged, "block long, places binary, masks binary")
+    answers = per_shard(_sent(blocks, cuts), _judged, "block long, places binary, masks binary")
 
     def one(own: list[dict], got: list[dict]) -> Iterator[dict]:
         for row in own:

@@ -1,8 +1,12 @@
 """Jobs done whole: parts, languages and documents that earlier rules left out."""
 
+import random
+
+import brute
+import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import language, secrets
+from folioflow.llm import blocks, language, secrets, suffixes
 
 WEAK = "Q7f+kP0zX9vB2mN4cR8tY6wL1sD3"
 
@@ -40,3 +44,29 @@ def test_texts_stay_where_no_language_could_be_learned(spark, docs_of):
     for frame in (docs.withColumn("lang", F.lit(None).cast("string")),
                   docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("en")))):
         assert sorted(r.doc_id for r in language.keep_identified(frame).collect()) == want
+
+
+@pytest.mark.parametrize("block_bytes", [2_000, 4 << 20])
+def test_a_hot_anchor_is_parted(spark, docs_of, monkeypatch, block_bytes):
+    monkeypatch.setattr(suffixes, "HOT_STRINGS", 200)
+    monkeypatch.setattr(suffixes, "_SORT_ROWS", 100)
+    pack = suffixes.pack
+    monkeypatch.setattr(suffixes, "pack", lambda d, k, t, n, _: pack(d, k, t, n, block_bytes))
+    rng = random.Random(3)
+    phrase = "a phrase that many documents hold"
+
+    def own(n):
+        return "".join(rng.choices("abcdefghij", k=n))
+
+    ends = [own(30) for _ in range(12)]
+    rows = [(i, own(40) + rng.choice(ends) + phrase + rng.choice([own(30), *ends]) + own(20)) for i in range(300)]
+    rows += [(i, rows[i - 300][1]) for i in range(300, 320)] + [(900, None), (-3, rows[5][1][20:120])]
+    docs = docs_of(rows)
+    want = brute.substring_dedup({d: (t or "").encode() for d, t in rows})
+    for r in suffixes.dedup_report(docs).collect():
+        removed, runs, kept = want[r.doc_id]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (removed, runs, brute.sha(kept)), r.doc_id
+    packed = blocks.pack(docs, "doc_id", "text", "hot", block_bytes)
+    sent = suffixes._sent(packed, suffixes._splitters(packed)).groupBy("shard").agg(
+        F.sum(F.length("keys") / 8).alias("n")).where("shard < 0").collect()
+    assert len(sent) > 5 and max(r.n for r in sent) < 400
