@@ -6,9 +6,10 @@ seen in training are grouped into families by the similarity of their mean
 texts. One linear support vector machine per family picks the family; inside,
 one machine per pair of languages votes.
 
-Training takes at most ``SAMPLE`` texts of each of the ``LANGUAGES`` most
-frequent languages, those with the smallest hash of their key, and at most
-``TOTAL``. That is the only bound; every text is predicted, whole.
+Training takes at most ``SAMPLE`` texts of each language, those with the smallest
+hash of their key, and at most ``TOTAL``, or one of each language if they are more.
+That is the only bound; every language is learned, every text predicted, whole. The
+model grows with the languages: above ``MANY`` of them a family has at most ``FAMILY``.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing can be learned. Rows without a language are never
@@ -30,8 +31,8 @@ from folioflow.llm.rows import per_text
 
 #: Most labelled texts learned from, per language.
 SAMPLE = 300
-#: Most languages told apart.
-LANGUAGES = 200
+#: With more languages families stay small: pairs within them would grow with the square.
+MANY, FAMILY = 200, 16
 #: Most labelled texts over all languages: with many of them each gets fewer.
 TOTAL = 12_000
 BITS = 12
@@ -122,11 +123,18 @@ def _families(means) -> list[list[int]]:
     import numpy as np
 
     groups = [[i] for i in range(len(means))]
-    alike = means @ means.T
+    alike, sizes = means @ means.T, np.ones(len(means))  # sums over the pairs of two groups
+    most = FAMILY if len(means) > MANY else len(means)
     while len(groups) > max(1, round(len(means) ** 0.5)):
-        a, b = max(((a, b) for a in range(len(groups)) for b in range(a + 1, len(groups))),
-                   key=lambda p: np.mean(alike[np.ix_(groups[p[0]], groups[p[1]])]))
+        free = np.triu(sizes[:, None] + sizes <= most, 1)
+        if not free.any():
+            break
+        a, b = divmod(int(np.where(free, alike / np.outer(sizes, sizes), -np.inf).argmax()), len(groups))
         groups[a] = sorted(groups[a] + groups.pop(b))
+        alike[a] += alike[b]
+        alike[:, a] += alike[:, b]
+        sizes[a] += sizes[b]
+        alike, sizes = np.delete(np.delete(alike, b, 0), b, 1), np.delete(sizes, b)
     return groups
 
 
@@ -160,15 +168,15 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     named = rows.select(rows[key].alias("key"), rows[lang].alias("lang"), rows[text].alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL").withColumn("rank", F.xxhash64(F.col("key").cast("string")))
-    counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = named.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return Model([])
     sample = max(1, min(sample, TOTAL // len(counts)))
     # the hash is even, so a share of its range is a share of the rows: a third more than wanted, then the least
-    share = F.lit(False)
-    for r in counts:
-        cut = min(int((1.3 * sample + 60) / r["count"] * 2**64) - 2**63, 2**63 - 1)
-        share = share | ((F.col("lang") == r["lang"]) & (F.col("rank") <= cut))
+    cuts = rows.sparkSession.createDataFrame(
+        [(r["lang"], min(int((1.3 * sample + 60) / r["count"] * 2**64) - 2**63, 2**63 - 1)) for r in counts],
+        "lang string, cut long")
+    share = named.join(F.broadcast(cuts), "lang").where("rank <= cut").select("key", "lang", "text", "rank")
 
     def vectors(batches):
         for batch in batches:
@@ -179,7 +187,7 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 [part.column("lang"), part.column("rank"),
                  pa.array([found[i].astype("<f2").tobytes() for i in keep], pa.binary())], ["lang", "rank", "x"])
 
-    got = named.where(share).mapInArrow(vectors, "lang string, rank long, x binary").collect()  # bounded as stated
+    got = share.mapInArrow(vectors, "lang string, rank long, x binary").collect()  # bounded as stated
     got.sort(key=lambda r: (r.lang, r.rank, r.x))
     taken: dict[str, list] = {}
     for r in got:

@@ -70,3 +70,14 @@ def test_a_hot_anchor_is_parted(spark, docs_of, monkeypatch, block_bytes):
     sent = suffixes._sent(packed, suffixes._splitters(packed)).groupBy("shard").agg(
         F.sum(F.length("keys") / 8).alias("n")).where("shard < 0").collect()
     assert len(sent) > 5 and max(r.n for r in sent) < 400
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(8)
+    said = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(230)]
+    rows = spark.createDataFrame([(n * 230 + i, t, f"l{i:03}") for n in range(2) for i, t in enumerate(said)],
+                                 "doc_id long, text string, lang string")
+    model = language.train(rows)
+    assert model.languages == [f"l{i:03}" for i in range(230)]
+    assert max(map(len, model.families)) <= language.FAMILY
+    assert sum(model.predict(language.features(t))[0] == f"l{i:03}" for i, t in enumerate(said)) >= 225
