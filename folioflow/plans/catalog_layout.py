@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from folioflow import constants as K
 from folioflow.functions import geometry as G
 from folioflow.functions import scripts
-from folioflow.operators import blocked, layout, merging, segments, spatial
+from folioflow.operators import blocked, layout, merging, segments, spans, spatial
 from folioflow.plans import sqlparts as S
-from folioflow.plans.inputs import BOXES_SQL, boxes, table
+from folioflow.plans.inputs import BOXES_SQL, SPANS_SQL, boxes, span_pages, table
 from folioflow.plans.registry import query
 from folioflow.sources.files import tsv_words
 
@@ -20,6 +20,73 @@ def _flat(c="box"):
     return [F.col(f"{c}.{a}").alias(a) for a in _XY]
 
 
+# --- segments from spans ------------------------------------------------------
+
+_LATIN = K.SCRIPT_RULES["latin"]
+
+
+def _latin(text: str) -> str:
+    """Does a text pass for English?"""
+    compact = S.sub(text, K.SPACE, "")
+    hits = f"length({S.sub(compact, f'[^{_LATIN[0]}]', '')})"
+    return f"({compact} <> '' AND {hits} >= {_LATIN[2]} AND {hits} / length({compact}) >= {_LATIN[1]})"
+
+
+_SPAN_SCAN = f"""
+WITH {SPANS_SQL},
+facts AS (SELECT doc_id, page, sum(length(s)) FILTER (layer = 0) AS chars, coalesce(sum(length(s)) FILTER (layer = 1), 0) AS found,
+    count(*) FILTER (layer = 0) AS n,
+    count(*) FILTER (layer = 0 AND CASE WHEN doc_id % 5 <> 3 THEN {_latin('s')} ELSE length({S.strip('s')}) > 3 END) AS good
+  FROM spans GROUP BY doc_id, page),
+doubt AS (SELECT *, chars >= 20 AND doc_id % 12 <> 10 AND good / n < 0.3 AS bad FROM facts),
+chosen AS (SELECT doc_id, page, doc_id % 4 <> 1 AND doc_id % 5 <> 3 AND doc_id % 2 = 0 AND (bad OR (chars < 20 AND found > chars)) AS ocr,
+    doc_id % 5 = 3 AND doc_id % 2 = 0 AND bad AS dropped FROM doubt),
+used AS (SELECT s.*, ocr FROM spans s JOIN chosen USING (doc_id, page) WHERE NOT dropped AND layer = CASE WHEN ocr THEN 1 ELSE 0 END),
+lim AS (SELECT doc_id, page, greatest(20.0::DOUBLE, list_sort(list(size))[count(*) // 2 + 1] * 2.2) AS lim FROM used GROUP BY ALL),
+asked AS (SELECT doc_id, page, block AS b, count(DISTINCT k) AS asked FROM used GROUP BY ALL),
+ln AS (SELECT * FROM (SELECT doc_id, page, block, k, ocr, {S.clean("string_agg(s, '' ORDER BY j)")} AS t, any_value(x0) AS x0, any_value(y0) AS y0,
+    any_value(x0) + any_value(n) * 2.0 AS x1, any_value(y0) + 12.0 AS y1, any_value(turned) AS turned, first(size ORDER BY j) AS size1
+  FROM used GROUP BY doc_id, page, block, k, ocr) WHERE t <> ''),
+sh AS (SELECT doc_id, page, block, count(*) AS n, max(x0) - min(x0) AS xs, max(y0) - min(y0) AS ys, avg(length(t)) AS mc,
+    count(*) FILTER (turned) > count(*) / 2.0 AS dir, first(y0 ORDER BY k) AS fy0, first(y1 ORDER BY k) AS fy1, min(k) AS k0
+  FROM ln GROUP BY ALL),
+apart AS (SELECT l.doc_id, l.page, l.block, bool_or(l.k > sh.k0 AND CASE WHEN least(fy1, y1) <= greatest(fy0, y0) THEN 0.0
+    ELSE (least(fy1, y1) - greatest(fy0, y0)) / greatest(least(fy1 - fy0, y1 - y0), 1e-6) END < 0.3) AS apart
+  FROM ln l JOIN sh USING (doc_id, page, block) GROUP BY ALL),
+shape AS (SELECT doc_id, page, block, dir OR (n > 1 AND mc <= 4 AND ys > xs * 1.5) AS vert, xs, apart FROM sh JOIN apart USING (doc_id, page, block)),
+shaped AS (SELECT l.*, vert, CASE WHEN vert THEN xs > 3 AND apart ELSE xs > CASE WHEN ocr THEN 24 ELSE 3 END END AS tab
+  FROM ln l JOIN shape USING (doc_id, page, block)),
+cut AS (SELECT *, lag(x0) OVER w AS px, lag(y1) OVER w AS py, lag(size1) OVER w AS ps FROM shaped
+  WINDOW w AS (PARTITION BY doc_id, page, block ORDER BY k)),
+grp AS (SELECT *, sum(CASE WHEN px IS NULL OR (tab AND (abs(x0 - px) > 25 OR greatest(y0 - py, 0) > ps * 2.5))
+    OR (NOT tab AND greatest(size1, ps) / least(size1, ps) > 1.4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, block ORDER BY k) AS g FROM cut),
+seg AS (SELECT doc_id, page, block AS b, g, {S.clean("string_agg(t, chr(10) ORDER BY k)")} AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1,
+    max(y1) AS y1, any_value(ocr) AS ocr, any_value(tab) AS tab, CASE WHEN any_value(tab) THEN first(turned ORDER BY k) ELSE any_value(vert) END AS vertical,
+    count(*) AS lines FROM grp GROUP BY doc_id, page, block, g),
+member AS (SELECT u.*, g FROM used u JOIN grp USING (doc_id, page, block, k)),
+sizes AS (SELECT doc_id, page, b, g, first(size ORDER BY c DESC, f) AS font_size FROM (SELECT doc_id, page, block AS b, g, size, count(*) AS c,
+  min(k * 1000000 + j) AS f FROM member GROUP BY ALL) GROUP BY ALL),
+colors AS (SELECT doc_id, page, b, g, first(color ORDER BY c DESC, f) AS color FROM (SELECT doc_id, page, block AS b, g, color, count(*) AS c,
+  min(k * 1000000 + j) AS f FROM member GROUP BY ALL) GROUP BY ALL),
+bolds AS (SELECT doc_id, page, block AS b, g, count(*) FILTER (bold) > count(*) / 2.0 AS bold FROM member GROUP BY ALL),
+ok AS (SELECT * FROM seg JOIN sizes USING (doc_id, page, b, g) JOIN colors USING (doc_id, page, b, g) JOIN bolds USING (doc_id, page, b, g)
+  JOIN lim USING (doc_id, page) WHERE text <> '' AND (NOT ocr OR ({_latin('text')} AND font_size <= lim))),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY b, g) - 1 AS bno, count(*) OVER (PARTITION BY doc_id, page, b) AS kept FROM ok)
+SELECT doc_id, page, printf('page_%03d_block_%03d', page + 1, bno) AS seg_id, text, x0, y0, x1, y1, font_size,
+  '#' || printf('%06x', color) AS color, bold, vertical, tab AS table_like, ocr AS recognised, {S.hit('text', K.LETTER)} AS needs, lines
+FROM num JOIN asked USING (doc_id, page, b)
+WHERE NOT (ocr AND tab AND kept / asked < CASE WHEN asked <= 4 THEN 0.5 ELSE 0.3 END)"""
+
+
+@query("S1 A1 A2 A3 A4 A11 A12 P1 P5 P11 P12 W6 W7 W8", _SPAN_SCAN)
+def span_segments(spark, sf):
+    """Segments of whole documents laid out as spans, with text and recognised layers."""
+    pages = span_pages(spark, sf)
+    found = spans.scan_spans(pages, found="found", has_images=F.col("has_images"), image_share=F.col("image_share"), lang=F.col("lang"))
+    return found.select("doc_id", "page", "seg_id", "text", *_flat(), "font_size", "color", "bold", "vertical", "table_like",
+                        "recognised", "needs", F.size("line_boxes").alias("lines"))
+
+
 # --- aggregates --------------------------------------------------------------
 
 
@@ -102,7 +169,7 @@ def block_text(spark, sf):
 
 
 _SHAPES = f"""{BOXES_SQL},
-l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, repeat('가', CAST(3 + page % 3 AS INTEGER)) AS text FROM boxes),
+l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, mode AS text FROM boxes),
 g AS (SELECT page, count(*) AS lines, max(x0) - min(x0) AS xs, max(y0) - min(y0) AS ys, avg(length(text)) AS mc,
     sum(CASE WHEN vertical THEN 1 ELSE 0 END) > count(*) / 2.0 AS dir,
     first(y0 ORDER BY id) AS fy0, first(y1 ORDER BY id) AS fy1 FROM l GROUP BY page),
@@ -121,10 +188,7 @@ def block_shapes(spark, sf):
     b = boxes(spark, sf)
     box = G.box(F.col("box.x0") / 40, F.col("box.y0"), F.col("box.x1") / 40,
                 F.col("box.y1") + F.col("id") % 7 * 10)
-    cut = b.select(
-        "page", F.col("id").alias("pos"), box.alias("box"), "vertical",
-        F.repeat(F.lit("가"), F.lit(3) + F.col("page").cast("int") % 3).alias("text"),
-    )
+    cut = b.select("page", F.col("id").alias("pos"), box.alias("box"), "vertical", F.col("mode").alias("text"))
     return layout.block_shape(cut, ["page"]).select(
         "page", "lines", F.round("x_spread", 6).alias("x_spread"), "y_spread", "block_vertical", "table_like"
     )

@@ -86,7 +86,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod("l_partkey", F.lit(3)).alias("color"),
         (F.pmod("l_suppkey", F.lit(2)) == 0).alias("bold"),
         (F.pmod("l_partkey", F.lit(2)) == 0).alias("vertical"),
-        words.alias("text"),
+        words.alias("text"), F.col("l_shipmode").alias("mode"),
     )
 
 
@@ -99,10 +99,72 @@ boxes AS (
     (l_partkey % 50) * 10.0::DOUBLE + l_quantity AS x1, l_linenumber * 20.0::DOUBLE + 12.0::DOUBLE AS y1,
     8.0::DOUBLE + (l_suppkey % 5) AS size, l_partkey % 3 AS color,
     l_suppkey % 2 = 0 AS bold, l_partkey % 2 = 0 AS vertical,
-    'w' || l_partkey || CASE WHEN l_suppkey % 3 = 0 THEN '.' ELSE '' END AS text
+    'w' || l_partkey || CASE WHEN l_suppkey % 3 = 0 THEN '.' ELSE '' END AS text,
+    l_shipmode AS mode
   FROM lineitem)"""
 
 
+PAGE_LINES, BLOCK_LINES = 24, 4
+_X = [40.0, 40.0, 42.0, 70.0, 40.0, 40.0, 200.0]
+_SIZES = [10.0, 10.0, 10.5, 16.0, 31.5]
+
+
+def span_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of blocks, lines and spans, some with a recognised layer: one row per page."""
+    def pick(values, n):
+        return F.array(*[F.lit(v) for v in values])[n % len(values)]
+
+    def digits(t):
+        return F.regexp_replace(t, "[A-Za-z]", "7")
+
+    def spans(line, spoil):
+        return F.transform(F.split(line, ", "), lambda s: F.struct(
+            F.when(spoil, digits(s)).otherwise(s).alias("text"), pick(_SIZES, F.length(s)).alias("size"),
+            (F.length(s) % 3 * 255).alias("color"), F.when(F.length(s) % 4 == 0, 16).otherwise(2).alias("flags"),
+            F.when(F.length(s) % 6 == 1, "Sans-Bold").otherwise("Sans").alias("font")))
+
+    def layer(lines, spoil):
+        def one(line, i, block):
+            x0, y0 = pick(_X, F.length(line) + i), (i + block * BLOCK_LINES) * 14.0
+            turned = (F.col("doc_id") + block) % 5 == 0
+            return F.struct(spans(line, spoil(line)).alias("spans"), G.box(x0, y0, x0 + F.length(line) * 2.0, y0 + 12.0).alias("box"),
+                            F.when(turned, 0.0).otherwise(1.0).alias("dx"), F.when(turned, 1.0).otherwise(0.0).alias("dy"))
+
+        last = F.floor((F.size(lines) - 1) / BLOCK_LINES).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(
+            G.box(F.lit(0), F.lit(0), F.lit(600), F.lit(800)).alias("box"),
+            F.transform(F.slice(lines, b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)), lambda line, i: one(line, i, b)).alias("lines")))
+
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("all"))
+    count = F.floor((F.size("all") - 1) / PAGE_LINES).cast("int")
+    pages = d.select("doc_id", "all", F.explode(F.sequence(F.lit(0), count)).alias("page"))
+    pages = pages.select("doc_id", "page", F.slice("all", F.col("page") * PAGE_LINES + 1, F.lit(PAGE_LINES)).alias("lines"))
+    n = F.col("doc_id")
+    return pages.select(
+        "doc_id", "page", layer(F.col("lines"), lambda line: n % 6 == 0).alias("blocks"),
+        F.when(n % 4 != 1, layer(F.col("lines"), lambda line: F.length(line) % 3 == 0)).alias("found"),
+        (n % 2 == 0).alias("has_images"), F.when(n % 12 == 10, 0.1).otherwise(0.8).alias("image_share"),
+        F.when(n % 5 != 3, "eng").alias("lang"))
+
+
+def _picked(values, n: str) -> str:
+    return f"CAST([{', '.join(map(str, values))}] AS DOUBLE[])[({n}) % {len(values)} + 1]"
+
+
+#: spans (doc_id, page, block, k, j, line_len, raw, spoilt, and what the layers share); layer 0 is the text, 1 recognition.
+SPANS_SQL = f"""
+page_lines AS (SELECT doc_id, i // {PAGE_LINES} AS page, i % {PAGE_LINES} // {BLOCK_LINES} AS block, i % {BLOCK_LINES} AS k, t FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL)),
+raw_spans AS (SELECT doc_id, page, block, k, length(t) AS n, unnest(string_split(t, ', ')) AS s,
+  generate_subscripts(string_split(t, ', '), 1) AS j FROM page_lines),
+spans AS (SELECT doc_id, page, block, k, j, layer, n,
+    CASE WHEN (layer = 0 AND doc_id % 6 = 0) OR (layer = 1 AND n % 3 = 0) THEN regexp_replace(s, '[A-Za-z]', '7', 'g') ELSE s END AS s,
+    {_picked(_SIZES, 'length(s)')} AS size, length(s) % 3 * 255 AS color, length(s) % 4 = 0 OR length(s) % 6 = 1 AS bold,
+    {_picked(_X, 'n + k')} AS x0, (k + block * {BLOCK_LINES}) * 14.0::DOUBLE AS y0, (doc_id + block) % 5 = 0 AS turned
+  FROM raw_spans, range(2) l(layer) WHERE layer = 0 OR doc_id % 4 <> 1)"""
+
+
 def glossary_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Words of part names with an upper-case target: source, target."""
     p = table(spark, sf, "part")
