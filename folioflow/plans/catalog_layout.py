@@ -169,7 +169,7 @@ def block_text(spark, sf):
 
 
 _SHAPES = f"""{BOXES_SQL},
-l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, mode AS text FROM boxes),
+l AS (SELECT page, id, x0 / 40 AS x0, y0, x1 / 40 AS x1, y1 + (id % 7) * 10 AS y1, vertical, CASE WHEN page % 3 < 2 THEN mark ELSE text END AS text FROM boxes),
 g AS (SELECT page, count(*) AS lines, max(x0) - min(x0) AS xs, max(y0) - min(y0) AS ys, avg(length(text)) AS mc,
     sum(CASE WHEN vertical THEN 1 ELSE 0 END) > count(*) / 2.0 AS dir,
     first(y0 ORDER BY id) AS fy0, first(y1 ORDER BY id) AS fy1 FROM l GROUP BY page),
@@ -188,7 +188,8 @@ def block_shapes(spark, sf):
     b = boxes(spark, sf)
     box = G.box(F.col("box.x0") / 40, F.col("box.y0"), F.col("box.x1") / 40,
                 F.col("box.y1") + F.col("id") % 7 * 10)
-    cut = b.select("page", F.col("id").alias("pos"), box.alias("box"), "vertical", F.col("mode").alias("text"))
+    cut = b.select("page", F.col("id").alias("pos"), box.alias("box"), "vertical", 
+                   F.when(F.col("page") % 3 < 2, F.col("mark")).otherwise(F.col("text")).alias("text"))
     return layout.block_shape(cut, ["page"]).select(
         "page", "lines", F.round("x_spread", 6).alias("x_spread"), "y_spread", "block_vertical", "table_like"
     )

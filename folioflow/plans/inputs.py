@@ -86,7 +86,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod("l_partkey", F.lit(3)).alias("color"),
         (F.pmod("l_suppkey", F.lit(2)) == 0).alias("bold"),
         (F.pmod("l_partkey", F.lit(2)) == 0).alias("vertical"),
-        words.alias("text"), F.col("l_shipmode").alias("mode"),
+        words.alias("text"), F.concat("l_returnflag", "l_linestatus").alias("mark"),
     )
 
 
@@ -100,7 +100,7 @@ boxes AS (
     8.0::DOUBLE + (l_suppkey % 5) AS size, l_partkey % 3 AS color,
     l_suppkey % 2 = 0 AS bold, l_partkey % 2 = 0 AS vertical,
     'w' || l_partkey || CASE WHEN l_suppkey % 3 = 0 THEN '.' ELSE '' END AS text,
-    l_shipmode AS mode
+    l_returnflag || l_linestatus AS mark
   FROM lineitem)"""
 
 
