@@ -1,9 +1,10 @@
-"""Sequential merges of neighbouring boxes, made parallel by exact page splits.
+"""Sequential merges of neighbouring boxes, one task per page or part of a page.
 
-Each merge here only looks a bounded distance around a box. Where a page has an
-empty strip wider than that distance, nothing can merge or collide across it,
-so the strips cut a page into bands that are merged independently and give the
-same result as the whole page in one go.
+Inside a task neighbours and obstacles come from a grid that follows the merges
+(``boxgrid``), so a page costs little more than its boxes. Pages of up to
+``PAGE_ROWS`` boxes are one unit. Larger ones are cut: each merge only looks a
+bounded distance around a box, so across an empty strip wider than that nothing can
+merge or collide, and the bands between such strips give the same result alone.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.text import strip
 from folioflow.operators import blocked
+from folioflow.operators.boxgrid import Box, BoxGrid, without
 from folioflow.operators.skew import heavy_keys, join_unique
 from folioflow.session import materialize
 
 BAND_SPAN = 4096
+#: Pages with more boxes than this are cut into bands first.
+PAGE_ROWS = 20_000
 
 
 def bands(boxes: DataFrame, keys: Sequence[str], low: str, high: str, reach: Column,
@@ -47,8 +51,24 @@ def bands(boxes: DataFrame, keys: Sequence[str], low: str, high: str, reach: Col
     return named.join(numbered, [*keys, "_low", "_high"]).drop("_low", "_high")
 
 
-def _page_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    return df.join(df.groupBy(*keys).agg(F.max(value).alias(out)), list(keys))
+def by_size(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of pages that are one unit, and rows of larger pages (None without any).
+
+    ``rows`` is read twice here and should be a table. There are at most
+    rows / PAGE_ROWS larger pages; Spark broadcasts their keys while these are small
+    and otherwise splits their partitions.
+    """
+    large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > PAGE_ROWS).select(key)
+    large = materialize(large, "large-pages")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, key, "left_anti"), rows.join(large, key, "left_semi")
+
+
+def _page_max(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add the greatest value of each page; pages may be hot."""
+    facts = df.groupBy(key).agg(F.max(value).alias(out), F.count("*").alias("n"))
+    return join_unique(df, facts.drop("n"), key, heavy_keys(facts, key), [value], "inner")
 
 
 def per_band(rows: DataFrame, keys: Sequence[str], work: Callable[[list[dict]], list[dict]],
@@ -70,9 +90,6 @@ def per_band(rows: DataFrame, keys: Sequence[str], work: Callable[[list[dict]],
 
 # --- vertical columns --------------------------------------------------------
 
-Box = tuple[float, float, float, float]
-
-
 def _ends_with(text: str, signs: str) -> bool:
     return text.rstrip().endswith(tuple(signs))
 
@@ -114,44 +131,105 @@ def reading_pair(a: dict, b: dict) -> tuple[dict, dict] | None:
     return first, second
 
 
+def frozen(pieces: list[dict], grid: BoxGrid) -> tuple[set[int], dict[int, int]]:
+    """Pieces that can never merge, and of the others the one piece that each overlaps, if any.
+
+    A hull that hits a third box is refused, and boxes only grow. So a piece that
+    overlaps another one can merge with that one only, and not if either overlaps
+    a third: of overlapping groups only those of exactly two stay free.
+    """
+    partner: dict[int, int] = {}
+    crowded: set[int] = set()
+    for i, p in enumerate(pieces):
+        for k in grid.near(p["box"]):
+            if k != i and _collide(p["box"], grid.boxes[k]) and partner.setdefault(i, k) != k:
+                crowded.add(i)
+                break
+    stuck = crowded | {i for i, k in partner.items() if k in crowded}
+    return stuck, {i: k for i, k in partner.items() if i not in stuck}
+
+
+def size_classes(sizes: set[float]) -> dict[float, float]:
+    """For each font size the largest one that a chain of allowed size steps leads to.
+
+    A merged piece has the size of one of its two, so it stays in their class.
+    """
+    out: dict[float, float] = {}
+    chain: list[float] = []
+    for size in [*sorted(sizes), None]:
+        if chain and (size is None or max(size, 1.0) / max(chain[-1], 0.1) > K.MERGE_FONT_RATIO):
+            out.update(dict.fromkeys(chain, chain[-1]))
+            chain = []
+        chain.append(size)
+    return out
+
+
 def merge_pieces(pieces: list[dict]) -> list[dict]:
     """Merge the nearest allowed pair until none is left.
 
-    A pair refused because its hull hits a third box stays refused: that box
-    only ever grows. So one heap of pairs serves all rounds.
+    A pair refused because its hull hits a third box stays refused: that box only
+    ever grows. So one heap of pairs serves all rounds. Pairs are sought within the
+    reach of a piece's size class only, and a hull is searched for obstacles only
+    outside the larger of its two boxes, which is known to hit nothing else.
     """
-    live = {i: p for i, p in enumerate(pieces)}
+    live = dict(enumerate(pieces))
+    every = BoxGrid()
+    for i, p in live.items():
+        every.add(i, p["box"])
+    stuck, partner = frozen(pieces, every)
+    able = [i for i, p in live.items() if p["candidate"] and i not in stuck]
+    tops = size_classes({live[i]["size"] for i in able})
+    grids = {top: BoxGrid() for top in set(tops.values())}
     version = [0] * len(pieces)
     heap: list[tuple] = []
 
     def offer(i: int, j: int) -> None:
         a, b = live[i], live[j]
-        if a["candidate"] and b["candidate"] and (a["vertical"] or b["vertical"]):
-            if reading_pair(a, b):
-                heapq.heappush(heap, (sum(_gaps(a["box"], b["box"])), i, j, version[i], version[j]))
-
-    for i in live:
-        for j in range(i + 1, len(pieces)):
-            offer(i, j)
+        if (a["vertical"] or b["vertical"]) and partner.get(i, j) == j and partner.get(j, i) == i and reading_pair(a, b):
+            heapq.heappush(heap, (sum(_gaps(a["box"], b["box"])), i, j, version[i], version[j]))
+
+    def partners(i: int) -> set[int]:
+        top = tops[live[i]["size"]]
+        large, box = max(top, 1.0) * (1 + 1e-9), live[i]["box"]
+        across, along = large * K.COLUMN_SIDE_GAP, large * K.COLUMN_STACK_GAP
+        return set(grids[top].near((box[0] - across, box[1] - along, box[2] + across, box[3] + along))) - {i}
+
+    def blocked_by_other(i: int, j: int, hull: Box) -> bool:
+        a, b = live[i]["box"], live[j]["box"]
+        own = a if (a[2] - a[0]) * (a[3] - a[1]) >= (b[2] - b[0]) * (b[3] - b[1]) else b
+        return any(k not in (i, j) and _collide(hull, every.boxes[k]) for part in without(hull, own) for k in every.near(part))
+
+    for i in able:
+        grids[tops[live[i]["size"]]].add(i, live[i]["box"])
+    for i in able:
+        for k in partners(i):
+            if k > i:
+                offer(i, k)
     while heap:
         _, i, j, vi, vj = heapq.heappop(heap)
         if i not in live or j not in live or (vi, vj) != (version[i], version[j]):
             continue
         a, b = live[i], live[j]
         hull = _hull(a["box"], b["box"])
-        if any(_collide(hull, o["box"]) for k, o in live.items() if k not in (i, j)):
+        if blocked_by_other(i, j, hull):
             continue
         first, second = reading_pair(a, b)
         base = first if len(first["text"]) >= len(second["text"]) else second
+        grid = grids[tops[a["size"]]]
+        for k in (i, j):
+            every.remove(k)
+            grid.remove(k)
+            partner.pop(k, None)
         live[i] = {
             **base, "box": hull, "text": first["text"] + "\n" + second["text"], "vertical": True,
             "needs": a["needs"] or b["needs"], "members": a["members"] + b["members"],
         }
         del live[j]
+        every.add(i, hull)
+        grid.add(i, hull)
         version[i] += 1
-        for k in live:
-            if k != i:
-                offer(min(i, k), max(i, k))
+        for k in partners(i):
+            offer(min(i, k), max(i, k))
     return list(live.values())
 
 
@@ -161,58 +239,61 @@ MERGED_TYPE = (
 )
 
 
+def _merged_rows(rows: list[dict]) -> list[dict]:
+    rows = sorted(rows, key=lambda r: r["id"])
+    boxed = [{**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"]), "members": [r["id"]]} for r in rows]
+    return [
+        {"id": m["id"], "x0": m["box"][0], "y0": m["box"][1], "x1": m["box"][2],
+         "y1": m["box"][3], "text": m["text"], "size": m["size"], "vertical": m["vertical"],
+         "needs": m["needs"], "members": sorted(m["members"])}
+        for m in merge_pieces(boxed) if not m["obstacle"]
+    ]
+
+
 def merge_columns(pieces: DataFrame, key: str = "page") -> DataFrame:
     """Merge pieces of vertical text per page.
 
-    ``pieces`` has key, id, box, text, size, vertical, needs. Three or more
-    equal boxes with an area block each other and every hull over them, so they
-    leave as they are and act as one obstacle; boxes without an area block
-    nothing and merge like others. The rest is cut into bands along x, then
-    along y inside those, by the largest reach of the page's fonts.
+    ``pieces`` has key, id, box, text, size, vertical, needs.
     """
-    copies = pieces.groupBy(key, "box").agg(F.count("*").alias("_n"))
-    heavy = heavy_keys(copies.withColumnRenamed("_n", "n"), [key, "box"])
-    marked = materialize(join_unique(pieces, copies, [key, "box"], heavy, ["id"]), "marked")
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    own = ["id", "text", "size", "vertical", "needs"]
-    solid = (F.col("box.x1") > F.col("box.x0")) & (F.col("box.y1") > F.col("box.y0"))
+    short = F.length(strip(F.col("text"))) <= K.LOOSE_FRAGMENT_CHARS
+    rows = materialize(pieces.select(
+        key, *flat, "id", "text", "size", "vertical", "needs", (F.col("vertical") | short).alias("candidate"),
+        F.lit(False).alias("obstacle")), "pieces")
+    usual, large = by_size(rows, key)
+    merged = per_band(usual, [key], _merged_rows, MERGED_TYPE)
+    return merged if large is None else merged.unionByName(_merge_large(large, key))
+
+
+def _merge_large(rows: DataFrame, key: str) -> DataFrame:
+    """The same for pages of any size.
+
+    Three or more equal boxes with an area block each other and every hull over
+    them, so they leave as they are and act as one obstacle. The rest is cut into
+    bands along x, then along y inside those, by the largest reach of the page's fonts.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    copies = rows.groupBy(key, *box).agg(F.count("*").alias("_n"))
+    heavy = heavy_keys(copies.withColumnRenamed("_n", "n"), [key, *box])
+    marked = materialize(join_unique(rows, copies, [key, *box], heavy, ["id"]), "marked")
+    solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     blocking = (F.col("_n") > 2) & F.coalesce(solid, F.lit(False))
     crowd = marked.where(blocking)
-    obstacles = crowd.groupBy(key, "box").agg(
-        F.min("id").alias("id"), F.max("size").alias("size")
-    ).select(
-        key, *flat, "id", F.lit("").alias("text"), "size", F.lit(False).alias("vertical"),
+    obstacles = crowd.groupBy(key, *box).agg(F.min("id").alias("id"), F.max("size").alias("size")).select(
+        key, *box, "id", F.lit("").alias("text"), "size", F.lit(False).alias("vertical"),
         F.lit(False).alias("needs"), F.lit(False).alias("candidate"), F.lit(True).alias("obstacle"),
     )
-    short = F.length(strip(F.col("text"))) <= K.LOOSE_FRAGMENT_CHARS
-    free = marked.where(~blocking).select(
-        key, *flat, *own, (F.col("vertical") | short).alias("candidate"),
-        F.lit(False).alias("obstacle"),
-    )
-    every = materialize(free.unionByName(obstacles), "pieces")
-    every = _page_max(every, [key], "size", "_font")
+    every = materialize(marked.where(~blocking).drop("_n").unionByName(obstacles), "pieces")
+    every = _page_max(every, key, "size", "_font")
     font = F.greatest(F.col("_font"), F.lit(1.0))
     banded = bands(every, [key], "x0", "x1", font * K.COLUMN_SIDE_GAP, "_xband")
     banded = materialize(banded, "x-bands")
     banded = bands(banded, [key, "_xband"], "y0", "y1", font * K.COLUMN_STACK_GAP, "_yband")
-
-    def merge(rows: list[dict]) -> list[dict]:
-        rows = sorted(rows, key=lambda r: r["id"])
-        boxed = [
-            {**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"]), "members": [r["id"]]} for r in rows
-        ]
-        return [
-            {"id": m["id"], "x0": m["box"][0], "y0": m["box"][1], "x1": m["box"][2],
-             "y1": m["box"][3], "text": m["text"], "size": m["size"], "vertical": m["vertical"],
-             "needs": m["needs"], "members": sorted(m["members"])}
-            for m in merge_pieces(boxed) if not m["obstacle"]
-        ]
-
     merged = per_band(
-        banded.drop("_font"), [key, "_xband", "_yband"], merge, MERGED_TYPE
+        banded.drop("_font"), [key, "_xband", "_yband"], _merged_rows, MERGED_TYPE
     ).drop("_xband", "_yband")
     untouched = crowd.select(
-        key, "id", *flat, "text", "size", "vertical", "needs", F.array("id").alias("members")
+        key, "id", *box, "text", "size", "vertical", "needs", F.array("id").alias("members")
     )
     return merged.unionByName(untouched)
 
@@ -251,15 +332,25 @@ def _touch(a: Box, b: Box) -> bool:
 
 
 def join_rows(rows: list[dict]) -> list[dict]:
-    """One pass over rows in order; a row joins the last output row when the rules allow it."""
+    """One pass over rows in order; a row joins the last output row when the rules allow it.
+
+    The grid holds the output rows and all rows still to come, and so what a
+    joined row may not touch.
+    """
+    grid = BoxGrid()
+    for at, row in enumerate(rows):
+        grid.add(at, row["box"])
     out: list[dict] = []
     for at, row in enumerate(rows):
-        row = {**row, "end": row["pos"], "members": [row["pos"]]}
+        row = {**row, "end": row["pos"], "members": [row["pos"]], "at": at}
         last = out[-1] if out else None
         if last and _continues(last, row):
             hull = _hull(last["box"], row["box"])
-            others = [o["box"] for o in out[:-1]] + [r["box"] for r in rows[at + 1:]]
-            if not any(_touch(hull, o) for o in others):
+            own = (last["at"], at)
+            if not any(k not in own and _touch(hull, grid.boxes[k]) for k in grid.near(hull)):
+                for k in own:
+                    grid.remove(k)
+                grid.add(last["at"], hull)
                 last.update(
                     box=hull, end=row["pos"], members=last["members"] + row["members"],
                     text=last["text"].rstrip() + " " + row["text"].lstrip(),
@@ -269,6 +360,16 @@ def join_rows(rows: list[dict]) -> list[dict]:
     return out
 
 
+def _joined_rows(records: list[dict]) -> list[dict]:
+    records = sorted(records, key=lambda r: r["pos"])
+    boxed = [{**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"])} for r in records]
+    return [
+        {"pos": r["pos"], "x0": r["box"][0], "y0": r["box"][1], "x1": r["box"][2],
+         "y1": r["box"][3], "text": r["text"], "members": r["members"]}
+        for r in join_rows(boxed)
+    ]
+
+
 def join_broken_lines(rows: DataFrame, key: str = "page") -> DataFrame:
     """Join consecutive rows of a page that continue one sentence.
 
@@ -276,65 +377,109 @@ def join_broken_lines(rows: DataFrame, key: str = "page") -> DataFrame:
     color, needs.
     """
     flat = [F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    plain = rows.select(key, "pos", *flat, "text", "size", "bold", "color", "needs")
-    plain = _page_max(materialize(plain, "rows"), [key], "size", "_font")
-    banded = bands(plain, [key], "y0", "y1", F.col("_font") * K.LINE_JOIN_GAP, "_band")
-
-    def join(records: list[dict]) -> list[dict]:
-        records = sorted(records, key=lambda r: r["pos"])
-        boxed = [{**r, "box": (r["x0"], r["y0"], r["x1"], r["y1"])} for r in records]
-        return [
-            {"pos": r["pos"], "x0": r["box"][0], "y0": r["box"][1], "x1": r["box"][2],
-             "y1": r["box"][3], "text": r["text"], "members": r["members"]}
-            for r in join_rows(boxed)
-        ]
-
-    return per_band(banded.drop("_font"), [key, "_band"], join, JOINED_TYPE).drop("_band")
+    plain = materialize(rows.select(key, "pos", *flat, "text", "size", "bold", "color", "needs"), "rows")
+    usual, large = by_size(plain, key)
+    joined = per_band(usual, [key], _joined_rows, JOINED_TYPE)
+    if large is None:
+        return joined
+    banded = bands(_page_max(large, key, "size", "_font"), [key], "y0", "y1", F.col("_font") * K.LINE_JOIN_GAP, "_band")
+    return joined.unionByName(per_band(banded.drop("_font"), [key, "_band"], _joined_rows, JOINED_TYPE).drop("_band"))
 
 
 # --- reading order -----------------------------------------------------------
 
 
 def row_seeds(extents: list[tuple[float, float]]) -> list[int]:
-    """Reading row of every (top, height), given in order of their centres."""
+    """Reading row of every (top, height), given in order of their centres.
+
+    The first extent without a row opens one; it takes all others that share more
+    than half of the lower height. That holds for those whose centre lies above its
+    bottom and for those whose top lies above its centre, and for no others: the
+    former follow it in the order, the latter are met by a second order, by tops.
+    Both orders are passed once. Extents without a height take none and are taken by none.
+    """
     row = [-1] * len(extents)
-    number = 0
+    by_top = sorted((i for i, e in enumerate(extents) if e[1] > 0), key=lambda i: extents[i][0])
+    number = low = 0
+
+    def shares(i: int, j: int) -> bool:
+        (a, h), (b, g) = extents[i], extents[j]
+        least = min(h, g)
+        return least > 0 and max(0.0, min(a + h, b + g) - max(a, b)) / least > K.READING_ROW_OVERLAP
+
     for i, (top, height) in enumerate(extents):
         if row[i] >= 0:
             continue
         row[i] = number
-        for j in range(i + 1, len(extents)):
-            if row[j] < 0:
-                t, h = extents[j]
-                shared = max(0.0, min(top + height, t + h) - max(top, t))
-                least = min(height, h)
-                if least > 0 and shared / least > K.READING_ROW_OVERLAP:
+        if height > 0:
+            centre, bottom = top + height / 2, top + height
+            slack = 1e-9 * (1 + abs(top) + height)
+            j = i + 1
+            while j < len(extents) and extents[j][0] + extents[j][1] / 2 < bottom + slack:
+                if row[j] < 0 and shares(i, j):
                     row[j] = number
+                j += 1
+            at = low
+            while at < len(by_top) and extents[by_top[at]][0] < centre + slack:
+                if row[by_top[at]] < 0 and shares(i, by_top[at]):
+                    row[by_top[at]] = number
+                at += 1
+            while low < at and row[by_top[low]] >= 0:
+                low += 1
         number += 1
     return row
 
 
+def _seeded(found: list[dict]) -> list[dict]:
+    found = sorted(found, key=lambda e: (e["y"] + e["h"] / 2, e["first_id"]))
+    numbers = row_seeds([(e["y"], e["h"]) for e in found])
+    return [{"y": e["y"], "h": e["h"], "row": n} for e, n in zip(found, numbers)]
+
+
 def reading_order(boxes: DataFrame, key: str = "page") -> DataFrame:
     """Right-to-left reading order: adds band, row and the 1-based position in the page.
 
-    ``boxes`` has key, id, x, y, w, h. Rows of a page come from the distinct
-    (top, height) pairs, which is all the grouping looks at.
+    ``boxes`` has key, id, x, y, w, h. Pages of up to PAGE_ROWS boxes are numbered
+    in the row. In larger ones rows come from the distinct (top, height) pairs,
+    which is all the grouping looks at, and positions block by block.
     """
-    spans = boxes.withColumn("_bottom", F.col("y") + F.col("h"))
-    banded = bands(spans, [key], "y", "_bottom", F.lit(0.0), "band").drop("_bottom")
-    banded = materialize(banded, "bands")
-    extents = banded.groupBy(key, "band", "y", "h").agg(F.min("id").alias("first_id"))
-
-    def rows(found: list[dict]) -> list[dict]:
-        found = sorted(found, key=lambda e: (e["y"] + e["h"] / 2, e["first_id"]))
-        numbers = row_seeds([(e["y"], e["h"]) for e in found])
-        return [{"y": e["y"], "h": e["h"], "row": n} for e, n in zip(found, numbers)]
-
-    kinds = {f: boxes.schema[f].dataType.simpleString() for f in ("y", "h")}
-    seeded = per_band(extents, [key, "band"], rows, f"y:{kinds['y']}, h:{kinds['h']}, row:int")
-    placed = banded.join(seeded, [key, "band", "y", "h"])
-    placed = placed.withColumn("_right", -(F.col("x") + F.col("w") / 2)).withColumn(
-        "_centre", F.col("y") + F.col("h") / 2
-    ).withColumn(blocked.BLOCK, F.col("band"))
-    order = ["row", "_right", "y", "_centre", "id"]
-    return blocked.row_number(placed, [key], order, "position").drop("_right", "_centre", blocked.BLOCK)
+    boxes = materialize(boxes.select(key, "id", "x", "y", "w", "h"), "boxes")
+    usual, large = by_size(boxes, key)
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+
+    def numbered(rows: list[dict]) -> list[dict]:
+        firsts: dict[tuple, int] = {}
+        for r in rows:
+            firsts[r["y"], r["h"]] = min(firsts.get((r["y"], r["h"]), r["id"]), r["id"])
+        seeds = {(e["y"], e["h"]): e["row"] for e in _seeded([{"y": y, "h": h, "first_id": i} for (y, h), i in firsts.items()])}
+        extents = sorted(firsts)
+        band, far, bands_of = -1, None, {}
+        for y, h in sorted(extents, key=lambda e: (e[0], e[0] + e[1])):
+            if far is None or y > far:
+                band += 1
+            far = y + h if far is None else max(far, y + h)
+            bands_of[y, h] = band
+        lowest: dict[int, int] = {}
+        for e, n in seeds.items():
+            lowest[bands_of[e]] = min(lowest.get(bands_of[e], n), n)
+        for r in rows:
+            r["band"] = bands_of[r["y"], r["h"]]
+            r["row"] = seeds[r["y"], r["h"]] - lowest[r["band"]]
+        rows.sort(key=lambda r: (r["band"], r["row"], -(r["x"] + r["w"] / 2), r["y"], r["y"] + r["h"] / 2, r["id"]))
+        return [{**r, "position": n + 1} for n, r in enumerate(rows)]
+
+    shape = ", ".join(f"{f}: {kinds[f]}" for f in ("id", "x", "y", "w", "h"))
+    placed = per_band(usual, [key], numbered, f"{shape}, band: bigint, row: int, position: bigint")
+    if large is None:
+        return placed
+    spans = large.withColumn("_bottom", F.col("y") + F.col("h"))
+    banded = materialize(bands(spans, [key], "y", "_bottom", F.lit(0.0), "band").drop("_bottom"), "bands")
+    extents = banded.groupBy(key, "band", "y", "h").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    seeded = per_band(extents.drop("n"), [key, "band"], _seeded, f"y:{kinds['y']}, h:{kinds['h']}, row:int")
+    place = [key, "band", "y", "h"]
+    rest = join_unique(banded, seeded, place, heavy_keys(extents, place), ["id"], "inner")
+    rest = rest.withColumn("_right", -(F.col("x") + F.col("w") / 2)).withColumn(
+        "_centre", F.col("y") + F.col("h") / 2)
+    order = ["band", "row", "_right", "y", "_centre", "id"]
+    rest = blocked.row_number(blocked.with_counted_block(rest, [key], order), [key], order, "position")
+    return placed.unionByName(rest.drop("_right", "_centre", blocked.BLOCK))

@@ -404,10 +404,50 @@ def covered_images(spark, sf):
     return spatial.covered_images(images, b.select("page", "box"), ["page"]).select("page", "id")
 
 
-# --- sequential merges: checked against brute force in the tests -------------
-
-
-@query("W12 W12a")
+# --- sequential merges: their SQL goes step by step over each page ------------
+
+_END_SIGNS = "[" + ", ".join(S.quoted(c) for c in K.SENTENCE_END_CHARS) + "]"
+
+
+def _merge_sql() -> str:
+    """One merge per page and step, over the list of its pieces; pieces of a pair q or p are l[q.i] and l[q.j]."""
+    a, b, o = "l[q.i].", "l[q.j].", "l[k]."
+    big = f"greatest({a}size, {b}size, 1.0)"
+    stacked = f"({S.gap(a, b, 'x')} <= {big} * {K.SAME_COLUMN_GAP})"
+    in_order = f"(CASE WHEN {stacked} THEN {a}y0 <= {b}y0 ELSE {a}x0 >= {b}x0 END)"
+    first_text = f"CASE WHEN {in_order} THEN {a}text ELSE {b}text END"
+    rule = f"""{a}candidate AND {b}candidate AND ({a}vertical OR {b}vertical)
+      AND {big} / greatest(least({a}size, {b}size), 0.1) <= {K.MERGE_FONT_RATIO}
+      AND NOT list_contains({_END_SIGNS}, right(rtrim({first_text}), 1))
+      AND CASE WHEN {stacked} THEN {S.gap(a, b, 'y')} <= {big} * {K.COLUMN_STACK_GAP}
+        ELSE {S.gap(a, b, 'x')} <= {big} * {K.COLUMN_SIDE_GAP} AND {S.y_overlap(a, b)} > {K.COLUMN_OVERLAP} END"""
+    hits = " AND ".join(f"least(greatest({a}{c}1, {b}{c}1), {o}{c}1) > greatest(least({a}{c}0, {b}{c}0), {o}{c}0)" for c in "xy")
+    merged = ", ".join(
+        [f"'{c}0': least({a}{c}0, {b}{c}0), '{c}1': greatest({a}{c}1, {b}{c}1)" for c in "xy"]
+        + [f"'{c}': CASE WHEN (length({a}text) >= length({b}text) AND {in_order}) OR (length({a}text) > length({b}text) AND NOT {in_order})"
+           f" THEN {a}{c} ELSE {b}{c} END" for c in ("id", "size", "candidate")]
+        + [f"'text': CASE WHEN {in_order} THEN {a}text || chr(10) || {b}text ELSE {b}text || chr(10) || {a}text END",
+           "'vertical': true", f"'members': list_concat({a}members, {b}members)"]).replace("q.", "p.")
+    fields = ["x0", "x1", "y0", "y1", "id", "size", "candidate", "text", "vertical", "members"]
+    one = ", ".join(f"'{f}': {f}" for f in fields)
+    return f"""
+WITH RECURSIVE {BOXES_SQL},
+piece AS (SELECT *, vertical OR length(trim(text)) <= {K.LOOSE_FRAGMENT_CHARS} AS candidate, [id] AS members FROM boxes),
+steps AS (
+  SELECT page, 0 AS n, list({{{one}}} ORDER BY id) AS l, NULL::STRUCT(g DOUBLE, i BIGINT, j BIGINT) AS p FROM piece GROUP BY page
+  UNION ALL
+  SELECT page, n + 1, l, list_sort(list_filter(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(range(i + 1, len(l) + 1),
+      lambda j: {{'g': {S.gap('l[i].', 'l[j].', 'x')} + {S.gap('l[i].', 'l[j].', 'y')}, 'i': i, 'j': j}}))),
+      lambda q: {rule}
+        AND len(list_filter(range(1, len(l) + 1), lambda k: k <> q.i AND k <> q.j AND {hits})) = 0))[1] AS p
+  FROM (SELECT page, n, CASE WHEN p IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), lambda k: k <> p.j),
+      lambda k: CASE WHEN k = p.i THEN {{{merged}}} ELSE l[k] END) END AS l, p FROM steps WHERE n = 0 OR p IS NOT NULL)),
+last AS (SELECT page, unnest(l) AS m FROM steps WHERE n > 0 AND p IS NULL)
+SELECT page, m.id AS id, m.x0 AS x0, m.y0 AS y0, m.x1 AS x1, m.y1 AS y1, m.text AS text, m.size AS size, m.vertical AS vertical,
+  true AS needs, array_to_string(list_sort(m.members), ',') AS members FROM last"""
+
+
+@query("W12 W12a", _merge_sql())
 def merged_columns(spark, sf):
     pieces = boxes(spark, sf).select(
         "page", "id", "box", "text", "size", "vertical", F.lit(True).alias("needs")
@@ -415,7 +455,35 @@ def merged_columns(spark, sf):
     return merging.merge_columns(pieces).withColumn("members", F.array_join("members", ","))
 
 
-@query("W11")
+def _join_sql() -> str:
+    """One row of each page per step: it joins the open row c, or closes it."""
+    touch = " AND ".join(f"least(greatest(c.{a}1, r.{a}1), o.{a}1) - greatest(least(c.{a}0, r.{a}0), o.{a}0) > {K.LINE_TOUCH}" for a in "xy")
+    ends = "[" + ", ".join(S.quoted(c) for c in K.LINE_END_CHARS) + "]"
+    return f"""
+WITH RECURSIVE {BOXES_SQL},
+rows_ AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY id) AS pos, x0 / 25 AS x0, y0, x0 / 25 + x1 - x0 AS x1, y1, text, size, bold, color
+  FROM boxes),
+pages_ AS (SELECT page, list({{'pos': pos, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'text': text, 'size': size, 'bold': bold, 'color': color,
+    'members': [pos]}} ORDER BY pos) AS l FROM rows_ GROUP BY page),
+steps AS (
+  SELECT page, l, 1 AS k, l[1] AS c, l[1:0] AS done FROM pages_
+  UNION ALL
+  SELECT page, l, k + 1, CASE WHEN joins THEN {{'pos': c.pos, 'x0': least(c.x0, r.x0), 'y0': least(c.y0, r.y0), 'x1': greatest(c.x1, r.x1),
+      'y1': greatest(c.y1, r.y1), 'text': rtrim(c.text) || ' ' || ltrim(r.text), 'size': c.size, 'bold': c.bold, 'color': c.color,
+      'members': list_append(c.members, r.pos)}} ELSE r END,
+    CASE WHEN joins THEN done ELSE list_append(done, c) END
+  FROM (SELECT *, c.bold = r.bold AND c.color = r.color AND abs(c.size - r.size) <= {K.LINE_JOIN_FONT}
+      AND r.y0 - c.y1 > -c.size AND r.y0 - c.y1 < c.size * {K.LINE_JOIN_GAP}
+      AND least(c.x1, r.x1) - greatest(c.x0, r.x0) > 0
+      AND (least(c.x1, r.x1) - greatest(c.x0, r.x0)) / greatest(least(c.x1 - c.x0, r.x1 - r.x0), 1e-6) > {K.LINE_JOIN_OVERLAP}
+      AND length(c.text) + length(r.text) <= {K.LINE_JOIN_CHARS} AND NOT list_contains({ends}, right(rtrim(c.text), 1))
+      AND len(list_filter(done || l[k + 2:], lambda o: {touch})) = 0 AS joins
+    FROM (SELECT *, l[k + 1] AS r FROM steps WHERE k < len(l)))),
+last AS (SELECT page, unnest(list_append(done, c)) AS m FROM steps WHERE k = len(l))
+SELECT page, m.pos AS pos, m.x0 AS x0, m.y0 AS y0, m.x1 AS x1, m.y1 AS y1, m.text AS text, array_to_string(m.members, ',') AS members FROM last"""
+
+
+@query("W11", _join_sql())
 def joined_lines(spark, sf):
     b = boxes(spark, sf)
     box = F.col("box")
@@ -429,7 +497,23 @@ def joined_lines(spark, sf):
     return merging.join_broken_lines(rows).withColumn("members", F.array_join("members", ","))
 
 
-@query("W13")
+_SHARES = (f"least(rest[1].h, e.h) > 0 AND greatest(0, least(rest[1].y + rest[1].h, e.y + e.h) - greatest(rest[1].y, e.y))"
+           f" / least(rest[1].h, e.h) > {K.READING_ROW_OVERLAP}")
+
+
+@query("W13", f"""
+WITH RECURSIVE {BOXES_SQL},
+r AS (SELECT page, id, x0 AS x, y0 + id % 11 AS y, x1 - x0 AS w, 12.0::DOUBLE + id % 17 AS h FROM boxes),
+e AS (SELECT page, y, h, min(id) AS first_id FROM r GROUP BY ALL),
+far AS (SELECT *, max(y + h) OVER (PARTITION BY page ORDER BY y, y + h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM e),
+b AS (SELECT *, CAST(sum(CASE WHEN y > far THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, y + h) AS BIGINT) AS band FROM far),
+steps AS (
+  SELECT page, band, 0 AS n, list({{'y': y, 'h': h, 'id': first_id}} ORDER BY y + h / 2, first_id) AS rest FROM b GROUP BY page, band
+  UNION ALL
+  SELECT page, band, n + 1, list_filter(rest, lambda e: e.id <> rest[1].id AND NOT ({_SHARES})) FROM steps WHERE len(rest) > 0),
+taken AS (SELECT page, band, n, unnest(list_filter(rest, lambda e: e.id = rest[1].id OR ({_SHARES}))) AS m FROM steps WHERE len(rest) > 0),
+placed AS (SELECT r.*, band, CAST(n AS INTEGER) AS "row" FROM r JOIN taken ON r.page = taken.page AND r.y = m.y AND r.h = m.h)
+SELECT *, row_number() OVER (PARTITION BY page ORDER BY band, "row", -(x + w / 2), y, y + h / 2, id) AS position FROM placed""")
 def reading_order(spark, sf):
     b = boxes(spark, sf)
     rows = b.select(

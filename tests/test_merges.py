@@ -1,7 +1,9 @@
 """Merges that run band by band against whole-page brute force."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
@@ -64,7 +66,14 @@ def naive_columns(rows):
         del live[j]
 
 
-def test_merge_columns(spark):
+@pytest.fixture(params=["whole pages", "bands"])
+def any_size(request, monkeypatch):
+    """Pages as one unit, and all pages cut into bands."""
+    if request.param == "bands":
+        monkeypatch.setattr(merging, "PAGE_ROWS", 1)
+
+
+def test_merge_columns(spark, any_size):
     rows = pages(11, 40)
     got = {}
     for r in merging.merge_columns(frame(spark, rows)).collect():
@@ -94,7 +103,7 @@ def naive_lines(rows):
     return sorted((o["pos"], o["box"], o["text"], tuple(o["members"])) for o in out)
 
 
-def test_join_broken_lines(spark):
+def test_join_broken_lines(spark, any_size):
     rng = random.Random(5)
     rows = []
     for page in range(30):
@@ -131,7 +140,7 @@ def naive_reading(boxes):
     return [b[0] for b in out]
 
 
-def test_reading_order(spark):
+def test_reading_order(spark, any_size):
     rng = random.Random(9)
     rows = [(p, i, float(rng.randrange(300)), float(rng.randrange(0, 200, 3)), 20.0, float(rng.choice([5, 9, 30])))
             for p in range(25) for i in range(rng.randrange(1, 12))]
@@ -143,6 +152,76 @@ def test_reading_order(spark):
         assert order == naive_reading([r[1:] for r in rows if r[0] == page])
 
 
+def pieces_of(rows):
+    return [{"id": r[1], "box": r[2:6], "text": r[6], "size": r[7], "vertical": r[8], "needs": True, "members": [r[1]],
+             "candidate": r[8] or len(r[6].strip()) <= 3} for r in sorted(rows, key=lambda r: r[1])]
+
+
+def test_merge_pieces_on_crowded_pages():
+    rng = random.Random(21)
+    merged = 0
+    for n in range(300):
+        side = rng.choice([20, 60, 150])
+        rows = []
+        for i in range(rng.randrange(2, 16)):
+            x, y = rng.randrange(0, side, 4), rng.randrange(0, side, 4)
+            w, h = rng.choice([(8, 10), (8, 30), (0, 10), (8, 0), (60, 4), (4, 60)])
+            rows.append((0, i, float(x), float(y), float(x + w), float(y + h), rng.choice(["가", "longer text", "end.", "abc"]),
+                         rng.choice([0.5, 0.95, 10.0, 11.0, 12.0, 13.5, 40.0]), rng.random() < 0.7))
+        got = sorted((p["box"], p["text"], tuple(sorted(p["members"]))) for p in merging.merge_pieces(pieces_of(rows)))
+        assert got == naive_columns(rows), n
+        merged += any(len(m) > 1 for *_, m in got)
+    assert merged > 50
+
+
+def test_row_seeds_by_definition():
+    rng = random.Random(22)
+    for _ in range(400):
+        extents = sorted(((float(rng.randrange(60)), rng.choice([0.0, 1.0, 5.0, 9.5, 30.0, 80.0])) for _ in range(rng.randrange(25))),
+                         key=lambda e: e[0] + e[1] / 2)
+        want, number = [-1] * len(extents), 0
+        for i, (top, height) in enumerate(extents):
+            if want[i] < 0:
+                want[i] = number
+                for j in range(i + 1, len(extents)):
+                    t, h = extents[j]
+                    shared, least = max(0.0, min(top + height, t + h) - max(top, t)), min(height, h)
+                    if want[j] < 0 and least > 0 and shared / least > 0.5:
+                        want[j] = number
+                number += 1
+        assert merging.row_seeds(extents) == want
+
+
+MANY = 200_000
+
+
+def timed(work):
+    start = time.perf_counter()
+    out = work()
+    assert time.perf_counter() - start < 60
+    return out
+
+
+def test_many_boxes_on_one_page():
+    rng = random.Random(23)
+    dense = [(0, i, x := rng.uniform(0, 900), y := rng.uniform(0, 900), x + 12.0, y + 12.0, "가", 10.0, True) for i in range(MANY)]
+    assert len(timed(lambda: merging.merge_pieces(pieces_of(dense)))) == MANY  # all overlap, nothing may merge
+    columns = [(0, i, (i % 450) * 40.0, (i // 450) * 11.0, (i % 450) * 40.0 + 10, (i // 450) * 11.0 + 10, "가" if i // 450 % 10 else "문.", 10.0, True)
+               for i in range(MANY)]
+    assert len(timed(lambda: merging.merge_pieces(pieces_of(columns)))) < MANY // 5
+
+
+def test_many_lines_and_extents_on_one_page():
+    lines = [dict(pos=i, box=(0.0, i * 12.0, 80.0, i * 12.0 + 10), text="word" if i % 9 else "end.", size=10.0, bold=False, color=0,
+                  needs=True) for i in range(MANY)]
+    lines += [dict(pos=MANY + i, box=(40.0, i * 12.0, 90.0, i * 12.0 + 10), text="x", size=10.0, bold=True, color=1, needs=True)
+              for i in range(0, MANY, 50)]
+    assert len(timed(lambda: merging.join_rows(lines))) < MANY // 4
+    rng = random.Random(24)
+    extents = sorted(((rng.uniform(0, 5e5), rng.uniform(1, 3000)) for _ in range(MANY)), key=lambda e: e[0] + e[1] / 2)
+    assert max(timed(lambda: merging.row_seeds(extents))) > 100
+
+
 def test_spread_words():
     assert spread_words("aa bb cc dd", [10.0, 10.0]) == "aa bb\ncc dd"
     assert spread_words("one", [5.0, 5.0]) == "one"
