@@ -1,12 +1,28 @@
-"""Memo of finished work, kept as an append-only table.
-
-An upsert appends rows; a read takes the newest row of each key. Nothing is
-rewritten in place, so a lost executor or a repeated task cannot damage the
-table, and ``compact`` folds it into a fresh snapshot when wanted.
+"""Memo of finished work, kept as an append-only, clustered table.
+
+Every run is a folder ``level=l/seq=n/run=name``. Its rows lie in buckets by the
+first ``l + 1`` hexadecimal digits of the key (keys are hashes, so buckets are
+even), one file per bucket, sorted by key, with a Bloom filter on it. A lookup
+names the buckets of its keys and reads no other files; inside a file, row groups
+without the keys are skipped. A run is visible once its ``_SUCCESS`` mark is there.
+
+An upsert appends rows; a read takes the newest row of each key. The number of a
+run stands in its folder's name, so a new run needs no scan to be the newest.
+``compact_runs`` folds the runs of a full level into one run of the next level. It
+counts from the moment its list of replaced runs is in place; until then, or if it
+is repeated, the replaced runs are still there and read, so nothing can be lost.
+``vacuum`` deletes them later.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +36,11 @@ SCHEMA = (
     " target_lang string, glossary_hash string, created_at timestamp, seq bigint"
 )
 
+#: Runs of one level that are folded into one of the next, whose buckets are as many times as many.
+FAN = 16
+_RUN = re.compile(r"level=(\d+)/seq=(\d+)/run=([^/]+)$")
+_REPLACES = "_replaces.json"
+
 
 def entries(pairs: DataFrame, source_lang: Column, target_lang: Column, glossary: Column,
             seq: Column, created_at: Column | None = None) -> DataFrame:
@@ -48,49 +69,198 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return latest(stored.unionByName(new))
 
 
+@dataclass(frozen=True, order=True)
+class Run:
+    seq: int
+    level: int
+    name: str
+    path: str
+
+    @property
+    def id(self) -> str:
+        return f"{self.level}/{self.seq}/{self.name}"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes paths of it."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _replaced_by(spark: SparkSession, run: Run) -> list[str] | None:
+    """Ids of the runs that a compaction stands for; None if it is no finished one."""
+    fs, make = _files(spark, run.path)
+    at = make(f"{run.path}/{_REPLACES}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _all_runs(spark: SparkSession, path: str) -> list[Run]:
+    """Every finished run; there are few, since full levels are folded."""
+    fs, make = _files(spark, path)
+    found = fs.globStatus(make(f"{path}/level=*/seq=*/run=*/_SUCCESS")) or []
+    out = []
+    for status in found:
+        folder = status.getPath().getParent().toString()
+        level, seq, name = _RUN.search(folder).groups()
+        out.append(Run(int(seq), int(level), name, folder))
+    return sorted(out)
+
+
+def runs(spark: SparkSession, path: str) -> list[Run]:
+    """The runs to be read, oldest first: of runs with one name the last, without those that a compaction stands for."""
+    every, gone = _all_runs(spark, path), set()
+    for run in every:
+        if run.level:
+            replaced = _replaced_by(spark, run)
+            gone.update([run.id] if replaced is None else replaced)
+    return list({r.name: r for r in every if r.id not in gone}.values())
+
+
+def _store(rows: DataFrame, run: str, level: int) -> None:
+    digits = level + 1
+    clustered = rows.drop("seq").withColumn("bucket", F.substring("cache_key", 1, digits))
+    (
+        clustered.repartition("bucket").sortWithinPartitions("bucket", "cache_key")
+        .write.mode("overwrite").partitionBy("bucket")
+        .option("parquet.bloom.filter.enabled#cache_key", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .parquet(run)
+    )
+
+
 def append(rows: DataFrame, path: str, run: int | str) -> None:
-    """Write the rows of one run; repeating a run replaces its folder.
+    """Write the rows of one run, as the newest, whatever their ``seq``; repeating a run replaces it.
 
     Writers that don't know of each other need names of their own for ``run``,
     such as a query's id and its batch number.
     """
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+    spark = rows.sparkSession
+    seq = next_seq(spark, path)
+    older = [r for r in _all_runs(spark, path) if r.name == str(run)]
+    _store(rows, f"{path}/level=0/seq={seq}/run={run}", 0)
+    _delete(spark, [r.path for r in older])
 
 
 def next_seq(spark: SparkSession, path: str) -> int:
-    """A number above all that the table holds, so that a new run is newer."""
-    newest_seq = stored_rows(spark, path).agg(F.max("seq")).first()[0]
-    return 0 if newest_seq is None else newest_seq + 1
+    """A number above all that the table holds, so that a new run is newer; read from the folders' names."""
+    return max((r.seq for r in _all_runs(spark, path)), default=-1) + 1
 
 
 def create_empty(spark: SparkSession, path: str) -> None:
-    append(spark.createDataFrame([], SCHEMA), path, -1)
+    fs, make = _files(spark, path)
+    fs.mkdirs(make(path))
+
+
+def _read(spark: SparkSession, path: str, chosen: Iterable[Run], buckets: Iterable[str] | None = None) -> DataFrame:
+    """Rows of some runs; with ``buckets`` (full keys or their beginnings) only of files that can hold them."""
+    wanted = None if buckets is None else sorted(set(buckets))
+    by_level: dict[int, list[str]] = {}
+    for run in chosen:
+        by_level.setdefault(run.level, []).append(run.path)
+    frames = []
+    for level, folders in sorted(by_level.items()):
+        rows = spark.read.schema(f"{SCHEMA}, level int, run string, bucket string").option("basePath", path).parquet(*folders)
+        if wanted is not None:
+            rows = rows.where(F.col("bucket").isin(sorted({b[:level + 1] for b in wanted})))
+        frames.append(rows.drop("level", "run", "bucket"))
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], SCHEMA)
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path).drop("run")
+    return _read(spark, path, runs(spark, path))
 
 
 def other_rows(spark: SparkSession, path: str, run: str) -> DataFrame:
     """All rows but those of one run, which a repeated attempt is about to replace."""
-    rows = spark.read.schema(f"{SCHEMA}, run string").option("basePath", path).parquet(path)
-    return rows.where(F.col("run") != run).drop("run")
+    return _read(spark, path, [r for r in runs(spark, path) if r.name != run])
+
+
+def rows_for(work: DataFrame, path: str, but: str | None = None) -> DataFrame:
+    """Rows of the files that can hold the keys of ``work`` (a table: it is read once for its buckets).
+
+    The buckets of the finest level are collected, 16 ** (level + 1) at most and
+    4096 in any case; a batch of work that is small beside the memo leaves most files out.
+    """
+    spark = work.sparkSession
+    chosen = [r for r in runs(spark, path) if r.name != but]
+    digits = min(3, max((r.level for r in chosen), default=0) + 1)
+    asked = [r[0] for r in work.select(F.substring("cache_key", 1, digits)).distinct().collect()]
+    # a beginning shorter than a level's buckets cannot choose among them
+    fine = [r for r in chosen if r.level + 1 <= digits]
+    rows = _read(spark, path, fine, asked)
+    deeper = [r for r in chosen if r.level + 1 > digits]
+    return rows if not deeper else rows.unionByName(_read(spark, path, deeper))
+
+
+def lookup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest rows of a few keys: only their buckets are opened, and row groups without them skipped."""
+    held = _read(spark, path, runs(spark, path), keys)
+    return latest(held.where(F.col("cache_key").isin(*keys)))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every key."""
     return latest(stored_rows(spark, path))
 
 
+def compact_runs(spark: SparkSession, path: str, fan: int = FAN) -> int:
+    """Fold every level that holds ``fan`` runs or more into the next; returns how many levels were folded."""
+    folded, level = 0, 0
+    while True:
+        every = runs(spark, path)
+        mine = [r for r in every if r.level == level]
+        if len(mine) >= fan:
+            _fold(spark, path, mine)
+            folded += 1
+        elif not any(r.level > level for r in every):
+            return folded
+        level += 1
+
+
+def _fold(spark: SparkSession, path: str, mine: list[Run]) -> None:
+    ids = [r.id for r in mine]
+    name = "fold-" + hashlib.sha256("\n".join(ids).encode()).hexdigest()[:16]
+    level = mine[0].level + 1
+    target = f"{path}/level={level}/seq={max(r.seq for r in mine)}/run={name}"
+    _store(latest(_read(spark, path, mine)), target, level)
+    fs, make = _files(spark, path)
+    draft = make(f"{target}/{_REPLACES}.draft")
+    stream = fs.create(draft, True)
+    stream.write(bytearray(json.dumps(ids).encode()))
+    stream.close()
+    fs.rename(draft, make(f"{target}/{_REPLACES}"))
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the folders that no reader needs any more; call it when no reader of an older state is left."""
+    kept = {r.path for r in runs(spark, path)}
+    gone = [r.path for r in _all_runs(spark, path) if r.path not in kept and (r.level == 0 or _replaced_by(spark, r) is not None)]
+    _delete(spark, gone)
+    return len(gone)
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        fs, make = _files(spark, folder)
+        fs.delete(make(folder), True)
+
+
 def compact(spark: SparkSession, path: str, into: str) -> None:
     """Write one row per key to a new snapshot."""
     append(load(spark, path), into, 0)
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Truncate: the whole table becomes one empty run."""
-    spark.createDataFrame([], SCHEMA).withColumn("run", F.lit(-1)).write.mode(
-        "overwrite"
-    ).partitionBy("run").parquet(path)
+    """Truncate: the table keeps its folder and no run."""
+    fs, make = _files(spark, path)
+    _delete(spark, [s.getPath().toString() for s in fs.globStatus(make(f"{path}/level=*")) or []])
 
 
 def stats(memo: DataFrame) -> DataFrame:

@@ -172,6 +172,9 @@ def merge_pieces(pieces: list[dict]) -> list[dict]:
     reach of a piece's size class only, and a hull is searched for obstacles only
     outside the larger of its two boxes, which is known to hit nothing else.
     """
+    able = [p for p in pieces if p["candidate"]]
+    if len(able) < 2 or not any(p["vertical"] for p in able):
+        return pieces
     live = dict(enumerate(pieces))
     every = BoxGrid()
     for i, p in live.items():
@@ -337,14 +340,16 @@ def join_rows(rows: list[dict]) -> list[dict]:
     The grid holds the output rows and all rows still to come, and so what a
     joined row may not touch.
     """
-    grid = BoxGrid()
-    for at, row in enumerate(rows):
-        grid.add(at, row["box"])
+    grid: BoxGrid | None = None  # most pages need none
     out: list[dict] = []
     for at, row in enumerate(rows):
         row = {**row, "end": row["pos"], "members": [row["pos"]], "at": at}
         last = out[-1] if out else None
         if last and _continues(last, row):
+            if grid is None:
+                grid = BoxGrid()
+                for n, r in enumerate(rows):
+                    grid.add(n, r["box"])
             hull = _hull(last["box"], row["box"])
             own = (last["at"], at)
             if not any(k not in own and _touch(hull, grid.boxes[k]) for k in grid.near(hull)):

@@ -180,14 +180,18 @@ def keyed_segments(documents: DataFrame, source_lang: str, target_lang: str, glo
     )
 
 
+def distinct_segments(documents: DataFrame, source_lang: str, target_lang: str, key: str = "doc_id") -> DataFrame:
+    """One owner segment per memo key."""
+    return memo.distinct_work(keyed_segments(documents, source_lang, target_lang, key=key), [key, "pos"])
+
+
 def pending(documents: DataFrame, stored: DataFrame, source_lang: str, target_lang: str,
             key: str = "doc_id") -> DataFrame:
     """Distinct unfinished work: one owner segment per key the memo does not hold.
 
     ``stored`` may hold several rows per key; an anti-join does not mind.
     """
-    work = memo.distinct_work(keyed_segments(documents, source_lang, target_lang, key=key), [key, "pos"])
-    return memo.misses(work, stored)
+    return memo.misses(distinct_segments(documents, source_lang, target_lang, key), stored)
 
 
 def batched_work(work: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -243,9 +247,10 @@ def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, so
     """
     spark = documents.sparkSession
     segments = keyed_segments(documents, source_lang, target_lang, glossary, key)
-    work = memo.misses(memo.distinct_work(segments, [key, "pos"]), memo.stored_rows(spark, memo_path))
-    work = materialize(work.select(key, "pos", "page", "seg_id", "text", "cache_key"), "pending")
-    seq, run, faults = memo.next_seq(spark, memo_path), uuid.uuid4().hex, None
+    asked = memo.distinct_work(segments, [key, "pos"]).select(key, "pos", "page", "seg_id", "text", "cache_key")
+    asked = materialize(asked, "asked")
+    work = materialize(memo.misses(asked, memo.rows_for(asked, memo_path)), "pending")
+    run, faults = uuid.uuid4().hex, None
     for attempt in range(attempts):
         if work.isEmpty():
             break
@@ -256,11 +261,13 @@ def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, so
             key, "error", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
         finished = materialize(finish_segments(rows, options), "answers")
         sound = finished.where(~F.col("failed")).withColumnRenamed("source", "text")
-        memo.append(memo.entries(sound, F.lit(source_lang), F.lit(target_lang), F.lit(glossary), F.lit(seq + attempt)),
+        memo.append(memo.entries(sound, F.lit(source_lang), F.lit(target_lang), F.lit(glossary), F.lit(attempt)),
                     memo_path, f"{run}-{attempt}")
         faults = finished.where("failed")
         work = faults.select(key, "pos", "page", "seg_id", F.col("source").alias("text"), "cache_key")
-    stored = memo.load(spark, memo_path).select("cache_key", F.col("translated_text").alias("translated"))
+    memo.compact_runs(spark, memo_path)
+    held = memo.rows_for(asked, memo_path).join(asked.select("cache_key"), "cache_key", "left_semi")
+    stored = memo.latest(held).select("cache_key", F.col("translated_text").alias("translated"))
     results = stored.withColumn("error", F.lit(None).cast("string"))
     if faults is not None:
         results = results.unionByName(faults.select("cache_key", F.lit(None).cast("string").alias("translated"), "error"))

@@ -11,6 +11,7 @@ from folioflow.functions.text import words
 from folioflow.operators import memo
 from folioflow.operators.segments import scan
 from folioflow.plans import translate as plan
+from folioflow.session import materialize
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -64,10 +65,10 @@ def memo_writer(memo_path: str, source_lang: str, target_lang: str, writer: str)
     def write(documents: DataFrame, batch: int) -> None:
         spark = documents.sparkSession
         run = f"{writer}-{batch}"
-        others = memo.other_rows(spark, memo_path, run)
-        work = plan.pending(documents, others, source_lang, target_lang)
-        rows = plan.mock_results(work, source_lang, target_lang, memo.next_seq(spark, memo_path))
-        memo.append(rows, memo_path, run)
+        asked = materialize(plan.distinct_segments(documents, source_lang, target_lang), "asked")
+        work = memo.misses(asked, memo.rows_for(asked, memo_path, but=run))
+        memo.append(plan.mock_results(work, source_lang, target_lang), memo_path, run)
+        memo.compact_runs(spark, memo_path)
 
     return write
 
