@@ -68,6 +68,26 @@ def plausibility(text: Column, lang: Column) -> Column:
     return let(counts, lambda c: verdict(c["hits"], c["size"]))
 
 
+def script_rule(lang: Column) -> Column:
+    """STRUCT<chars, share, least> of a recognition code: computed once, it serves many texts (``follows``)."""
+    wants, names, out = _wants(lang), list(_wants(lang)), F
+    for choice in product([True, False], repeat=len(names)):
+        rules = [K.SCRIPT_RULES[n] for n in ([n for n, used in zip(names, choice) if used] or ["other"])]
+        applies = reduce(lambda a, b: a & b, [wants[n] if used else ~wants[n] for n, used in zip(names, choice)])
+        out = out.when(applies, F.struct(
+            F.lit(f"[^{''.join(r[0] for r in rules)}]").alias("others"), F.lit(min(r[1] for r in rules)).alias("share"),
+            F.lit(min(r[2] for r in rules)).alias("least")))
+    return out
+
+
+def follows(text: Column, rule: Column) -> Column:
+    """``plausibility(text, lang)["ok"]`` for a rule that is at hand."""
+    compact = F.regexp_replace(F.coalesce(text, F.lit("")), K.JAVA_SPACE, "")
+    counts = let(compact, lambda c: F.struct(
+        F.length(F.regexp_replace(c, rule["others"], F.lit(""))).alias("hits"), F.length(c).alias("size")))
+    return let(counts, lambda c: (c["size"] > 0) & (c["hits"] >= rule["least"]) & (c["hits"] / c["size"] >= rule["share"]))
+
+
 def sanitize_recognised(text: Column, lang: Column) -> Column:
     """For Japanese without English: drop Latin runs, foreign signs and blanks."""
     wants = _wants(lang)

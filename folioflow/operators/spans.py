@@ -39,6 +39,26 @@ def _total(values: Column, value: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + value(x))
 
 
+_ODD = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{2022}\x{e000}-\x{f8ff}\x{fffd}]"
+
+
+def _cleaned(text: Column) -> Column:
+    """``clean_characters``, with cheap looks first at whether a text holds anything that it would change."""
+    def edge(c: Column) -> Column:
+        return c.rlike(K.SPACE)
+
+    def clean(t: Column) -> Column:
+        touched = (t.contains("-") | t.contains("  ") | t.contains("\t") | t.rlike(_ODD)
+                   | edge(F.substring(t, 1, 1)) | edge(F.substring(t, -1, 1)))
+        return F.when(touched, clean_characters(t)).otherwise(t)
+
+    return let(text, clean)
+
+
+def _chars(texts: Column) -> Column:
+    return _total(texts, F.length)
+
+
 def _spread(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
@@ -85,9 +105,9 @@ def page_lines(block: Column) -> Column:
         spans = ln["spans"]
         text = F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), "")
         bold = F.transform(spans, lambda s: (F.coalesce(s["flags"], F.lit(0)).bitwiseAND(K.BOLD_FLAG) != 0)
-                           | F.lower(F.coalesce(s["font"], F.lit(""))).contains("bold"))
+                           | F.coalesce(s["font"], F.lit("")).rlike("(?i)bold"))
         return F.struct(
-            clean_characters(text).alias("text"), F.coalesce(ln["box"], block["box"]).alias("box"),
+            _cleaned(text).alias("text"), F.coalesce(ln["box"], block["box"]).alias("box"),
             F.transform(spans, _size).alias("sizes"), F.transform(spans, lambda s: F.coalesce(s["color"], F.lit(0))).alias("colors"),
             bold.alias("bold"), F.coalesce(G.is_vertical_direction(ln["dx"], ln["dy"]), F.lit(False)).alias("vertical"))
 
@@ -140,7 +160,7 @@ def line_groups(lines: Column, table: Column) -> Column:
         lines, start + 1, F.coalesce(F.get(s, n + 1), count) - start)))
 
 
-def _segment(group: Column, shape: Column, recognised: Column, lang: Column, limit: Column, translate_all: bool) -> Column:
+def _segment(group: Column, shape: Column, recognised: Column, lang: Column, rule: Column, limit: Column, translate_all: bool) -> Column:
     """A segment of one group, with ``ok``: does it stay?"""
     def flat(field: str) -> Column:
         return F.flatten(F.transform(group, lambda ln: ln[field]))
@@ -149,14 +169,14 @@ def _segment(group: Column, shape: Column, recognised: Column, lang: Column, lim
         return pick(F.transform(group, lambda ln: ln["box"][c]))
 
     box = G.box(edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
-    joined = clean_characters(strip(F.array_join(F.transform(group, lambda ln: ln["text"]), "\n")))
-    text = F.when(recognised, scripts.sanitize_recognised(joined, lang)).otherwise(joined)
+    joined = _cleaned(F.array_join(F.transform(group, lambda ln: ln["text"]), "\n"))
+    text = let(joined, lambda t: F.when(recognised, scripts.sanitize_recognised(t, lang)).otherwise(t))
     size = mode_of(flat("sizes"), F.lit(K.DEFAULT_FONT_SIZE))
     color = mode_of(flat("colors"), F.lit(0))
     bold = let(flat("bold"), lambda v: _all(v, lambda b: b) > F.size(v) / 2)
 
     def built(f: Column) -> Column:
-        passes = scripts.plausibility(f["text"], lang)["ok"] & (f["size"] <= limit)
+        passes = scripts.follows(f["text"], rule) & (f["size"] <= limit)
         return F.struct(
             f["text"].alias("text"), box.alias("box"), f["size"].alias("font_size"), G.hex_color(color).alias("color"),
             bold.alias("bold"), F.when(shape["table"], group[0]["vertical"]).otherwise(shape["vertical"]).alias("vertical"),
@@ -168,12 +188,12 @@ def _segment(group: Column, shape: Column, recognised: Column, lang: Column, lim
     return let(F.struct(text.alias("text"), size.alias("size")), built)
 
 
-def _segments_of(block: Column, recognised: Column, lang: Column, limit: Column, translate_all: bool) -> Column:
+def _segments_of(block: Column, recognised: Column, lang: Column, rule: Column, limit: Column, translate_all: bool) -> Column:
     """The segments of a block that stay, each with ``culled``: does the block go as a whole?"""
     def made(lines: Column) -> Column:
         def shaped(shape: Column) -> Column:
             groups = line_groups(lines, shape["table"])
-            segs = F.filter(F.transform(groups, lambda g: _segment(g, shape, recognised, lang, limit, translate_all)), lambda s: s["ok"])
+            segs = F.filter(F.transform(groups, lambda g: _segment(g, shape, recognised, lang, rule, limit, translate_all)), lambda s: s["ok"])
             asked = F.size(block["lines"])
             needed = F.when(asked <= 4, 0.5).otherwise(0.3)
             return let(segs, lambda ss: F.transform(ss, lambda s: F.struct(
@@ -185,7 +205,8 @@ def _segments_of(block: Column, recognised: Column, lang: Column, limit: Column,
     return let(page_lines(block), made)
 
 
-def choose_layer(text_layer: Column, found_layer: Column, has_images: Column, image_share: Column, lang: Column) -> Column:
+def choose_layer(text_layer: Column, found_layer: Column, has_images: Column, image_share: Column, lang: Column,
+                 rule: Column) -> Column:
     """STRUCT<blocks, recognised>: the layer that a page's segments come from.
 
     The text layer is in doubt below 20 characters, or where images cover more than
@@ -195,25 +216,22 @@ def choose_layer(text_layer: Column, found_layer: Column, has_images: Column, im
     empty = F.array().cast(BLOCKS)
 
     def decide(f: Column) -> Column:
-        good = F.when(lang.isNotNull(), _all(f["texts"], lambda t: scripts.plausibility(t, lang)["ok"])).otherwise(
+        good = F.when(lang.isNotNull(), _all(f["texts"], lambda t: scripts.follows(t, rule))).otherwise(
             _all(f["texts"], lambda t: F.length(strip(t)) > K.SHORT_FRAGMENT_CHARS))
         checked = (f["chars"] >= K.LEAST_PAGE_CHARS) & (F.coalesce(image_share, F.lit(0.0)) > K.IMAGE_PAGE_SHARE)
         bad = checked & (good / F.greatest(F.size(f["texts"]), F.lit(1)) < K.RELIABLE_TEXT_SHARE)
 
         def chosen(unreliable: Column) -> Column:
             doubt = ((f["chars"] < K.LEAST_PAGE_CHARS) | unreliable) & F.coalesce(has_images, F.lit(False))
-            take = doubt & lang.isNotNull() & found_layer.isNotNull() & (unreliable | (f["found"] > f["chars"]))
+            take = doubt & lang.isNotNull() & found_layer.isNotNull() & (unreliable | (_chars(fragments(found_layer)) > f["chars"]))
             drop = doubt & lang.isNull() & unreliable
             blocks = F.when(take, found_layer).when(drop, empty).otherwise(F.coalesce(text_layer, empty))
             return F.struct(blocks.alias("blocks"), take.alias("recognised"))
 
         return let(F.coalesce(bad, F.lit(False)), chosen)
 
-    def chars(layer: Column) -> Column:
-        return F.coalesce(_total(fragments(layer), F.length), F.lit(0).cast("bigint"))
-
     texts = F.coalesce(fragments(text_layer), F.array().cast("array<string>"))
-    return let(F.struct(texts.alias("texts"), chars(text_layer).alias("chars"), chars(found_layer).alias("found")), decide)
+    return let(texts, lambda ts: let(F.struct(ts.alias("texts"), _chars(ts).alias("chars")), decide))
 
 
 def scan_spans(pages: DataFrame, keys: Sequence[str] = ("doc_id",), page: str = "page", blocks: str = "blocks",
@@ -234,16 +252,17 @@ def scan_spans(pages: DataFrame, keys: Sequence[str] = ("doc_id",), page: str =
         (F.lit(False) if has_images is None else has_images).alias("_images"),
         (F.lit(0.0) if image_share is None else image_share).alias("_share"),
         (none if lang is None else lang).cast("string").alias("_lang"))
-    rows = rows.select(*keys, page, "_lang", choose_layer(
-        F.col("_text"), F.col("_found"), F.col("_images"), F.col("_share"), F.col("_lang")).alias("_layer"))
+    rows = rows.withColumn("_rule", scripts.script_rule(F.col("_lang")))
+    rows = rows.select(*keys, page, "_lang", "_rule", choose_layer(
+        F.col("_text"), F.col("_found"), F.col("_images"), F.col("_share"), F.col("_lang"), F.col("_rule")).alias("_layer"))
     sizes = F.flatten(F.transform(F.col("_layer.blocks"), lambda b: F.flatten(F.transform(
         b["lines"], lambda ln: F.transform(ln["spans"], _size)))))
     floor = F.lit(K.OUTLIER_FONT_FLOOR)
-    limit = F.coalesce(F.greatest(floor, upper_median_of(sizes) * K.OUTLIER_FONT_FACTOR), floor)
-    rows = rows.withColumn("_limit", limit)
     recognised = F.col("_layer.recognised")
+    limit = F.greatest(floor, upper_median_of(sizes) * K.OUTLIER_FONT_FACTOR)  # nulls are skipped
+    rows = rows.withColumn("_limit", F.when(recognised, limit).otherwise(floor))
     made = F.flatten(F.transform(F.col("_layer.blocks"), lambda b: _segments_of(
-        b, recognised, F.col("_lang"), F.col("_limit"), translate_all)))
+        b, recognised, F.col("_lang"), F.col("_rule"), F.col("_limit"), translate_all)))
     numbered = F.transform(made, lambda s, i: F.struct(i.alias("block"), s["segment"].alias("segment"), s["culled"].alias("culled")))
     rows = rows.select(*keys, page, F.explode(F.filter(numbered, lambda s: ~s["culled"])).alias("_s"))
     fields = ["text", "box", "font_size", "color", "bold", "vertical", "table_like", "recognised", "needs", "line_boxes"]

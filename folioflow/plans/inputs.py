@@ -136,9 +136,9 @@ def span_pages(spark: SparkSession, sf: str) -> DataFrame:
             F.transform(F.slice(lines, b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)), lambda line, i: one(line, i, b)).alias("lines")))
 
     d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("all"))
-    count = F.floor((F.size("all") - 1) / PAGE_LINES).cast("int")
-    pages = d.select("doc_id", "all", F.explode(F.sequence(F.lit(0), count)).alias("page"))
-    pages = pages.select("doc_id", "page", F.slice("all", F.col("page") * PAGE_LINES + 1, F.lit(PAGE_LINES)).alias("lines"))
+    last = F.floor((F.size("all") - 1) / PAGE_LINES).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda p: F.slice("all", p * PAGE_LINES + 1, F.lit(PAGE_LINES)))
+    pages = d.select("doc_id", F.posexplode(cut).alias("page", "lines"))
     n = F.col("doc_id")
     return pages.select(
         "doc_id", "page", layer(F.col("lines"), lambda line: n % 6 == 0).alias("blocks"),
