@@ -148,7 +148,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
         F.col("key").alias("_k"), F.col("print").alias("_p")), "contaminated")
     bad = _checked(bad, bad.count())
     return docs.join(
-        bad, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_p")), "left_anti")
+        bad, docs[key].eqNullSafe(bad["_k"]) & (F.xxhash64(docs[text]) == bad["_p"]), "left_anti")
 
 
 def cut_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -161,13 +161,15 @@ def cut_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         F.col("key").alias("_k"), F.col("print").alias("_p"), _hit_words(F.col("hits")).alias("_hit")), "hit-words")
     hits = _checked(hits, hits.count())
     joined = docs.join(
-        hits, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_p")), "left")
+        hits, docs[key].eqNullSafe(hits["_k"]) & (F.xxhash64(docs[text]) == hits["_p"]), "left")
+    hit = hits["_hit"]
     part = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"
     parts = F.regexp_extract_all(docs[text], F.lit(part), 1)
     lead = F.regexp_extract(docs[text], r"^([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)", 1)
-    flags = F.map_from_arrays("_hit", F.transform("_hit", lambda _: F.lit(True)))
+    flags = F.map_from_arrays(hit, F.transform(hit, lambda _: F.lit(True)))
     kept = let(flags, lambda flag: F.filter(
         F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         lambda s: ~F.coalesce(F.element_at(flag, s["i"]), F.lit(False))))
     cut = F.concat(lead, F.array_join(F.transform(kept, lambda s: s["x"]), ""))
-    return joined.withColumn(text, F.when(F.col("_hit").isNull(), docs[text]).otherwise(cut)).select(*docs.columns)
+    rest = F.when(hit.isNull(), docs[text]).otherwise(cut).alias(text)
+    return joined.select(*[rest if c == text else docs[c] for c in docs.columns])

@@ -24,7 +24,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.rows import per_text
@@ -37,16 +37,20 @@ MANY, FAMILY = 200, 16
 TOTAL = 12_000
 BITS = 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and number signs such as the Roman numeral four
 #: ASCII that is no letter counts as a gap.
 _FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _LETTER.finditer(text))
+
+
 def features(text: str):
     """Unit vector of a text, float32; None without a letter."""
     import numpy as np
 
-    if not text or not _LETTER.search(text):
+    if not text or not has_letter(text):
         return None
     data = b" " + text.lower().encode("utf-8").translate(_FOLD) + b" "
     total = np.zeros(1 << BITS, dtype=np.float64)
@@ -167,7 +171,8 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     import numpy as np
 
     named = rows.select(rows[key].alias("key"), rows[lang].alias("lang"), rows[text].alias("text")).where(
-        "lang IS NOT NULL AND text IS NOT NULL").withColumn("rank", F.xxhash64(F.col("key").cast("string")))
+        "lang IS NOT NULL AND text IS NOT NULL").withColumn(
+        "rank", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "text"))
     counts = named.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return Model([])
@@ -187,7 +192,10 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 [part.column("lang"), part.column("rank"),
                  pa.array([found[i].astype("<f2").tobytes() for i in keep], pa.binary())], ["lang", "rank", "x"])
 
-    got = share.mapInArrow(vectors, "lang string, rank long, x binary").collect()  # bounded as stated
+    # repeated rows have one hash, so the share alone is no bound
+    first = Window.partitionBy("lang").orderBy("rank", "x")
+    got = share.mapInArrow(vectors, "lang string, rank long, x binary").withColumn(
+        "n", F.row_number().over(first)).where(F.col("n") <= sample).collect()
     got.sort(key=lambda r: (r.lang, r.rank, r.x))
     taken: dict[str, list] = {}
     for r in got:

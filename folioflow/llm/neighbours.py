@@ -16,8 +16,13 @@ result is the brute-force one.
 Rings that hold many vectors are cut into chunks, and the queries of a ring travel
 in parts of ``QUERY_PART``; a task meets one chunk and one part.
 
-Defined results: vectors that are null, or hold a null, NaN or infinite component,
-and rows without an id take no part; shorter vectors count as filled up with
+Vectors with a component beyond ``HUGE`` (or more than ``LONG`` components) stay out of
+the index, so that squared lengths and products inside it fit a long. What they have
+part in, as query or as candidate, is computed over Python integers in blocks.
+
+Defined results: vectors that are null, or hold a null, NaN or infinite component (a
+component that overflows a double when scaled counts as infinite), and rows without
+an id take no part; scores beyond +-(2^63 - 1) take that value; shorter vectors count as filled up with
 zeros; of several rows with one id the smallest vector counts; ties go to the
 smaller id; a query with fewer than k others gets all of them; an empty table
 gives an empty table; columns besides the named ones never matter.
@@ -44,11 +49,18 @@ QUERY_PART = 16384
 STEP = 512
 
 
+#: Numbers and lengths up to which products fit: LONG * HUGE ** 2 = 2 ** 62.
+HUGE, LONG = 1 << 24, 1 << 14
+_TOP = 2**63 - 1
+
+
 def whole_numbers(vector: Column) -> Column:
-    """floor(256 * x) of every component; null if one is missing or not finite."""
-    real = F.transform(vector, lambda x: x.cast("double"))
-    good = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(vector.isNotNull() & good, F.transform(real, lambda x: F.floor(x * SCALE).cast("long")))
+    """floor(256 * x) of every component, as double; null if one is missing or not finite."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * float(SCALE))
+    good = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # doubles beyond 2^53 are whole
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    return F.when(vector.isNotNull() & good, whole)
 
 
 class Index:
@@ -269,11 +281,50 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _exact(queries: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) over Python integers: of each block of ``others`` (vec_id, w) the k best of each query."""
+    across, down = (max(1, -(-df.count() // CHUNK)) for df in (others, queries))
+
+    def spread(n: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def one(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        rows = [(i, [int(x) for x in w]) for i, w in zip(held["vec_id"].to_pylist(), held["w"].to_pylist())]
+        for q, w in zip(asked["vec_id"].to_pylist(), asked["w"].to_pylist()):
+            mine = [int(x) for x in w]
+            got = [(max(-_TOP, min(_TOP, sum(a * b for a, b in zip(mine, v)))), i) for i, v in rows if i != q]
+            out += [(q, i, s) for s, i in sorted(got, key=lambda g: (-g[0], g[1]))[:k]]
+        columns = list(zip(*out)) if out else [[], [], []]
+        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
+
+    keys = ["across", "down"]
+    asked = queries.select("vec_id", "w", spread(down).alias("down"), every(across).alias("across"))
+    held = others.select("vec_id", "w", spread(across).alias("across"), every(down).alias("down"))
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(one, "query_id long, vec_id long, score long")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows with ``is_query`` the k other rows of largest inner product."""
-    usable = rows.select(rows[key].cast("long").alias("vec_id"), whole_numbers(rows[vector]).alias("v"),
-                         F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    vectors = materialize(usable.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "vectors")
+    usable = rows.select(rows[key].cast("long").alias("vec_id"), whole_numbers(rows[vector]).alias("w"),
+                         F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL AND w IS NOT NULL")
+    every = usable.groupBy("vec_id").agg(F.min("w").alias("w"), F.max("asks").alias("asks"))
+    huge = F.exists("w", lambda x: F.abs(x) > HUGE) | (F.size("w") > LONG)
+    every = materialize(every.withColumn("huge", huge), "vectors")
+    vectors = every.where(~F.col("huge")).select("vec_id", F.transform("w", lambda x: x.cast("long")).alias("v"), "asks")
+    apart = every.where("huge")
+    if apart.isEmpty():
+        return _indexed(vectors, k)
+    beside = _exact(apart.where("asks"), every, k).union(_exact(every.where("asks AND NOT huge"), apart, k))
+    inside = _indexed(vectors, k).select("query_id", "vec_id", "score")
+    return _ranked(materialize(beside.union(inside), "beside"), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _indexed(vectors: DataFrame, k: int) -> DataFrame:
+    """The same for vectors (vec_id, v, asks) of numbers that fit."""
     built = build(vectors, k)
     if built is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id",

@@ -155,5 +155,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
         F.col(key).alias("_kept")).distinct()
     # the kept keys grow with the rows, so they are never broadcast, at no size
     kept = materialize(kept, "kept").hint("shuffle_hash")
-    stay = df.join(kept, df[key] == F.col("_kept"), "left_semi")
+    stay = df.join(kept, df[key] == kept["_kept"], "left_semi")
     return stay.unionByName(df.where(df[key].isNull()))

@@ -15,7 +15,8 @@ def docs_of(spark):
     def make(rows, parts=3):
         full = [(d, t, "en", "s", None if t is None else len(t)) for d, t in rows]
         df = spark.createDataFrame(full, SCHEMA).repartition(parts)
-        for name in ("key", "_key", "print", "block", "hash", "fp", "rest", "shard", "root", "words", "v"):
+        for name in ("key", "_key", "print", "block", "hash", "fp", "rest", "shard", "root", "words", "v", "_k", "_p", "_hit", "_kept", "text_",
+                     "_text", "hits", "component_id", "fingerprint", "n", "rank", "x", "cut"):
             df = df.withColumn(name, df["source"])
         return df
 

@@ -261,3 +261,20 @@ def test_parts_are_flattened_in_order(spark):
 def test_escape_leaves_no_control_string(spark, text):
     row = spark.range(1).select(chat.escape(F.lit(text)).alias("e"), chat.unescape(chat.escape(F.lit(text))).alias("u")).first()
     assert row.u == text and not any(c in row.e for c in chat.CONTROLS)
+
+
+def test_neighbours_of_huge_numbers(spark):
+    from folioflow.llm import neighbours
+
+    rng = random.Random(9)
+    rows = some_vectors(rng, 90, size=6)
+    rows += [(100, [2e7] * 6, 1), (101, [-2e7] * 6, 1), (102, [3e38] * 6, 2), (103, [65536.0] * 6, 1), (104, [65535.5] * 6, 1), (105, [1e13, -5.0], 0)]
+    numbers = {i: whole(v, 256) for i, v, _ in rows}
+    for vectors in (rows, rows[-3:], rows[-6:-5]):
+        df = odd_names(spark.createDataFrame(vectors, VECTORS).repartition(3))
+        got = sorted(tuple(r) for r in neighbours.top_k(df, F.col("vec_id") % 5 == 0).collect())
+        want = []
+        for q in sorted(i for i, _, _ in vectors if i % 5 == 0):
+            score = {i: max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(numbers[q], numbers[i])))) for i, _, _ in vectors if i != q}
+            want += [(q, n + 1, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])]
+        assert got == sorted(want)

@@ -81,3 +81,26 @@ def test_every_labelled_language_is_learned(spark):
     assert model.languages == [f"l{i:03}" for i in range(230)]
     assert max(map(len, model.families)) <= language.FAMILY
     assert sum(model.predict(language.features(t))[0] == f"l{i:03}" for i, t in enumerate(said)) >= 225
+
+
+def test_number_signs_are_no_letters(spark):
+    for text in ("²½", "Ⅷ ①", "١٢٣ ४५", "́̈", "12 _ $", ""):
+        assert language.features(text) is None, text
+    for text in ("²a", "日", "ª", "Ⅷ ж"):
+        assert language.features(text) is not None, text
+    rows = [(i, "the quick brown fox", "en") for i in range(40)] + [(90, "²½", None), (91, None, "en"), (92, "Ⅷ", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.language_of(df).collect()}
+    assert {d: p for d, p in got.items() if p != "en"} == {90: "und", 91: "und", 92: "und"}
+    assert {r.doc_id for r in language.keep_identified(df).collect()} == set(range(40))
+
+
+def test_learning_without_keys_and_from_one_key(spark):
+    rng = random.Random(12)
+    words = {"en": "the and of to in is that for it was".split(), "de": "der die und in den von zu das mit sich".split()}
+    said = [(la, " ".join(rng.choices(w, k=12))) for la, w in words.items() for _ in range(1500)]
+    for key in (None, 5):
+        df = spark.createDataFrame([(key, t, la) for la, t in said] + [(key, "the and of", "en")] * 2000, "doc_id long, text string, lang string")
+        model = language.train(df)
+        assert model.languages == ["de", "en"]
+        assert sum(model.predict(language.features(t))[0] == la for la, t in said) > 2900
