@@ -7,7 +7,7 @@ Arrow-batched helpers; all checks on tokens are native expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +22,7 @@ PROTECTED_TYPE = "struct<text:string, held:array<string>, terms:array<string>>"
 RESTORED_TYPE = "struct<text:string, error:string>"
 
 _RULES = [(sign, re.compile(pattern)) for sign, pattern in K.PROTECTED_PATTERNS]
+_TICKS = next(rule for _, rule in _RULES if rule.pattern == r"`[^`\n]+`")
 _LITERAL = re.compile(r"⟦PH[0-9]+⟧")
 _TERM = re.compile(r"⟦GL[0-9]+⟧")
 
@@ -30,8 +31,8 @@ def protect_one(text: str, terms: Sequence[tuple[str, str]] = ()) -> dict:
     """Swap glossary terms, then literals, for numbered tokens.
 
     ``terms`` come longest first; they are searched in what is left of the
-    text, never inside a token. Each literal pattern is searched again from
-    the start after a swap, because a swap can complete an earlier match.
+    text, never inside a token. Literals are swapped pattern by pattern, each
+    time the first one in the text.
     """
     held: list[str] = []
     targets: list[str] = []
@@ -54,15 +55,39 @@ def protect_one(text: str, terms: Sequence[tuple[str, str]] = ()) -> dict:
     for sign, rule in _RULES:
         if sign not in text:
             continue
-        found = rule.search(text)
-        while found:
-            token = K.TOKEN_FORMAT % ("PH", len(held))
-            held.append(found[0])
-            text = text[: found.start()] + token + text[found.end():]
-            found = rule.search(text)
+        if rule is _TICKS:
+            text = "\n".join(_swap_ticks(line, held) if sign in line else line for line in text.split("\n"))
+        else:
+            text = rule.sub(lambda found: _hold(found[0], held), text)
     return {"text": text, "held": held, "terms": targets}
 
 
+def _hold(raw: str, held: list[str]) -> str:
+    held.append(raw)
+    return K.TOKEN_FORMAT % ("PH", len(held) - 1)
+
+
+def _swap_ticks(line: str, held: list[str]) -> str:
+    """Swap code spans of a line. Only here can a swap complete an earlier match: ticks
+    right before a span open nothing while another tick follows, and may open one once
+    the span is a token. All other patterns go on behind the token."""
+    out: list[str] = []
+    at = 0
+    while found := _TICKS.search(line, at):
+        start, end = found.span()
+        token = _hold(found[0], held)
+        if start > at and line[start - 1] == "`":
+            ticks = start
+            while ticks > at and line[ticks - 1] == "`":
+                ticks -= 1
+            out.append(line[at:ticks])
+            line, at = line[ticks:start] + token + line[end:], 0
+        else:
+            out += [line[at:start], token]
+            at = end
+    return "".join([*out, line[at:]])
+
+
 def restore_one(text: str | None, held, terms) -> dict:
     """Put literals back, latest token first, then glossary targets."""
     if text is None:
@@ -104,14 +129,45 @@ def longest_first(terms: dict[str, str]) -> list[tuple[str, str]]:
     return sorted(((s, t) for s, t in terms.items() if s), key=lambda p: -len(p[0]))
 
 
+class TermFinder:
+    """Which of the terms, longest first, occur in a text? One pass over the text, by an automaton per task."""
+
+    def __init__(self, terms: dict[str, str] | None):
+        self.ordered = longest_first(terms or {})
+        self._automaton = None
+
+    def __getstate__(self):
+        return {"ordered": self.ordered, "_automaton": None}
+
+    def within(self, text: str) -> list[tuple[str, str]]:
+        if not self.ordered:
+            return []
+        if self._automaton is None:
+            self._automaton = term_automaton(s for s, _ in self.ordered)
+            self._place = {s: n for n, (s, _) in enumerate(self.ordered)}
+        found = {source for _, source in self._automaton.iter(text)}
+        return [self.ordered[n] for n in sorted(self._place[s] for s in found)]
+
+
+def term_automaton(sources: Iterable[str]):
+    """An automaton that reports every occurrence of every source; sources are not empty."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for source in sources:
+        automaton.add_word(source, source)
+    automaton.make_automaton()
+    return automaton
+
+
 def protector(terms: dict[str, str] | None = None) -> Callable[[Column], Column]:
-    """Protect with a small, driver-held glossary."""
-    ordered = longest_first(terms or {})
+    """Protect with a glossary that the driver holds."""
+    finder = TermFinder(terms)
 
     @arrow_batched(PROTECTED_TYPE)
     def protect(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(
-            [protect_one(t or "", ordered) for t in texts], columns=["text", "held", "terms"]
+            [protect_one(t or "", finder.within(t or "")) for t in texts], columns=["text", "held", "terms"]
         )
 
     return protect
@@ -182,10 +238,10 @@ def token_error(original: Column, mapped: Column) -> Column:
 
 def line_protector(terms: dict[str, str] | None = None) -> Callable[[Column], Column]:
     """Protect every text of an ARRAY<STRING>, each with its own numbering."""
-    ordered = longest_first(terms or {})
+    finder = TermFinder(terms)
 
     @arrow_batched(f"array<{PROTECTED_TYPE}>")
     def protect_lines(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda row: [protect_one(t, ordered) for t in row])
+        return lines.map(lambda row: [protect_one(t, finder.within(t)) for t in row])
 
     return protect_lines

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +90,67 @@ def test_own_terms_path_equals_small_path(spark):
 ])
 def test_normalize(raw, want):
     assert normalize_one(raw) == want
+
+
+def stepwise(text):
+    """Literals swapped one at a time, each pattern searched from the start after every swap."""
+    from folioflow import constants as K
+
+    held = []
+    for _, pattern in K.PROTECTED_PATTERNS:
+        while found := re.search(pattern, text):
+            token = K.TOKEN_FORMAT % ("PH", len(held))
+            held.append(found[0])
+            text = text[:found.start()] + token + text[found.end():]
+    return {"text": text, "held": held, "terms": []}
+
+
+def test_one_pass_equals_the_search_from_the_start():
+    rng = random.Random(31)
+    signs = ["`", "``", "```", "[", "]", "(", ")", "](", "<", ">", "@", ".", "http://", "https://", "#", "*", "**", "_", "__", "\n", " ", "a", "b1", "⟦PH0⟧", "'"]
+    swapped = 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(signs, k=rng.randrange(1, 16)))
+        got = tokens.protect_one(text)
+        assert got == stepwise(text), text
+        swapped += len(got["held"]) > 2
+    assert swapped > 500
+    ticks = ["`", "`", "`", "a", " ", "\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(ticks, k=rng.randrange(1, 24)))
+        assert tokens.protect_one(text) == stepwise(text), text
+
+
+def test_many_literals_in_a_long_text():
+    parts = ["see [a](http://x.test/%d) and `code %d` or ``y` z` u%d@x.test @n%d" % (i, i, i, i) for i in range(20_000)]
+    start = time.perf_counter()
+    p = tokens.protect_one("\n".join(parts))
+    q = tokens.protect_one(" ".join(parts).replace("``", "`"))
+    assert time.perf_counter() - start < 20 and len(p["held"]) > 80_000 and len(q["held"]) > 60_000
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 4000])
+def test_a_large_glossary_finds_the_same(spark, monkeypatch, shard_bytes):
+    from folioflow.operators import glossary
+
+    monkeypatch.setattr(glossary, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(glossary, "BLOCK_BYTES", 3000)
+    rng = random.Random(32)
+    letters = "abcd é한😀"
+    sources = sorted({"".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(3000)})
+    texts = [(i, "".join(rng.choices(letters, k=rng.randrange(60)))) for i in range(150)] + [(900, None), (901, ""), (None, "abcd")]
+    terms = spark.createDataFrame([(s, f"t{n}", n) for n, s in enumerate(sources)] + [("", "x", -1), ("ab", "second", -2)],
+                                  "source string, target string, ord int")
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = sorted((r.id is None, r.id or 0, r.source, r.target) for r in glossary.contained_terms(df, terms, "id").collect())
+    pairs = [(s, f"t{n}") for n, s in enumerate(sources)] + [("ab", "second")]
+    assert got == sorted((i is None, i or 0, s, t) for i, x in texts if x for s, t in pairs if s in x)
+    assert glossary.contained_terms(df, terms.limit(0), "id").count() == 0
+
+
+def test_protect_with_a_hundred_thousand_terms():
+    terms = {f"term {i}": f"t{i}" for i in range(100_000)}
+    finder = tokens.TermFinder(terms)
+    text = "a term 77777 and term 12, term 5x"
+    assert [s for s, _ in finder.within(text)][:2] == ["term 77777", "term 7777"]
+    assert tokens.protect_one(text, finder.within(text)) == tokens.protect_one(text, finder.ordered)
