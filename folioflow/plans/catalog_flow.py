@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
@@ -272,3 +273,26 @@ def stream_memo(spark, sf):
     for _ in range(2):
         jobs.run_memo(_stream(spark, sf), path, checkpoint, "English", "Korean")
     return memo.load(spark, path).select("source_text", "translated_text")
+
+
+@query("R1 R2 R3", f"""
+SELECT doc_id AS request_id, {S.strip(S.sub('text', S.K.SPACE + '+', ' '))} AS text, true AS complete
+FROM documents WHERE {S.strip('text')} <> ''""")
+def stream_answers(spark, sf):
+    """Tokens of many requests out of order over several files, some twice; stopped after the first files and restarted."""
+    from folioflow.streaming.answers import live_answers
+
+    events, out, checkpoint = (work_path(spark, n) for n in ("events", "answers", "checkpoint"))
+    tokens = jobs.token_stream(table(spark, sf, "documents"))
+    last = F.max("pos").over(Window.partitionBy("request_id"))  # the end mark is part of what a service sends
+    told = tokens.withColumn("last", F.col("pos") == last).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    twice = told.withColumn("copy", F.explode(F.when(F.col("pos") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    twice.repartition(4, F.xxhash64("pos", "copy")).drop("copy").write.parquet(events)
+
+    def start():
+        stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(events)
+        return live_answers(stream)
+
+    jobs.run_until(start(), out, checkpoint, lambda q: any(p.numInputRows for p in q.recentProgress))
+    jobs.run_available(start(), out, checkpoint)
+    return spark.read.parquet(out).select("request_id", "text", "complete")

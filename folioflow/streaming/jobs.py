@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.functions.text import words
 from folioflow.operators import memo
@@ -35,6 +37,25 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
+def run_until(stream: DataFrame, path: str, checkpoint: str, stop_requested: Callable[[StreamingQuery], bool], poll_seconds: float = 0.05) -> bool:
+    """Like ``run_available``, but ends early once ``stop_requested`` says so; returns whether everything was processed.
+
+    A micro-batch that the stop interrupts leaves nothing visible, since the sink
+    lists a batch's files when it is complete, and is worked on again by the next run.
+    """
+    query = (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(path)
+    )
+    while not query.awaitTermination(poll_seconds):
+        if stop_requested(query):
+            query.stop()
+            return False
+    return True
+
+
 def segment_stream(documents: DataFrame) -> DataFrame:
     return scan(documents)
 
