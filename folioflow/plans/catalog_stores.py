@@ -173,23 +173,32 @@ def decoded_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", files.decode(raw).alias("decoded"))
 
 
+_SPOKEN = """'[모의 번역] ' || text || ', "' || seg_id || '"' || chr(10) || 'end,' """
+
+
+_SPOKEN = """'[모의 번역] ' || text || ', "' || seg_id || '"' || chr(10) || 'end,' """
+
+
 @query("S15 X5", f"""
-WITH {S.SEGMENTS}, n AS (SELECT count(*) AS n FROM segs WHERE needs)
-SELECT kind, n AS rows FROM n, (VALUES ('csv'), ('json'), ('txt')) AS k(kind)""")
+WITH {S.SEGMENTS}, e AS (SELECT doc_id, seg_id, CAST(page + 1 AS BIGINT) AS page, text, {_SPOKEN} AS spoken FROM segs WHERE needs)
+SELECT kind, doc_id, seg_id AS segment_id, page, text AS source, spoken AS translated FROM e, (VALUES ('csv'), ('json')) AS k(kind)
+UNION ALL SELECT 'txt', NULL, NULL, NULL, NULL, unnest(string_split(spoken, chr(10))) FROM e""")
 def plain_exports(spark, sf):
-    """Write all mapped segments as CSV, JSON lines and text, and count what was written."""
-    mapped = doc_segments(spark, sf).withColumn("translated", F.concat(F.lit(K.MOCK_PREFIX), F.col("text")))
-    pairs = reconcile.export_pairs(mapped, "doc_id")
-    folder, out = work_path(spark, "exports"), None
+    """All mapped segments, with quotes and line breaks, as CSV, JSON lines and text, and what is read back."""
+    spoken = F.concat(F.lit(K.MOCK_PREFIX), F.col("text"), F.lit(', "'), F.col("seg_id"), F.lit('"\nend,'))
+    pairs = reconcile.export_pairs(doc_segments(spark, sf).withColumn("translated", spoken), "doc_id")
+    folder = work_path(spark, "exports")
     for kind in ("csv", "json", "txt"):
         files.write_pairs(pairs, f"{folder}/{kind}", kind)
-        back = {
-            "csv": lambda p: spark.read.option("header", True).option("escape", '"').csv(p),
-            "json": lambda p: spark.read.json(p), "txt": lambda p: spark.read.text(p),
-        }[kind](f"{folder}/{kind}")
-        counted = back.agg(F.count("*").alias("rows")).withColumn("kind", F.lit(kind))
-        out = counted if out is None else out.unionByName(counted)
-    return out.select("kind", "rows")
+    schema = "doc_id bigint, segment_id string, page bigint, source string, translated string"
+    rows = [
+        spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/csv")
+        .withColumn("kind", F.lit("csv")),
+        spark.read.schema(schema).json(f"{folder}/json").withColumn("kind", F.lit("json")),
+        spark.read.text(f"{folder}/txt").select(F.col("value").alias("translated"), F.lit("txt").alias("kind")),
+    ]
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2], allowMissingColumns=True)
+    return out.select("kind", "doc_id", "segment_id", "page", "source", "translated")
 
 
 # --- memo --------------------------------------------------------------------

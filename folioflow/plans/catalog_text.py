@@ -670,22 +670,23 @@ def html_balance(spark, sf):
 
 
 @query("F7a", """
-SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'expected </p>, got </div>' WHEN 2 THEN '</p> without start'
-  WHEN 3 THEN 'unclosed div,b' WHEN 4 THEN 'expected </i>, got </b>' END AS fault FROM pages""")
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'expected </' || opened[-1] || '>, got </nav>' WHEN 2 THEN '</p> without start'
+  WHEN 3 THEN 'unclosed ' || array_to_string(opened, ',') || ',div,b' WHEN 4 THEN 'expected </i>, got </b>'
+  ELSE 'expected </b>, got </' || list_filter(['html', 'body', 'article'], lambda t: contains(html, '</' || t || '>'))[1] || '>' END AS fault
+FROM (SELECT *, list_filter(['html', 'body', 'article', 'p'], lambda t:
+  len(regexp_extract_all(whole, '<' || t || '[ >]')) > len(regexp_extract_all(whole, '</' || t || '>'))) AS opened
+  FROM (SELECT *, regexp_replace(split_part(html, '<b>', 1), '(?s)<script>.*?</script>', '', 'g') AS whole FROM pages))""")
 def html_faults(spark, sf):
-    """One known fault, or none, around the address and size of every page."""
-    words = F.concat(F.regexp_replace("url", "[<>&]", " "), F.lit(" "), F.length("html"))
+    """Faults planted into each page's own markup; every fifth page shows the one it came with.
 
-    def around(before: str, after: str):
-        return F.concat(F.lit(before), words, F.lit(after))
-
-    kind = F.col("page_id") % 5
+    A page holds one <b> that is never closed; the last tag that does not fit counts. What stands before the <b> is
+    sound but for the elements that are open there, so faults behind it are known.
+    """
+    html, kind = F.col("html"), F.col("page_id") % 5
+    sound = F.substring_index(html, "<b>", 1)
     built = (
-        F.when(kind == 0, around("<div><p>", "</p><br><img src='x'></div>"))
-        .when(kind == 1, around("<div><p>", "</div></p></div>"))
-        .when(kind == 2, around("", "</p>"))
-        .when(kind == 3, around("<div><b>", ""))
-        .otherwise(around("<b><i>", "</b></i></b>"))
+        F.when(kind == 1, F.concat(sound, F.lit("</nav>"))).when(kind == 2, F.concat(sound, F.lit("</p></article></body></html></p>")))
+        .when(kind == 3, F.concat(sound, F.lit("<div><b>"))).when(kind == 4, F.concat(sound, F.lit("<i></b>"))).otherwise(html)
     )
     return table(spark, sf, "pages").select("page_id", markup.html_fault(built).alias("fault"))
 
