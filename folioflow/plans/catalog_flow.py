@@ -208,6 +208,17 @@ def _moody_mapper():
     return answer
 
 
+def _refusing_mapper():
+    import json
+
+    def answer(segments):
+        if segments[0]["doc_id"] % 4 == 1:
+            raise ValueError("refused")
+        return json.dumps({"translations": [{"segment_id": s["seg_id"], "translated_text": "[모의 번역] " + s["text"]} for s in segments]})
+
+    return answer
+
+
 @query("X1 J2 J3 M2 D3", f"""
 WITH {S.SEGMENTS}
 SELECT doc_id, pos, '[모의 번역] ' || text AS translated, NULL::VARCHAR AS error, false AS failed FROM segs WHERE needs""")
@@ -296,3 +307,40 @@ def stream_answers(spark, sf):
     jobs.run_until(start(), out, checkpoint, lambda q: any(p.numInputRows for p in q.recentProgress))
     jobs.run_available(start(), out, checkpoint)
     return spark.read.parquet(out).select("request_id", "text", "complete")
+
+
+@query("R7 F33", """
+SELECT user_id, event_id, CAST(event_id % 50 AS INTEGER) AS batch, 50 AS batches, (event_id % 50) * 2.0::DOUBLE AS percent FROM events""")
+def log_progress(spark, sf):
+    """Progress lines of every user's log, tailed while the logs grow: half of the events, then the rest."""
+    from folioflow.functions.services import progress_line
+    from folioflow.streaming import logs
+
+    logs.register(spark)
+    n = F.col("event_id")
+    said = F.concat(n, F.lit("   [진행] batch="), n % 50, F.lit("/50 pages=1/9 pct="), (n % 50) * 2, F.lit(".0"))
+    lines = table(spark, sf, "events").select("event_id", F.concat(F.lit("user_id="), "user_id", F.lit(" "), said).alias("value"))
+    folder, out, checkpoint = (work_path(spark, name) for name in ("logs", "log-lines", "checkpoint"))
+    for half in (0, 1):
+        lines.where(n % 2 == half).select("value").write.mode("append").text(folder)
+        stream = spark.readStream.format("log_tail").option("suffix", ".txt").load(folder)
+        jobs.run_tail(stream, out, checkpoint)
+    read = spark.read.schema("file string, offset long, line string").parquet(out)
+    p = progress_line(F.regexp_replace("line", r"\Auser_id=\d+ \d+ ", "")).alias("p")
+    return read.select(F.regexp_extract("line", r"user_id=(\d+)", 1).cast("long").alias("user_id"),
+                       F.regexp_extract("line", r"user_id=\d+ (\d+)", 1).cast("long").alias("event_id"), p).select(
+        "user_id", "event_id", "p.batch", "p.batches", "p.percent")
+
+
+@query("A7 A10 W9", f"""
+WITH {S.SEGMENTS}
+SELECT count(*) AS segments, count(*) FILTER (needs) AS targets, count(*) FILTER (NOT needs) AS skipped,
+  CAST(coalesce(sum(length(text)) FILTER (needs), 0) AS BIGINT) AS target_chars,
+  count(*) FILTER (needs AND doc_id % 4 <> 1) AS translated, count(*) FILTER (needs AND doc_id % 4 = 1) AS failed FROM segs""")
+def observed_run(spark, sf):
+    """The summary of a run, observed while its one scan was written; a mapper refuses every fourth document."""
+    docs = table(spark, sf, "documents")
+    metrics = plan.RunMetrics()
+    done = plan.translate(docs, make_mapper=_refusing_mapper, metrics=metrics, keep=["doc_id"])
+    done.write.parquet(work_path(spark, "observed"))
+    return metrics.frame(spark)

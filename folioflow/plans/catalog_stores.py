@@ -173,6 +173,25 @@ def decoded_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", files.decode(raw).alias("decoded"))
 
 
+@query("S5 S15 X5", f"""
+WITH {S.SEGMENTS}
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, seg_id AS segment_id, CAST(page + 1 AS INTEGER) AS page, text AS source,
+  '[모의 번역] ' || text AS translated FROM segs WHERE needs""")
+def interchange_source(spark, sf):
+    """Mapped segments through the interchange data source: half of them written, replaced, the rest appended, all read back."""
+    from folioflow.sources import interchange
+
+    interchange.register(spark)
+    mapped = doc_segments(spark, sf).withColumn("translated", F.concat(F.lit(K.MOCK_PREFIX), F.col("text")))
+    rows = reconcile.export_pairs(mapped, "doc_id").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "segment_id", F.col("page").cast("int").alias("page"), "source", "translated")
+    path, even = work_path(spark, "interchange"), F.col("doc_id").cast("long") % 2 == 0
+    rows.where(even).write.format("interchange").mode("append").save(path)
+    rows.where(even).write.format("interchange").mode("overwrite").save(path)
+    rows.where(~even).write.format("interchange").mode("append").save(path)
+    return spark.read.format("interchange").load(path)
+
+
 _SPOKEN = """'[모의 번역] ' || text || ', "' || seg_id || '"' || chr(10) || 'end,' """
 
 

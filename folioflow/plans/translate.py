@@ -9,10 +9,11 @@ add the memo: equal texts are mapped once in the corpus and never again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,11 +43,11 @@ class Options:
 
 def protected_documents(documents: DataFrame, terms: dict[str, str] | None = None,
                         key: str = "doc_id", text: str = "text", placeholders: bool = True) -> DataFrame:
-    """key, targets: ARRAY<STRUCT<pos, page, seg_id, source, text, held, terms>>.
+    """key, lines (their number), targets: ARRAY<STRUCT<pos, page, seg_id, source, text, held, terms>>.
 
     ``text`` is the protected text, ``source`` the original one.
     """
-    lines = documents.select(key, segment_lines(F.col(text)).alias("_lines"))
+    lines = documents.select(key, segment_lines(F.coalesce(F.col(text), F.lit(""))).alias("_lines"))
     none = F.array().cast("array<string>")
     if placeholders:
         protected = tokens.line_protector(terms)("_lines")
@@ -65,7 +66,7 @@ def protected_documents(documents: DataFrame, terms: dict[str, str] | None = Non
         )
 
     return lines.withColumn("_protected", protected).select(
-        key,
+        key, F.size("_lines").alias("lines"),
         F.filter(F.transform("_lines", segment), lambda s: has_letter(s["source"])).alias("targets"),
     )
 
@@ -128,13 +129,52 @@ def finish_segments(mapped: DataFrame, options: Options = Options()) -> DataFram
     )
 
 
+class RunMetrics:
+    """What a run did, counted by Spark while it ran: no second scan.
+
+    Give one to ``translate``; its numbers are there once the result was written or
+    collected, and describe that one action. They come from finished tasks; a task that is run again for
+    a lost executor may count twice, so exact totals of such a run need ``run_summary``.
+    """
+
+    def __init__(self):
+        self.scan, self.finish = Observation(), Observation()
+
+    def summary(self) -> dict[str, int]:
+        """segments, targets, skipped, target_chars, translated, failed."""
+        got = {**self.scan.get, **self.finish.get}
+        got = {k: v or 0 for k, v in got.items()}
+        return {**got, "skipped": got["segments"] - got["targets"]}
+
+    def percent(self) -> float:
+        got = self.summary()
+        return 100.0 * got["translated"] / max(1, got["targets"])
+
+    def frame(self, spark) -> DataFrame:
+        names = ["segments", "targets", "skipped", "target_chars", "translated", "failed"]
+        got = self.summary()
+        return spark.createDataFrame([tuple(int(got[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str, str] | None = None,
-              make_mapper=None, key: str = "doc_id", options: Options = Options()) -> DataFrame:
-    """key, batch_id, pos, page, seg_id, source, translated, error, failed for all targets."""
+              make_mapper=None, key: str = "doc_id", options: Options = Options(), metrics: RunMetrics | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
+    """key, batch_id, pos, page, seg_id, source, translated, error, failed for all targets.
+
+    ``metrics`` counts segments, targets and results on the way. The mapper's segments
+    also carry the columns in ``keep``, which may name the key.
+    """
     used = terms if options.glossary else None
-    batches = document_batches(
-        protected_documents(documents, used, key, placeholders=options.placeholders), key
-    )
+    targets = protected_documents(documents, used, key, placeholders=options.placeholders)
+    if metrics is not None:
+        length = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s["source"]))
+        targets = targets.observe(metrics.scan, F.sum("lines").alias("segments"), F.sum(F.size("targets")).alias("targets"),
+                                  F.sum(length).alias("target_chars"))
+    batches = document_batches(targets, key)
+    if keep:
+        batches = batches.withColumn("segments", F.transform("segments", lambda s: F.struct(
+            *[s[f].alias(f) for f in ("pos", "page", "seg_id", "source", "text", "held", "terms")],
+            *[F.col(c).alias(c) for c in keep])))
     if make_mapper is None:
         answered = batches.withColumn("pairs", parse_strict(mock_answer(F.col("segments")))).withColumn(
             "error", F.lit(None).cast("string"))
@@ -145,8 +185,12 @@ def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str
     )
     rows = matched.select(
         key, "batch_id", "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
-    ).select(key, "batch_id", "error", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
-    return finish_segments(rows, options)
+    ).select(key, "batch_id", "error", *[F.col(f"_z.segments.{f}").alias(f) for f in (
+        "pos", "page", "seg_id", "source", "text", "held", "terms")], F.col("_z._matched.translated").alias("translated"))
+    done = finish_segments(rows, options)
+    if metrics is None:
+        return done
+    return done.observe(metrics.finish, F.count_if(~F.col("failed")).alias("translated"), F.count_if("failed").alias("failed"))
 
 
 def document_contexts(documents: DataFrame, make_classifier, key: str = "doc_id") -> DataFrame:

@@ -37,6 +37,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
+def run_tail(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """One trigger over what a source without ``availableNow`` holds at the moment."""
+    (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(once=True)
+        .start(path)
+        .awaitTermination()
+    )
+
+
 def run_until(stream: DataFrame, path: str, checkpoint: str, stop_requested: Callable[[StreamingQuery], bool], poll_seconds: float = 0.05) -> bool:
     """Like ``run_available``, but ends early once ``stop_requested`` says so; returns whether everything was processed.
 
