@@ -134,7 +134,7 @@ class OversizeError(Exception):
 Mapper = Callable[[Sequence[dict]], str]
 
 
-def _answer_pairs(mapper: Mapper, segments: list[dict]) -> tuple[list[dict], list[str]]:
+def answer_pairs(mapper: Mapper, segments: list[dict]) -> tuple[list[dict], list[str]]:
     """Pairs and errors of a batch. A batch that is too large is halved until it fits.
 
     What one half has answered stays, whatever becomes of the other.
@@ -146,7 +146,7 @@ def _answer_pairs(mapper: Mapper, segments: list[dict]) -> tuple[list[dict], lis
         if len(segments) == 1:
             return [], [str(failure) or "segment too large"]
         half = len(segments) // 2
-        left, right = _answer_pairs(mapper, segments[:half]), _answer_pairs(mapper, segments[half:])
+        left, right = answer_pairs(mapper, segments[:half]), answer_pairs(mapper, segments[half:])
         return left[0] + right[0], left[1] + right[1]
     except Exception as failure:  # one bad batch must not end the job
         return [], [str(failure) or type(failure).__name__]
@@ -170,7 +170,7 @@ def map_batches(batches: DataFrame, make_mapper: Callable[[], Mapper], keys: Seq
         for part in parts:
             pairs, errors = [], []
             for segments in part["segments"]:
-                found, failures = _answer_pairs(mapper, list(segments))
+                found, failures = answer_pairs(mapper, list(segments))
                 pairs.append(found)
                 errors.append("; ".join(failures) or None)
             yield part.assign(pairs=pairs, error=errors)

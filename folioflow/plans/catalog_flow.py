@@ -344,3 +344,34 @@ def observed_run(spark, sf):
     done = plan.translate(docs, make_mapper=_refusing_mapper, metrics=metrics, keep=["doc_id"])
     done.write.parquet(work_path(spark, "observed"))
     return metrics.frame(spark)
+
+
+def _prompted_mapper():
+    import json
+
+    def answer(request):
+        told, prompt = len(request["context"]), request["prompt"]
+        assert prompt.count("SEGMENT_ID: ") == len(request["segments"]) and ("SOURCE: " in prompt) == (told > 0)
+        terms = "|".join(line.split(" => ")[0] for line in request["glossary"])
+        return json.dumps({"translations": [
+            {"segment_id": s["seg_id"], "translated_text": f"[모의 번역] {told} {terms} {s['text']}"} for s in request["segments"]]})
+
+    return answer
+
+
+@query("X1 W5 F22 F23", f"""
+WITH RECURSIVE {S.SEGMENTS}, {S.targets()}, {S.greedy('tgt', 'doc_id', 1500, 10)},
+b AS (SELECT doc_id, batch_id, least(min(idx), 12) AS told, string_agg(text, chr(10) ORDER BY idx) AS whole
+  FROM packed JOIN tgt USING (doc_id, idx) GROUP BY doc_id, batch_id),
+g AS (SELECT *, array_to_string(list_filter(['than', 'elle', 'en'], lambda t: contains(whole, t)), '|') AS terms FROM b)
+SELECT doc_id, batch_id, pos, '[모의 번역] ' || told || ' ' || terms || ' ' || text AS translated, false AS failed
+FROM packed JOIN tgt USING (doc_id, idx) JOIN g USING (doc_id, batch_id)""")
+def prompted_documents(spark, sf):
+    """A mapper that answers with what it was shown: number of context pairs, terms of the batch, text."""
+    from folioflow.plans.prompted import Prompting, translate_prompted
+
+    settings = Prompting("{{prev_context}}\n#\n{{glossary_data}}\n#\n{{text_segments}}")
+    done = translate_prompted(
+        table(spark, sf, "documents"), _prompted_mapper, settings, {"en": "e", "than": "t", "elle": "l"},
+        options=plan.Options(placeholders=False, validation=False))
+    return done.select("doc_id", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("int").alias("pos"), "translated", "failed")

@@ -156,6 +156,18 @@ class RunMetrics:
         return spark.createDataFrame([tuple(int(got[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+def finished(answered: DataFrame, key: str, target_lang: str, options: Options) -> DataFrame:
+    """Answered batches (segments, pairs, error) -> one checked row per segment."""
+    matched = answered.withColumn(
+        "_matched", reconcile(F.col("segments"), F.col("pairs"), F.lit(target_lang))
+    )
+    rows = matched.select(
+        key, "batch_id", "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
+    ).select(key, "batch_id", "error", *[F.col(f"_z.segments.{f}").alias(f) for f in (
+        "pos", "page", "seg_id", "source", "text", "held", "terms")], F.col("_z._matched.translated").alias("translated"))
+    return finish_segments(rows, options)
+
+
 def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str, str] | None = None,
               make_mapper=None, key: str = "doc_id", options: Options = Options(), metrics: RunMetrics | None = None,
               keep: Sequence[str] = ()) -> DataFrame:
@@ -180,14 +192,7 @@ def translate(documents: DataFrame, target_lang: str = "Korean", terms: dict[str
             "error", F.lit(None).cast("string"))
     else:
         answered = map_batches(batches, make_mapper, [key, "batch_id"])
-    matched = answered.withColumn(
-        "_matched", reconcile(F.col("segments"), F.col("pairs"), F.lit(target_lang))
-    )
-    rows = matched.select(
-        key, "batch_id", "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")
-    ).select(key, "batch_id", "error", *[F.col(f"_z.segments.{f}").alias(f) for f in (
-        "pos", "page", "seg_id", "source", "text", "held", "terms")], F.col("_z._matched.translated").alias("translated"))
-    done = finish_segments(rows, options)
+    done = finished(answered, key, target_lang, options)
     if metrics is None:
         return done
     return done.observe(metrics.finish, F.count_if(~F.col("failed")).alias("translated"), F.count_if("failed").alias("failed"))
