@@ -29,7 +29,7 @@ from folioflow.llm.rows import per_text
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Chunks whose ids, and pairs whose test, a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def default_model() -> str:
@@ -59,7 +59,7 @@ class PieceTable:
                 self.ids[piece] = i
         self.byte_ids = {b: i for i, b in self.bytes_of.items()}
         self.unknown = lib.unk_id()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left id * vocabulary + right id
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self.merge(piece) == [piece]:  # else no encoding holds it
@@ -67,6 +67,7 @@ class PieceTable:
         self.automaton.make_automaton()
         inner = re.compile(f"[^{SPACE}]{SPACE}")
         whole = any(inner.search(piece) for piece in self.ids)
+        self.whole = whole  # pieces reach over spaces: no cutting there
         self.chunks = (lambda t: [t]) if whole else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def merge(self, text: str) -> list[str]:
@@ -98,19 +99,19 @@ class PieceTable:
         return [p for p in parts if p is not None]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a * len(self.texts) + b)
         if known is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             left, right = self.texts[a], self.texts[b]
-            known = self.pairs[a, b] = self.merge(left + right) == [left, right]
+            known = self.pairs[a * len(self.texts) + b] = self.merge(left + right) == [left, right]
         return known
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a chunk that no piece reaches beyond."""
         ends: list[int] = [-1] * (len(chunk) + 1)  # the prefix's last token, -1: a character without piece
         sizes: list[int] = [1] * (len(chunk) + 1)
-        pairs, done = self.pairs, 0
+        pairs, done, count = self.pairs, 0, len(self.texts)
         for end, (token, size) in self.automaton.iter(chunk):  # longest first at each end
             end += 1
             if end == done:
@@ -118,7 +119,7 @@ class PieceTable:
             start = end - size
             last = ends[start]
             if start and last >= 0:
-                ok = pairs.get((last, token))
+                ok = pairs.get(last * count + token)
                 if ok is None:
                     ok = self.compatible(last, token)
                 if not ok:
@@ -192,30 +193,43 @@ def _digests(model, with_ids: bool = False) -> Callable[[str], tuple]:
     import numpy as np
 
     pieces = table_for(model.value)
-    known: dict[str, tuple] = {}
-
-    def chunk_of(chunk: str) -> tuple:
-        ids = pieces.encode_chunk(chunk)
-        if len(known) >= REMEMBERED:
-            known.clear()
-        raw = np.array(ids, dtype=np.int32).tobytes() if with_ids else b""
-        got = (",".join(map(str, ids)), len(ids), pieces.decode(ids, first=False), raw)
+    cut = (lambda t: [t]) if pieces.whole else re.compile(" *[^ ]+| +").findall
+    known: dict[str, str] = {}  # ids as they are joined
+    odd: dict[str, str] = {}  # what a chunk decodes to, where that is not the chunk itself
+    long: list[str] = []  # chunks of the last text that are not worth remembering
+
+    def ids_of(chunk: str) -> str:
+        ids = pieces.encode_chunk(chunk.replace(" ", SPACE))
+        told = ",".join(map(str, ids))
+        back = pieces.decode(ids, first=False)
+        if back != chunk:
+            odd[chunk] = back
         if len(chunk) <= 64:
-            known[chunk] = got
-        return got
+            known[chunk] = told
+        else:
+            long.append(chunk)
+        return told
 
     def one(text: str) -> tuple:
+        for chunk in long:
+            odd.pop(chunk, None)
+        long.clear()
+        if len(known) >= REMEMBERED:  # between texts, since a text needs what it has met
+            known.clear()
+            odd.clear()
         if not text:
-            parts = []
+            ids, decoded = "", ""
         else:
-            chunks = pieces.chunks(SPACE + text.replace(" ", SPACE))
+            plain = " " + text.replace(SPACE, " ")  # the mark and the space are one
+            chunks = cut(plain)
             look = known.get
-            parts = [look(c) or chunk_of(c) for c in chunks]
-        ids = ",".join([p[0] for p in parts])
-        decoded = "".join([p[2] for p in parts]).removeprefix(" ")
-        out = (sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
+            ids = ",".join([look(c) or ids_of(c) for c in chunks])
+            if odd and not odd.keys().isdisjoint(chunks):
+                plain = "".join([odd.get(c, c) for c in chunks])
+            decoded = plain.removeprefix(" ")
+        out = (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                hashlib.sha256(decoded.encode()).hexdigest())
-        return (*out, np.frombuffer(b"".join([p[3] for p in parts]), dtype=np.int32)) if with_ids else out
+        return (*out, np.array(ids.split(",") if ids else [], dtype=np.int32)) if with_ids else out
 
     return one
 

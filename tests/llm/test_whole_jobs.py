@@ -104,3 +104,21 @@ def test_learning_without_keys_and_from_one_key(spark):
         model = language.train(df)
         assert model.languages == ["de", "en"]
         assert sum(model.predict(language.features(t))[0] == la for la, t in said) > 2900
+
+
+def test_pieces_with_a_small_memory(spark, docs_of, monkeypatch):
+    import sentencepiece
+
+    from folioflow.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(14)
+    bits = ["word", "▁", " ", "  ", "\n", "😀", "é", "\x00", "日本", "x" * 70, "�", "ab" * 40 + "😀", ""]
+    digests = pieces._digests(type("Model", (), {"value": open(pieces.default_model(), "rb").read()}), with_ids=True)
+    for _ in range(400):
+        text = "".join(rng.choices(bits, k=rng.randrange(12)))
+        ids = lib.encode(text)
+        n, ids_sha, decoded_sha, got = digests(text)
+        assert (n, got.tolist()) == (len(ids), ids), text
+        assert (ids_sha, decoded_sha) == (brute.sha(",".join(map(str, ids))), brute.sha(lib.decode(ids))), text
