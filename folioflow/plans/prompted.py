@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from folioflow import constants as K
 from folioflow.functions.tokens import TermFinder
-from folioflow.operators.reconcile import PAIRS, answer_pairs
+from folioflow.operators.reconcile import PAIRS, _answer_pairs
 from folioflow.plans import translate as plan
 
 #: request (segments, context, glossary, prompt) -> answer text
@@ -88,7 +88,7 @@ def map_prompted(batches: DataFrame, make_mapper: Callable[[], PromptedMapper],
             for batch_id, segments in zip(part["batch_id"], part["segments"]):
                 if batch_id == 0:
                     said.clear()
-                found, failures = answer_pairs(ask, list(segments))
+                found, failures = _answer_pairs(ask, list(segments))
                 pairs.append(found)
                 errors.append("; ".join(failures) or None)
                 by_id = {p["segment_id"]: p["translated_text"] for p in found}
