@@ -65,7 +65,7 @@ def _last(gram):
 
 
 #: Cells of the table that numbers groups; more are sorted.
-_TABLE = 1 << 26
+_TABLE = 1 << 24
 
 
 def _numbered(flat):
