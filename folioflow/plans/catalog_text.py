@@ -670,23 +670,22 @@ def html_balance(spark, sf):
 
 
 @query("F7a", """
-SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'expected </' || opened[-1] || '>, got </nav>' WHEN 2 THEN '</p> without start'
-  WHEN 3 THEN 'unclosed ' || array_to_string(opened, ',') || ',div,b' WHEN 4 THEN 'expected </i>, got </b>'
-  ELSE 'expected </b>, got </' || list_filter(['html', 'body', 'article'], lambda t: contains(html, '</' || t || '>'))[1] || '>' END AS fault
-FROM (SELECT *, list_filter(['html', 'body', 'article', 'p'], lambda t:
-  len(regexp_extract_all(whole, '<' || t || '[ >]')) > len(regexp_extract_all(whole, '</' || t || '>'))) AS opened
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN '</p> without start' WHEN 2 THEN 'expected </p>, got </div>'
+  WHEN 3 THEN 'unclosed ' || opened || ',div,b' WHEN 4 THEN 'expected </i>, got </b>'
+  ELSE 'expected </b>, got </' || regexp_extract(split_part(html, '<b>', 2), '</([a-z0-9]+)>', 1) || '>' END AS fault
+FROM (SELECT *, array_to_string(list_filter(['html', 'body', 'article', 'p'], lambda t:
+  len(regexp_extract_all(whole, '<' || t || '[ >]')) > len(regexp_extract_all(whole, '</' || t || '>'))), ',') AS opened
   FROM (SELECT *, regexp_replace(split_part(html, '<b>', 1), '(?s)<script>.*?</script>', '', 'g') AS whole FROM pages))""")
 def html_faults(spark, sf):
-    """Faults planted into each page's own markup; every fifth page shows the one it came with.
+    """Faults planted before and behind each page's own markup; every fifth page shows the fault it came with.
 
-    A page holds one <b> that is never closed; the last tag that does not fit counts. What stands before the <b> is
-    sound but for the elements that are open there, so faults behind it are known.
+    The pages hold one <b> that is never closed. What stands before it is sound but for the elements still open there.
     """
     html, kind = F.col("html"), F.col("page_id") % 5
-    sound = F.substring_index(html, "<b>", 1)
     built = (
-        F.when(kind == 1, F.concat(sound, F.lit("</nav>"))).when(kind == 2, F.concat(sound, F.lit("</p></article></body></html></p>")))
-        .when(kind == 3, F.concat(sound, F.lit("<div><b>"))).when(kind == 4, F.concat(sound, F.lit("<i></b>"))).otherwise(html)
+        F.when(kind == 1, F.concat(F.lit("</p>"), html)).when(kind == 2, F.concat(F.lit("<div><p></div>"), html))
+        .when(kind == 3, F.concat(F.substring_index(html, "<b>", 1), F.lit("<div><b>")))
+        .when(kind == 4, F.concat(F.lit("<b><i></b></i></b>"), html)).otherwise(html)
     )
     return table(spark, sf, "pages").select("page_id", markup.html_fault(built).alias("fault"))
 
