@@ -17,6 +17,14 @@ def test_html_balance(html, fault):
         assert got == fault
 
 
+@pytest.mark.parametrize("html,fault", [
+    ("</p><b><i>x</b></i>", "</p> without start"), ("<div><p></div><b></i>", "expected </p>, got </div>"),
+    ("<b><i></b></i></b><u></s>", "expected </i>, got </b>"), ("<html><b>x</p></html>", "expected </b>, got </p>"),
+])
+def test_the_first_html_fault_is_reported(html, fault):
+    assert markup.html_fault_one(html) == fault
+
+
 @pytest.mark.parametrize("text,fault", [
     ('```json\n{"a": 1}\n```', None), ("```json\n{a}\n```", "invalid json block"),
     ("```xml\n<a></a>\n```", None), ("```xml\n<a>\n```", "invalid xml block"),
