@@ -17,13 +17,15 @@ from folioflow.session import materialize
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """Documents as they arrive; the trigger size is the throttle."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """Documents as they arrive; the trigger size is the throttle.
+
+    ``pattern`` names the files of the folder, or a folder in it whose files are the table.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(table):
+        return reader.parquet(f"{folder}/{pattern}")
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -66,6 +66,23 @@ def test_an_idle_request_times_out(spark, tmp_path):
     assert read(spark, out) == [(1, "a b", False), (2, "x y", True), (3, "later", True), (4, "later", True)]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark, tmp_path, files):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    rows.repartition(files).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "other.parquet").mkdir()
+    rows.where("doc_id < 3").coalesce(1).write.parquet(str(tmp_path / "other.parquet/more"))
+    if files == 1:
+        (part,) = (tmp_path / "made").glob("part-*.parquet")
+        part.rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "made").rename(tmp_path / "documents.parquet")
+    stream = jobs.document_stream(spark, str(tmp_path), "documents.parquet", rows.schema)
+    out = str(tmp_path / "out")
+    jobs.run_available(stream.select("doc_id"), out, str(tmp_path / "check"))
+    assert sorted(r.doc_id for r in spark.read.schema("doc_id long").parquet(out).collect()) == list(range(30))
+
+
 class Clock:
     def __init__(self):
         self.now, self.slept = 100.0, []
