@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
@@ -294,14 +293,15 @@ def stream_answers(spark, sf):
     from folioflow.streaming.answers import live_answers
 
     events, out, checkpoint = (work_path(spark, n) for n in ("events", "answers", "checkpoint"))
-    tokens = jobs.token_stream(table(spark, sf, "documents"))
-    last = F.max("pos").over(Window.partitionBy("request_id"))  # the end mark is part of what a service sends
-    told = tokens.withColumn("last", F.col("pos") == last).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    tokens = jobs.token_stream(table(spark, sf, "documents"), ends=True)  # the end mark is part of what a service sends
+    told = tokens.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     twice = told.withColumn("copy", F.explode(F.when(F.col("pos") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    twice.repartition(4, F.xxhash64("pos", "copy")).drop("copy").write.parquet(events)
+    files = spark.sparkContext.defaultParallelism  # of one trigger, so that all cores write and read
+    share = F.pmod(F.xxhash64("pos", "copy"), F.lit(4))
+    twice.repartition(4 * files, share, "request_id").drop("copy").write.parquet(events)
 
     def start():
-        stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(events)
+        stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", files).parquet(events)
         return live_answers(stream)
 
     jobs.run_until(start(), out, checkpoint, lambda q: any(p.numInputRows for p in q.recentProgress))

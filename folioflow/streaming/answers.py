@@ -2,55 +2,110 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: What is kept of a request: positions and tokens so far, the position of its end mark (-1: not seen), answered or not.
-STATE = "pos array<int>, token array<string>, end int, done boolean"
+#: Requests are kept together by a hash of their key: a call of the state function costs more than a request's tokens.
+BUCKETS = 2048
 
+@dataclass
+class _Request:
+    """What is kept of a request: JSON of its positions and of its tokens so far, the position of its end mark (-1: not
+    seen), answered or not, and until when (milliseconds) it waits."""
 
-def live_answers(tokens: DataFrame, sep: str = " ", delay: str = "1 hour", idle_seconds: int = 3600, key: str = "request_id") -> DataFrame:
+    held: str = "[[], []]"
+    end: int = -1
+    done: bool = False
+    until: int = 0
+
+    def tokens(self) -> dict[int, str]:
+        return dict(zip(*json.loads(self.held)))
+
+
+def _gather(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens of a request that arrive side by side become one row: key, pos and token (arrays), end, newest (microseconds).
+
+    What meets in one Arrow batch is gathered, in its order, so that state is looked up and written per handful of
+    rows and not per token.
+    """
+    kind = tokens.schema[key].dataType.simpleString()
+    rows = tokens.select(
+        key, F.col("pos").cast("int").alias("pos"), "token",
+        F.when(F.col("last"), F.col("pos").cast("int")).otherwise(-1).alias("end"), F.unix_micros("at").alias("newest"))
+
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            met = pa.Table.from_batches([part]).group_by(key, use_threads=False).aggregate(
+                [("pos", "list"), ("token", "list"), ("end", "max"), ("newest", "max")])
+            yield from met.select([key, "pos_list", "token_list", "end_max", "newest_max"]).rename_columns(
+                [key, "pos", "token", "end", "newest"]).to_batches()
+
+    return rows.mapInArrow(gather, f"{key} {kind}, pos array<int>, token array<string>, end int, newest bigint")
+
+
+def live_answers(tokens: DataFrame, sep: str = " ", delay: str = "1 hour", idle_seconds: int = 3600, key: str = "request_id",
+                 buckets: int = BUCKETS) -> DataFrame:
     """(key, text, complete): one row per request, once its end mark and all tokens before it are there.
 
     ``tokens`` is a stream of key, pos (from 0), token, last (the end mark) and at (a
     timestamp). Tokens may come in any order and more than once, over any number of
     micro-batches and restarts; what comes again for an answered request is dropped.
     A request without new tokens for ``idle_seconds`` of event time ends with what it
-    has, as not complete, and is forgotten, as an answered one is.
+    has, as not complete, and is forgotten, as an answered one is. A token that is later
+    than ``delay`` counts if it comes beside one of its request that is not.
+    A checkpoint belongs to its number of ``buckets``.
     """
     kind = tokens.schema[key].dataType.simpleString()
 
-    def collect(found: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, token, end, done = state.get if state.exists else ([], [], -1, False)
-        have = dict(zip(pos, token))
+    def collect(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        kept = {row[0]: _Request(*row[1:]) for row in zip(*state.get)} if state.exists else {}
+        told: dict = {}  # tokens of the open requests that have new ones
+        for part in () if state.hasTimedOut else parts:
+            names = [None if pd.isna(name) else name for name in part[key].tolist()]
+            for name, pos, token, end, newest in zip(names, part["pos"], part["token"], part["end"].tolist(), part["newest"].tolist()):
+                request = kept.setdefault(name, _Request())
+                request.until = max(request.until, max(now, newest // 1000) + idle_seconds * 1000)
+                if request.done:
+                    continue
+                request.end = max(request.end, end)
+                have = told[name] if name in told else told.setdefault(name, request.tokens())
+                for p, t in zip(pos.tolist(), token.tolist()):
+                    have.setdefault(p, t)
+        out = []
 
-        def answer(complete: bool) -> pd.DataFrame:
-            text = sep.join(have[p] for p in sorted(have))
-            return pd.DataFrame({key: [found[0]], "text": [text], "complete": [complete]})
+        def answer(name, have: dict[int, str], complete: bool) -> None:
+            out.append((name, sep.join(have[p] for p in sorted(have)), complete))
 
-        if state.hasTimedOut:
+        for name, have in told.items():
+            request = kept[name]
+            if 0 <= request.end < len(have):
+                answer(name, have, True)
+                request.held, request.done = _Request.held, True
+            else:
+                request.held = json.dumps([list(have), list(have.values())], ensure_ascii=False)
+        for name in [name for name, request in kept.items() if request.until < now]:
+            request = kept.pop(name)
+            if not request.done:
+                answer(name, request.tokens(), False)
+        if kept:
+            state.update(tuple(map(list, zip(*((name, *astuple(request)) for name, request in kept.items())))))
+            state.setTimeoutTimestamp(max(min(request.until for request in kept.values()), now + 1))
+        elif state.exists:
             state.remove()
-            if not done:
-                yield answer(False)
-            return
-        newest = state.getCurrentWatermarkMs()
-        for part in parts:
-            newest = max(newest, int(part["at"].max().timestamp() * 1000))
-            if done:
-                continue
-            for p, t, last in zip(part["pos"].tolist(), part["token"].tolist(), part["last"].tolist()):
-                have.setdefault(int(p), t)
-                if last:
-                    end = int(p)
-        if not done and 0 <= end < len(have):
-            yield answer(True)
-            have, done = {}, True
-        state.update((list(have), list(have.values()), end, done))
-        state.setTimeoutTimestamp(newest + idle_seconds * 1000)
-
-    asked = tokens.select(key, "pos", "token", "last", "at").withWatermark("at", delay)
-    return asked.groupBy(key).applyInPandasWithState(
-        collect, f"{key} {kind}, text string, complete boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "text", "complete"])
+
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    gathered = _gather(tokens, key).withColumn("at", F.timestamp_micros("newest")).withWatermark("at", delay)
+    return gathered.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
+        collect, f"{key} {kind}, text string, complete boolean",
+        f"key array<{kind}>, held array<string>, end array<int>, done array<boolean>, until array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout)

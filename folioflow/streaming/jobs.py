@@ -73,11 +73,11 @@ def segment_stream(documents: DataFrame) -> DataFrame:
     return scan(documents)
 
 
-def token_stream(documents: DataFrame) -> DataFrame:
-    """Answer tokens of a streaming service: request_id, pos, token."""
-    return documents.select(
-        F.col("doc_id").alias("request_id"), F.posexplode(words(F.col("text"))).alias("pos", "token")
-    )
+def token_stream(documents: DataFrame, ends: bool = False) -> DataFrame:
+    """Answer tokens of a streaming service: request_id, pos, token, and with ``ends`` the end mark as ``last``."""
+    told = documents.select(F.col("doc_id").alias("request_id"), words(F.col("text")).alias("_words"))
+    tokens = told.select("request_id", F.posexplode("_words").alias("pos", "token"), F.size("_words").alias("_size"))
+    return tokens.withColumn("last", F.col("pos") == F.col("_size") - 1).drop("_size") if ends else tokens.drop("_size")
 
 
 def concat_tokens(tokens: DataFrame, sep: str) -> DataFrame:

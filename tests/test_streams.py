@@ -151,3 +151,21 @@ def test_batches_are_paced_per_service_key(spark):
         assert key == r.service_key
         by_key.setdefault(key, []).append(int(n))
     assert all(sorted(n) == list(range(1, len(n) + 1)) for n in by_key.values()) and len(by_key) == 3
+
+
+def test_requests_of_one_bucket_end_on_their_own(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    texts = {i: " ".join(f"w{i}-{n}" for n in range(i % 7 + 1)) for i in range(30)}
+    idle = [(100, 1, "b", False, DAY), (100, 0, "a", False, DAY)]
+    write(spark, source, 0, idle + events_of(texts))
+    for n in (1, 2):  # the bucket has new tokens whenever the idle request's time is over
+        write(spark, source, n, events_of({200 + n: "later"}, DAY + datetime.timedelta(hours=n)) + [(300, 0, "open", False, DAY + datetime.timedelta(hours=n))])
+    write(spark, source, 3, events_of({203: "last"}, DAY + datetime.timedelta(hours=2)))
+    answers(spark, source, out, checkpoint, delay="1 minute", idle_seconds=3660, buckets=1)
+    want = [(i, t, True) for i, t in texts.items()] + [(200 + n, "later", True) for n in (1, 2)] + [(203, "last", True)]
+    got = read(spark, out)
+    assert [r for r in got if r[0] != 100] == sorted(want) and [r for r in got if r[0] == 100] in ([], [(100, "a b", False)])
+    write(spark, source, 4, events_of({204: "end"}, DAY + datetime.timedelta(hours=5)))
+    write(spark, source, 5, events_of({205: "end"}, DAY + datetime.timedelta(hours=5)))
+    answers(spark, source, out, checkpoint, delay="1 minute", idle_seconds=3660, buckets=1)
+    assert read(spark, out) == sorted(want + [(100, "a b", False), (204, "end", True), (205, "end", True), (300, "open", False)])
