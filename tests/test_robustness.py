@@ -157,3 +157,28 @@ def test_missing_answers_are_asked_again_and_then_remembered(spark, tmp_path):
     done = docs.where("doc_id = 2")
     again = plan.translate_through_memo(done, path, make, "English", "French").collect()
     assert calls.value == before and not any(r.failed for r in again)
+
+
+def test_a_python_worker_gets_small_batches_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from folioflow.session import _BATCH_KEY, BATCH_BYTES
+
+    def sizes(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"n": [part.num_rows], "size": [part.nbytes]})
+
+    before = spark.conf.get(_BATCH_KEY, None)
+    try:
+        entry.queries()["normalize_text"](spark, "/root/testdata/sf0.001")
+        texts = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+        got = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 600 and max(r.size for r in got) < 2 * BATCH_BYTES
+        spark.conf.set(_BATCH_KEY, "1000000b")
+        entry.queries()["normalize_text"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(_BATCH_KEY) == "1000000b"
+    finally:
+        spark.conf.unset(_BATCH_KEY) if before is None else spark.conf.set(_BATCH_KEY, before)
