@@ -14,19 +14,27 @@ The folder has to be one that driver and executors share; it is reached through
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from folioflow.session import BATCH_BYTES
+
+if TYPE_CHECKING:
+    from pyarrow import RecordBatch
+
 SCHEMA = "doc_id string, segment_id string, page int, source string, translated string"
 FIELDS = [part.split()[0] for part in SCHEMA.split(", ")]
-#: Rows of one file; a task with more writes several.
+#: Rows and bytes of one file; a task with more writes several.
 FILE_ROWS = 200_000
+FILE_BYTES = 64 << 20
 
 
 def _open(path: str):
@@ -69,21 +77,21 @@ class Writer(DataSourceWriter):
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
         names: list[str] = []
-        lines: list[str] = []
-
-        def flush() -> None:
-            name = f"part-{self.job}-{uuid.uuid4().hex}.jsonl"
-            with system.open_output_stream(f"{folder}/{name}") as out:
-                out.write("".join(lines).encode())
-            names.append(name)
-            lines.clear()
-
-        for row in iterator:
-            lines.append(json.dumps({f: row[f] for f in FIELDS}, ensure_ascii=False) + "\n")
-            if len(lines) >= FILE_ROWS:
-                flush()
-        if lines:
-            flush()
+        out, rows, size = None, 0, 0
+        try:
+            for row in iterator:  # lines leave as they come, so a task holds one of them
+                if out is None:
+                    names.append(f"part-{self.job}-{uuid.uuid4().hex}.jsonl")
+                    out = io.BufferedWriter(system.open_output_stream(f"{folder}/{names[-1]}"), 1 << 20)
+                    rows = size = 0
+                size += out.write(json.dumps({f: row[f] for f in FIELDS}, ensure_ascii=False).encode() + b"\n")
+                rows += 1
+                if rows >= FILE_ROWS or size >= FILE_BYTES:
+                    out.close()
+                    out = None
+        finally:
+            if out is not None:
+                out.close()
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -109,6 +117,14 @@ class OneFile(InputPartition):
         self.name = name
 
 
+def _batch(lines: list[bytes]) -> RecordBatch:
+    import pyarrow as pa
+
+    got = [json.loads(line) for line in lines]
+    kinds = [pa.int32() if f == "page" else pa.string() for f in FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array([g.get(f) for g in got], k) for f, k in zip(FIELDS, kinds)], FIELDS)
+
+
 class Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -116,15 +132,22 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[OneFile]:
         return [OneFile(n) for files in _commits(self.path).values() for n in files]
 
-    def read(self, partition: OneFile | None) -> Iterator[tuple]:
+    def read(self, partition: OneFile | None) -> Iterator[RecordBatch]:
+        """Batches of bounded size: a file is read line by line."""
         if partition is None:  # nothing was committed
             return
         system, folder = _open(self.path)
+        lines, size = [], 0
         with system.open_input_stream(f"{folder}/{partition.name}") as held:
-            for line in held.read().decode().split("\n"):
-                if line:
-                    got = json.loads(line)
-                    yield tuple(got.get(f) for f in FIELDS)
+            for line in io.BufferedReader(held, 1 << 20):
+                if line != b"\n":
+                    lines.append(line)
+                    size += len(line)
+                if size >= BATCH_BYTES:
+                    yield _batch(lines)
+                    lines, size = [], 0
+        if lines:
+            yield _batch(lines)
 
 
 class Interchange(DataSource):

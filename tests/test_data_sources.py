@@ -112,3 +112,27 @@ def test_a_run_counts_itself_in_its_one_scan(spark, tmp_path, capsys):
     assert {r.translated for r in rows if not r.failed} == {"1 fr"}
     assert metrics.summary() == {"segments": 4, "targets": 3, "skipped": 1, "target_chars": 15, "translated": 2, "failed": 1}
     assert round(metrics.percent(), 3) == 66.667
+
+
+def test_a_task_of_the_source_holds_a_batch_not_a_file(tmp_path):
+    import json
+    import tracemalloc
+
+    from folioflow.session import BATCH_BYTES
+
+    path, n = str(tmp_path / "pairs"), 30_000
+    rows = ({"doc_id": str(i), "segment_id": "s", "page": 1, "source": "x" * 1000, "translated": None} for i in range(n))
+    writer, reader = interchange.Writer(path, False), interchange.Reader(path)
+    tracemalloc.start()
+    message = writer.write(rows)
+    writer.commit([message])
+    seen = largest = 0
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            assert batch["doc_id"][0].as_py() == str(seen) and batch["source"][-1].as_py() == "x" * 1000
+            seen, largest = seen + batch.num_rows, max(largest, batch.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and largest < 2 * BATCH_BYTES and peak < 6 * BATCH_BYTES
+    with open(f"{path}/{message.files[0]}") as held:
+        assert json.loads(held.readline())["translated"] is None
