@@ -109,3 +109,26 @@ def test_salted_join_keeps_all_rows(spark):
     joined = skew.join_unique(rows, unique, "key", heavy, ["id"], salts=8)
     assert joined.count() == 3000 and joined.where(F.col("v") != F.upper("key")).count() == 0
     assert joined.where(F.col("v").isNull()).count() == 0
+
+
+def test_a_box_meets_its_surroundings_in_few_cells(spark):
+    """Growing boxes into free space lists each box in a handful of cells; the widened box is no reason for dozens."""
+    from folioflow.functions import geometry as G
+    from folioflow.operators import spatial
+
+    listed, plain = [], spatial._cells
+
+    def counted(df, *rest):
+        out = plain(df, *rest)
+        listed.append((df.count(), out.count()))
+        return out
+
+    rows = spark.range(400).select(
+        (F.col("id") % 4).alias("page"), "id", (F.col("id") * 37 % 500).cast("double").alias("x"), (F.col("id") * 53 % 700).cast("double").alias("y"))
+    boxes = rows.select("page", "id", G.box(F.col("x"), F.col("y"), F.col("x") + 30, F.col("y") + 12).alias("box"))
+    spatial._cells = counted
+    try:
+        spatial.free_room(boxes, ["page"], G.box(F.lit(0), F.lit(0), F.lit(600), F.lit(800)))
+    finally:
+        spatial._cells = plain
+    assert len(listed) == 2 and sum(n for _, n in listed) < 5 * sum(n for n, _ in listed)
