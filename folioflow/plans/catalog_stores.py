@@ -211,7 +211,7 @@ def plain_exports(spark, sf):
     pairs = reconcile.export_pairs(doc_segments(spark, sf).withColumn("translated", spoken), "doc_id")
     folder = work_path(spark, "exports")
     for kind in ("csv", "json", "txt"):
-        files.write_pairs(pairs, f"{folder}/{kind}", kind)
+        files.write_pairs(pairs, f"{folder}/{kind}", kind, "gzip")
     schema = "doc_id bigint, segment_id string, page bigint, source string, translated string"
     rows = [
         spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/csv")

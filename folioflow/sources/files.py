@@ -87,15 +87,15 @@ def import_documents(files: DataFrame, key: str, text: str = "json") -> DataFram
     )
 
 
-def write_pairs(pairs: DataFrame, path: str, kind: str) -> None:
-    """Plain exports: CSV, JSON lines or text."""
-    writer = pairs.write.mode("overwrite")
+def write_pairs(pairs: DataFrame, path: str, kind: str, compression: str = "none") -> None:
+    """Plain exports: CSV, JSON lines or text; ``compression`` may be gzip."""
+    writer = pairs.write.mode("overwrite").option("compression", compression)
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
         writer.json(path)
     elif kind == "txt":
-        pairs.select("translated").write.mode("overwrite").text(path)
+        pairs.select("translated").write.mode("overwrite").option("compression", compression).text(path)
     else:
         raise ValueError(f"no plain export named {kind}")
 

@@ -103,3 +103,14 @@ def test_document_plan_has_no_shuffle(spark, sf):
     text = plan.translate(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_plain_exports_may_be_compressed(spark, tmp_path):
+    import glob
+
+    pairs = spark.createDataFrame([(1, "s", 1, 'a "b"', "x,\ny")], "doc_id bigint, segment_id string, page bigint, source string, translated string")
+    for kind in ("csv", "json", "txt"):
+        files.write_pairs(pairs, f"{tmp_path}/{kind}", kind, "gzip")
+        assert glob.glob(f"{tmp_path}/{kind}/*.gz") and not glob.glob(f"{tmp_path}/{kind}/*.{kind}")
+        files.write_pairs(pairs, f"{tmp_path}/{kind}", kind)
+        assert glob.glob(f"{tmp_path}/{kind}/*.{kind}") and not glob.glob(f"{tmp_path}/{kind}/*.gz")
