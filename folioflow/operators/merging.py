@@ -10,23 +10,29 @@ merge or collide, and the bands between such strips give the same result alone.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow import constants as K
-from folioflow.functions.arrow import arrow_batched
 from folioflow.functions.text import strip
 from folioflow.operators import blocked
 from folioflow.operators.boxgrid import Box, BoxGrid, without
 from folioflow.operators.skew import heavy_keys, join_unique
 from folioflow.session import materialize
 
+if TYPE_CHECKING:
+    from pyarrow import RecordBatch
+
 BAND_SPAN = 4096
 #: Pages with more boxes than this are cut into bands first.
 PAGE_ROWS = 20_000
+#: Pieces of a page whose pairs are all looked at before a grid is made.
+FEW = 16
 
 
 def bands(boxes: DataFrame, keys: Sequence[str], low: str, high: str, reach: Column,
@@ -76,16 +82,36 @@ def per_band(rows: DataFrame, keys: Sequence[str], work: Callable[[list[dict]],
     """Run ``work`` on the rows of every band and explode what it returns.
 
     A band travels as one array, so an Arrow batch carries many bands and small
-    bands cost no call of their own. The keys are not part of the rows.
+    bands cost no call of their own; rows are made of whole columns of a batch. The
+    keys are not part of the rows.
     """
 
-    @arrow_batched(f"array<struct<{result}>>")
-    def run(bands_: pd.Series) -> pd.Series:
-        return bands_.map(lambda band: work(list(band)))
-
     fields = [c for c in rows.columns if c not in keys]
     gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_rows"))
-    return gathered.select(*keys, F.explode(run("_rows")).alias("_r")).select(*keys, "_r.*")
+    shape = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL(result).fields])
+
+    def run(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(shape)
+        names = target.names[len(keys):]
+        for batch in batches:
+            held = batch["_rows"]
+            ends = held.offsets.to_pylist()
+            columns = [part.to_pylist() for part in held.flatten().flatten()]
+            every = [dict(zip(fields, values)) for values in zip(*columns)]
+            first, origin, out = ends[0], [], []
+            for n, (start, end) in enumerate(zip(ends, ends[1:])):
+                done = work(every[start - first:end - first])
+                out += done
+                origin += [n] * len(done)
+            place = pa.array(origin, pa.int64())
+            arrays = [batch[k].take(place).cast(target.field(k).type) for k in keys]
+            arrays += [pa.array([r[c] for r in out], target.field(c).type) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return gathered.mapInArrow(run, shape)
 
 
 # --- vertical columns --------------------------------------------------------
@@ -175,6 +201,9 @@ def merge_pieces(pieces: list[dict]) -> list[dict]:
     able = [p for p in pieces if p["candidate"]]
     if len(able) < 2 or not any(p["vertical"] for p in able):
         return pieces
+    if len(able) <= FEW and not any(
+            (a["vertical"] or b["vertical"]) and reading_pair(a, b) for a, b in itertools.combinations(able, 2)):
+        return pieces  # no pair to begin with, and so no grid
     live = dict(enumerate(pieces))
     every = BoxGrid()
     for i, p in live.items():

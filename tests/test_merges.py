@@ -227,3 +227,33 @@ def test_spread_words():
     assert spread_words("one", [5.0, 5.0]) == "one"
     assert spread_words("a  b\tc", [1.0]) == "a b c"
     assert spread_words("", [1.0, 2.0]) == ""
+
+
+def test_a_page_without_a_pair_needs_no_grid(monkeypatch):
+    from folioflow.operators import merging
+
+    def piece(i, x):
+        return {"id": i, "box": (x, 0.0, x + 5, 12.0), "size": 10.0, "text": "a", "vertical": True, "candidate": True, "needs": True,
+                "members": [i], "obstacle": False}
+
+    apart, near = [piece(i, 400.0 * i) for i in range(5)], [piece(i, 8.0 * i) for i in range(2)]
+    assert len(merging.merge_pieces(near)) == 1
+
+    def none():
+        raise AssertionError("a grid was made")
+
+    monkeypatch.setattr(merging, "BoxGrid", none)
+    assert merging.merge_pieces(apart) == apart
+
+
+def test_bands_come_back_with_their_keys(spark):
+    """Bands of several keys, some without a result, in many batches."""
+    from pyspark.sql import functions as F
+
+    from folioflow.operators.merging import per_band
+
+    rows = spark.range(5000).select((F.col("id") % 700).alias("page"), F.col("id").cast("string").alias("part"), "id")
+    got = per_band(rows, ["page"], lambda band: [{"n": len(band), "last": max(r["part"] for r in band)}] if band[0]["id"] % 2 else [],
+                   "n: bigint, last: string").collect()
+    assert sorted(r.page for r in got) == list(range(1, 700, 2))
+    assert all(r.n == len(range(r.page, 5000, 700)) and int(r.last) % 700 == r.page for r in got)
