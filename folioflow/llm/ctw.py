@@ -65,32 +65,46 @@ def _last(gram):
 
 
 #: Cells of the table that numbers groups; more are sorted.
-_TABLE = 1 << 24
+_TABLE = 1 << 22
+#: Groups that are numbered at a time: what they need beside the table stays small.
+_PART = 1 << 18
 
 
-def _numbered(flat):
+def _numbered(flat, out=None):
     """Distinct groups, ascending, and for each place the number of its group.
 
     A table over the occurring halves of the groups does it without sorting.
+    ``out`` takes the numbers; it may be ``flat`` itself, seen as int32.
     """
     import numpy as np
 
-    high, low = (flat >> np.uint32(16)).astype(np.uint16), (flat & np.uint32(0xFFFF)).astype(np.uint16)
+    out = np.empty(len(flat), dtype=np.int32) if out is None else out
+    parts = [slice(a, a + _PART) for a in range(0, len(flat), _PART)]
     tops, bottoms = np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool)
-    tops[high], bottoms[low] = True, True
+    for part in parts:
+        tops[flat[part] >> np.uint32(16)], bottoms[flat[part] & np.uint32(0xFFFF)] = True, True
     rows, columns = np.flatnonzero(tops), np.flatnonzero(bottoms)
     if len(rows) * len(columns) > _TABLE:
-        found = np.unique(flat)
-        return found, np.searchsorted(found, flat).astype(np.int32)
+        found = np.unique(np.concatenate([np.unique(flat[part]) for part in parts]))
+        for part in parts:
+            out[part] = np.searchsorted(found, flat[part])
+        return found, out
     row_of = ((np.cumsum(tops) - 1) * len(columns)).astype(np.int32)
-    cell = row_of[high]
-    cell += (np.cumsum(bottoms, dtype=np.int32) - 1)[low]
+    column_of = (np.cumsum(bottoms) - 1).astype(np.int32)
+
+    def cells_of(part):
+        return row_of[flat[part] >> np.uint32(16)] + column_of[flat[part] & np.uint32(0xFFFF)]
+
     seen = np.zeros(max(1, len(rows) * len(columns)), dtype=bool)
-    seen[cell] = True
+    for part in parts:
+        seen[cells_of(part)] = True
     cells = np.flatnonzero(seen)
-    rank = np.cumsum(seen, dtype=np.int32) - 1
-    found = (rows[cells // max(1, len(columns))] << 16 | columns[cells % max(1, len(columns))]) if len(flat) else cells[:0]
-    return found.astype(np.uint32), rank[cell]
+    rank = np.empty(len(seen), dtype=np.int32)
+    rank[cells] = np.arange(len(cells), dtype=np.int32)
+    for part in parts:
+        out[part] = rank[cells_of(part)]
+    found = rows[cells // max(1, len(columns))] << 16 | columns[cells % max(1, len(columns))] if len(cells) else cells
+    return found.astype(np.uint32), out
 
 
 class _Seen:
@@ -115,13 +129,15 @@ class _Seen:
             flat[self.gram_ends[-1]:end] = grams(text)
             self.gram_ends.append(end)
         self.word_at = np.concatenate(spots) if spots else np.zeros(0, np.int32)
-        digests = [xxhash.xxh3_128_digest(w) for w in number]
-        order = sorted(range(len(digests)), key=digests.__getitem__)
-        self.hashes = [digests[i] for i in order]
+        digests = b"".join(map(xxhash.xxh3_128_digest, number))
+        del spots, number, give  # the objects go before the groups are numbered
+        halves = np.frombuffer(digests, ">u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.hashes = halves[order]
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
         self.word_at = place[self.word_at]
-        self.grams, self.gram_at = _numbered(flat)
+        self.grams, self.gram_at = _numbered(flat, flat.view(np.int32))
 
     @staticmethod
     def per_document(values, at, ends) -> list:
@@ -174,7 +190,7 @@ def _summaries(blocks: DataFrame, learned) -> DataFrame:
         w = seen.trained(seen.word_at, seen.word_ends, len(seen.hashes))
         yield {"block": seen.block, "n_grams": len(seen.grams), "n_words": len(seen.hashes),
                "training": int(seen.learned.sum()), "grams": seen.grams.tobytes(), "gram_counts": g.tobytes(),
-               "words": b"".join(seen.hashes), "word_counts": w.tobytes()}
+               "words": seen.hashes.tobytes(), "word_counts": w.tobytes()}
 
     return per_row(blocks, one, "block long, n_grams long, n_words long, training long, grams binary, "
                                 "gram_counts binary, words binary, word_counts binary")

@@ -174,3 +174,22 @@ def test_groups_are_numbered_alike_with_and_without_the_table(monkeypatch):
             monkeypatch.setattr(ctw, "_TABLE", cells)
             a, b = ctw._numbered(some)
             assert (a == found).all() and (b == at).all()
+
+
+def test_a_block_is_numbered_in_bounded_memory():
+    import tracemalloc
+
+    from folioflow.llm.blocks import squeeze
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(t) for t in rng.integers(0x60, 0x98, (200, 10_000)).astype(np.uint8)]  # 3,136 halves: 10 million cells
+    row = {"block": 0, "keys": list(range(200)), "ends": (np.arange(1, 201) * 10_000).tobytes(),
+           "body": squeeze(b"".join(texts))}
+    ctw._Seen(row, lambda k: True)  # imports
+    tracemalloc.start()
+    seen = ctw._Seen(row, lambda k: True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = np.concatenate([ctw.grams(t) for t in texts])
+    assert (seen.grams[seen.gram_at] == every).all() and (np.diff(seen.grams.astype(np.int64)) > 0).all()
+    assert most < 24 * len(every)
