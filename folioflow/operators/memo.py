@@ -2,7 +2,8 @@
 
 Every run is a folder ``level=l/seq=n/run=name``. Its rows lie in buckets by the
 first ``l + 1`` hexadecimal digits of the key (keys are hashes, so buckets are
-even), one file per bucket, sorted by key, with a Bloom filter on it. A lookup
+even), in sorted files, one per bucket or, of large runs of level 0, up to sixteen,
+with Bloom filters on the key. A lookup
 names the buckets of its keys and reads no other files; inside a file, row groups
 without the keys are skipped. A run is visible once its ``_SUCCESS`` mark is there.
 
@@ -38,6 +39,8 @@ SCHEMA = (
 
 #: Runs of one level that are folded into one of the next, whose buckets are as many times as many.
 FAN = 16
+#: Rows of a run are dealt to tasks by so many digits at least.
+SPREAD_DIGITS = 2
 _RUN = re.compile(r"level=(\d+)/seq=(\d+)/run=([^/]+)$")
 _REPLACES = "_replaces.json"
 
@@ -126,11 +129,13 @@ def runs(spark: SparkSession, path: str) -> list[Run]:
 def _store(rows: DataFrame, run: str, level: int) -> None:
     digits = level + 1
     clustered = rows.drop("seq").withColumn("bucket", F.substring("cache_key", 1, digits))
+    # sixteen buckets alone would be sixteen tasks, however large the run
     (
-        clustered.repartition("bucket").sortWithinPartitions("bucket", "cache_key")
+        clustered.repartition(F.substring("cache_key", 1, max(digits, SPREAD_DIGITS))).sortWithinPartitions("bucket", "cache_key")
         .write.mode("overwrite").partitionBy("bucket")
         .option("parquet.bloom.filter.enabled#cache_key", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("compression", "zstd")
         .parquet(run)
     )
 
@@ -170,7 +175,13 @@ def _read(spark: SparkSession, path: str, chosen: Iterable[Run], buckets: Iterab
         if wanted is not None:
             rows = rows.where(F.col("bucket").isin(sorted({b[:level + 1] for b in wanted})))
         frames.append(rows.drop("level", "run", "bucket"))
-    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, frames) if frames else _no_rows(spark)
+
+
+def _no_rows(spark: SparkSession) -> DataFrame:
+    """An empty memo, without a Python task."""
+    columns = (c.strip().split(" ") for c in SCHEMA.split(","))
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -263,12 +274,25 @@ def clear(spark: SparkSession, path: str) -> None:
     _delete(spark, [s.getPath().toString() for s in fs.globStatus(make(f"{path}/level=*")) or []])
 
 
+def _octets() -> Column:
+    return (F.octet_length("source_text") + F.octet_length("translated_text")).cast("bigint").alias("octets")
+
+
 def stats(memo: DataFrame) -> DataFrame:
     """Number of rows and megabytes of text held."""
-    held = F.sum(F.octet_length("source_text") + F.octet_length("translated_text"))
-    return memo.agg(
+    return _totals(memo.select(_octets()))
+
+
+def stored_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the newest rows of a stored memo; of each row only its key and size are shuffled."""
+    sizes = stored_rows(spark, path).select("cache_key", "seq", _octets())
+    return _totals(sizes.groupBy("cache_key").agg(F.max_by("octets", "seq").alias("octets")))
+
+
+def _totals(sizes: DataFrame) -> DataFrame:
+    return sizes.agg(
         F.count("*").alias("entries"),
-        F.round(F.coalesce(held, F.lit(0)) / (1024 * 1024), 2).alias("size_mb"),
+        F.round(F.coalesce(F.sum("octets"), F.lit(0)) / (1024 * 1024), 2).alias("size_mb"),
     )
 
 
@@ -294,9 +318,10 @@ def distinct_work(segments: DataFrame, order: list[str]) -> DataFrame:
 
 
 def spread_results(segments: DataFrame, results: DataFrame, order: list[str]) -> DataFrame:
-    """Give every copy its result; keys with very many copies are salted."""
+    """Give every copy its result; keys with very many copies are salted. ``segments`` (a table) is read three times."""
     counts = segments.groupBy("cache_key").agg(F.count("*").alias("n"))
-    return join_unique(segments, results, "cache_key", heavy_keys(counts, "cache_key"), order)
+    heavy = heavy_keys(counts, "cache_key", total=segments.agg(F.count("*").alias("_all")))
+    return join_unique(segments, results, "cache_key", heavy, order)
 
 
 def unexpired(rows: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:

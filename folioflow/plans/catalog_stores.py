@@ -275,8 +275,8 @@ def memo_stats(spark, sf):
     memo.append(_entries(spark, sf, _SECOND, "new ", 1), path, 1)
     memo.compact(spark, path, into)
     memo.clear(spark, path)
-    full = memo.stats(memo.load(spark, into)).withColumn("state", F.lit("full"))
-    cleared = memo.stats(memo.load(spark, path)).withColumn("state", F.lit("cleared"))
+    full = memo.stored_stats(spark, into).withColumn("state", F.lit("full"))
+    cleared = memo.stored_stats(spark, path).withColumn("state", F.lit("cleared"))
     return full.unionByName(cleared)
 
 
