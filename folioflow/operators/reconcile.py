@@ -158,24 +158,30 @@ def map_batches(batches: DataFrame, make_mapper: Callable[[], Mapper], keys: Seq
     ``make_mapper`` runs once per task, so a client or model is opened once.
     A retried task repeats its calls; keep mappers idempotent.
     """
+    import pyarrow as pa
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
     source = batches.select(*keys, "segments")
     element = T.StructType.fromDDL(f"p {PAIRS}")["p"].dataType
     schema = T.StructType([*source.schema.fields, T.StructField("pairs", element),
                            T.StructField("error", T.StringType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    answered = to_arrow_type(element)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = make_mapper()
         for part in parts:
             pairs, errors = [], []
-            for segments in part["segments"]:
-                found, failures = _answer_pairs(mapper, list(segments))
+            for segments in part.column("segments"):  # one batch of segments as objects at a time
+                found, failures = _answer_pairs(mapper, segments.as_py())
                 pairs.append(found)
                 errors.append("; ".join(failures) or None)
-            yield part.assign(pairs=pairs, error=errors)
+            # what was sent goes back as it came
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(pairs, answered), pa.array(errors, pa.string())], schema.names)
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def with_fallback(rows: DataFrame, source: str = "text", mapped: str = "translated") -> DataFrame:

@@ -12,7 +12,7 @@ from folioflow.plans import sqlparts as S
 from folioflow.plans import translate as plan
 from folioflow.plans.inputs import MARKED_SQL, marked_documents, table
 from folioflow.plans.registry import query
-from folioflow.session import work_path
+from folioflow.session import materialize, work_path
 from folioflow.streaming import jobs
 
 _MOCK_SEGMENTS = f"WITH {S.SEGMENTS} SELECT doc_id, pos, '[모의 번역] ' || text AS translated FROM segs WHERE needs"
@@ -183,9 +183,10 @@ def memo_run(spark, sf):
     docs = table(spark, sf, "documents")
     path = work_path(spark, "memo")
     memo.create_empty(spark, path)
-    work = plan.pending(docs, memo.stored_rows(spark, path), "English", "Korean")
+    segments = materialize(plan.keyed_segments(docs, "English", "Korean"), "segments")
+    work = plan.pending_segments(segments, memo.stored_rows(spark, path))
     memo.append(plan.mock_results(work, "English", "Korean"), path, 0)
-    done = plan.finish(docs, memo.load(spark, path), "English", "Korean")
+    done = plan.finish_segments_from(segments, memo.load(spark, path))
     return done.select("doc_id", "pos", "translated")
 
 

@@ -240,7 +240,12 @@ def pending(documents: DataFrame, stored: DataFrame, source_lang: str, target_la
 
     ``stored`` may hold several rows per key; an anti-join does not mind.
     """
-    return memo.misses(distinct_segments(documents, source_lang, target_lang, key), stored)
+    return pending_segments(keyed_segments(documents, source_lang, target_lang, key=key), stored, key)
+
+
+def pending_segments(segments: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same of keyed segments, which a run writes out once for this and ``finish_segments_from``."""
+    return memo.misses(memo.distinct_work(segments, [key, "pos"]), stored)
 
 
 def batched_work(work: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -262,25 +267,34 @@ def mock_results(work: DataFrame, source_lang: str, target_lang: str, seq: int =
 def finish(documents: DataFrame, stored: DataFrame, source_lang: str, target_lang: str,
            key: str = "doc_id") -> DataFrame:
     """All target segments with their finished text from the memo."""
-    return memo.spread_results(
-        keyed_segments(documents, source_lang, target_lang, key=key),
-        stored.select("cache_key", F.col("translated_text").alias("translated")), [key, "pos"],
-    )
+    segments = keyed_segments(documents, source_lang, target_lang, key=key)
+    return finish_segments_from(materialize(segments, "segments"), stored, key)
+
+
+def finish_segments_from(segments: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same of keyed segments, a table."""
+    results = stored.select("cache_key", F.col("translated_text").alias("translated"))
+    return memo.spread_results(segments, results, [key, "pos"])
 
 
 def _asked_batches(work: DataFrame, key: str, terms: dict[str, str] | None, options: Options, attempt: int) -> DataFrame:
-    """Open work in batches: key, batch_id, segments. A batch holds at most BATCH_SEGMENTS rows."""
+    """Open work in batches: key, batch_id, segments. A batch holds at most BATCH_SEGMENTS rows.
+
+    Open segments of a document are a part of its row, so they meet in one row and are cut there.
+    """
     none = F.array().cast("array<string>")
     if options.placeholders:
         protected = tokens.protector(terms if options.glossary else None)("text")
     else:
         protected = F.struct(F.col("text"), none.alias("held"), none.alias("terms"))
-    numbers = batched_work(work, key).select(key, "pos", "batch_id")
-    rows = work.withColumn("_p", protected).join(numbers, [key, "pos"])
     segment = F.struct(
         "pos", "page", "seg_id", "cache_key", F.col("text").alias("source"), F.col("_p.text").alias("text"),
         F.col("_p.held").alias("held"), F.col("_p.terms").alias("terms"), F.lit(attempt).alias("attempt"))
-    return rows.groupBy(key, "batch_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    rows = work.withColumn("_p", protected).groupBy(key).agg(F.array_sort(F.collect_list(segment)).alias("_open"))
+    starts = batching.starts_in_row()(
+        F.transform("_open", lambda s: F.length(s["source"])), F.transform("_open", lambda s: is_label(s["source"])))
+    cut = rows.withColumn("_starts", starts)
+    return cut.select(key, F.posexplode(batching.slices(F.col("_open"), F.col("_starts"))).alias("batch_id", "segments"))
 
 
 def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, source_lang: str, target_lang: str,
@@ -295,7 +309,7 @@ def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, so
     source and says why. The memo has to exist (``memo.create_empty``).
     """
     spark = documents.sparkSession
-    segments = keyed_segments(documents, source_lang, target_lang, glossary, key)
+    segments = materialize(keyed_segments(documents, source_lang, target_lang, glossary, key), "segments")
     asked = memo.distinct_work(segments, [key, "pos"]).select(key, "pos", "page", "seg_id", "text", "cache_key")
     asked = materialize(asked, "asked")
     work = materialize(memo.misses(asked, memo.rows_for(asked, memo_path)), "pending")
@@ -315,7 +329,7 @@ def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, so
         faults = finished.where("failed")
         work = faults.select(key, "pos", "page", "seg_id", F.col("source").alias("text"), "cache_key")
     memo.compact_runs(spark, memo_path)
-    held = memo.rows_for(asked, memo_path).join(asked.select("cache_key"), "cache_key", "left_semi")
+    held = memo.rows_for(asked, memo_path).select("cache_key", "translated_text", "seq").join(asked.select("cache_key"), "cache_key", "left_semi")
     stored = memo.latest(held).select("cache_key", F.col("translated_text").alias("translated"))
     results = stored.withColumn("error", F.lit(None).cast("string"))
     if faults is not None:
