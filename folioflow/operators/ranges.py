@@ -14,6 +14,7 @@ from folioflow.session import materialize
 
 PAGE_SPAN = 1 << 16
 PART_RANGES = 4096
+TAGS = ("scope", "target", "failed", "prior", "left")
 
 
 def collapse(pages: DataFrame, keys: Sequence[str], page: str = "page",
@@ -99,11 +100,9 @@ def page_sets(status: DataFrame, scope: DataFrame, key: str, prior_scope: DataFr
     this run had targets on it and none failed. All inputs are tagged and meet
     in one aggregation, so the set algebra costs a single shuffle.
     """
-    tags = ("scope", "target", "failed", "prior", "left")
-
     def tagged(df: DataFrame, **flags: Column) -> DataFrame:
         return df.select(
-            key, "page", *[flags.get(t, F.lit(False)).alias(t) for t in tags]
+            key, "page", *[flags.get(t, F.lit(False)).alias(t) for t in TAGS]
         )
 
     yes = F.lit(True)
@@ -112,7 +111,15 @@ def page_sets(status: DataFrame, scope: DataFrame, key: str, prior_scope: DataFr
         rows = rows.unionByName(tagged(prior_scope, prior=yes))
     if prior_left is not None:
         rows = rows.unionByName(tagged(prior_left, left=yes))
-    pages = rows.groupBy(key, "page").agg(*[F.bool_or(t).alias(t) for t in tags])
+    return tagged_page_sets(rows, key)
+
+
+def tagged_page_sets(rows: DataFrame, key: str) -> DataFrame:
+    """The same of rows that say themselves what they are: key, page and the booleans scope, target, failed, prior, left.
+
+    Where all inputs come from one frame it is passed once, not once per input.
+    """
+    pages = rows.groupBy(key, "page").agg(*[F.bool_or(t).alias(t) for t in TAGS])
     done = (F.col("prior") & ~F.col("left")) | (F.col("target") & ~F.col("failed"))
     return pages.where(done | F.col("scope")).select(
         key, "page", F.when(done, "translated").otherwise("untranslated").alias("state")
