@@ -5,8 +5,8 @@ kind. Where the next batch starts depends only on where the current one starts,
 so the cuts form a chain of jumps of at most ``max_rows`` rows. That makes two
 exact forms possible:
 
-* ``starts_in_row`` for groups that are one input row (a document's lines): an
-  Arrow-batched helper, no shuffle at all;
+* ``starts_in_row`` for groups that are one input row (a document's lines): one
+  pass over its arrays inside the row, no shuffle at all;
 * ``assign_batches`` for groups of any size: each block of rows is reduced to
   a table "entered at offset e, left at offset e', batches opened", the tables
   are composed block by block, and the blocks are expanded again. No task ever
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.functions.arrow import arrow_batched
+from folioflow.functions.binding import let
 from folioflow.operators import blocked
 from folioflow.session import materialize
 
@@ -59,12 +60,20 @@ def batch_starts(sizes: np.ndarray, kinds: np.ndarray, max_size: int, max_rows:
 def starts_in_row(max_size: int = K.BATCH_CHARS, max_rows: int = K.BATCH_SEGMENTS):
     """Column function (sizes ARRAY<INT>, kinds ARRAY<BOOLEAN>) -> 1-based batch starts."""
 
-    @arrow_batched("array<int>")
-    def starts(sizes: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([
-            batch_starts(np.asarray(s, dtype=np.int64), np.asarray(k, dtype=bool), max_size, max_rows)
-            for s, k in zip(sizes, kinds)
-        ])
+    def step(so_far: Column, row: Column) -> Column:
+        full = (so_far["rows"] == 0) | (so_far["rows"] >= max_rows) | (so_far["size"] + row["size"] > max_size)
+        cut = full | (so_far["kind"] != row["kind"])
+        return let(cut, lambda opens: F.struct(
+            (F.when(opens, F.lit(0)).otherwise(so_far["size"]) + row["size"]).alias("size"),
+            (F.when(opens, F.lit(0)).otherwise(so_far["rows"]) + 1).alias("rows"), row["kind"].alias("kind"),
+            (so_far["seen"] + 1).alias("seen"),
+            F.when(opens, F.concat(so_far["starts"], F.array(so_far["seen"] + 1))).otherwise(so_far["starts"]).alias("starts")))
+
+    def starts(sizes: Column, kinds: Column) -> Column:
+        rows = F.zip_with(sizes, kinds, lambda s, k: F.struct(s.cast("bigint").alias("size"), k.alias("kind")))
+        none = F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("rows"), F.lit(False).alias("kind"),
+                        F.lit(0).alias("seen"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(rows, none, step, lambda done: done["starts"])
 
     return starts
 
