@@ -31,6 +31,7 @@ from folioflow import constants as K
 from folioflow.functions.keys import glossary_digest, memo_key
 from folioflow.operators import blocked
 from folioflow.operators.skew import heavy_keys, join_unique
+from folioflow.session import shuffles_freed
 
 SCHEMA = (
     "cache_key string, source_text string, translated_text string, source_lang string,"
@@ -130,14 +131,15 @@ def _store(rows: DataFrame, run: str, level: int) -> None:
     digits = level + 1
     clustered = rows.drop("seq").withColumn("bucket", F.substring("cache_key", 1, digits))
     # sixteen buckets alone would be sixteen tasks, however large the run
-    (
-        clustered.repartition(F.substring("cache_key", 1, max(digits, SPREAD_DIGITS))).sortWithinPartitions("bucket", "cache_key")
-        .write.mode("overwrite").partitionBy("bucket")
-        .option("parquet.bloom.filter.enabled#cache_key", "true")
-        .option("parquet.bloom.filter.adaptive.enabled", "true")
-        .option("compression", "zstd")
-        .parquet(run)
-    )
+    with shuffles_freed(rows.sparkSession):
+        (
+            clustered.repartition(F.substring("cache_key", 1, max(digits, SPREAD_DIGITS))).sortWithinPartitions("bucket", "cache_key")
+            .write.mode("overwrite").partitionBy("bucket")
+            .option("parquet.bloom.filter.enabled#cache_key", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("compression", "zstd")
+            .parquet(run)
+        )
 
 
 def append(rows: DataFrame, path: str, run: int | str) -> None:

@@ -228,7 +228,7 @@ def memo_mapped_run(spark, sf):
     path = work_path(spark, "memo")
     memo.create_empty(spark, path)
     plain = plan.Options(placeholders=False, validation=False)
-    done = plan.translate_through_memo(docs, path, _moody_mapper, "English", "Korean", options=plain)
+    done = plan.translate_through_memo(docs, path, _moody_mapper, "English", "Korean", options=plain, with_text=False)
     return done.select("doc_id", "pos", "translated", "error", "failed")
 
 

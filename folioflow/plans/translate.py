@@ -28,7 +28,7 @@ from folioflow.operators import batching, blocked, memo
 from folioflow.operators.context import context_reply, sample
 from folioflow.operators.reconcile import map_batches, mock_answer, parse_strict, reconcile
 from folioflow.operators.segments import scan, segment_id
-from folioflow.session import materialize
+from folioflow.session import discard, lean_copy, materialize
 
 
 @dataclass(frozen=True)
@@ -297,9 +297,28 @@ def _asked_batches(work: DataFrame, key: str, terms: dict[str, str] | None, opti
     return cut.select(key, F.posexplode(batching.slices(F.col("_open"), F.col("_starts"))).alias("batch_id", "segments"))
 
 
+def _with_texts(work: DataFrame, texts: DataFrame, key: str, cache_key: Column) -> DataFrame:
+    """Open work with its texts: key, pos, cache_key, text; ``cache_key`` tells the key of a text.
+
+    Both meet by document, as the work is cut into batches by document next: texts are shuffled once for both.
+    """
+    none = F.lit(None).cast("string")
+    told = texts.select(key, "pos", "text", none.alias("cache_key"))
+    met = told.unionByName(work.select(key, "pos", none.alias("text"), "cache_key")).repartition(key)
+    named = met.withColumn("_open", F.col("text").isNull()).withColumn("cache_key", F.coalesce("cache_key", cache_key))
+    return named.groupBy(key, "pos", "cache_key").agg(
+        F.max("_open").alias("_open"), F.first("text", ignorenulls=True).alias("text")).where("_open").drop("_open")
+
+
+def _named(work: DataFrame) -> DataFrame:
+    """Work with the page and the segment id of its position."""
+    page = F.floor(F.col("pos") / K.LINES_PER_PAGE).cast("int")
+    return work.withColumn("page", page).withColumn("seg_id", segment_id(page, F.col("pos") % K.LINES_PER_PAGE))
+
+
 def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, source_lang: str, target_lang: str,
                            terms: dict[str, str] | None = None, key: str = "doc_id", glossary: str = "",
-                           options: Options = Options(), attempts: int = 3) -> DataFrame:
+                           options: Options = Options(), attempts: int = 3, with_text: bool = True) -> DataFrame:
     """key, pos, text, translated, error, failed for all targets; every distinct text is mapped once.
 
     Work that the memo lacks is batched, mapped, reconciled, checked and restored;
@@ -307,34 +326,60 @@ def translate_through_memo(documents: DataFrame, memo_path: str, make_mapper, so
     open is asked again, up to ``attempts`` times. The segments a mapper gets
     carry the number of the attempt. A text without a sound result keeps its
     source and says why. The memo has to exist (``memo.create_empty``).
+    Copies are packed, and deleted once the next step is written; the result is joined by key,
+    so that texts are not shuffled again for those who need no ``text`` beside their results.
     """
     spark = documents.sparkSession
-    segments = materialize(keyed_segments(documents, source_lang, target_lang, glossary, key), "segments")
-    asked = memo.distinct_work(segments, [key, "pos"]).select(key, "pos", "page", "seg_id", "text", "cache_key")
-    asked = materialize(asked, "asked")
-    work = materialize(memo.misses(asked, memo.rows_for(asked, memo_path)), "pending")
-    run, faults = uuid.uuid4().hex, None
+    languages = [F.lit(source_lang), F.lit(target_lang), F.lit(glossary)]
+    hashed = memo_key(F.col("text"), *languages).alias("cache_key")
+    texts, texts_path = lean_copy(scan(documents, key).where("needs").select(key, "pos", "text"), "texts")
+    digest = F.unhex("cache_key").alias("cache_key")  # half as long in a shuffle
+    places, _ = lean_copy(texts.select(key, "pos", hashed).select(key, "pos", digest), "places")
+    asked, asked_path = lean_copy(memo.distinct_work(places, [key, "pos"]).select(
+        key, "pos", F.lower(F.hex("cache_key")).alias("cache_key")), "asked")
+    pending, pending_path = asked, None
+    if memo.runs(spark, memo_path):
+        pending, pending_path = lean_copy(memo.misses(asked, memo.rows_for(asked, memo_path)), "pending")
+    none = F.lit(None).cast("string")
+    run, work, left, left_path = uuid.uuid4().hex, pending, None, None
     for attempt in range(attempts):
         if work.isEmpty():
             break
-        answered = map_batches(_asked_batches(work, key, terms, options, attempt), make_mapper, [key, "batch_id"])
+        if left is None:
+            work = _with_texts(pending, texts, key, hashed)
+        answered = map_batches(_asked_batches(_named(work), key, terms, options, attempt), make_mapper, [key, "batch_id"])
         matched = answered.withColumn(
             "_matched", reconcile(F.col("segments"), F.col("pairs"), F.lit(target_lang)))
         rows = matched.select(key, "error", F.explode(F.arrays_zip("segments", "_matched")).alias("_z")).select(
             key, "error", "_z.segments.*", F.col("_z._matched.translated").alias("translated"))
-        finished = materialize(finish_segments(rows, options), "answers")
-        sound = finished.where(~F.col("failed")).withColumnRenamed("source", "text")
-        memo.append(memo.entries(sound, F.lit(source_lang), F.lit(target_lang), F.lit(glossary), F.lit(attempt)),
-                    memo_path, f"{run}-{attempt}")
-        faults = finished.where("failed")
-        work = faults.select(key, "pos", "page", "seg_id", F.col("source").alias("text"), "cache_key")
+        finished, finished_path = lean_copy(finish_segments(rows, options).select(
+            key, "pos", "cache_key", F.col("source").alias("text"), "translated", "error", "failed"), "answers")
+        if left is None and not with_text:
+            discard(spark, texts_path)
+        memo.append(memo.entries(finished.where(~F.col("failed")), *languages, F.lit(attempt)), memo_path, f"{run}-{attempt}")
+        # a memo holds no empty texts; they are not asked again
+        rest = finished.where(F.col("failed") | (F.col("text") == "") | (F.col("translated") == "")).drop("translated")
+        rest = rest if left is None else rest.unionByName(left.where(~F.col("failed")))
+        done = [finished_path] if left is None else [finished_path, left_path]
+        left, left_path = lean_copy(rest, "faults")
+        for path in done:
+            discard(spark, path)
+        work = left.where("failed")
+    if left is None and not work.isEmpty():  # never asked
+        left = _with_texts(pending, texts, key, hashed).withColumn("error", none)
     memo.compact_runs(spark, memo_path)
     held = memo.rows_for(asked, memo_path).select("cache_key", "translated_text", "seq").join(asked.select("cache_key"), "cache_key", "left_semi")
-    stored = memo.latest(held).select("cache_key", F.col("translated_text").alias("translated"))
-    results = stored.withColumn("error", F.lit(None).cast("string"))
-    if faults is not None:
-        results = results.unionByName(faults.select("cache_key", F.lit(None).cast("string").alias("translated"), "error"))
-    return memo.spread_results(segments, results, [key, "pos"]).select(
-        key, "pos", "text", F.coalesce("translated", "text").alias("translated"),
+    results = memo.latest(held).select(
+        "cache_key", F.col("translated_text").alias("translated"), none.alias("error"), none.alias("source"))
+    if left is not None:
+        results = results.unionByName(left.select("cache_key", none.alias("translated"), "error", F.col("text").alias("source")))
+    results, _ = lean_copy(results.withColumn("cache_key", digest), "results")
+    for path in (asked_path, pending_path, left_path):
+        if path:
+            discard(spark, path)
+    targets = texts.withColumn("cache_key", hashed).withColumn("cache_key", digest) if with_text else places
+    spread = memo.spread_results(targets, results, [key, "pos"])
+    return spread.select(
+        key, "pos", *(["text"] if with_text else []), F.coalesce("translated", "source").alias("translated"),
         F.when(F.col("translated").isNull(), F.coalesce("error", F.lit("not mapped"))).alias("error"),
         F.col("translated").isNull().alias("failed"))
