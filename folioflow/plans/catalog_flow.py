@@ -12,7 +12,7 @@ from folioflow.plans import sqlparts as S
 from folioflow.plans import translate as plan
 from folioflow.plans.inputs import MARKED_SQL, marked_documents, table
 from folioflow.plans.registry import query
-from folioflow.session import materialize, work_path
+from folioflow.session import materialize, shuffles_freed, work_path
 from folioflow.streaming import jobs
 
 _MOCK_SEGMENTS = f"WITH {S.SEGMENTS} SELECT doc_id, pos, '[모의 번역] ' || text AS translated FROM segs WHERE needs"
@@ -295,18 +295,20 @@ def stream_answers(spark, sf):
 
     events, out, checkpoint = (work_path(spark, n) for n in ("events", "answers", "checkpoint"))
     tokens = jobs.token_stream(table(spark, sf, "documents"), ends=True)  # the end mark is part of what a service sends
-    told = tokens.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    twice = told.withColumn("copy", F.explode(F.when(F.col("pos") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    twice = tokens.withColumn("copy", F.explode(F.when(F.col("pos") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     files = spark.sparkContext.defaultParallelism  # of one trigger, so that all cores write and read
     share = F.pmod(F.xxhash64("pos", "copy"), F.lit(4))
-    twice.repartition(4 * files, share, "request_id").drop("copy").write.parquet(events)
+    dealt = twice.repartition(4 * files, share, "request_id").drop("copy")
+    told = dealt.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
     def start():
         stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", files).parquet(events)
         return live_answers(stream)
 
-    jobs.run_until(start(), out, checkpoint, lambda q: any(p.numInputRows for p in q.recentProgress))
-    jobs.run_available(start(), out, checkpoint)
+    with shuffles_freed(spark):
+        told.write.option("compression", "zstd").parquet(events)
+        jobs.run_until(start(), out, checkpoint, lambda q: any(p.numInputRows for p in q.recentProgress))
+        jobs.run_available(start(), out, checkpoint)
     return spark.read.parquet(out).select("request_id", "text", "complete")
 
 

@@ -76,3 +76,17 @@ def test_packed_tokens_come_back():
         if rows:
             last = answers._Tokens(owner[1:], pos[1:], held.token[1:])  # a part of an array
             assert answers._unpack(answers._pack(last)).token.to_pylist() == [r[2] for r in rows[1:]]
+
+
+def test_shuffles_of_a_stream_go_with_their_batch(spark, sf):
+    from folioflow.plans import catalog_flow
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in root for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = files()
+    done = catalog_flow.stream_answers(spark, sf)
+    assert not files() - before and not done.isEmpty()
+    assert spark.conf.get(session._CLEANUP_KEY, None) is None
