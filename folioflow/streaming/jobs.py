@@ -13,7 +13,7 @@ from folioflow.functions.text import words
 from folioflow.operators import memo
 from folioflow.operators.segments import scan
 from folioflow.plans import translate as plan
-from folioflow.session import materialize
+from folioflow.session import few_stores, materialize
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -30,13 +30,17 @@ def document_stream(spark: SparkSession, folder: str, pattern: str, schema, file
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything that is new, append it, and stop."""
-    (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+    _start_available(stream, path, checkpoint).awaitTermination()
+
+
+def _start_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    with few_stores(stream.sparkSession):
+        return (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(path)
+        )
 
 
 def run_tail(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -56,12 +60,7 @@ def run_until(stream: DataFrame, path: str, checkpoint: str, stop_requested: Cal
     A micro-batch that the stop interrupts leaves nothing visible, since the sink
     lists a batch's files when it is complete, and is worked on again by the next run.
     """
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    query = _start_available(stream, path, checkpoint)
     while not query.awaitTermination(poll_seconds):
         if stop_requested(query):
             query.stop()

@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,9 @@ def test_shuffle_files_go_with_the_write(spark):
     copy, path = session.lean_copy(rows.groupBy("k").count(), "counted")
     memo_path = session.work_path(spark, "freed-memo")
     memo.append(memo.entries(rows.select(F.col("k").alias("text"), F.col("k").alias("translated")), F.lit("E"), F.lit("K"), F.lit(""), F.lit(0)), memo_path, 0)
+    for _ in range(100):  # executors delete them a little later
+        if files() - before:
+            time.sleep(0.1)
     assert not files() - before
     assert copy.count() == 50_000 == memo.load(spark, memo_path).count()
     assert spark.conf.get(session._CLEANUP_KEY, None) is None

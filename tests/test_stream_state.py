@@ -3,6 +3,7 @@
 import datetime
 import glob
 import json
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -88,5 +89,26 @@ def test_shuffles_of_a_stream_go_with_their_batch(spark, sf):
 
     before = files()
     done = catalog_flow.stream_answers(spark, sf)
+    for _ in range(100):  # executors delete them a little later
+        if files() - before:
+            time.sleep(0.1)
     assert not files() - before and not done.isEmpty()
     assert spark.conf.get(session._CLEANUP_KEY, None) is None
+
+
+def test_cores_bound_the_number_of_stores(spark, tmp_path):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    most = session.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    stream = _stream(spark, tmp_path, [[(1, 0, "a", True, DAY)]])
+    spark.conf.set("spark.sql.shuffle.partitions", str(most + 500))
+    try:
+        with session.few_stores(spark):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == str(most)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(most + 500)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(session, "STORES_PER_CORE", 1)
+            got, _, checkpoint = _run(spark, tmp_path, stream)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert got == [(1, "a", True)]
+    assert len(glob.glob(f"{checkpoint}/state/0/[0-9]*")) == spark.sparkContext.defaultParallelism
